@@ -106,12 +106,16 @@ RESULT_SCHEMA = T.StructType([
 
 
 def call_cached(requests: DataFrame, cache: DataFrame | None, provider, kind: str = "embed",
-                batch_size: int = 16, max_attempts: int = 1, seq: Column | None = None):
+                batch_size: int = 16, max_attempts: int = 1, seq: Column | None = None,
+                materialize: bool = True):
     """Answer ``requests(key, prompt)`` from the cache, calling ``provider`` on misses.
 
     Returns ``(answers, new_cache)``: answers hold ``key, prompt, value,
     status, error, cached``; the new cache is the upsert of the ok results.
-    ``max_attempts`` re-sends rate-limited rows (INF-4).
+    ``max_attempts`` re-sends rate-limited rows (INF-4).  With
+    ``materialize`` the provider results are checkpointed to the shared
+    folder, so the answers and the cache come from one set of calls (a model
+    is not deterministic) and a lost executor does not re-bill the calls.
     """
     req = requests.select("key", "prompt").distinct()
     lim = limit_status(F.lit(kind), F.length("prompt"))
@@ -132,6 +136,9 @@ def call_cached(requests: DataFrame, cache: DataFrame | None, provider, kind: st
         done = res.where(F.col("status") != "rate_limited")
         res = done.unionByName(again.mapInPandas(_run_provider(provider, kind, batch_size), RESULT_SCHEMA))
     fresh = res.unionByName(over).withColumn("cached", F.lit(False))
+    if materialize:
+        from quarry.session import cut_lineage
+        fresh = cut_lineage(fresh)
     answers = fresh if hits is None else hits.unionByName(fresh)
     ok = fresh.where(F.col("status") == "ok").select(
         "key", "prompt", "value", (seq if seq is not None else F.lit(0).cast("long")).alias("seq"))
@@ -148,3 +155,22 @@ def invoke_prompt(prompt: Column, system: Column | None = None, default_system:
     """Cache prompt of a text call: system + ``____`` + prompt (INF-2)."""
     sys_msg = F.coalesce(system, F.lit(default_system)) if system is not None else F.lit(default_system)
     return F.concat(sys_msg, F.lit(SYSTEM_PROMPT_SEP), prompt)
+
+
+def rule_failing_provider(texts: list[str]) -> list[str]:
+    """Test provider with fixed failure rules by text length (INF-3).
+
+    length % 5 == 0 -> rate limited; % 7 == 0 -> token limit; % 11 == 0 ->
+    other error; otherwise the reply ``ok <length>``.
+    """
+    out = []
+    for t in texts:
+        n = len(t or "")
+        if n % 5 == 0:
+            raise RateLimitError(f"rate limited ({n})")
+        if n % 7 == 0:
+            raise TokenLimitError(f"token limit ({n})")
+        if n % 11 == 0:
+            raise ValueError(f"bad request ({n})")
+        out.append(f"ok {n}")
+    return out

@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> dict[str, tuple[Callable, str | None]]:
     # import for side effects (registration)
     from quarry.plans import search_plans  # noqa: F401
-    for mod in ("patch_plans", "text_plans", "state_plans", "element_plans"):
+    for mod in ("patch_plans", "text_plans", "state_plans", "element_plans", "maintenance_plans"):
         try:
             __import__(f"quarry.plans.{mod}")
         except ModuleNotFoundError as e:  # modules are added as operators land

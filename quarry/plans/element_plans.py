@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators.elements import element_displays, extract_elements, index_rows
 from quarry.operators.lookup import exact_lookups
 from quarry.plans import register
+from quarry.session import cut_lineage
 from quarry.sources.tables import Tables
 
 PARTS_PER_FILE = 8
@@ -61,6 +62,11 @@ def _files(spark, sf_dir):
     return render_python_files(Tables(spark, sf_dir).part)
 
 
+def _elements(files):
+    """The one Python job, checkpointed: every display branch reads its output."""
+    return cut_lineage(extract_elements(files))
+
+
 def element_extract(spark, sf_dir):
     e = extract_elements(_files(spark, sf_dir))
     return e.select("instance_id", "filename", "kind", "elem_type", "elem_name", "parent_name",
@@ -99,7 +105,7 @@ FROM rows
 
 def index_rows_q(spark, sf_dir):
     files = _files(spark, sf_dir)
-    d = element_displays(extract_elements(files), files, numbered=False)
+    d = element_displays(_elements(files), files, numbered=False)
     r = index_rows(d).where(F.length("content") > 0)
     return r.select("instance_id", "filename", "elem_type", "elem_name", "display_level")
 
@@ -133,7 +139,7 @@ def lookup_queries(part: DataFrame) -> DataFrame:
 def exact_lookup(spark, sf_dir):
     t = Tables(spark, sf_dir)
     files = _files(spark, sf_dir)
-    d = element_displays(extract_elements(files), files, numbered=True)
+    d = element_displays(_elements(files), files, numbered=True)
     hits = exact_lookups(lookup_queries(t.part), d, files)
     return hits.select("query_id", "source", "filename", "elem_type", "elem_name")
 

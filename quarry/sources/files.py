@@ -85,6 +85,6 @@ def get_dirs(dirs: DataFrame, prefix: str | None = None, max_depth: int | None =
 
 def scan_eval_logs(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-9: ``*.eval.log`` files, whole text, lower-cased, with their name."""
-    df = (spark.read.option("pathGlobFilter", LOG_GLOB).option("wholetext", "true").text(folder)
+    df = (spark.read.text(folder, wholetext=True, pathGlobFilter=LOG_GLOB)
           .select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("path"), F.lower("value").alias("content")))
     return df
