@@ -143,8 +143,10 @@ class _Lines:
 
 
 def _element_rows(instance_id, filename, content):
-    """Rows for one file (the ``ast`` walk of ELM-1)."""
+    """Rows for one file (the ``ast`` walk of ELM-1); only ``.py`` files are parsed."""
     try:
+        if not filename.endswith(".py"):
+            raise ValueError("not a Python file")
         tree = ast.parse(content)
     except (SyntaxError, ValueError):
         n = len(content.split("\n"))
