@@ -88,6 +88,7 @@ def with_term_counts(df, tokens_col: str, out_col: str):
             lambda p, j: F.struct(
                 F.get(sc, p).alias("term"),
                 (F.coalesce(F.get(F.col(st), j + 1), n) - p).cast("long").alias("tf"),
+                (j == 0).alias("first"),
             )))
     )
     return out.drop(s, st)

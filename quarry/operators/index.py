@@ -2,12 +2,15 @@
 
 ``build_text_index`` returns two DataFrames:
 
-* ``postings(id, <scope cols>, term, tf, dl)`` — one row per (row, term);
-  ``dl`` (the row's token count) is carried so scoring needs no join back.
-* ``lengths(id, <scope cols>, dl)`` — one row per content row, for N / avgdl.
-
-Term counts come from :func:`quarry.functions.text.term_counts`, computed
-inside each row, so building postings needs no shuffle.  Persist with
+* ``postings(id, <scope cols>, term, tf, dl, first)`` — one row per
+  (row, term); ``dl`` (the row's token count) is carried so scoring needs
+  no join back, and ``first`` marks one posting per row, so N and avgdl
+  come from the same table without a shuffle (a row with no token keeps a
+  single posting with a NULL term).
+
+Term counts: tokens are sorted and exploded once, then counted with a
+partial aggregate (all tokens of a row are in one task, so the map side
+already holds the final counts).  Persist with
 :func:`write_text_index`, which sorts postings by term inside each shard so
 Parquet min/max statistics skip row groups for a term lookup.
 """
@@ -19,18 +22,33 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokenize, with_term_counts
+from quarry.functions.text import tokenize
 
 INDEX_FIELDS = ("filename", "content")
 
 
 @dataclass
 class TextIndex:
+    """``postings(id, <scope>, term, tf, dl, first)``; a row without tokens
+    keeps one posting with a NULL term so it still counts in N."""
     postings: DataFrame
-    lengths: DataFrame
     id_col: str = "id"
     scope_cols: tuple = ()
 
+    @property
+    def lengths(self) -> DataFrame:
+        """One row per content row (its first posting): no shuffle needed."""
+        return self.postings.where(F.col("first")).select(self.id_col, *self.scope_cols, "dl")
+
+    def terms(self) -> DataFrame:
+        return self.postings.where(F.col("term").isNotNull())
+
+    def materialize(self) -> "TextIndex":
+        """Write the postings once as a Parquet table in the shared folder; every
+        later branch (statistics, df, matches) scans that table."""
+        from quarry.session import write_table
+        return TextIndex(write_table(self.postings, "postings"), self.id_col, self.scope_cols)
+
 
 def _tokens(fields):
     arrs = [tokenize(f) for f in fields]
@@ -41,14 +59,16 @@ def build_text_index(content: DataFrame, id_col: str = "id", fields=INDEX_FIELDS
                      scope_cols=("instance_id",)) -> TextIndex:
     scope_cols = tuple(c for c in scope_cols if c in content.columns)
     base = content.select(id_col, *scope_cols, _tokens(fields).alias("_toks"))
-    lengths = base.select(id_col, *scope_cols, F.size("_toks").cast("long").alias("dl"))
-    counted = with_term_counts(base.withColumn("dl", F.size("_toks").cast("long")), "_toks", "_tc")
-    postings = (
-        counted.select(id_col, *scope_cols, "dl", F.explode_outer("_tc").alias("_p"))
-        .where(F.col("_p").isNotNull())
-        .select(id_col, *scope_cols, F.col("_p.term").alias("term"), F.col("_p.tf").alias("tf"), "dl")
-    )
-    return TextIndex(postings, lengths, id_col, scope_cols)
+    # explode_outer: no inferred size() filter (it would re-tokenise), and a
+    # row without tokens keeps one posting with a NULL term so it counts in N
+    ex = base.select(id_col, *scope_cols, F.size("_toks").cast("long").alias("dl"),
+                     F.posexplode_outer(F.sort_array("_toks")).alias("_pos", "term"))
+    # all postings of a row sit in one task: the partial (map-side) aggregate
+    # already holds the final counts, the exchange only moves postings
+    postings = ex.groupBy(id_col, *scope_cols, "dl", "term").agg(
+        F.count("term").alias("tf"), F.bool_or(F.coalesce(F.col("_pos") == 0, F.lit(True))).alias("first"))
+    postings = postings.select(id_col, *scope_cols, "term", "tf", "dl", "first")
+    return TextIndex(postings, id_col, scope_cols)
 
 
 def corpus_stats(index: TextIndex, scope: list[str] | tuple = ()) -> DataFrame:
@@ -59,7 +79,7 @@ def corpus_stats(index: TextIndex, scope: list[str] | tuple = ()) -> DataFrame:
 
 def term_document_frequency(index: TextIndex, terms: DataFrame, scope=()) -> DataFrame:
     """df(term) per scope, for the given (distinct) terms only."""
-    p = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    p = index.terms().join(terms.select("term").distinct(), "term", "left_semi")
     return p.groupBy(*scope, "term").agg(F.count(F.lit(1)).cast("long").alias("df"))
 
 
@@ -67,6 +87,6 @@ def write_text_index(index: TextIndex, path: str, shard_col: str | None = None,
     """Persist postings (sorted by term within each shard) and lengths."""
     post = index.postings
     w = post.repartition(shard_col) if shard_col else post.repartitionByRange("term")
+    # lengths are the postings' first rows; they are not written separately
     (w.sortWithinPartitions("term")
-       .write.mode(mode).partitionBy(*( [shard_col] if shard_col else [] )).parquet(f"{path}/postings"))
-    index.lengths.write.mode(mode).parquet(f"{path}/lengths")
+       .write.mode(mode).partitionBy(*([shard_col] if shard_col else [])).parquet(f"{path}/postings"))

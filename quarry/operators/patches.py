@@ -182,3 +182,55 @@ def fit_check(parsed: DataFrame, file_lines: DataFrame, id_col: str = "patch_id"
     eq = (F.rtrim(a) == F.rtrim(e)) if relaxed else (a == e)
     per = j.groupBy(id_col).agg(F.bool_and(F.coalesce(eq, F.lit(False))).alias("fits"))
     return per
+
+
+def patch_stats_fold(patches: DataFrame, id_col: str = "patch_id", patch_col: str = "patch",
+                     code_only: bool = True) -> DataFrame:
+    """AGG-1 as one ``aggregate`` per patch row: no explode, no shuffle, no sort.
+
+    The fold carries the remaining old/new counts of the current hunk, the
+    current source path and whether the current file counts; the rules are
+    those of :func:`parse_patches` + :func:`patch_stats` (a line is body
+    while either count remains; headers are recognised only outside a body).
+    Use it when only the per-patch counts are needed; the window parser
+    gives line-level rows.
+    """
+    lines = F.split(F.coalesce(F.col(patch_col), F.lit("")), "\n")
+    zero = F.lit(0).cast("long")
+    init = F.struct(zero.alias("ro"), zero.alias("rn"), F.lit(None).cast("string").alias("src"),
+                    F.lit(False).alias("keep"), zero.alias("files"), zero.alias("edits"), zero.alias("nl"), zero.alias("ni"))
+    imp_prefixes = [p for p in IMPORT_PREFIXES]
+
+    def step(s, ln):
+        m = F.substring(ln, 1, 1)
+        in_hunk = (s["ro"] > 0) | (s["rn"] > 0)
+        # cheap prefix tests first; the regex runs only on '@@' lines
+        hdr = F.when(m == "@", ln.rlike(HUNK_RE)).otherwise(F.lit(False))
+        body = ~hdr & in_hunk
+        ctx = body & ((m == " ") | (ln == ""))
+        rem = body & (m == "-")
+        add = body & (m == "+")
+        src_hdr = ~body & (m == "-") & ln.startswith("--- ")
+        tgt_hdr = ~body & (m == "+") & ln.startswith("+++ ")
+        keep_now = F.when(tgt_hdr, F.coalesce(
+            (s["src"] != DEV_NULL) & (_path(ln) != DEV_NULL) & (s["src"].endswith(".py") if code_only else F.lit(True)),
+            F.lit(False))).otherwise(F.lit(False))
+        imp = F.lit(False)
+        for p in imp_prefixes:
+            imp = imp | ln.startswith("+" + p)
+        counted_add = F.when(add & s["keep"], imp)
+        one = F.lit(1).cast("long")
+        return F.struct(
+            F.when(hdr, _len_group(ln, 2)).when(ctx | rem, s["ro"] - 1).otherwise(s["ro"]).alias("ro"),
+            F.when(hdr, _len_group(ln, 4)).when(ctx | add, s["rn"] - 1).otherwise(s["rn"]).alias("rn"),
+            F.when(src_hdr, _path(ln)).otherwise(s["src"]).alias("src"),
+            F.when(tgt_hdr, keep_now).otherwise(s["keep"]).alias("keep"),
+            F.when(keep_now, s["files"] + one).otherwise(s["files"]).alias("files"),
+            F.when(hdr & s["keep"], s["edits"] + one).otherwise(s["edits"]).alias("edits"),
+            F.when((rem | add) & s["keep"], s["nl"] + one).otherwise(s["nl"]).alias("nl"),
+            F.when(F.coalesce(counted_add, F.lit(False)), s["ni"] + one).otherwise(s["ni"]).alias("ni"),
+        )
+
+    st = F.aggregate(lines, init, step)
+    return patches.select(id_col, st["files"].alias("num_files"), st["edits"].alias("num_edits"),
+                          st["nl"].alias("num_lines"), st["ni"].alias("num_imports"))

@@ -116,11 +116,25 @@ def bm25_scores(index: TextIndex, queries: DataFrame, per_instance: bool = True,
     """
     id_col = index.id_col
     inst = ["instance_id"] if per_instance else []
-    qt = broadcast_if_small(query_terms(queries, text_col, keep=tuple(inst)))
+    qt_all = query_terms(queries, text_col, keep=tuple(inst))
+    qt = broadcast_if_small(qt_all)
     scope = list(stats_scope)
     stats = corpus_stats(index, scope).withColumn("avgdl", F.col("total_len") / F.col("n_rows"))
     dfreq = term_document_frequency(index, qt, scope)
-    hits = index.postings.join(qt, ["term"] + inst)
+    terms = index.terms()
+    # Conjunctive evaluation: a row must hold every query term, so the
+    # candidates are the rows holding the query's rarest term; only those
+    # (candidate, query term) pairs are looked up in the postings.  A query
+    # with a term absent from the corpus has no candidate at all.
+    dglob = dfreq.groupBy("term").agg(F.sum("df").alias("_gdf"))
+    rare = (qt.join(dglob, "term")
+              .groupBy("query_id", *inst)
+              .agg(F.count(F.lit(1)).alias("_present"), F.first("n_terms").alias("_n"),
+                   F.min_by("term", F.struct("_gdf", "term")).alias("term"))
+              .where(F.col("_present") == F.col("_n")).select("query_id", *inst, "term"))
+    cand = terms.join(F.broadcast(rare), ["term"] + inst).select("query_id", id_col)
+    pairs = broadcast_if_small(cand.join(qt.select("query_id", "term", "qtf", "n_terms"), "query_id"))
+    hits = terms.join(pairs, [id_col, "term"])
     if not scope:
         # one statistics row for the whole corpus: join on a constant key
         stats = F.broadcast(stats.withColumn("_all", F.lit(0)))

@@ -247,7 +247,7 @@ def lookup_fallback(spark, sf_dir):
     content = fixed_chunks(rows, "content").withColumn("id", F.xxhash64("instance_id", "filename", "elem_name", "elem_type",
                                                                         "display_level", "split_idx"))
     content = cut_lineage(content)
-    idx = build_text_index(content)
+    idx = build_text_index(content).materialize()
     g = F.floor(F.col("p_partkey") / PARTS_PER_FILE)
     q = part.select(F.col("p_partkey").alias("query_id"),
                     F.concat(F.lit("repo"), F.floor(g / FILES_PER_INSTANCE).cast("string")).alias("instance_id"),

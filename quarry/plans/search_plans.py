@@ -73,7 +73,7 @@ post AS (
 
 def postings(spark, sf_dir):
     idx = build_text_index(_content(spark, sf_dir))
-    return idx.postings.select("id", "term", "tf", "dl")
+    return idx.terms().select("id", "term", "tf", "dl")
 
 
 register("postings", f"""
@@ -122,20 +122,20 @@ def _bm25_out(r: DataFrame) -> DataFrame:
 
 def bm25_topk(spark, sf_dir):
     c = _content(spark, sf_dir)
-    idx = build_text_index(c)
+    idx = build_text_index(c).materialize()
     return _bm25_out(bm25_search(idx, c, _bench_queries(spark, sf_dir), k=5, per_instance=False))
 
 
 def bm25_topk_shard_stats(spark, sf_dir):
     c = _with_shard(_content(spark, sf_dir))
-    idx = build_text_index(c, scope_cols=("instance_id", "shard"))
+    idx = build_text_index(c, scope_cols=("instance_id", "shard")).materialize()
     return _bm25_out(bm25_search(idx, c, _bench_queries(spark, sf_dir), k=5, per_instance=False,
                                  stats_scope=("shard",)))
 
 
 def search_filters(spark, sf_dir):
     c = _content(spark, sf_dir)
-    idx = build_text_index(c)
+    idx = build_text_index(c).materialize()
     return _bm25_out(bm25_search(idx, c, _bench_queries(spark, sf_dir), k=3, per_instance=False,
                                  elem_type="code", in_dirs=["src1", "src2/en"]))
 

@@ -81,6 +81,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint, but the copy is columnar: later scans
+    prune columns and push filters, and a lost executor only re-reads files.
+    """
+    import uuid
+    path = scratch_path(df.sparkSession, f"{name}/t-{uuid.uuid4().hex[:12]}")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Repartition only when a scan gives fewer partitions than the cluster can run.
+
+    A table stored as one Parquet row group is read by one task; the text
+    work after it (tokenising, parsing, Python stages) would then run on one
+    core.  On a large input the scan already has many splits and this is a
+    no-op (no extra shuffle).
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Hint a broadcast only after proving ``df`` holds at most ``max_rows`` rows.
 

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
+# Tables whose rows carry heavy per-row work (text, parsing, Python stages):
+# spread over the cluster when the scan yields too few splits.
+SPREAD_TABLES = {"documents", "pages", "conversations", "part", "lineitem", "orders", "embeddings"}
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -34,5 +37,9 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return read_table(self.spark, self.sf_dir, name)
+            df = read_table(self.spark, self.sf_dir, name)
+            if name in SPREAD_TABLES:
+                from quarry.session import spread
+                df = spread(df)
+            return df
         raise AttributeError(name)
