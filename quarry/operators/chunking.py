@@ -121,4 +121,5 @@ def boundary_chunks(df: DataFrame, key_cols: list[str], text_col: str = "content
                     rows.append([d[k] for k in key_cols] + [off, chunk])
             yield pd.DataFrame(rows, columns=key_cols + [offset_col, text_col])
 
-    return df.select(*key_cols, text_col).mapInPandas(run, schema)
+    from quarry.session import spread
+    return spread(df.select(*key_cols, text_col)).mapInPandas(run, schema)

@@ -201,7 +201,9 @@ def extract_elements(files: DataFrame) -> DataFrame:
                 out.extend(_element_rows(inst, fn, content or ""))
             yield pd.DataFrame(out, columns=cols).astype({c: "Int32" for c in cols if ELEMENT_SCHEMA[c].dataType == T.IntegerType()})
 
-    return files.select("instance_id", "filename", "content").mapInPandas(run, ELEMENT_SCHEMA)
+    from quarry.session import spread
+    # the Python stage is CPU bound: never let it run on fewer tasks than cores
+    return spread(files.select("instance_id", "filename", "content")).mapInPandas(run, ELEMENT_SCHEMA)
 
 
 # ----------------------------------------------------------------------------- Spark part

@@ -129,7 +129,8 @@ def call_cached(requests: DataFrame, cache: DataFrame | None, provider, kind: st
         miss = req
     over = miss.where(lim != "ok").select("key", "prompt", F.lit(None).cast("string").alias("value"),
                                           lim.alias("status"), F.lit("over size limit").alias("error"))
-    send = miss.where(lim == "ok")
+    from quarry.session import spread
+    send = spread(miss.where(lim == "ok"))
     res = send.mapInPandas(_run_provider(provider, kind, batch_size), RESULT_SCHEMA)
     for _ in range(max_attempts - 1):
         again = res.where(F.col("status") == "rate_limited").select("key", "prompt")

@@ -53,19 +53,16 @@ def value_distribution(stats: DataFrame, domains: dict = DOMAINS) -> DataFrame:
 
 
 def histogram_bins(stats: DataFrame, truncate: dict = TRUNCATE, widths: dict = BIN_WIDTH) -> DataFrame:
-    """Counts per bin after truncation (FLT-8, AGG-4)."""
-    parts = []
-    for m, hi in truncate.items():
-        wdt = widths[m]
-        v = F.col(m).cast("long")
-        lo = F.floor(v / wdt).cast("long") * wdt
-        parts.append(stats.where(v <= hi).select(F.lit(m).alias("metric"), lo.alias("bin_lo")))
-    allb = parts[0]
-    for p in parts[1:]:
-        allb = allb.unionByName(p)
-    wmap = F.create_map(*[x for m, wdt in widths.items() for x in (F.lit(m), F.lit(wdt))])
-    out = allb.groupBy("metric", "bin_lo").agg(F.count(F.lit(1)).cast("long").alias("n"))
-    return out.withColumn("bin_hi", (F.col("bin_lo") + wmap[F.col("metric")]).cast("long"))
+    """Counts per bin after truncation (FLT-8, AGG-4), in one pass over the stats."""
+    metrics = list(truncate)
+    lim = F.create_map(*[x for m in metrics for x in (F.lit(m), F.lit(truncate[m]))])
+    wid = F.create_map(*[x for m in metrics for x in (F.lit(m), F.lit(widths[m]))])
+    lf = _long_form(stats, metrics)
+    w = wid[F.col("metric")]
+    kept = lf.where(F.col("value") <= lim[F.col("metric")])
+    binned = kept.select("metric", (F.floor(F.col("value") / w).cast("long") * w).alias("bin_lo"), w.alias("_w"))
+    return binned.groupBy("metric", "bin_lo", "_w").agg(F.count(F.lit(1)).cast("long").alias("n")) \
+        .select("metric", "bin_lo", "n", (F.col("bin_lo") + F.col("_w")).cast("long").alias("bin_hi"))
 
 
 def simple_share(stats: DataFrame) -> DataFrame:

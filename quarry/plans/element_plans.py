@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators.elements import element_displays, extract_elements, index_rows
 from quarry.operators.lookup import exact_lookups
 from quarry.plans import register
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, write_table
 from quarry.sources.tables import Tables
 
 PARTS_PER_FILE = 8
@@ -67,6 +67,11 @@ def _elements(files):
     return cut_lineage(extract_elements(files))
 
 
+def _displays(files, elements, numbered: bool):
+    """Display levels written once as a table: lookups read it several times."""
+    return write_table(element_displays(elements, files, numbered=numbered), "displays")
+
+
 def element_extract(spark, sf_dir):
     e = extract_elements(_files(spark, sf_dir))
     return e.select("instance_id", "filename", "kind", "elem_type", "elem_name", "parent_name",
@@ -139,7 +144,7 @@ def lookup_queries(part: DataFrame) -> DataFrame:
 def exact_lookup(spark, sf_dir):
     t = Tables(spark, sf_dir)
     files = _files(spark, sf_dir)
-    d = element_displays(_elements(files), files, numbered=True)
+    d = _displays(files, _elements(files), numbered=True)
     hits = exact_lookups(lookup_queries(t.part), d, files)
     return hits.select("query_id", "source", "filename", "elem_type", "elem_name")
 

@@ -17,7 +17,8 @@ from quarry.operators.maintenance import (manifest_of, new_version_path, replace
                                           write_files, write_index, write_predictions)
 from quarry.operators.stats import outcome_counts
 from quarry.plans import register
-from quarry.plans.element_plans import FILES_PER_INSTANCE, PARTS_PER_FILE, _elements, _files, render_python_files
+from quarry.plans.element_plans import (FILES_PER_INSTANCE, PARTS_PER_FILE, _displays, _elements, _files,
+                                        render_python_files)
 from quarry.plans.fixtures import doc_filename
 from quarry.plans.patch_plans import render_diffs, render_logs
 from quarry.session import cut_lineage
@@ -241,8 +242,8 @@ def lookup_fallback(spark, sf_dir):
     part = Tables(spark, sf_dir).part
     files = _files(spark, sf_dir)
     elems = _elements(files)
-    disp = element_displays(elems, files, numbered=True)
-    plain = element_displays(elems, files, numbered=False)
+    disp = _displays(files, elems, numbered=True)
+    plain = _displays(files, elems, numbered=False)
     rows = index_rows(plain)
     content = fixed_chunks(rows, "content").withColumn("id", F.xxhash64("instance_id", "filename", "elem_name", "elem_type",
                                                                         "display_level", "split_idx"))
