@@ -168,20 +168,81 @@ def fit_check(parsed: DataFrame, file_lines: DataFrame, id_col: str = "patch_id"
               relaxed: bool = False) -> DataFrame:
     """Does every hunk's old side equal the file at the stated lines? (PCH-8, JN-9).
 
-    ``file_lines(path, line_no, line)`` 1-based.  The old side of a hunk is
-    its context and removed lines; line ``i`` of the hunk's old side must
-    equal file line ``src_start + i``.  ``relaxed`` compares after ``rtrim``.
-    Returns ``(id, fits)`` for every patch with at least one hunk.
+    ``file_lines(path, line_no, line)`` 1-based.  Line ``i`` of a hunk's old
+    side (its context and removed lines) must equal file line
+    ``src_start + i``; ``relaxed`` compares after ``rtrim``.  Only the files a
+    patch touches are read (``left_semi`` on the touched paths).  Returns
+    ``(id, fits)`` for every patch with at least one hunk.
     """
     old = parsed.where(F.col("is_body") & F.col("marker").isin(" ", "-"))
     w = Window.partitionBy(id_col, "hunk_no").orderBy("pos")
-    old = old.withColumn("line_no", F.col("src_start") + F.row_number().over(w) - 1)
-    old = old.withColumn("path", clean_path(F.col("source_file")))
-    j = old.join(file_lines, ["path", "line_no"], "left")
-    a, e = F.col("line"), F.col("value")
+    old = old.select(id_col, "hunk_no", "value", clean_path(F.col("source_file")).alias("path"),
+                     (F.col("src_start") + F.row_number().over(w) - 1).alias("line_no"))
+    touched = old.select("path").distinct()
+    fl = file_lines.join(touched, "path", "left_semi").select("path", "line_no", F.col("line").alias("_file_line"))
+    j = old.join(fl, ["path", "line_no"], "left")
+    a, e = F.col("_file_line"), F.col("value")
     eq = (F.rtrim(a) == F.rtrim(e)) if relaxed else (a == e)
+    hunks = parsed.where("is_hdr").select(id_col).distinct()
     per = j.groupBy(id_col).agg(F.bool_and(F.coalesce(eq, F.lit(False))).alias("fits"))
-    return per
+    # a patch whose hunks have no old side (pure additions) fits trivially
+    return hunks.join(per, id_col, "left").select(id_col, F.coalesce("fits", F.lit(True)).alias("fits"))
+
+
+def _fmt(start: Column, length: Column) -> Column:
+    return F.when(length == 1, start.cast("string")).otherwise(F.concat(start.cast("string"), F.lit(","), length.cast("string")))
+
+
+def minimal_patches(parsed: DataFrame, id_col: str = "patch_id") -> DataFrame:
+    """Trim leading / trailing context of every hunk and rewrite its header (PCH-7).
+
+    A hunk without any change is dropped.  Text is re-assembled in line
+    order per patch (a group bounded by one patch).
+    """
+    chg = F.col("marker").isin("+", "-")
+    body = parsed.where("is_body")
+    span = body.groupBy(id_col, "hunk_no").agg(
+        F.min(F.when(chg, F.col("pos"))).alias("_f"), F.max(F.when(chg, F.col("pos"))).alias("_l"))
+    edges = body.join(span, [id_col, "hunk_no"]).groupBy(id_col, "hunk_no", "_f", "_l").agg(
+        F.count_if((F.col("marker") == " ") & (F.col("pos") < F.col("_f"))).alias("_lead"),
+        F.count_if((F.col("marker") == " ") & (F.col("pos") > F.col("_l"))).alias("_trail"))
+    p = parsed.join(edges, [id_col, "hunk_no"], "left")
+    lead, trail = F.col("_lead"), F.col("_trail")
+    new_hdr = F.concat(F.lit("@@ -"), _fmt(F.col("src_start") + lead, F.col("src_len") - lead - trail), F.lit(" +"),
+                       _fmt(F.col("tgt_start") + lead, F.col("tgt_len") - lead - trail), F.lit(" @@"))
+    no_change = F.col("_f").isNull()
+    keep = (~F.col("is_body") & ~F.col("is_hdr")) | (F.col("is_hdr") & ~no_change) | \
+           (F.col("is_body") & (F.col("pos") >= F.col("_f")) & (F.col("pos") <= F.col("_l")))
+    text = F.when(F.col("is_hdr"), new_hdr).otherwise(F.col("line"))
+    kept = p.where(F.coalesce(keep, F.lit(False))).select(id_col, "pos", text.alias("_t"))
+    out = kept.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "_t"))).alias("_l"))
+    return out.select(id_col, F.array_join(F.transform("_l", lambda x: x["_t"]), "\n").alias("patch"))
+
+
+VARIANTS = ["default", "minimal", "default_no_blank", "minimal_no_blank"]
+
+
+def first_valid_variant(patches: DataFrame, file_lines: DataFrame, id_col: str = "patch_id",
+                        patch_col: str = "patch") -> DataFrame:
+    """First of default / minimal / no-blank variants that fits; NULL when none (PCH-7, PCH-8).
+
+    All variants of all patches are parsed and checked in one plan (a
+    variant is a row, not a loop iteration).
+    """
+    base = patches.select(id_col, F.col(patch_col).alias("_p"))
+    parsed = parse_patches(base.select(id_col, F.col("_p").alias("patch")), id_col, "patch")
+    minimal = minimal_patches(parsed, id_col).withColumnRenamed("patch", "_m")
+    both = base.join(minimal, id_col, "left").withColumn("_m", F.coalesce("_m", F.lit("")))
+    v = both.select(id_col, F.posexplode(F.array(
+        F.col("_p"), F.col("_m"), collapse_blank_before_hunks(F.col("_p")), collapse_blank_before_hunks(F.col("_m")))
+    ).alias("ord", "patch"))
+    v = v.withColumn("_vid", F.concat_ws("#", F.col(id_col).cast("string"), F.col("ord").cast("string")))
+    fits = fit_check(parse_patches(v.select("_vid", "patch"), "_vid", "patch"), file_lines, "_vid")
+    ok = v.join(fits.where("fits"), "_vid")
+    names = F.array(*[F.lit(n) for n in VARIANTS])
+    best = ok.groupBy(id_col).agg(F.min_by(F.struct("ord", "patch"), "ord").alias("_b"))
+    res = patches.select(id_col).join(best, id_col, "left")
+    return res.select(id_col, F.element_at(names, F.col("_b.ord") + 1).alias("variant"), F.col("_b.patch").alias("valid_patch"))
 
 
 def patch_stats_fold(patches: DataFrame, id_col: str = "patch_id", patch_col: str = "patch",

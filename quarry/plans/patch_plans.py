@@ -227,3 +227,62 @@ def hash_bucket_xx(spark, sf_dir):
 
 
 register("hash_bucket_xx")(hash_bucket_xx)
+
+
+# ------------------------------------------------------------------ PCH-6..PCH-9, JN-9
+from quarry.operators.patches import collapse_blank_before_hunks, first_valid_variant  # noqa: E402
+from quarry.plans.fixtures import doc_filename  # noqa: E402
+
+MIN_LINES = 5
+
+
+def render_file_patches(documents: DataFrame):
+    """A one-hunk patch per document (>= 5 lines) built from its real lines, plus the file lines.
+
+    The hunk starts at line ``1 + doc_id % 3``: context, removed, added,
+    context.  Every third patch has a wrong first context line (only the
+    minimal variant fits); every fourth has a blank line before ``@@``.
+    """
+    d = documents.select("doc_id", doc_filename().alias("path"), F.split("text", "\n").alias("lines"))
+    d = d.where(F.size("lines") >= MIN_LINES)
+    s = (F.col("doc_id") % 3 + 1).cast("int")
+    l1, l2, l3 = F.get(F.col("lines"), s - 1), F.get(F.col("lines"), s), F.get(F.col("lines"), s + 1)
+    ctx1 = F.when(F.col("doc_id") % 3 == 0, F.concat(l1, F.lit(" X"))).otherwise(l1)
+    blank = F.when(F.col("doc_id") % 4 == 1, F.lit("\n")).otherwise(F.lit(""))
+    patch = F.concat(F.lit("--- a/"), F.col("path"), F.lit("\n+++ b/"), F.col("path"), F.lit("\n"), blank,
+                     F.lit("@@ -"), s.cast("string"), F.lit(",3 +"), s.cast("string"), F.lit(",3 @@\n "), ctx1,
+                     F.lit("\n-"), l2, F.lit("\n+patched\n "), l3, F.lit("\n"))
+    patches = d.select(F.col("doc_id").alias("patch_id"), patch.alias("patch"))
+    lines = d.select("path", F.posexplode("lines").alias("pos", "line")).select(
+        "path", (F.col("pos") + 1).alias("line_no"), "line")
+    return patches, lines
+
+
+def patch_first_valid(spark, sf_dir):
+    patches, lines = render_file_patches(Tables(spark, sf_dir).documents)
+    r = first_valid_variant(patches, lines)
+    return r.select(F.col("patch_id").alias("doc_id"), "variant")
+
+
+register("patch_first_valid", f"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'minimal' ELSE 'default' END AS variant
+FROM documents WHERE len(string_split(text, chr(10))) >= {MIN_LINES}
+""")(patch_first_valid)
+
+
+def patch_collapse(spark, sf_dir):
+    patches, _ = render_file_patches(Tables(spark, sf_dir).documents)
+    c = collapse_blank_before_hunks(F.col("patch"))
+    return patches.select(F.col("patch_id").alias("doc_id"), F.md5(c).alias("patch_md5"))
+
+
+register("patch_collapse", f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, 1 + doc_id % 3 AS s,
+                  source || '/' || CASE WHEN doc_id % 7 = 0 THEN 'tests/' ELSE '' END || lang || '/doc_' || CAST(doc_id AS VARCHAR)
+                    || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.md' ELSE '.txt' END AS f
+           FROM documents WHERE len(string_split(text, chr(10))) >= {MIN_LINES})
+SELECT doc_id, md5('--- a/' || f || chr(10) || '+++ b/' || f || chr(10) || '@@ -' || CAST(s AS VARCHAR) || ',3 +' || CAST(s AS VARCHAR)
+                   || ',3 @@' || chr(10) || ' ' || (CASE WHEN doc_id % 3 = 0 THEN ls[s] || ' X' ELSE ls[s] END) || chr(10)
+                   || '-' || ls[s + 1] || chr(10) || '+patched' || chr(10) || ' ' || ls[s + 2] || chr(10)) AS patch_md5
+FROM d
+""")(patch_collapse)
