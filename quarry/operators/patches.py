@@ -242,7 +242,9 @@ def first_valid_variant(patches: DataFrame, file_lines: DataFrame, id_col: str =
     names = F.array(*[F.lit(n) for n in VARIANTS])
     best = ok.groupBy(id_col).agg(F.min_by(F.struct("ord", "patch"), "ord").alias("_b"))
     res = patches.select(id_col).join(best, id_col, "left")
-    return res.select(id_col, F.element_at(names, F.col("_b.ord") + 1).alias("variant"), F.col("_b.patch").alias("valid_patch"))
+    found = F.col("_b").isNotNull()
+    return res.select(id_col, F.when(found, F.get(names, F.col("_b.ord"))).alias("variant"),
+                      F.when(found, F.col("_b.patch")).alias("valid_patch"))
 
 
 def patch_stats_fold(patches: DataFrame, id_col: str = "patch_id", patch_col: str = "patch",
