@@ -183,3 +183,37 @@ register("bm25_topk_shard_stats", _bm25_sql(5, scope="shard"))(bm25_topk_shard_s
 register("search_filters", _bm25_sql(
     3, where="elem_type NOT IN ('readme', 'other') AND filename NOT ILIKE '%tests%' "
              "AND (filename ILIKE 'src1%' OR filename ILIKE 'src2/en%')"))(search_filters)
+
+
+# ------------------------------------------------------------------ PRM-4 / AGG-9
+def result_text_blocks(ranked: DataFrame) -> DataFrame:
+    """Ordered "Result Index" blocks per query; a query without results gets '' (PRM-4)."""
+    from quarry.operators.pages import ordered_text
+    b = ranked.withColumn("block", F.concat(
+        F.lit("---\nResult Index: "), (F.col("rank") - 1).cast("string"), F.lit("\nFilename: "), F.col("filename"),
+        F.lit("\nSearch Result:\n"), F.col("content"), F.lit("\n---")))
+    return ordered_text(b, "query_id", "rank", "block")
+
+
+def context_prompt(spark, sf_dir):
+    c = _content(spark, sf_dir)
+    idx = build_text_index(c).materialize()
+    q = _bench_queries(spark, sf_dir)
+    hits = bm25_search(idx, c, q, k=5, per_instance=False)
+    t = result_text_blocks(hits)
+    out = q.select("query_id").join(t, "query_id", "left")
+    text = F.coalesce(F.col("block"), F.lit(""))
+    return out.select("query_id", F.coalesce("n_parts", F.lit(0)).cast("long").alias("n_parts"),
+                      F.length(text).cast("long").alias("text_len"), F.md5(text).alias("text_md5"))
+
+
+register("context_prompt", f"""
+WITH r AS ({_bm25_sql(5)}),
+b AS (SELECT r.query_id, r.rank, '---' || chr(10) || 'Result Index: ' || CAST(r.rank - 1 AS VARCHAR) || chr(10) || 'Filename: ' || r.filename
+             || chr(10) || 'Search Result:' || chr(10) || substring(d.text, r.split_idx + 1, {CAP}) || chr(10) || '---' AS block
+      FROM r JOIN documents d USING (doc_id)),
+t AS (SELECT query_id, string_agg(block, chr(10) ORDER BY rank) AS block, count(*) AS n FROM b GROUP BY query_id)
+SELECT q.item_id AS query_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_parts, CAST(length(coalesce(t.block, '')) AS BIGINT) AS text_len,
+       md5(coalesce(t.block, '')) AS text_md5
+FROM benchmark q LEFT JOIN t ON t.query_id = q.item_id
+""")(context_prompt)

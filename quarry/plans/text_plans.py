@@ -221,3 +221,62 @@ UNION ALL
 SELECT 'prompt', conv_id, CAST(sum(length(text)) + count(*) - 1 AS BIGINT),
        CASE WHEN sum(length(text)) + count(*) - 1 <= 96000 THEN 'ok' ELSE 'token_limit' END FROM conversations GROUP BY conv_id
 """)(size_limits)
+
+
+# ------------------------------------------------------------------ PRM-2, PRM-5, PRM-6
+from quarry.operators.render import NO_FILES_TEXT, file_for_prompt  # noqa: E402
+from quarry.operators.pages import ordered_text  # noqa: E402
+from quarry.plans.fixtures import doc_filename  # noqa: E402
+
+FILES_PER_RETRIEVAL = 3
+
+
+def retrieved_files(documents: DataFrame) -> DataFrame:
+    """Retrieved files: 3 documents per instance, each with one or two half-open line ranges."""
+    m = F.col("doc_id") % 4
+    r1 = F.struct((m + 1).cast("int").alias("start"), (m + 4).cast("int").alias("end"))
+    r2 = F.struct((m + 6).cast("int").alias("start"), (m + 8).cast("int").alias("end"))
+    ranges = F.when(F.col("doc_id") % 2 == 0, F.array(r1, r2)).otherwise(F.array(r1))
+    return documents.select(F.floor(F.col("doc_id") / FILES_PER_RETRIEVAL).cast("long").alias("instance_id"), "doc_id",
+                            doc_filename().alias("path"), F.col("text").alias("content"), ranges.alias("ranges"))
+
+
+def file_render(spark, sf_dir):
+    f = retrieved_files(Tables(spark, sf_dir).documents)
+    f = f.withColumn("block", file_for_prompt(F.col("path"), F.col("content"), F.col("ranges"), "FILE_AND_LINES"))
+    t = ordered_text(f, "instance_id", "doc_id", "block")
+    t = t.withColumn("block", F.coalesce(F.col("block"), F.lit(NO_FILES_TEXT)))
+    return t.select("instance_id", "n_parts", F.length("block").cast("long").alias("text_len"), F.md5("block").alias("text_md5"))
+
+
+def _num_sql(num: str, width: str) -> str:
+    return (f"(CASE WHEN length(CAST({num} AS VARCHAR)) >= {width} THEN CAST({num} AS VARCHAR) "
+            f"ELSE lpad(CAST({num} AS VARCHAR), CAST({width} AS INTEGER), ' ') END)")
+
+
+def _section_sql(s: str, e: str) -> str:
+    body = (f"array_to_string(list_transform(list_slice(ls, {s}, {e} - 1), lambda x, i: "
+            f"{_num_sql(f'i + {s} - 1', f'length(CAST({e} AS VARCHAR))')} || ' |' || x), chr(10))")
+    return (f"'Here is a portion of ' || path || ' from line ' || CAST({s} AS VARCHAR) || ' to ' || CAST({e} - 1 AS VARCHAR) "
+            f"|| ':' || chr(10) || '```py' || chr(10) || {body} || chr(10) || '```'")
+
+
+register("file_render", f"""
+WITH f AS (
+  SELECT CAST(floor(doc_id / {FILES_PER_RETRIEVAL}) AS BIGINT) AS instance_id, doc_id, string_split(text, chr(10)) AS ls,
+         source || '/' || CASE WHEN doc_id % 7 = 0 THEN 'tests/' ELSE '' END || lang || '/doc_' || CAST(doc_id AS VARCHAR)
+           || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.md' ELSE '.txt' END AS path,
+         doc_id % 4 AS m FROM documents),
+b AS (
+  SELECT instance_id, doc_id,
+         chr(10) || '-----' || chr(10) || 'Here is the full content of ' || path || ':' || chr(10)
+         || array_to_string(list_transform(ls, lambda x, i: {_num_sql('i', 'length(CAST(len(ls) + 1 AS VARCHAR))')} || ' |' || x), chr(10))
+         || chr(10) || '-----' || chr(10)
+         || chr(10) || '-----' || chr(10)
+         || CASE WHEN doc_id % 2 = 0 THEN {_section_sql('m + 1', 'm + 4')} || chr(10) || '-----' || chr(10) || {_section_sql('m + 6', 'm + 8')}
+                 ELSE {_section_sql('m + 1', 'm + 4')} END
+         || chr(10) || '-----' || chr(10) AS block
+  FROM f),
+t AS (SELECT instance_id, string_agg(block, chr(10) ORDER BY doc_id) AS block, CAST(count(*) AS BIGINT) AS n_parts FROM b GROUP BY instance_id)
+SELECT instance_id, n_parts, CAST(length(block) AS BIGINT) AS text_len, md5(block) AS text_md5 FROM t
+""")(file_render)
