@@ -133,3 +133,47 @@ def file_for_prompt(path: Column, content: Column, ranges: Column, mode: str = "
     else:
         full = whole
     return F.concat(full, sections)
+
+
+def _strip(col: Column) -> Column:
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
+def fix_context(hunks: DataFrame, files: DataFrame, module_displays: DataFrame, limit: int = FILE_RANGE_LIMIT):
+    """Context of a patch per instance (PCH-5, JN-6, JN-8).
+
+    ``hunks(instance_id, path, src_start, src_len, hunk_no)`` of modified
+    ``.py`` files; ``files(instance_id, filename, content)``;
+    ``module_displays(instance_id, filename, display_level, display)``
+    numbered.  Per file: an overview (moderate, else signature when over the
+    limit, else nothing) and each hunk's source lines padded by 10, numbered.
+    Returns ``(context, unmatched)``: paths not found among the files are
+    reported, not dropped silently.
+    """
+    fl = files.select("instance_id", F.col("filename").alias("path"), F.split("content", "\n").alias("_lines"))
+    md = module_displays.where(F.col("display_level").isin("moderate", "signature")).groupBy("instance_id", "filename").agg(
+        F.max(F.when(F.col("display_level") == "moderate", F.col("display"))).alias("_mod"),
+        F.max(F.when(F.col("display_level") == "signature", F.col("display"))).alias("_sig"))
+    md = md.withColumnRenamed("filename", "path")
+    unmatched = hunks.select("instance_id", "path").distinct().join(fl, ["instance_id", "path"], "left_anti")
+    h = hunks.join(fl, ["instance_id", "path"])
+    start0 = F.col("src_start") - 1
+    lo = F.greatest(F.lit(0), start0 - LOOKUP_PAD)
+    hi = F.least(F.size("_lines"), start0 + F.col("src_len") + LOOKUP_PAD)
+    sub = range_text(F.col("_lines"), lo, hi)
+    block = F.concat(F.lit("=======\nRelevant section of "), F.col("path"), F.lit(":\n"), sub, F.lit("\n======="))
+    per_hunk = h.select("instance_id", "path", "hunk_no", block.alias("block"))
+    from quarry.operators.pages import ordered_text
+    per_file = ordered_text(per_hunk.withColumn("_k", F.struct("path", "hunk_no")).withColumn(
+        "_g", F.concat_ws("\u0000", "instance_id", "path")), "_g", "hunk_no", "block")
+    per_file = per_file.select(F.split("_g", "\u0000").getItem(0).alias("instance_id"),
+                               F.split("_g", "\u0000").getItem(1).alias("path"), F.col("block").alias("_sections"))
+    j = per_file.join(md, ["instance_id", "path"], "left")
+    summary = (F.when(F.length("_mod") <= limit, F.col("_mod"))
+               .when(F.length("_sig") <= limit, F.col("_sig")))
+    overview = F.when(summary.isNull(), F.lit("")).otherwise(
+        _strip(F.concat(F.lit("Overview of "), F.col("path"), F.lit(":\n"), summary)))
+    ftext = F.concat(F.lit("\n=====================\n"), overview, F.lit("\n"), F.col("_sections"),
+                     F.lit("\n=====================\n"))
+    ctx = ordered_text(j.select("instance_id", "path", ftext.alias("ftext")), "instance_id", "path", "ftext")
+    return ctx.withColumnRenamed("ftext", "context"), unmatched

@@ -164,3 +164,41 @@ SELECT pb.p_partkey, 'exact', pb.filename, 'class', 'Part' || CAST(pb.p_partkey
 UNION ALL
 SELECT pb.p_partkey, 'exact', pb.filename, 'file', pb.filename FROM pb WHERE NOT pb.broken AND pb.p_partkey % 4 = 3
 """)(exact_lookup)
+
+
+# ------------------------------------------------------------------ PCH-5 / JN-8 (rows-only)
+def render_function_patches(part: DataFrame) -> DataFrame:
+    """One patch per rendered file: every part's function gets ``+ 1`` on its return line."""
+    g = F.floor(F.col("p_partkey") / PARTS_PER_FILE).cast("long")
+    per = part.select(g.alias("g"), "p_partkey", "p_size").groupBy("g").agg(
+        F.sort_array(F.collect_list(F.struct("p_partkey", "p_size"))).alias("_p"))
+    path = F.concat(F.lit("pkg/group_"), F.col("g").cast("string"), F.lit(".py"))
+
+    def hunk(x, j):
+        line = (HEADER + BLOCK * j + 6).cast("string")
+        size = x["p_size"].cast("string")
+        return F.concat(F.lit("@@ -"), line, F.lit(",1 +"), line, F.lit(",1 @@\n-    return x * "), size,
+                        F.lit("\n+    return x * "), size, F.lit(" + 1"))
+
+    text = F.concat(F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"),
+                    F.array_join(F.transform("_p", hunk), "\n"), F.lit("\n"))
+    return per.select(F.concat(F.lit("repo"), F.floor(F.col("g") / FILES_PER_INSTANCE).cast("string")).alias("instance_id"),
+                      F.concat(F.lit("fix-"), F.col("g").cast("string")).alias("patch_id"), text.alias("patch"))
+
+
+def patch_context(spark, sf_dir):
+    from quarry.operators.patches import parse_patches, patch_hunks
+    from quarry.operators.render import fix_context
+    files = _files(spark, sf_dir)
+    disp = _displays(files, _elements(files), numbered=True)
+    mods = disp.where((F.col("elem_type") == "module") & (F.col("kind") == "module"))
+    patches = render_function_patches(Tables(spark, sf_dir).part)
+    parsed = parse_patches(patches, "patch_id", "patch", keep=("instance_id",))
+    h = patch_hunks(parsed.withColumnRenamed("patch_id", "_pid"), "_pid")
+    h = h.join(patches.select(F.col("patch_id").alias("_pid"), "instance_id"), "_pid")
+    h = h.where(F.col("modified") & F.col("path").endswith(".py")).select("instance_id", "path", "src_start", "src_len", "hunk_no")
+    ctx, _unmatched = fix_context(h, files, mods)
+    return ctx.select("instance_id", "n_parts", F.length("context").cast("long").alias("text_len"))
+
+
+register("patch_context")(patch_context)
