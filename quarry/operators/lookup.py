@@ -81,3 +81,22 @@ def lookup_with_fallback(queries: DataFrame, displays: DataFrame, files: DataFra
     fb = found.select("query_id", F.lit("text").alias("source"), "filename", "elem_type", "elem_name",
                       F.col("content").alias("text"))
     return hits.unionByName(fb)
+
+
+def located_context(items: DataFrame, displays: DataFrame) -> DataFrame:
+    """Display of a located item at the level its kind and category call for (ELM-10).
+
+    ``items(item_id, instance_id, kind, category, class_name, fn_name)``:
+    functions and methods are shown FULL when the category is ``fix``, else
+    MODERATE; classes MODERATE for ``fix``, else SIGNATURE.  Last definition
+    of a repeated name wins.
+    """
+    fix = F.col("category") == "fix"
+    k = F.col("kind")
+    level = (F.when(k.isin("function", "method"), F.when(fix, "full").otherwise("moderate"))
+             .when(k == "class", F.when(fix, "moderate").otherwise("signature")))
+    it = items.withColumn("display_level", level).withColumn(
+        "elem_name", F.when(k == "class", F.col("class_name")).otherwise(F.col("fn_name"))).withColumn(
+        "parent_name", F.when(k == "method", F.col("class_name")).otherwise(F.lit(""))).withColumn("elem_type", k)
+    d = latest_by_name(displays)
+    return it.join(d, ["instance_id", "elem_type", "parent_name", "elem_name", "display_level"])

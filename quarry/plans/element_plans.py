@@ -202,3 +202,38 @@ def patch_context(spark, sf_dir):
 
 
 register("patch_context")(patch_context)
+
+
+# ------------------------------------------------------------------ ELM-9 / ELM-10
+def located_items(part: DataFrame) -> DataFrame:
+    """One located item per part: kind by ``p_partkey % 3``, category ``fix`` for even sizes."""
+    g = F.floor(F.col("p_partkey") / PARTS_PER_FILE)
+    m = F.col("p_partkey") % 3
+    return part.select(
+        F.col("p_partkey").alias("item_id"),
+        F.concat(F.lit("repo"), F.floor(g / FILES_PER_INSTANCE).cast("string")).alias("instance_id"),
+        F.when(m == 0, "function").when(m == 1, "class").otherwise("method").alias("kind"),
+        F.when(F.col("p_size") % 2 == 0, "fix").otherwise("context").alias("category"),
+        F.concat(F.lit("Part"), F.col("p_partkey").cast("string")).alias("class_name"),
+        F.when(m == 2, F.lit("get")).otherwise(F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))).alias("fn_name"))
+
+
+def locate_context(spark, sf_dir):
+    from quarry.operators.lookup import located_context
+    files = _files(spark, sf_dir)
+    disp = _displays(files, _elements(files), numbered=True)
+    r = located_context(located_items(Tables(spark, sf_dir).part), disp)
+    return r.select("item_id", "filename", "elem_type", "elem_name", "display_level")
+
+
+register("locate_context", f"""
+WITH {_PARTS_SQL},
+it AS (SELECT p_partkey AS item_id, instance_id, p_partkey % 3 AS m, p_size % 2 = 0 AS fix, replace(p_name, ' ', '_') AS fname, filename, broken FROM pb)
+SELECT it.item_id, f.filename, 'function' AS elem_type, it.fname AS elem_name, CASE WHEN it.fix THEN 'full' ELSE 'moderate' END AS display_level
+FROM it JOIN (SELECT DISTINCT instance_id, filename, fname FROM it WHERE NOT broken) f ON f.instance_id = it.instance_id AND f.fname = it.fname
+WHERE it.m = 0
+UNION ALL
+SELECT item_id, filename, 'class', 'Part' || CAST(item_id AS VARCHAR), CASE WHEN fix THEN 'moderate' ELSE 'signature' END FROM it WHERE m = 1 AND NOT broken
+UNION ALL
+SELECT item_id, filename, 'method', 'get', CASE WHEN fix THEN 'full' ELSE 'moderate' END FROM it WHERE m = 2 AND NOT broken
+""")(locate_context)

@@ -195,13 +195,17 @@ UNION ALL SELECT DISTINCT instance_id, 'tools/README_dev.rst', 'raw' FROM f
 
 
 # ------------------------------------------------------------------ SRC-9 + AGG-5/6
+ORDERS_PER_LOG = 8
+
+
 def eval_log_counts(spark, sf_dir):
-    """One log file per customer (its orders' log lines), read back and classified."""
+    """One log file per run of 8 consecutive orders, read back and classified."""
     t = Tables(spark, sf_dir)
     logs = render_logs(t.orders).join(t.orders.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"),
-                                                               F.lit(".eval.log")).alias("path"), "o_custkey", "o_orderkey"), "path")
-    per = logs.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "content"))).alias("_l"))
-    files = per.select(F.concat(F.lit("cust-"), F.col("o_custkey").cast("string"), F.lit(".eval.log")).alias("filename"),
+                                                               F.lit(".eval.log")).alias("path"), "o_orderkey"), "path")
+    logs = logs.withColumn("run", F.floor(F.col("o_orderkey") / ORDERS_PER_LOG).cast("long"))
+    per = logs.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "content"))).alias("_l"))
+    files = per.select(F.concat(F.lit("run-"), F.col("run").cast("string"), F.lit(".eval.log")).alias("filename"),
                        F.array_join(F.transform("_l", lambda x: x["content"]), "\n").alias("content"))
     root = new_version_path(spark, "logs")
     write_files(files, root)
@@ -210,13 +214,13 @@ def eval_log_counts(spark, sf_dir):
 
 
 register("eval_log_counts", """
-WITH o AS (SELECT o_custkey,
+WITH o AS (SELECT floor(o_orderkey / 8) AS run,
                   bool_or(o_orderpriority NOT IN ('5-LOW', '2-HIGH') AND o_orderstatus = 'F') AS s_success,
                   bool_or(o_orderpriority = '2-HIGH') AS s_script,
                   bool_or(o_orderpriority NOT IN ('5-LOW', '2-HIGH') AND o_orderstatus = 'O') AS s_test,
                   bool_or(o_orderpriority NOT IN ('5-LOW', '2-HIGH') AND o_orderstatus NOT IN ('F', 'O')) AS s_install,
                   bool_or(o_orderpriority = '1-URGENT') AS s_patch
-           FROM orders GROUP BY o_custkey),
+           FROM orders GROUP BY 1),
 e AS (SELECT CASE WHEN s_success THEN 'success' WHEN s_script THEN 'test_script_failure' WHEN s_test THEN 'test_failure'
                   WHEN s_install THEN 'install_failure' WHEN s_patch THEN 'patch_failure' ELSE 'unknown' END AS outcome FROM o),
 cats AS (SELECT * FROM (VALUES ('success', 0), ('test_script_failure', 1), ('test_failure', 2),
