@@ -40,11 +40,15 @@ def value_distribution(stats: DataFrame, domains: dict = DOMAINS) -> DataFrame:
     spark = stats.sparkSession
     metrics = list(domains)
     counts = _long_form(stats, metrics).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
-    # every instance has exactly one value per metric, so the per-metric sum is the total
-    totals = counts.groupBy("metric").agg(F.sum("n").alias("total"))
+    # every instance has exactly one value per metric, so the per-metric sum is
+    # the total; computed as a window over the (small) counts so the stats
+    # input is consumed once
+    by_metric = Window.partitionBy("metric")
+    counts = counts.withColumn("total", F.sum("n").over(by_metric))
     dom = spark.createDataFrame([(m, v) for m, hi in domains.items() for v in range(hi + 1)], "metric string, value bigint")
-    j = dom.join(counts, ["metric", "value"], "left").join(totals, "metric", "left")
-    j = j.withColumn("n", F.coalesce("n", F.lit(0)).cast("long")).withColumn("total", F.coalesce("total", F.lit(0)))
+    j = dom.join(counts, ["metric", "value"], "left")
+    j = j.withColumn("n", F.coalesce("n", F.lit(0)).cast("long")) \
+         .withColumn("total", F.coalesce(F.max("total").over(by_metric), F.lit(0)))
     pct = F.when(F.col("total") > 0, 100.0 * F.col("n") / F.col("total")).otherwise(F.lit(0.0))
     w = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = j.withColumn("pct", pct)

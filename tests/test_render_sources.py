@@ -72,3 +72,23 @@ def test_rules(spark):
     terms = spark.createDataFrame([("abc",), ("xb",), ("a",), ("abc",)], "term string")
     got = sorted((r.term, r.matches) for r in rule_matches(terms, rules).collect())
     assert got == [("a", "A"), ("abc", "A\n---\nC"), ("abc", "A\n---\nC"), ("xb", "")]
+
+
+def test_fix_context_and_text_sink(spark, tmpdir_path):
+    from quarry.operators.maintenance import write_text_per_instance
+    from quarry.operators.render import fix_context
+    content = "\n".join(f"line{i}" for i in range(1, 31))
+    files = spark.createDataFrame([("i", "a.py", content)], "instance_id string, filename string, content string")
+    disp = spark.createDataFrame([("i", "a.py", "moderate", "OVERVIEW\n"), ("i", "a.py", "signature", "SIG\n")],
+                                 "instance_id string, filename string, display_level string, display string")
+    hunks = spark.createDataFrame([("i", "a.py", 15, 1, 1), ("i", "missing.py", 1, 1, 1)],
+                                  "instance_id string, path string, src_start long, src_len long, hunk_no long")
+    ctx, unmatched = fix_context(hunks, files, disp)
+    text = ctx.first().context
+    assert "Overview of a.py:\nOVERVIEW" in text
+    assert " 4 |line4\n" not in text and " 5 |line5\n" in text and "25 |line25\n" in text and "26 |line26" not in text
+    assert [r.path for r in unmatched.collect()] == ["missing.py"]
+    df = spark.createDataFrame([("x", "one"), ("y", "two")], "instance_id string, text string")
+    write_text_per_instance(df, tmpdir_path + "/out")
+    back = {r.instance_id: r.value for r in spark.read.text(tmpdir_path + "/out").select("value", "instance_id").collect()}
+    assert back == {"x": "one", "y": "two"}
