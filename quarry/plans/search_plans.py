@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import adler32_bucket
@@ -217,3 +217,37 @@ SELECT q.item_id AS query_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_parts, CAST(
        md5(coalesce(t.block, '')) AS text_md5
 FROM benchmark q LEFT JOIN t ON t.query_id = q.item_id
 """)(context_prompt)
+
+
+# ------------------------------------------------------------------ SCH-19, JN-3, AGG-11
+NARROW_DIRS = ["src1", "src2/en"]   # first choice: relevant directories
+KEEP_FILES = 2                      # second choice: files kept per query
+
+
+def narrow_results(ranked: DataFrame, file_choice: DataFrame) -> DataFrame:
+    """Staged narrowing (SCH-19): distinct files in first-seen rank order, keep the
+    chosen ones (``file_choice(query_id, file_rank)``), results restricted to them (JN-3)."""
+    first = ranked.groupBy("query_id", "filename").agg(F.min("rank").alias("_first"))
+    w = Window.partitionBy("query_id").orderBy("_first")
+    files = first.withColumn("file_rank", F.row_number().over(w).cast("long"))
+    chosen = files.join(file_choice, ["query_id", "file_rank"], "left_semi")
+    return ranked.join(chosen.select("query_id", "filename", "file_rank"), ["query_id", "filename"])
+
+
+def narrowing(spark, sf_dir):
+    c = _content(spark, sf_dir)
+    idx = build_text_index(c).materialize()
+    q = _bench_queries(spark, sf_dir)
+    ranked = bm25_search(idx, c, q, k=5, per_instance=False, in_dirs=NARROW_DIRS)
+    choice = q.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(KEEP_FILES).cast("long"))).alias("file_rank"))
+    r = narrow_results(ranked, choice)
+    return r.select("query_id", F.col("rank").cast("long").alias("rank"), "file_rank", "filename", "split_idx")
+
+
+register("narrowing", f"""
+WITH r AS ({_bm25_sql(5, where="filename ILIKE 'src1%' OR filename ILIKE 'src2/en%'")}),
+f AS (SELECT query_id, filename, min(rank) AS fr FROM r GROUP BY query_id, filename),
+fr AS (SELECT query_id, filename, row_number() OVER (PARTITION BY query_id ORDER BY fr) AS file_rank FROM f)
+SELECT r.query_id, r.rank, CAST(fr.file_rank AS BIGINT) AS file_rank, r.filename, r.split_idx
+FROM r JOIN fr USING (query_id, filename) WHERE fr.file_rank <= {KEEP_FILES}
+""")(narrowing)
