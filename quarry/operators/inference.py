@@ -14,6 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+
+try:  # faster token hashing when available; md5 otherwise
+    import xxhash
+except ImportError:  # pragma: no cover
+    xxhash = None
 import re
 
 import numpy as np
@@ -56,13 +61,14 @@ _TOKEN = re.compile(r"\w+", re.UNICODE)
 
 
 def hashing_embedder(dim: int = DEFAULT_DIM):
-    """Deterministic bag-of-words embedder: md5 bucket per token, L2 normalised."""
+    """Deterministic bag-of-words embedder: hashed bucket and sign per token, L2 normalised."""
     def embed(texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
             v = np.zeros(dim, dtype=np.float32)
             for tok in _TOKEN.findall((t or "").lower()):
-                h = int.from_bytes(hashlib.md5(tok.encode()).digest()[:8], "little")
+                b = tok.encode()
+                h = xxhash.xxh64_intdigest(b) if xxhash else int.from_bytes(hashlib.md5(b).digest()[:8], "little")
                 v[h % dim] += 1.0 if (h >> 63) & 1 == 0 else -1.0
             n = float(np.linalg.norm(v))
             out.append((v / n if n > 0 else v).tolist())
