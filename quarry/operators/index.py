@@ -56,16 +56,20 @@ def _tokens(fields):
 
 
 def build_text_index(content: DataFrame, id_col: str = "id", fields=INDEX_FIELDS,
-                     scope_cols=("instance_id",)) -> TextIndex:
+                     scope_cols=("instance_id",), colocated_by: str | None = None) -> TextIndex:
+    """``colocated_by``: a column the content is already hash partitioned by and
+    that is constant per row id (e.g. the document of a chunk); it joins the
+    grouping keys so the postings aggregate reuses that partitioning."""
     scope_cols = tuple(c for c in scope_cols if c in content.columns)
-    base = content.select(id_col, *scope_cols, _tokens(fields).alias("_toks"))
+    co = [colocated_by] if colocated_by and colocated_by in content.columns else []
+    base = content.select(*co, id_col, *scope_cols, _tokens(fields).alias("_toks"))
     # explode_outer: no inferred size() filter (it would re-tokenise), and a
     # row without tokens keeps one posting with a NULL term so it counts in N
-    ex = base.select(id_col, *scope_cols, F.size("_toks").cast("long").alias("dl"),
+    ex = base.select(*co, id_col, *scope_cols, F.size("_toks").cast("long").alias("dl"),
                      F.posexplode_outer(F.sort_array("_toks")).alias("_pos", "term"))
     # all postings of a row sit in one task: the partial (map-side) aggregate
     # already holds the final counts, the exchange only moves postings
-    postings = ex.groupBy(id_col, *scope_cols, "dl", "term").agg(
+    postings = ex.groupBy(*co, id_col, *scope_cols, "dl", "term").agg(
         F.count("term").alias("tf"), F.bool_or(F.coalesce(F.col("_pos") == 0, F.lit(True))).alias("first"))
     postings = postings.select(id_col, *scope_cols, "term", "tf", "dl", "first")
     return TextIndex(postings, id_col, scope_cols)

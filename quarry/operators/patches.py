@@ -41,16 +41,20 @@ def _path(line: Column) -> Column:
 
 
 def parse_patches(patches: DataFrame, id_col: str = "patch_id", patch_col: str = "patch",
-                  keep: tuple = ()) -> DataFrame:
+                  keep: tuple = (), colocated_by: str | None = None) -> DataFrame:
     """One row per diff line with hunk / file context and a body flag.
 
     Columns: ``id, pos, line, marker, value, is_hdr, is_body, hunk_no,
     file_no, src_start, src_len, tgt_start, tgt_len, source_file,
-    target_file, is_src_hdr, is_tgt_hdr``.
+    target_file, is_src_hdr, is_tgt_hdr``.  ``colocated_by``: a column the
+    patches are already hash partitioned by (constant per patch); the windows
+    partition by it too, so the exploded lines are not shuffled again.
     """
+    if colocated_by and colocated_by not in keep:
+        keep = (colocated_by,) + tuple(keep)
     lines = patches.select(id_col, *keep, F.posexplode(F.split(F.coalesce(F.col(patch_col), F.lit("")), "\n"))
                            .alias("pos", "line"))
-    w = Window.partitionBy(id_col).orderBy("pos")
+    w = Window.partitionBy(*([colocated_by] if colocated_by else []), id_col).orderBy("pos")
     line = F.col("line")
     marker = F.substring(line, 1, 1)
     is_hdr = line.rlike(HUNK_RE)
@@ -129,7 +133,8 @@ def patch_hunks(parsed: DataFrame, id_col: str = "patch_id") -> DataFrame:
                     is_modified(F.col("source_file"), F.col("target_file")).alias("modified")))
 
 
-def patch_stats(parsed: DataFrame, id_col: str = "patch_id", code_only: bool = True) -> DataFrame:
+def patch_stats(parsed: DataFrame, id_col: str = "patch_id", code_only: bool = True,
+                colocated_by: str | None = None) -> DataFrame:
     """Per patch: files, edits (hunks), changed lines, added import lines (AGG-1).
 
     Only modified files count, and only ``.py`` ones when ``code_only``.
@@ -144,12 +149,14 @@ def patch_stats(parsed: DataFrame, id_col: str = "patch_id", code_only: bool = T
     imp = F.lit(False)
     for p in IMPORT_PREFIXES:
         imp = imp | F.col("value").startswith(p)
-    return parsed.groupBy(id_col).agg(
+    keys = ([colocated_by] if colocated_by else []) + [id_col]
+    out = parsed.groupBy(*keys).agg(
         F.count_if(keep & F.col("is_tgt_hdr")).cast("long").alias("num_files"),
         F.count_if(keep & F.col("is_hdr")).cast("long").alias("num_edits"),
         F.count_if(keep & F.col("marker").isin("+", "-")).cast("long").alias("num_lines"),
         F.count_if(keep & added & imp).cast("long").alias("num_imports"),
     )
+    return out.drop(colocated_by) if colocated_by else out
 
 
 def collapse_blank_before_hunks(patch: Column) -> Column:

@@ -57,7 +57,7 @@ def render_diffs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     inst = orders.select("o_orderkey", F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("instance_id"),
                          F.concat(F.lit("cust/c"), F.col("o_custkey").cast("string")).alias("repo"))
     return inst.join(patches, "o_orderkey", "left").select(
-        "instance_id", "repo", F.coalesce("patch", F.lit("")).alias("patch"))
+        "o_orderkey", "instance_id", "repo", F.coalesce("patch", F.lit("")).alias("patch"))
 
 
 def _instances(spark, sf_dir) -> DataFrame:
@@ -67,8 +67,8 @@ def _instances(spark, sf_dir) -> DataFrame:
 
 def instance_stats(spark, sf_dir) -> DataFrame:
     """Per-instance counts through the line-level window parser (codegen'd; measured fastest)."""
-    parsed = parse_patches(_instances(spark, sf_dir), "instance_id", "patch")
-    return patch_stats(parsed, "instance_id")
+    parsed = parse_patches(_instances(spark, sf_dir), "instance_id", "patch", colocated_by="o_orderkey")
+    return patch_stats(parsed, "instance_id", colocated_by="o_orderkey")
 
 
 def instance_stats_fold(spark, sf_dir) -> DataFrame:
@@ -96,7 +96,7 @@ SELECT * FROM st
 
 
 def diff_hunks(spark, sf_dir):
-    parsed = parse_patches(_instances(spark, sf_dir), "instance_id", "patch")
+    parsed = parse_patches(_instances(spark, sf_dir), "instance_id", "patch", colocated_by="o_orderkey")
     h = patch_hunks(parsed, "instance_id")
     return h.select("instance_id", "path", "src_start", "src_len", "tgt_start", "tgt_len",
                     F.col("modified").cast("long").alias("modified"))

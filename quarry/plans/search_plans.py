@@ -72,7 +72,7 @@ post AS (
 
 
 def postings(spark, sf_dir):
-    idx = build_text_index(_content(spark, sf_dir))
+    idx = build_text_index(_content(spark, sf_dir), colocated_by="doc_id")
     return idx.terms().select("id", "term", "tf", "dl")
 
 
@@ -94,7 +94,7 @@ def _with_shard(c: DataFrame) -> DataFrame:
 
 
 def corpus_stats_q(spark, sf_dir):
-    idx = build_text_index(_with_shard(_content(spark, sf_dir)), scope_cols=("instance_id", "shard"))
+    idx = build_text_index(_with_shard(_content(spark, sf_dir)), scope_cols=("instance_id", "shard"), colocated_by="doc_id")
     whole = corpus_stats(idx).select(F.lit("corpus").alias("scope"), F.lit(-1).cast("long").alias("shard"), "n_rows", "total_len")
     per = corpus_stats(idx, ["shard"]).select(F.lit("shard").alias("scope"), "shard", "n_rows", "total_len")
     return whole.unionByName(per)
@@ -122,20 +122,20 @@ def _bm25_out(r: DataFrame) -> DataFrame:
 
 def bm25_topk(spark, sf_dir):
     c = _content(spark, sf_dir)
-    idx = build_text_index(c).materialize()
+    idx = build_text_index(c, colocated_by="doc_id").materialize()
     return _bm25_out(bm25_search(idx, c, _bench_queries(spark, sf_dir), k=5, per_instance=False))
 
 
 def bm25_topk_shard_stats(spark, sf_dir):
     c = _with_shard(_content(spark, sf_dir))
-    idx = build_text_index(c, scope_cols=("instance_id", "shard")).materialize()
+    idx = build_text_index(c, scope_cols=("instance_id", "shard"), colocated_by="doc_id").materialize()
     return _bm25_out(bm25_search(idx, c, _bench_queries(spark, sf_dir), k=5, per_instance=False,
                                  stats_scope=("shard",)))
 
 
 def search_filters(spark, sf_dir):
     c = _content(spark, sf_dir)
-    idx = build_text_index(c).materialize()
+    idx = build_text_index(c, colocated_by="doc_id").materialize()
     return _bm25_out(bm25_search(idx, c, _bench_queries(spark, sf_dir), k=3, per_instance=False,
                                  elem_type="code", in_dirs=["src1", "src2/en"]))
 
@@ -197,7 +197,7 @@ def result_text_blocks(ranked: DataFrame) -> DataFrame:
 
 def context_prompt(spark, sf_dir):
     c = _content(spark, sf_dir)
-    idx = build_text_index(c).materialize()
+    idx = build_text_index(c, colocated_by="doc_id").materialize()
     q = _bench_queries(spark, sf_dir)
     hits = bm25_search(idx, c, q, k=5, per_instance=False)
     t = result_text_blocks(hits)
@@ -236,7 +236,7 @@ def narrow_results(ranked: DataFrame, file_choice: DataFrame) -> DataFrame:
 
 def narrowing(spark, sf_dir):
     c = _content(spark, sf_dir)
-    idx = build_text_index(c).materialize()
+    idx = build_text_index(c, colocated_by="doc_id").materialize()
     q = _bench_queries(spark, sf_dir)
     ranked = bm25_search(idx, c, q, k=5, per_instance=False, in_dirs=NARROW_DIRS)
     choice = q.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(KEEP_FILES).cast("long"))).alias("file_rank"))

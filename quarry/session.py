@@ -93,16 +93,21 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """Repartition only when a scan gives fewer partitions than the cluster can run.
 
     A table stored as one Parquet row group is read by one task; the text
     work after it (tokenising, parsing, Python stages) would then run on one
     core.  On a large input the scan already has many splits and this is a
-    no-op (no extra shuffle).
+    no-op (no extra shuffle).  With ``keys`` the rows are hash partitioned by
+    them, so a later aggregate that groups by those keys needs no exchange.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    # hash by a key when given: later aggregates grouped by that key reuse
+    # this partitioning instead of shuffling their (larger) output again
+    return df.repartition(want, *keys) if keys else df.repartition(want)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -17,6 +17,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 # Tables whose rows carry heavy per-row work (text, parsing, Python stages):
 # spread over the cluster when the scan yields too few splits.
 SPREAD_TABLES = {"documents", "pages", "conversations", "part", "lineitem", "orders", "embeddings"}
+# Key to hash by when spreading (aggregates per that key then need no exchange).
+SPREAD_KEYS = {"documents": ["doc_id"], "lineitem": ["l_orderkey"], "orders": ["o_orderkey"]}
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -40,6 +42,6 @@ class Tables:
             df = read_table(self.spark, self.sf_dir, name)
             if name in SPREAD_TABLES:
                 from quarry.session import spread
-                df = spread(df)
+                df = spread(df, keys=SPREAD_KEYS.get(name))
             return df
         raise AttributeError(name)
