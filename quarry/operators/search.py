@@ -11,9 +11,11 @@ for every query in one plan:
 5. de-duplicate, first seen wins, and cut to ``k``.
 
 Scale notes: the query side is broadcast only after its size is measured
-(:func:`quarry.session.broadcast_if_small`); the top-k frame is bounded by
-``n_queries * over_fetch * k`` rows, which is checked the same way before it
-is broadcast to the content join.  Scores are summed with a partial
+(:func:`quarry.session.broadcast_if_small`); BM25 looks up only (candidate,
+query term) pairs, whose count is bounded before the plan runs by
+``sum(df(rarest term) * n_terms)`` read from the small per-term df table; the
+top-k frame is bounded by ``n_queries * over_fetch * k`` rows, which is
+checked the same way before it is broadcast to the content join.  Scores are summed with a partial
 (map-side) aggregate, so a term present in a third of all rows is combined
 per task before it is shuffled.
 """
@@ -126,14 +128,23 @@ def bm25_scores(index: TextIndex, queries: DataFrame, per_instance: bool = True,
     # candidates are the rows holding the query's rarest term; only those
     # (candidate, query term) pairs are looked up in the postings.  A query
     # with a term absent from the corpus has no candidate at all.
+    # df of the query terms is tiny (one row per distinct query term): write it
+    # once, so the candidate bound below and the scoring read the same table
+    from quarry.session import write_table
+    dfreq = write_table(dfreq, "dfreq")
     dglob = dfreq.groupBy("term").agg(F.sum("df").alias("_gdf"))
     rare = (qt.join(dglob, "term")
               .groupBy("query_id", *inst)
               .agg(F.count(F.lit(1)).alias("_present"), F.first("n_terms").alias("_n"),
-                   F.min_by("term", F.struct("_gdf", "term")).alias("term"))
-              .where(F.col("_present") == F.col("_n")).select("query_id", *inst, "term"))
-    cand = terms.join(F.broadcast(rare), ["term"] + inst).select("query_id", id_col)
-    pairs = broadcast_if_small(cand.join(qt.select("query_id", "term", "qtf", "n_terms"), "query_id"))
+                   F.min_by(F.struct("term", "_gdf"), F.struct("_gdf", "term")).alias("_r"))
+              .where(F.col("_present") == F.col("_n"))
+              .select("query_id", *inst, F.col("_r.term").alias("term"), (F.col("_r._gdf") * F.col("_n")).alias("_pairs")))
+    # proven size of the (candidate, query term) set: sum of rarest df x terms
+    bound = rare.agg(F.sum("_pairs")).first()[0] or 0
+    cand = terms.join(F.broadcast(rare.drop("_pairs")), ["term"] + inst).select("query_id", id_col)
+    pairs = cand.join(qt.select("query_id", "term", "qtf", "n_terms"), "query_id")
+    if bound <= BROADCAST_MAX_ROWS:
+        pairs = F.broadcast(pairs)
     hits = terms.join(pairs, [id_col, "term"])
     if not scope:
         # one statistics row for the whole corpus: join on a constant key
