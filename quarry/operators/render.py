@@ -177,3 +177,9 @@ def fix_context(hunks: DataFrame, files: DataFrame, module_displays: DataFrame,
                      F.lit("\n=====================\n"))
     ctx = ordered_text(j.select("instance_id", "path", ftext.alias("ftext")), "instance_id", "path", "ftext")
     return ctx.withColumnRenamed("ftext", "context"), unmatched
+
+
+def test_patch_text(test_patch: Column) -> Column:
+    """Test-patch context, or the fixed sentence when the test patch is missing (PCH-9)."""
+    body = _strip(F.concat(F.lit("Here the test patch for the issue:\n\n"), test_patch))
+    return F.when(test_patch.isNull(), F.lit(NO_TESTS_TEXT)).otherwise(body)

@@ -237,3 +237,23 @@ SELECT item_id, filename, 'class', 'Part' || CAST(item_id AS VARCHAR), CASE WHEN
 UNION ALL
 SELECT item_id, filename, 'method', 'get', CASE WHEN fix THEN 'full' ELSE 'moderate' END FROM it WHERE m = 2 AND NOT broken
 """)(locate_context)
+
+
+# ------------------------------------------------------------------ PRM-3 / PRM-5 (rows-only)
+def display_ladder(spark, sf_dir):
+    """Per module file the richest display under the ladder limit, with a short label per element."""
+    from quarry.operators.render import brief_label, budget_ladder
+    files = _files(spark, sf_dir)
+    d = _displays(files, _elements(files), numbered=True)
+    mods = d.where((F.col("elem_type") == "module") & (F.col("kind") == "module")).groupBy("instance_id", "filename").agg(
+        *[F.max(F.when(F.col("display_level") == lv, F.col("display"))).alias(lv) for lv in ("full", "moderate", "signature")])
+    lv = F.when(F.length("full") < 32000, "full").when(F.length("moderate") < 32000, "moderate").otherwise("signature")
+    chosen = budget_ladder([F.col("full"), F.col("moderate"), F.col("signature")])
+    labels = d.where(F.col("display_level") == "signature").groupBy("instance_id", "filename").agg(
+        F.count_if(F.col("elem_type").isin("function", "class", "method")).alias("n_labelled"),
+        F.max(brief_label(F.col("elem_type"), F.col("elem_name"), F.col("parent_name"), F.col("filename"))).alias("a_label"))
+    return mods.select("instance_id", "filename", lv.alias("level"), F.length(chosen).cast("long").alias("text_len")) \
+        .join(labels, ["instance_id", "filename"])
+
+
+register("display_ladder")(display_ladder)

@@ -286,3 +286,23 @@ SELECT doc_id, md5('--- a/' || f || chr(10) || '+++ b/' || f || chr(10) || '@@ -
                    || '-' || ls[s + 1] || chr(10) || '+patched' || chr(10) || ' ' || ls[s + 2] || chr(10)) AS patch_md5
 FROM d
 """)(patch_collapse)
+
+
+# ------------------------------------------------------------------ PCH-9
+def test_patch_context(spark, sf_dir):
+    """Orders without line items have no parsable test patch: they get the fallback sentence."""
+    from quarry.operators.render import NO_TESTS_TEXT, test_patch_text
+    inst = _instances(spark, sf_dir)
+    tp = F.when(F.col("patch") == "", F.lit(None).cast("string")).otherwise(F.col("patch"))
+    t = test_patch_text(tp)
+    return inst.select("instance_id", (t == F.lit(NO_TESTS_TEXT)).cast("long").alias("is_fallback"),
+                       (F.length(t) - F.length(F.col("patch"))).cast("long").alias("added_chars"))
+
+
+register("test_patch_context", """
+SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS instance_id,
+       CAST(NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS BIGINT) AS is_fallback,
+       CAST(CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+                 THEN length('Here the test patch for the issue:') + 2 - 1 ELSE length('No test cases.') END AS BIGINT) AS added_chars
+FROM orders
+""")(test_patch_context)

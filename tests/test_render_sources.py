@@ -92,3 +92,15 @@ def test_fix_context_and_text_sink(spark, tmpdir_path):
     write_text_per_instance(df, tmpdir_path + "/out")
     back = {r.instance_id: r.value for r in spark.read.text(tmpdir_path + "/out").select("value", "instance_id").collect()}
     assert back == {"x": "one", "y": "two"}
+
+
+def test_ladder_labels_testpatch(spark):
+    from quarry.operators.render import brief_label, budget_ladder, test_patch_text
+    df = spark.createDataFrame([("a" * 10, "b" * 5, "c"), ("a" * 50, "b" * 50, "c")], "f string, m string, s string")
+    got = [r.t for r in df.select(budget_ladder([F.col("f"), F.col("m"), F.col("s")], limit=20).alias("t")).collect()]
+    assert got == ["a" * 10, "c"]
+    lab = spark.createDataFrame([("method", "m", "C", "x.py"), ("other", "r", "", "README")], "t string, n string, p string, f string") \
+        .select(brief_label(F.col("t"), F.col("n"), F.col("p"), F.col("f")).alias("l")).collect()
+    assert [r.l for r in lab] == ["Method C.m in x.py", "Content of README"]
+    tp = spark.createDataFrame([("--- a\n",), (None,)], "p string").select(test_patch_text(F.col("p")).alias("t")).collect()
+    assert [r.t for r in tp] == ["Here the test patch for the issue:\n\n--- a", "No test cases."]
