@@ -120,6 +120,9 @@ def bm25_scores(index: TextIndex, queries: DataFrame, per_instance: bool = True,
     inst = ["instance_id"] if per_instance else []
     qt_all = query_terms(queries, text_col, keep=tuple(inst))
     qt = broadcast_if_small(qt_all)
+    # rarest-term rows are at most one per query term row: broadcast them only
+    # when the query terms themselves passed the size check
+    small_queries = qt is not qt_all
     scope = list(stats_scope)
     stats = corpus_stats(index, scope).withColumn("avgdl", F.col("total_len") / F.col("n_rows"))
     dfreq = term_document_frequency(index, qt, scope)
@@ -141,7 +144,8 @@ def bm25_scores(index: TextIndex, queries: DataFrame, per_instance: bool = True,
               .select("query_id", *inst, F.col("_r.term").alias("term"), (F.col("_r._gdf") * F.col("_n")).alias("_pairs")))
     # proven size of the (candidate, query term) set: sum of rarest df x terms
     bound = rare.agg(F.sum("_pairs")).first()[0] or 0
-    cand = terms.join(F.broadcast(rare.drop("_pairs")), ["term"] + inst).select("query_id", id_col)
+    rare_side = rare.drop("_pairs")
+    cand = terms.join(F.broadcast(rare_side) if small_queries else rare_side, ["term"] + inst).select("query_id", id_col)
     pairs = cand.join(qt.select("query_id", "term", "qtf", "n_terms"), "query_id")
     if bound <= BROADCAST_MAX_ROWS:
         pairs = F.broadcast(pairs)
