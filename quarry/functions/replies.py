@@ -80,11 +80,34 @@ def numbered_blocks(reply: Column, tag: str, lang: str | None = None) -> Column:
     """``array<struct<content, attrs>>`` of ``tag0, tag1, ...`` up to the first missing one (RSP-4).
 
     The candidate numbers are ``0 .. count('<tag')``: a block cannot exist
-    beyond the number of opening tags.
+    beyond the number of opening tags.  Positions are found in stages
+    (one ``transform`` per dependent search), so each substring search runs
+    once per candidate instead of once per use inside the lambda.
     """
     n_open = F.size(F.split(reply, F.lit("<" + tag))) - 1
     nums = F.sequence(F.lit(0), F.greatest(n_open, F.lit(0)))
-    return F.transform(nums, lambda i: parse_block(reply, F.concat(F.lit(tag), i.cast("string")), lang))
+    s1 = F.transform(nums, lambda i: F.struct(
+        F.concat(F.lit(tag), i.cast("string")).alias("t")))
+    s2 = F.transform(s1, lambda x: F.struct(
+        x["t"].alias("t"),
+        F.position(F.concat(F.lit("<"), x["t"]), reply).alias("s"),
+        F.position(F.concat(F.lit("</"), x["t"], F.lit(">")), reply).alias("e")))
+    s3 = F.transform(s2, lambda x: F.struct(
+        x["t"].alias("t"), x["s"].alias("s"), x["e"].alias("e"),
+        (x["s"] + F.length(x["t"]) + 1).alias("as"),
+        F.position(F.lit(">"), reply, x["s"] + F.length(x["t"]) + 1).alias("ae")))
+    s4 = F.transform(s3, lambda x: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), x["as"].alias("as"), x["ae"].alias("ae"),
+        F.position(F.concat(F.lit("</"), x["t"], F.lit(">")), reply, x["ae"] + 1).alias("be")))
+    s5 = F.transform(s4, lambda x: F.struct(
+        ((x["s"] > 0) & (x["e"] > 0) & (x["ae"] > 0)).alias("found"),
+        F.substring(reply, x["as"], x["ae"] - x["as"]).alias("attrs_text"),
+        F.substring(reply, x["ae"] + 1,
+                    F.when(x["be"] > 0, x["be"] - x["ae"] - 1).otherwise(F.length(reply) - x["ae"] - 1)).alias("body")))
+    s6 = F.transform(s5, lambda x: F.struct(
+        x["found"].alias("found"), x["attrs_text"].alias("attrs_text"), _strip_one_newline(x["body"]).alias("body")))
+    return F.transform(s6, lambda x: F.when(x["found"], F.struct(
+        remove_fences(x["body"], lang).alias("content"), parse_attrs(x["attrs_text"]).alias("attrs"))))
 
 
 def take_until_null(arr: Column) -> Column:
