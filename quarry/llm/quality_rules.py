@@ -151,9 +151,10 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_rows: int = MIN_ROWS) -> DataFrame:
     """The documents that the rules keep, with all their columns.
 
-    The counts are worked out twice, for the sketches and for the verdict, instead of joining texts back by id.
+    The rows are written with their counts, which both the sketches and the verdict read: texts are not
+    joined back by id, and filters are not pushed into the counting expressions.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    measured = _measured(rows, F.col(f"row.`{text_col}`"))
+    measured = write_table(_measured(rows, F.col(f"row.`{text_col}`")), "quality_rows")
     out = _judged(measured, thresholds(sketches(measured), min_rows))
     return out.filter("kept").select("row.*")

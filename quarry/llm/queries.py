@@ -38,7 +38,7 @@ def list_entries(pages: DataFrame) -> DataFrame:
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with the lists that its host, a domain above it or its address was on when it was fetched."""
     pages = captures(spark, sf_dir)
-    return url_filters.filter_captures(pages, list_entries(pages))
+    return url_filters.filter_captures(pages, list_entries(pages)).withColumn("fetched", F.col("fetched").cast("string"))
 
 
 OP1_SQL = r"""
@@ -61,7 +61,7 @@ hits AS (
   UNION
   SELECT c.url, c.fetched, 'takedown' FROM c JOIN u ON c.host || c.rest = u.value AND c.fetched >= u.from_day WHERE c.host != ''),
 f AS (SELECT url, fetched, string_agg(list, ',' ORDER BY list) AS lists FROM hits GROUP BY url, fetched)
-SELECT c.page_id, c.url, c.fetched, coalesce(f.lists, '') AS lists, f.lists IS NOT NULL AS blocked
+SELECT c.page_id, c.url, CAST(c.fetched AS VARCHAR) AS fetched, coalesce(f.lists, '') AS lists, f.lists IS NOT NULL AS blocked
 FROM c LEFT JOIN f ON c.url = f.url AND c.fetched = f.fetched
 """
 
@@ -111,8 +111,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t,
-         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x != '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 f AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM g) WHERE c > 1),
