@@ -7,6 +7,7 @@ so they run in the JVM (no Python per row).
 from __future__ import annotations
 
 import string
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,15 +114,35 @@ def raw_elem_type(filename) -> Column:
     return F.when(f.endswith(".py"), "module").when(f.contains("README"), "readme").otherwise("other")
 
 
-def html_to_text(html, limit: int | None = PAGE_TEXT_LIMIT) -> Column:
-    """Text of ``<body>`` without script/style/head/nav/footer, comments, tags (TXT-9/10)."""
-    body = F.regexp_extract(_c(html), r"(?is)<body\b[^>]*>(.*)</body>", 1)
-    t = F.regexp_replace(body, r"(?s)<!--.*?-->", "")
+def decode_references(text) -> Column:
+    """Numeric and named character references as their characters, in one pass; unknown ones stay."""
+    named = F.create_map(*[F.lit(x) for kv in sorted(name2codepoint.items()) for x in (kv[0], chr(kv[1]))])
+
+    def decoded(part):
+        name = F.regexp_extract(part, r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);", 1)
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8))
+        code = F.when(name.startswith("#"), digits.try_cast("int"))
+        sound = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.when(~name.startswith("#"), F.try_element_at(named, name)))
+        return F.when(char.isNull(), part).otherwise(F.concat(char, F.substring(part, F.length(name) + F.lit(3), F.length(part))))
+
+    t = _c(text)
+    return F.when(t.contains("&"), F.array_join(F.transform(F.split(t, r"(?=&[#a-zA-Z])"), decoded), "")).otherwise(t)
+
+
+def html_to_text(html, limit: int | None = None) -> Column:
+    """Text of ``<body>`` without script/style/head/nav/footer, comments, tags (TXT-9/10).
+
+    An unclosed body, comment or dropped element ends with the page.  ``limit``
+    (``PAGE_TEXT_LIMIT`` for parity) cuts the text; by default it is whole.
+    """
+    inner = F.regexp_extract(_c(html), r"(?is)<body\b[^>]*>(.*)", 1)
+    closed = F.regexp_extract(inner, r"(?is)^(.*)</body\s*>", 1)
+    t = F.when(inner.rlike(r"(?i)</body\s*>"), closed).otherwise(inner)
+    t = F.regexp_replace(t, r"(?s)<!--.*?(?:-->|\z)", "")
     for el in HTML_DROP_ELEMENTS:
-        t = F.regexp_replace(t, rf"(?is)<{el}\b[^>]*>.*?</{el}\s*>", "")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for ent, ch in HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
+        t = F.regexp_replace(t, rf"(?is)<{el}\b[^>]*>.*?(?:</{el}\s*>|\z)", "")
+    t = decode_references(F.regexp_replace(t, r"<[^>]*>", ""))
     if limit is not None:
         t = F.substring(t, 1, limit)
     return t

@@ -34,7 +34,7 @@ def cache_put(cache: DataFrame | None, new_rows: DataFrame) -> DataFrame:
     """Upsert: union, then keep the latest ``seq`` per key."""
     rows = new_rows.select(*CACHE_COLS)
     allr = rows if cache is None else cache.select(*CACHE_COLS).unionByName(rows)
-    latest = allr.groupBy("key").agg(F.max_by(F.struct("prompt", "value", "seq"), "seq").alias("_w"))
+    latest = allr.groupBy("key").agg(F.max_by(F.struct("prompt", "value", "seq"), F.struct("seq", "prompt", "value")).alias("_w"))
     return latest.select("key", "_w.prompt", "_w.value", "_w.seq")
 
 

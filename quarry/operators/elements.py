@@ -15,12 +15,16 @@ Element rules (taken by the extractor): top-level ``def`` / ``class`` /
 ``import`` / assignment to a name; ``def`` and name assignments directly in
 a top-level class.  Nested, conditional and ``async def`` items are not
 taken.  The same name twice: every occurrence is a row (module display
-shows both); lookups take the last (``max_by`` on ``ord``).
+shows both); lookups take the last (``max_by`` on ``ord``), and members of
+the last class of a name only.
 """
 
 from __future__ import annotations
 
 import ast
+from bisect import bisect_left
+from functools import cached_property
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +43,8 @@ ELEMENT_SCHEMA = T.StructType([
     T.StructField("elem_type", T.StringType()),     # module function class method constant import
     T.StructField("elem_name", T.StringType()),
     T.StructField("parent_name", T.StringType()),
+    T.StructField("parent_ord", T.IntegerType()),   # position of the parent class, -1 at the top
+    T.StructField("live", T.BooleanType()),         # False: member of a class that is defined again below
     T.StructField("ord", T.IntegerType()),          # position in the parent's ordering
     T.StructField("start_line", T.IntegerType()),   # 1-based node line
     T.StructField("end_line", T.IntegerType()),
@@ -51,142 +57,144 @@ ELEMENT_SCHEMA = T.StructType([
 
 
 # ----------------------------------------------------------------------------- Python part
-def _is_assign(node) -> bool:
-    return isinstance(node, (ast.Assign, ast.AnnAssign))
+_SOLID, _BLANK, _DECORATOR, _COMMENT, _SKIPPED = range(5)
 
 
-def _target(node):
-    return node.targets[0] if isinstance(node, ast.Assign) else node.target
+def _class_of(stripped: str) -> int:
+    """Class of a line: blank, decorator, comment, comment with a skipped marker, or solid text."""
+    if not stripped:
+        return _BLANK
+    if stripped[0] == "@":
+        return _DECORATOR
+    if stripped[0] == "#":
+        return _SKIPPED if any(m in stripped for m in EXCLUDE_COMMENTS) else _COMMENT
+    return _SOLID
 
 
-class _Lines:
+class _Source:
+    """A file's lines, classed once; every span of an element is looked up in sorted positions.
+
+    ``dense`` lists the lines that are neither blank nor decorators.  Doc-string
+    marks are noted by line: a line *opens* when it starts with a mark, *closes*
+    when it ends with one, and is *bare* when it is a mark and nothing else.
+    """
+
     def __init__(self, content: str):
-        self.lines = content.split("\n")
-        self.stripped = [ln.strip() for ln in self.lines]
-
-    def signature(self, node):
-        idx = []
-        for i in range(node.lineno - 1, len(self.stripped)):
-            idx.append(i)
-            if self.stripped[i].endswith(":"):
-                break
-        return (min(idx), max(idx)) if idx else (None, None)
-
-    def full(self, node):
-        return node.lineno - 1, node.end_lineno - 1
-
-    def upper(self, node):
-        start = node.lineno
-        if start <= 1:
+        text = [ln.strip() for ln in content.split("\n")]
+        marks = tuple(DOCSTRING_TOKENS)
+        self.size = len(text)
+        self.classes = [_class_of(s) for s in text]
+        self.colons = [i for i, s in enumerate(text) if s.endswith(":")]
+        self.opens = [i for i, s in enumerate(text) if s.startswith(marks)]
+        self.closes = [i for i, s in enumerate(text) if s.endswith(marks)]
+        self.bare = {i for i, s in enumerate(text) if s in marks}
+        self.dense = [i for i, c in enumerate(self.classes) if c not in (_BLANK, _DECORATOR)]
+
+    @staticmethod
+    def _next(positions: list[int], at: int, otherwise: int) -> int:
+        k = bisect_left(positions, at)
+        return positions[k] if k < len(positions) else otherwise
+
+    def signature(self, first: int) -> tuple[int, int]:
+        """From the definition's line to the next line that ends in a colon."""
+        return first, self._next(self.colons, first, self.size - 1)
+
+    def above(self, first: int, docstrings: bool) -> tuple[int | None, int | None]:
+        """Comment run, or closing doc string, right above line ``first``."""
+        k = bisect_left(self.dense, first)
+        if not k:
             return None, None
-        seg = [(self.stripped[i], i) for i in range(start - 1) if self.stripped[i] != "" and not self.stripped[i].startswith("@")]
-        if not seg:
+        nearest, found = self.dense[k - 1], []
+        run = k
+        while run and self.classes[self.dense[run - 1]] in (_COMMENT, _SKIPPED):
+            run -= 1
+        found += [i for i in self.dense[run:k] if self.classes[i] == _COMMENT]
+        if docstrings and nearest in self._closing:
+            # a bare mark at the end closes; the mark that opens stands above it
+            limit = nearest if nearest in self.bare else nearest + 1
+            j = bisect_left(self._dense_opens, limit)
+            found += [self._dense_opens[j - 1] if j else self.dense[0], nearest]
+        return (min(found), max(found)) if found else (None, None)
+
+    @cached_property
+    def _closing(self) -> set[int]:
+        return set(self.closes)
+
+    @cached_property
+    def _dense_opens(self) -> list[int]:
+        return [i for i in self.opens if self.classes[i] not in (_BLANK, _DECORATOR)]
+
+    def below(self, lo: int, hi: int, comments: bool) -> tuple[int | None, int | None]:
+        """Comment run, or doc string, that begins at line ``lo`` of the lines ``lo..hi``."""
+        if lo > hi:
             return None, None
-        idx = []
-        if seg[-1][0].startswith("#"):
-            for line, i in reversed(seg):
-                if line.startswith("#"):
-                    if any(c in line for c in EXCLUDE_COMMENTS):
-                        continue
-                    idx.append(i)
-                else:
-                    break
-        toks = [] if _is_assign(node) else DOCSTRING_TOKENS
-        if any(seg[-1][0].endswith(t) for t in toks):
-            last = True
-            for line, i in reversed(seg):
-                idx.append(i)
-                if last and any(line == t for t in toks):
-                    last = False
-                    continue
-                last = False
-                if any(line.startswith(t) for t in toks):
-                    break
-        return (min(idx), max(idx)) if idx else (None, None)
-
-    def lower(self, node):
-        if isinstance(node, ast.Module):
-            seg = list(range(0, len(self.stripped)))
-        elif _is_assign(node):
-            seg = list(range(node.end_lineno, len(self.stripped)))
-        else:
-            seg = list(range(node.lineno - 1, node.end_lineno))
-            cut = 0
-            for k, i in enumerate(seg):
-                if self.stripped[i].endswith(":"):
-                    cut = k
-                    break
-            seg = seg[cut + 1:]
-        if not seg:
-            return None, None
-        s = self.stripped
-        idx = []
-        if s[seg[0]].startswith("#") and not _is_assign(node):
-            for i in seg:
-                if s[i].startswith("#"):
-                    if any(c in s[i] for c in EXCLUDE_COMMENTS):
-                        continue
-                    idx.append(i)
-                else:
-                    break
-        if any(s[seg[0]].startswith(t) for t in DOCSTRING_TOKENS):
-            first = True
-            for i in seg:
-                idx.append(i)
-                if first and any(s[i] == t for t in DOCSTRING_TOKENS):
-                    first = False
-                    continue
-                first = False
-                if any(s[i].endswith(t) for t in DOCSTRING_TOKENS):
-                    break
-        return (min(idx), max(idx)) if idx else (None, None)
+        found = []
+        if comments:
+            run = takewhile(lambda i: self.classes[i] in (_COMMENT, _SKIPPED), range(lo, hi + 1))
+            found += [i for i in run if self.classes[i] == _COMMENT]
+        k = bisect_left(self.opens, lo)
+        if k < len(self.opens) and self.opens[k] == lo:
+            found += [lo, min(hi, self._next(self.closes, lo + 1 if lo in self.bare else lo, hi))]
+        return (min(found), max(found)) if found else (None, None)
+
+
+def _assigned_name(node: ast.stmt) -> str | None:
+    """Name that a plain or annotated assignment binds; its first target."""
+    target = node.targets[0] if isinstance(node, ast.Assign) else getattr(node, "target", None) if isinstance(node, ast.AnnAssign) else None
+    return target.id if isinstance(target, ast.Name) else None
 
 
 def _element_rows(instance_id, filename, content):
     """Rows for one file (the ``ast`` walk of ELM-1); only ``.py`` files are parsed."""
+    source = _Source(content)
+    n = source.size
+    base = dict.fromkeys(f.name for f in ELEMENT_SCHEMA.fields) | dict(
+        instance_id=instance_id, filename=filename, kind="module", elem_type="module", elem_name=filename, parent_name="", parent_ord=-1,
+        live=True, ord=0, start_line=1, end_line=n, full_lo=0, full_hi=n - 1, n_lines=n)
     try:
-        if not filename.endswith(".py"):
-            raise ValueError("not a Python file")
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError):
-        n = len(content.split("\n"))
-        return [dict(instance_id=instance_id, filename=filename, kind="raw", elem_type="module", elem_name=filename,
-                     parent_name="", ord=0, start_line=1, end_line=n, sig_lo=None, sig_hi=None, full_lo=0, full_hi=n - 1,
-                     upper_lo=None, upper_hi=None, lower_lo=None, lower_hi=None, n_lines=n)]
-    L = _Lines(content)
-    n = len(L.lines)
-    rows = []
-
-    def add(node, etype, name, parent, ord_):
-        sig = L.signature(node) if etype in ("function", "method", "class") else (None, None)
-        full = L.full(node)
-        up = L.upper(node) if etype != "import" else (None, None)
-        lo = L.lower(node) if etype in ("function", "method", "class", "constant") else (None, None)
-        rows.append(dict(instance_id=instance_id, filename=filename, kind="module", elem_type=etype, elem_name=name,
-                         parent_name=parent, ord=ord_, start_line=node.lineno, end_line=node.end_lineno,
-                         sig_lo=sig[0], sig_hi=sig[1], full_lo=full[0], full_hi=full[1], upper_lo=up[0], upper_hi=up[1],
-                         lower_lo=lo[0], lower_hi=lo[1], n_lines=n))
-
-    hdr = L.lower(tree)
-    rows.append(dict(instance_id=instance_id, filename=filename, kind="module", elem_type="module", elem_name=filename,
-                     parent_name="", ord=0, start_line=1, end_line=n, sig_lo=None, sig_hi=None, full_lo=0, full_hi=n - 1,
-                     upper_lo=None, upper_hi=None, lower_lo=hdr[0], lower_hi=hdr[1], n_lines=n))
-    k = 0
-    for node in tree.body:
-        if isinstance(node, ast.FunctionDef):
-            add(node, "function", node.name, "", k); k += 1
-        elif isinstance(node, ast.ClassDef):
-            add(node, "class", node.name, "", k); k += 1
-            j = 0
-            for sub in node.body:
-                if isinstance(sub, ast.FunctionDef):
-                    add(sub, "method", sub.name, node.name, j); j += 1
-                elif _is_assign(sub) and isinstance(_target(sub), ast.Name):
-                    add(sub, "constant", _target(sub).id, node.name, j); j += 1
-        elif _is_assign(node) and isinstance(_target(node), ast.Name):
-            add(node, "constant", _target(node).id, "", k); k += 1
-        elif isinstance(node, (ast.Import, ast.ImportFrom)):
-            add(node, "import", ast.unparse(node) if hasattr(ast, "unparse") else "import", "", k); k += 1
+        tree = ast.parse(content) if filename.endswith(".py") else None
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        tree = None
+    if tree is None:
+        return [base | dict(kind="raw")]
+    header = source.below(0, n - 1, comments=True)
+    rows = [base | dict(lower_lo=header[0], lower_hi=header[1])]
+
+    def add(node, etype, name, ord_, parent="", parent_ord=-1):
+        first, last = node.lineno - 1, node.end_lineno - 1
+        defined, bound = etype in ("function", "method", "class"), etype == "constant"
+        none = (None, None)
+        sig = source.signature(first) if defined else none
+        up = source.above(first, docstrings=not bound) if etype != "import" else none
+        # below a definition: what follows its first line that ends in a colon (its first line if none does)
+        low = source.below(last + 1, n - 1, comments=False) if bound else source.below(
+            (sig[1] if sig[1] <= last else first) + 1, last, comments=True) if defined else none
+        rows.append(base | dict(
+            elem_type=etype, elem_name=name, parent_name=parent, parent_ord=parent_ord, ord=ord_, start_line=node.lineno, end_line=node.end_lineno,
+            sig_lo=sig[0], sig_hi=sig[1], full_lo=first, full_hi=last, upper_lo=up[0], upper_hi=up[1], lower_lo=low[0], lower_hi=low[1]))
+
+    def members(body, function, parent="", parent_ord=-1):
+        """(node, element type, name) of the elements directly in a body."""
+        for node in body:
+            if isinstance(node, ast.FunctionDef):
+                yield node, function, node.name
+            elif (name := _assigned_name(node)) is not None:
+                yield node, "constant", name
+            elif not parent and isinstance(node, ast.ClassDef):
+                yield node, "class", node.name
+            elif not parent and isinstance(node, (ast.Import, ast.ImportFrom)):
+                yield node, "import", ast.unparse(node)
+
+    last_class: dict[str, int] = {}
+    for k, (node, etype, name) in enumerate(members(tree.body, "function")):
+        add(node, etype, name, k)
+        if etype == "class":
+            last_class[name] = k
+            for j, (sub, sub_type, sub_name) in enumerate(members(node.body, "method", name)):
+                add(sub, sub_type, sub_name, j, name, k)
+    for row in rows:
+        # a class defined again hides the members of the earlier one from lookups
+        row["live"] = not row["parent_name"] or last_class[row["parent_name"]] == row["parent_ord"]
     return rows
 
 
@@ -235,7 +243,7 @@ def element_displays(elements: DataFrame, files: DataFrame, numbered: bool = Fal
     up = part_text(L, F.col("upper_lo"), F.col("upper_hi"), numbered)
     low = part_text(L, F.col("lower_lo"), F.col("lower_hi"), numbered)
     e = e.select("*", sig.alias("t_sig"), full.alias("t_full"), up.alias("t_up"), low.alias("t_low"),
-                 F.array_join(L, "\n").alias("t_raw")).drop("_lines")
+                 F.when(F.col("kind") == "raw", F.array_join(L, "\n")).alias("t_raw")).drop("_lines")
     et = F.col("elem_type")
 
     # leaves: functions, methods, constants, imports
@@ -251,12 +259,12 @@ def element_displays(elements: DataFrame, files: DataFrame, numbered: bool = Fal
                                                        for lv in LEVELS])).alias("_d")).select("*", "_d.*").drop("_d")
     # classes: children at the same level, in order
     members = leaf_rows.where(F.col("parent_name") != "")
-    kids = members.groupBy("instance_id", "filename", "parent_name", "display_level").agg(
+    kids = members.groupBy("instance_id", "filename", "parent_name", "parent_ord", "display_level").agg(
         F.sort_array(F.collect_list(F.struct("ord", "display"))).alias("_k"))
-    kids = kids.select("instance_id", "filename", F.col("parent_name").alias("elem_name"), "display_level",
+    kids = kids.select("instance_id", "filename", F.col("parent_name").alias("elem_name"), F.col("parent_ord").alias("ord"), "display_level",
                        F.concat(F.array_join(F.transform("_k", lambda x: x["display"]), "\n"), F.lit("\n")).alias("_children"))
     classes = e.where(et == "class").select("*", F.explode(F.array(*[F.lit(lv) for lv in LEVELS])).alias("display_level"))
-    classes = classes.join(kids, ["instance_id", "filename", "elem_name", "display_level"], "left")
+    classes = classes.join(kids, ["instance_id", "filename", "elem_name", "ord", "display_level"], "left")
     ch = F.coalesce(F.col("_children"), F.lit("\n"))
     lvl = F.col("display_level")
     cdisp = (F.when(lvl == "full", F.concat("t_up", "t_full")).when(lvl == "minimal", F.concat("t_up", "t_sig", "t_low"))
@@ -273,14 +281,14 @@ def element_displays(elements: DataFrame, files: DataFrame, numbered: bool = Fal
     mdisp = (F.when(lvl == "full", F.col("t_full")).when(lvl == "minimal", F.col("t_low"))
              .when(lvl == "signature", mch).otherwise(F.concat(F.col("t_low"), mch)))
     mod_rows = mods.withColumn("display", F.when(F.col("kind") == "raw", F.col("t_raw")).otherwise(mdisp)).drop("_children")
-    keep = ["instance_id", "filename", "kind", "elem_type", "elem_name", "parent_name", "ord", "start_line", "end_line",
+    keep = ["instance_id", "filename", "kind", "elem_type", "elem_name", "parent_name", "live", "ord", "start_line", "end_line",
             "display_level", "display"]
     return leaf_rows.select(*keep).unionByName(class_rows.select(*keep)).unionByName(mod_rows.select(*keep))
 
 
 def latest_by_name(displays: DataFrame, keys=("instance_id", "filename", "elem_type", "parent_name", "elem_name", "display_level")) -> DataFrame:
-    """Dict semantics: the last definition of a repeated name wins (ELM-2)."""
-    return displays.groupBy(*keys).agg(F.max_by("display", "ord").alias("display"), F.max("ord").alias("ord"))
+    """Dict semantics: the last definition of a repeated name wins; members only of the last class of a name (ELM-2)."""
+    return displays.where("live").groupBy(*keys).agg(F.max_by("display", "ord").alias("display"), F.max("ord").alias("ord"))
 
 
 def index_rows(displays: DataFrame) -> DataFrame:

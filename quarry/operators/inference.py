@@ -1,7 +1,8 @@
 """Batch model calls behind the keyed cache (INF-1..INF-5, FLT-6).
 
-A *provider* is a plain Python callable ``list[str] -> list[result]`` that
-may raise :class:`TokenLimitError` / :class:`RateLimitError` per item.  It
+A *provider* is a plain Python callable ``list[str] -> list[result]``; a text
+that fails has a :class:`TokenLimitError`, :class:`RateLimitError` or other
+exception in its place (or the provider raises, and the batch is split).  It
 runs inside ``mapInPandas`` over Arrow batches of **cache misses only**, so
 Spark partitions the calls and a retry of a lost task re-calls only that
 task's misses.  Rows over the size limits are routed with a status and never
@@ -81,26 +82,42 @@ def echo_model(texts: list[str]) -> list[str]:
     return [f"<reason>\nlength {len(t or '')}\n</reason>" for t in texts]
 
 
+def _answers(provider, texts: list[str]) -> list[tuple]:
+    """``(value, status, error)`` of each text; one failing text costs no other its answer.
+
+    A provider reports a text's failure by returning the exception in its place.
+    One that raises instead is asked again by halves, down to the failing texts.
+    """
+    try:
+        results = list(provider(texts))
+        if len(results) != len(texts):
+            raise ValueError(f"{len(results)} results for {len(texts)} texts")
+    except Exception as e:  # noqa: BLE001 - any provider failure becomes a status
+        if len(texts) == 1:
+            results = [e]
+        else:
+            half = len(texts) // 2
+            return _answers(provider, texts[:half]) + _answers(provider, texts[half:])
+    return [_answer(r) for r in results]
+
+
+def _answer(result) -> tuple:
+    if isinstance(result, TokenLimitError):
+        return None, "token_limit", str(result)
+    if isinstance(result, RateLimitError):
+        return None, "rate_limited", str(result)
+    if isinstance(result, Exception):
+        return None, "error", f"{type(result).__name__}: {result}"
+    return json.dumps(result), "ok", None
+
+
 def _run_provider(provider, value_kind: str, batch_size: int):
     def run(batches):
         for pdf in batches:
-            vals, stats, errs = [], [], []
             texts = pdf["prompt"].tolist()
-            for i in range(0, len(texts), batch_size):
-                part = texts[i:i + batch_size]
-                try:
-                    res = provider(part)
-                    for r in res:
-                        vals.append(json.dumps(r))
-                        stats.append("ok")
-                        errs.append(None)
-                except TokenLimitError as e:
-                    vals += [None] * len(part); stats += ["token_limit"] * len(part); errs += [str(e)] * len(part)
-                except RateLimitError as e:
-                    vals += [None] * len(part); stats += ["rate_limited"] * len(part); errs += [str(e)] * len(part)
-                except Exception as e:  # noqa: BLE001 - any other provider failure
-                    vals += [None] * len(part); stats += ["error"] * len(part); errs += [f"{type(e).__name__}: {e}"] * len(part)
-            yield pd.DataFrame({"key": pdf["key"], "prompt": pdf["prompt"], "value": vals, "status": stats, "error": errs})
+            got = [x for i in range(0, len(texts), batch_size) for x in _answers(provider, texts[i:i + batch_size])]
+            values, status, errors = zip(*got) if got else ((), (), ())
+            yield pd.DataFrame({"key": pdf["key"], "prompt": pdf["prompt"], "value": list(values), "status": list(status), "error": list(errors)})
     return run
 
 
@@ -116,6 +133,10 @@ def call_cached(requests: DataFrame, cache: DataFrame | None, provider, kind: st
                 materialize: bool = True):
     """Answer ``requests(key, prompt)`` from the cache, calling ``provider`` on misses.
 
+    Rows with a NULL key are answered and never cached.  New cache rows carry
+    ``seq`` (default: one more than the cache's largest), so they replace older
+    ones; of several prompts for one key in a batch the greatest prompt stays.
+
     Returns ``(answers, new_cache)``: answers hold ``key, prompt, value,
     status, error, cached``; the new cache is the upsert of the ok results.
     ``max_attempts`` re-sends rate-limited rows (INF-4).  With
@@ -124,7 +145,10 @@ def call_cached(requests: DataFrame, cache: DataFrame | None, provider, kind: st
     is not deterministic) and a lost executor does not re-bill the calls.
     """
     req = requests.select("key", "prompt").distinct()
-    lim = limit_status(F.lit(kind), F.length("prompt"))
+    n_chars = F.length("prompt")
+    if kind == "prompt":  # the separator between system text and prompt is not sent
+        n_chars = n_chars - F.when(F.col("prompt").contains(SYSTEM_PROMPT_SEP), len(SYSTEM_PROMPT_SEP)).otherwise(0)
+    lim = limit_status(F.lit(kind), n_chars)
     if cache is not None:
         hits = cache_get(req, cache).where("hit").select("key", "prompt", "value", F.lit("ok").alias("status"),
                                                          F.lit(None).cast("string").alias("error"),
@@ -138,17 +162,21 @@ def call_cached(requests: DataFrame, cache: DataFrame | None, provider, kind: st
     from quarry.session import spread
     send = spread(miss.where(lim == "ok"))
     res = send.mapInPandas(_run_provider(provider, kind, batch_size), RESULT_SCHEMA)
+    from quarry.session import cut_lineage
     for _ in range(max_attempts - 1):
+        # each attempt is kept before it is split: no row is sent twice for one answer
+        res = cut_lineage(res)
         again = res.where(F.col("status") == "rate_limited").select("key", "prompt")
         done = res.where(F.col("status") != "rate_limited")
         res = done.unionByName(again.mapInPandas(_run_provider(provider, kind, batch_size), RESULT_SCHEMA))
     fresh = res.unionByName(over).withColumn("cached", F.lit(False))
     if materialize:
-        from quarry.session import cut_lineage
         fresh = cut_lineage(fresh)
     answers = fresh if hits is None else hits.unionByName(fresh)
-    ok = fresh.where(F.col("status") == "ok").select(
-        "key", "prompt", "value", (seq if seq is not None else F.lit(0).cast("long")).alias("seq"))
+    if seq is None:
+        top = cache.agg(F.max("seq")).first()[0] if cache is not None else None
+        seq = F.lit(0 if top is None else top + 1).cast("long")
+    ok = fresh.where((F.col("status") == "ok") & F.col("key").isNotNull()).select("key", "prompt", "value", seq.alias("seq"))
     new_cache = cache_put(cache, ok)
     return answers, new_cache
 
@@ -173,11 +201,6 @@ def rule_failing_provider(texts: list[str]) -> list[str]:
     out = []
     for t in texts:
         n = len(t or "")
-        if n % 5 == 0:
-            raise RateLimitError(f"rate limited ({n})")
-        if n % 7 == 0:
-            raise TokenLimitError(f"token limit ({n})")
-        if n % 11 == 0:
-            raise ValueError(f"bad request ({n})")
-        out.append(f"ok {n}")
+        out.append(RateLimitError(f"rate limited ({n})") if n % 5 == 0 else TokenLimitError(f"token limit ({n})") if n % 7 == 0
+                   else ValueError(f"bad request ({n})") if n % 11 == 0 else f"ok {n}")
     return out

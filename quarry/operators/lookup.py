@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.operators.elements import latest_by_name
 from quarry.operators.render import CLASS_LIMIT_ALL_FILES, FILE_RANGE_LIMIT, lookup_range, range_text
 
+QUERY_KINDS = ("semantic", "function", "method", "class", "file")
 RESULT_COLS = ["query_id", "source", "filename", "elem_type", "elem_name", "text"]
 
 
@@ -39,9 +40,10 @@ def exact_lookups(queries: DataFrame, displays: DataFrame, files: DataFrame,
                   F.col("display").alias("text")), ["instance_id", "class_name", "method_name"])
     hm = hm.select("query_id", F.lit("exact").alias("source"), "filename", F.lit("method").alias("elem_type"),
                    F.col("method_name").alias("elem_name"), "text")
-    cm = _level(displays, "class", "moderate").select("instance_id", "filename", "elem_name", F.col("display").alias("_m"))
-    cs = _level(displays, "class", "signature").select("instance_id", "filename", "elem_name", F.col("display").alias("_s"))
-    cl = cm.join(cs, ["instance_id", "filename", "elem_name"])
+    cls = displays.where((F.col("elem_type") == "class") & F.col("live") & F.col("display_level").isin("moderate", "signature"))
+    at = lambda level: F.max_by(F.when(F.col("display_level") == level, F.col("display")),
+                                F.when(F.col("display_level") == level, F.col("ord")))
+    cl = cls.groupBy("instance_id", "filename", "elem_name").agg(at("moderate").alias("_m"), at("signature").alias("_s"))
     hc = q.where(F.col("query_kind") == "class").join(cl.withColumnRenamed("elem_name", "class_name"), ["instance_id", "class_name"])
     hc = hc.select("query_id", F.lit("exact").alias("source"), "filename", F.lit("class").alias("elem_type"),
                    F.col("class_name").alias("elem_name"),
@@ -72,10 +74,17 @@ def alternative_text(queries: DataFrame) -> DataFrame:
 
 def lookup_with_fallback(queries: DataFrame, displays: DataFrame, files: DataFrame, index, content: DataFrame,
                          k: int = 10) -> DataFrame:
-    """Exact hits, plus BM25 results (k=10, code only) for queries without one (SCH-12..SCH-14)."""
+    """Exact hits, plus search results (k=10, code only) for queries without one (SCH-12..SCH-14).
+
+    Semantic queries have no exact form and are answered by their text.  A
+    query of an unknown or NULL kind is an error, not an empty answer.
+    """
     from quarry.operators.search import bm25_search
+    known = F.coalesce(F.col("query_kind").isin(*QUERY_KINDS), F.lit(False))
+    queries = queries.withColumn("query_kind", F.when(known, F.col("query_kind")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown kind of query "), F.coalesce(F.col("query_id").cast("string"), F.lit("NULL"))))))
     hits = exact_lookups(queries, displays, files)
-    missed = queries.where(F.col("query_kind") != "semantic").join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    missed = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     alt = alternative_text(missed).select("query_id", "instance_id", "text")
     found = bm25_search(index, content, alt, k=k, elem_type="code", per_instance=True)
     fb = found.select("query_id", F.lit("text").alias("source"), "filename", "elem_type", "elem_name",

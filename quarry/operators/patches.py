@@ -106,6 +106,21 @@ def parse_patches(patches: DataFrame, id_col: str = "patch_id", patch_col: str =
     )
 
 
+def parse_status(parsed: DataFrame, id_col: str = "patch_id", colocated_by: str | None = None) -> DataFrame:
+    """``(id, parse_ok)``: every hunk stands under a file header and uses its counts up exactly (PCH-1).
+
+    A text without a hunk (empty, NULL or no diff at all) parses, to no files.
+    """
+    keys = ([colocated_by] if colocated_by else []) + [id_col]
+    hunks = parsed.groupBy(*keys, "hunk_no").agg(
+        F.max(F.when(F.col("is_hdr"), F.col("src_len"))).alias("_s"), F.max(F.when(F.col("is_hdr"), F.col("tgt_len"))).alias("_t"),
+        F.count_if(F.col("is_body") & F.col("marker").isin(" ", "-")).alias("_old"),
+        F.count_if(F.col("is_body") & F.col("marker").isin(" ", "+")).alias("_new"),
+        F.bool_and(F.when(F.col("is_hdr"), F.col("source_file").isNotNull() & F.col("target_file").isNotNull())).alias("_headed"))
+    sound = F.when(F.col("hunk_no") > 0, (F.col("_s") == F.col("_old")) & (F.col("_t") == F.col("_new")) & F.coalesce("_headed", F.lit(False)))
+    return hunks.groupBy(*keys).agg(F.coalesce(F.bool_and(sound), F.lit(True)).alias("parse_ok"))
+
+
 def is_modified(source_file: Column, target_file: Column) -> Column:
     """Neither added nor removed (PCH-2)."""
     return (source_file != DEV_NULL) & (target_file != DEV_NULL)
@@ -134,12 +149,12 @@ def patch_hunks(parsed: DataFrame, id_col: str = "patch_id") -> DataFrame:
 
 
 def patch_stats(parsed: DataFrame, id_col: str = "patch_id", code_only: bool = True,
-                colocated_by: str | None = None) -> DataFrame:
+                colocated_by: str | None = None, skip_unparsable: bool = True) -> DataFrame:
     """Per patch: files, edits (hunks), changed lines, added import lines (AGG-1).
 
     Only modified files count, and only ``.py`` ones when ``code_only``.
-    Every patch keeps a row (zeros when nothing qualifies) because every
-    patch yields at least one line row.
+    A patch keeps a row (zeros when nothing qualifies) unless it does not parse
+    (:func:`parse_status`); ``skip_unparsable=False`` keeps those too.
     """
     keep = is_modified(F.col("source_file"), F.col("target_file"))
     if code_only:
@@ -156,6 +171,9 @@ def patch_stats(parsed: DataFrame, id_col: str = "patch_id", code_only: bool = T
         F.count_if(keep & F.col("marker").isin("+", "-")).cast("long").alias("num_lines"),
         F.count_if(keep & added & imp).cast("long").alias("num_imports"),
     )
+    if skip_unparsable:  # same keys as the lines are partitioned by: no further exchange
+        ok = parse_status(parsed, id_col, colocated_by).where("parse_ok").select(*keys)
+        out = out.join(ok, keys, "left_semi")
     return out.drop(colocated_by) if colocated_by else out
 
 
@@ -172,22 +190,24 @@ def padded_range(start: Column, length: Column, n_lines: Column, pad: int = CONT
 
 
 def fit_check(parsed: DataFrame, file_lines: DataFrame, id_col: str = "patch_id",
-              relaxed: bool = False) -> DataFrame:
+              relaxed: bool = False, instance_col: str | None = None) -> DataFrame:
     """Does every hunk's old side equal the file at the stated lines? (PCH-8, JN-9).
 
     ``file_lines(path, line_no, line)`` 1-based.  Line ``i`` of a hunk's old
     side (its context and removed lines) must equal file line
     ``src_start + i``; ``relaxed`` compares after ``rtrim``.  Only the files a
-    patch touches are read (``left_semi`` on the touched paths).  Returns
-    ``(id, fits)`` for every patch with at least one hunk.
+    patch touches are read (``left_semi`` on the touched paths).  With
+    ``instance_col`` (a column of both sides) a path means a file of the patch's
+    own instance.  Returns ``(id, fits)`` for every patch with at least one hunk.
     """
+    own = [instance_col] if instance_col else []
     old = parsed.where(F.col("is_body") & F.col("marker").isin(" ", "-"))
     w = Window.partitionBy(id_col, "hunk_no").orderBy("pos")
-    old = old.select(id_col, "hunk_no", "value", clean_path(F.col("source_file")).alias("path"),
+    old = old.select(id_col, *own, "hunk_no", "value", clean_path(F.col("source_file")).alias("path"),
                      (F.col("src_start") + F.row_number().over(w) - 1).alias("line_no"))
-    touched = old.select("path").distinct()
-    fl = file_lines.join(touched, "path", "left_semi").select("path", "line_no", F.col("line").alias("_file_line"))
-    j = old.join(fl, ["path", "line_no"], "left")
+    touched = old.select(*own, "path").distinct()
+    fl = file_lines.join(touched, [*own, "path"], "left_semi").select(*own, "path", "line_no", F.col("line").alias("_file_line"))
+    j = old.join(fl, [*own, "path", "line_no"], "left")
     a, e = F.col("_file_line"), F.col("value")
     eq = (F.rtrim(a) == F.rtrim(e)) if relaxed else (a == e)
     hunks = parsed.where("is_hdr").select(id_col).distinct()
@@ -215,8 +235,11 @@ def minimal_patches(parsed: DataFrame, id_col: str = "patch_id") -> DataFrame:
         F.count_if((F.col("marker") == " ") & (F.col("pos") > F.col("_l"))).alias("_trail"))
     p = parsed.join(edges, [id_col, "hunk_no"], "left")
     lead, trail = F.col("_lead"), F.col("_trail")
-    new_hdr = F.concat(F.lit("@@ -"), _fmt(F.col("src_start") + lead, F.col("src_len") - lead - trail), F.lit(" +"),
-                       _fmt(F.col("tgt_start") + lead, F.col("tgt_len") - lead - trail), F.lit(" @@"))
+    def rng(start, length):  # a range of no lines names the line before it
+        left = F.col(length) - lead - trail
+        return _fmt(F.col(start) + lead - F.when((left == 0) & (F.col(length) > 0), 1).otherwise(0), left)
+
+    new_hdr = F.concat(F.lit("@@ -"), rng("src_start", "src_len"), F.lit(" +"), rng("tgt_start", "tgt_len"), F.lit(" @@"))
     no_change = F.col("_f").isNull()
     keep = (~F.col("is_body") & ~F.col("is_hdr")) | (F.col("is_hdr") & ~no_change) | \
            (F.col("is_body") & (F.col("pos") >= F.col("_f")) & (F.col("pos") <= F.col("_l")))

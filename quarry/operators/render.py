@@ -66,9 +66,10 @@ def offsets_to_lines(texts: DataFrame, offsets: DataFrame, id_col: str = "id", t
                      offset_col: str = "offset") -> DataFrame:
     """First line whose running length (newlines not counted) reaches the offset (TXT-8).
 
-    Lines and offsets are merged into one ordered stream per text and each
-    offset takes the next line position at or after it — a linear merge
-    (``first(..., ignoreNulls)`` over the following rows), no range join.
+    Lines and offsets are merged into one stream per text, ordered downwards, and
+    each offset takes the last line position seen: a running ``last`` over the
+    rows before it, so the work is linear after the sort, and no range join.  Of
+    lines with the same running length (empty lines) the first one counts.
     NULL when the offset lies beyond the text.
     """
     lines = texts.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
@@ -79,8 +80,8 @@ def offsets_to_lines(texts: DataFrame, offsets: DataFrame, id_col: str = "id", t
     marks = offsets.select(id_col, F.col(offset_col).cast("long").alias("key"), F.lit(None).cast("long").alias("pos"),
                            F.lit(0).alias("kind"), F.col(offset_col).cast("long").alias(offset_col))
     u = cum.unionByName(marks)
-    w2 = Window.partitionBy(id_col).orderBy("key", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return (u.withColumn("line_idx", F.first("pos", ignorenulls=True).over(w2))
+    w2 = Window.partitionBy(id_col).orderBy(F.desc("key"), F.desc("kind"), F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (u.withColumn("line_idx", F.last("pos", ignorenulls=True).over(w2))
              .where(F.col("kind") == 0).select(id_col, offset_col, "line_idx"))
 
 

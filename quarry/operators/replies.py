@@ -59,13 +59,21 @@ def query_kind(q: Column) -> Column:
 
 
 def parse_query_payload(blocks: DataFrame, id_col: str = "reply_id") -> DataFrame:
-    """``queries`` JSON payload -> one row per search query, numbered (RSP-5, SCH-21)."""
+    """``queries`` JSON payload -> one row per search query, numbered (RSP-5, SCH-21).
+
+    A payload that is no JSON list of queries keeps one row of kind ``corrupt``
+    (``query_idx`` NULL, the payload in ``reasoning``); an empty list has no rows.
+    """
     arr = F.from_json(F.trim(F.col("content")), QUERY_ITEM)
-    ex = blocks.select(id_col, F.posexplode_outer(arr).alias("query_idx", "_q")).where(F.col("_q").isNotNull())
+    ex = blocks.select(id_col, "content", arr.alias("_a"))
+    ex = ex.where(F.col("_a").isNull() | (F.size("_a") > 0)).select(id_col, "content", "_a", F.posexplode_outer("_a").alias("query_idx", "_q"))
+    ex = ex.where(F.col("content").isNotNull())
     q = F.col("_q.query")
+    corrupt = F.col("_a").isNull() | q.isNull()
     return ex.select(
-        id_col, F.col("query_idx").cast("long").alias("query_idx"), F.col("_q.reasoning").alias("reasoning"),
-        query_kind(q).alias("query_kind"),
+        id_col, F.col("query_idx").cast("long").alias("query_idx"),
+        F.when(F.col("_a").isNull(), F.col("content")).otherwise(F.col("_q.reasoning")).alias("reasoning"),
+        F.when(corrupt, F.lit("corrupt")).otherwise(query_kind(q)).alias("query_kind"),
         q["fn_name"].alias("fn_name"), q["class_name"].alias("class_name"), q["method_name"].alias("method_name"),
         q["filename"].alias("filename"), q["line_start"].try_cast("long").alias("line_start"),
         q["line_end"].try_cast("long").alias("line_end"), q["semantic"].alias("semantic"))

@@ -83,7 +83,7 @@ register("vector_l1_dedup", _vector_sql(True))(vector_l1_dedup)
 # ------------------------------------------------------------------ TXT-9 / TXT-10
 def html_text(spark, sf_dir):
     p = Tables(spark, sf_dir).pages
-    t = html_to_text(F.col("html"))
+    t = html_to_text(F.col("html"), PAGE_TEXT_LIMIT)
     return p.select("page_id", F.length(t).cast("long").alias("text_len"), F.md5(t).alias("text_md5"))
 
 
@@ -157,7 +157,7 @@ def page_aggregate(spark, sf_dir):
                .otherwise(F.format_string('{"indices": %d}', F.col("n") - 1))
     choices = n.select("query_id", parse_indices(payload).alias("indices"))
     chosen = apply_choice(kept, choices)
-    agg = aggregate_pages(chosen, items)
+    agg = aggregate_pages(chosen, items, limit=PAGE_TEXT_LIMIT)
     return agg.select("query_id", "n_parts", F.length("block").cast("long").alias("text_len"), F.md5("block").alias("text_md5"))
 
 

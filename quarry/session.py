@@ -128,7 +128,9 @@ def spread(df: DataFrame, min_partitions: int | None = None, keys: list[str] | N
     them, so a later aggregate that groups by those keys needs no exchange.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    # a plan with an exchange would run it just to be counted: only plain scans are asked
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() != "AdaptiveSparkPlanExec" and df.rdd.getNumPartitions() >= want:
         return df
     # hash by a key when given: later aggregates grouped by that key reuse
     # this partitioning instead of shuffling their (larger) output again

@@ -49,8 +49,8 @@ def scan_source_tree(spark: SparkSession, root: str, instance_id: str | None = N
     df = df.where(~_any_contains(d, EXCLUDE_DIRS) & ~ext_bad)
     kind = (F.when(F.col("filename").endswith(".py"), F.lit("module"))
             .when(F.col("filename").contains(README_MARK), F.lit("raw")))
-    text = F.col("content").cast("string")
-    df = df.where(kind.isNotNull() & F.is_valid_utf8(text)).select(
+    text = F.regexp_replace(F.col("content").cast("string"), r"\r\n?", "\n")  # as text-mode reading folds line ends
+    df = df.where(kind.isNotNull() & F.is_valid_utf8(F.col("content").cast("string"))).select(
         F.lit(instance_id).cast("string").alias("instance_id"), "filename", text.alias("content"), kind.alias("kind"))
     return df
 
