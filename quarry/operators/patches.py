@@ -52,14 +52,16 @@ def parse_patches(patches: DataFrame, id_col: str = "patch_id", patch_col: str =
     """
     if colocated_by and colocated_by not in keep:
         keep = (colocated_by,) + tuple(keep)
-    lines = patches.select(id_col, *keep, F.posexplode(F.split(F.coalesce(F.col(patch_col), F.lit("")), "\n"))
-                           .alias("pos", "line"))
+    split = F.split(F.coalesce(F.col(patch_col), F.lit("")), "\n")
+    lines = patches.select(id_col, *keep, F.size(split).alias("_n"), F.posexplode(split).alias("pos", "line"))
     w = Window.partitionBy(*([colocated_by] if colocated_by else []), id_col).orderBy("pos")
     line = F.col("line")
     marker = F.substring(line, 1, 1)
     is_hdr = line.rlike(HUNK_RE)
-    own_old = F.when(marker.isin(" ", "-") | (line == ""), 1).otherwise(0)
-    own_new = F.when(marker.isin(" ", "+") | (line == ""), 1).otherwise(0)
+    # an empty line is an empty context line, but what follows the final line feed is no line
+    after_end = (line == "") & (F.col("pos") == F.col("_n") - 1)
+    own_old = F.when(marker.isin(" ", "-") | ((line == "") & ~after_end), 1).otherwise(0)
+    own_new = F.when(marker.isin(" ", "+") | ((line == "") & ~after_end), 1).otherwise(0)
     p1 = lines.select(
         "*",
         is_hdr.alias("is_hdr"),
@@ -84,7 +86,7 @@ def parse_patches(patches: DataFrame, id_col: str = "patch_id", patch_col: str =
     )
     used_old = F.col("cum_old") - F.col("own_old") - F.col("_base_old")
     used_new = F.col("cum_new") - F.col("own_new") - F.col("_base_new")
-    is_body = ((F.col("hunk_no") > 0) & ~hdr & ((used_old < F.col("src_len")) | (used_new < F.col("tgt_len"))))
+    is_body = ((F.col("hunk_no") > 0) & ~hdr & ~after_end & ((used_old < F.col("src_len")) | (used_new < F.col("tgt_len"))))
     p2 = p2.withColumn("is_body", F.coalesce(is_body, F.lit(False)))
     body = F.col("is_body")
     is_src = ~body & ~hdr & line.startswith("--- ")
