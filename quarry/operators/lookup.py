@@ -24,8 +24,14 @@ def _level(d: DataFrame, etype: str, level: str) -> DataFrame:
 
 
 def exact_lookups(queries: DataFrame, displays: DataFrame, files: DataFrame,
-                  class_limit: int = CLASS_LIMIT_ALL_FILES) -> DataFrame:
-    """Hits of function / method / class / file-range queries (SCH-8..SCH-11)."""
+                  class_limit: int = CLASS_LIMIT_ALL_FILES, in_file: bool = False) -> DataFrame:
+    """Hits of function / method / class / file-range queries (SCH-8..SCH-11).
+
+    ``in_file``: every query is answered inside its own ``filename`` (SCH-12).
+    """
+    if in_file:
+        hits = exact_lookups(queries, displays, files, class_limit)
+        return hits.join(queries.select("query_id", "filename").distinct(), ["query_id", "filename"], "left_semi").select(*RESULT_COLS)
     q = queries.drop("filename")
     qf = queries
     fn = _level(displays, "function", "moderate").where(F.col("parent_name") == "")
@@ -98,7 +104,8 @@ def located_context(items: DataFrame, displays: DataFrame) -> DataFrame:
     ``items(item_id, instance_id, kind, category, class_name, fn_name)``:
     functions and methods are shown FULL when the category is ``fix``, else
     MODERATE; classes MODERATE for ``fix``, else SIGNATURE.  Last definition
-    of a repeated name wins.
+    of a repeated name wins.  Items that name their file (a ``filename`` column)
+    are looked up in it, and an absent element keeps its row with a NULL display.
     """
     fix = F.col("category") == "fix"
     k = F.col("kind")
@@ -108,4 +115,7 @@ def located_context(items: DataFrame, displays: DataFrame) -> DataFrame:
         "elem_name", F.when(k == "class", F.col("class_name")).otherwise(F.col("fn_name"))).withColumn(
         "parent_name", F.when(k == "method", F.col("class_name")).otherwise(F.lit(""))).withColumn("elem_type", k)
     d = latest_by_name(displays)
-    return it.join(d, ["instance_id", "elem_type", "parent_name", "elem_name", "display_level"])
+    keys = ["instance_id", "elem_type", "parent_name", "elem_name", "display_level"]
+    if "filename" in items.columns:
+        return it.join(d, [*keys, "filename"], "left")
+    return it.join(d, keys)

@@ -36,8 +36,9 @@ def tag_rows(chunks: DataFrame) -> DataFrame:
 
 
 def write_index(rows: DataFrame, path: str) -> str:
-    """Write a version partitioned by shard (one folder per shard)."""
-    with_shard(rows).repartition("shard").write.mode("errorifexists").partitionBy("shard").parquet(path)
+    """Write a version partitioned by shard (one folder per shard, several tasks a shard)."""
+    tasks = max(N_SHARDS, rows.sparkSession.sparkContext.defaultParallelism)
+    with_shard(rows).repartition(tasks, "shard", "instance_id").write.mode("errorifexists").partitionBy("shard").parquet(path)
     return path
 
 
@@ -64,10 +65,9 @@ def manifest_of(rows: DataFrame) -> DataFrame:
 
 def write_predictions(preds: DataFrame, path: str) -> None:
     """One JSON object per line (SNK-5); a NULL patch is an error, as in the reference."""
-    bad = preds.where(F.col("model_patch").isNull()).select("instance_id").limit(1).collect()
-    if bad:
-        raise ValueError(f"Fix for {bad[0]['instance_id']} is None.")
-    preds.select("instance_id", "model_patch", "model_name_or_path").write.mode("errorifexists").json(path)
+    missing = F.raise_error(F.concat(F.lit("Fix for "), F.col("instance_id"), F.lit(" is None.")))
+    patch = F.when(F.col("model_patch").isNull(), missing).otherwise(F.col("model_patch"))
+    preds.select("instance_id", patch.cast("string").alias("model_patch"), "model_name_or_path").write.mode("errorifexists").json(path)
 
 
 def write_text_per_instance(df: DataFrame, path: str, text_col: str = "text") -> None:

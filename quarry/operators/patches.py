@@ -251,6 +251,26 @@ def minimal_patches(parsed: DataFrame, id_col: str = "patch_id") -> DataFrame:
     return out.select(id_col, F.array_join(F.transform("_l", lambda x: x["_t"]), "\n").alias("patch"))
 
 
+def accepted_patch(patches: DataFrame, file_lines: DataFrame, id_col: str = "patch_id", patch_col: str = "patch",
+                   instance_col: str | None = None) -> DataFrame:
+    """Three-step check (PCH-8): as it stands, then with trailing blanks ignored, then without blank lines before ``@@``.
+
+    Returns ``(id, step, accepted)`` with the text of the first step that fits;
+    step and text are NULL where none does.
+    """
+    own = [instance_col] if instance_col else []
+    base = patches.select(id_col, *own, F.col(patch_col).alias("_p"))
+    tries = base.select(id_col, *own, F.posexplode(F.array("_p", collapse_blank_before_hunks(F.col("_p")))).alias("_ord", "patch"))
+    tries = tries.withColumn("_vid", F.concat_ws("#", F.col(id_col).cast("string"), F.col("_ord").cast("string")))
+    parsed = parse_patches(tries.select("_vid", *own, "patch"), "_vid", "patch", keep=tuple(own))
+    sound = parse_status(parsed, "_vid").where("parse_ok")
+    fits = [fit_check(parsed, file_lines, "_vid", relaxed=r, instance_col=instance_col).join(sound, "_vid", "left_semi").where("fits").select("_vid").withColumn("_step", F.lit(r).cast("int"))
+            for r in (False, True)]
+    found = tries.join(fits[0].unionByName(fits[1]), "_vid").withColumn("step", F.when(F.col("_ord") == 0, F.col("_step") + 1).otherwise(3))
+    best = found.groupBy(id_col).agg(F.min_by(F.struct("step", "patch"), F.struct("step", "_step")).alias("_b"))
+    return patches.select(id_col).join(best, id_col, "left").select(id_col, F.col("_b.step").alias("step"), F.col("_b.patch").alias("accepted"))
+
+
 VARIANTS = ["default", "minimal", "default_no_blank", "minimal_no_blank"]
 
 

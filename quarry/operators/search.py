@@ -110,11 +110,12 @@ def query_terms(queries: DataFrame, text_col: str = "text", keep=("instance_id",
 
 
 def bm25_scores(index: TextIndex, queries: DataFrame, per_instance: bool = True, stats_scope=(),
-                k1: float = BM25_K1, b: float = BM25_B, text_col: str = "text") -> DataFrame:
+                k1: float = BM25_K1, b: float = BM25_B, text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score) for rows holding *all* query terms; smaller is better.
 
     ``stats_scope`` names the columns N, avgdl and df are grouped by:
     ``()`` for the whole corpus, ``("shard",)`` or ``("instance_id",)``.
+    ``allowed`` (a frame of ids) narrows the candidates before they are scored.
     """
     id_col = index.id_col
     inst = ["instance_id"] if per_instance else []
@@ -146,17 +147,18 @@ def bm25_scores(index: TextIndex, queries: DataFrame, per_instance: bool = True,
     bound = rare.agg(F.sum("_pairs")).first()[0] or 0
     rare_side = rare.drop("_pairs")
     cand = terms.join(F.broadcast(rare_side) if small_queries else rare_side, ["term"] + inst).select("query_id", id_col)
+    if allowed is not None:
+        cand = cand.join(allowed, id_col, "left_semi")
     pairs = cand.join(qt.select("query_id", "term", "qtf", "n_terms"), "query_id")
     if bound <= BROADCAST_MAX_ROWS:
         pairs = F.broadcast(pairs)
     hits = terms.join(pairs, [id_col, "term"])
     if not scope:
-        # one statistics row for the whole corpus: join on a constant key
-        stats = F.broadcast(stats.withColumn("_all", F.lit(0)))
-        dfreq = dfreq.withColumn("_all", F.lit(0))
-        hits = hits.withColumn("_all", F.lit(0))
-        scope = ["_all"]
-    hits = hits.join(stats, scope).join(dfreq, scope + ["term"])
+        # two numbers for the whole corpus: literals, no join
+        one = stats.select("n_rows", "avgdl").first()
+        hits = hits.join(dfreq, ["term"]).withColumn("n_rows", F.lit(one["n_rows"])).withColumn("avgdl", F.lit(one["avgdl"]))
+    else:
+        hits = hits.join(stats, scope).join(dfreq, scope + ["term"])
     idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
     tf = F.col("tf").cast("double")
@@ -175,10 +177,9 @@ def bm25_search(index: TextIndex, content: DataFrame, queries: DataFrame, k: int
     A query whose text has no term after clean-up returns no rows (SCH-5).
     """
     id_col = index.id_col
-    scores = bm25_scores(index, queries, per_instance, stats_scope, text_col=text_col)
     cond = combine_filters(elem_type_filter(elem_type), dir_filter(in_dirs))
-    if cond is not None:
-        scores = scores.join(content.where(cond).select(id_col), id_col, "left_semi")
+    allowed = content.where(cond).select(id_col) if cond is not None else None
+    scores = bm25_scores(index, queries, per_instance, stats_scope, text_col=text_col, allowed=allowed)
     dist = F.round("score", score_round) if score_round is not None else F.col("score")
     scores = scores.withColumn("distance", dist)
     n_q = queries.select("query_id").distinct().count()

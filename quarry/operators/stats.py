@@ -102,12 +102,22 @@ def outcome_counts(logs: DataFrame, text_col: str = "content") -> DataFrame:
 def repo_chunks(items: DataFrame, n_workers: int = 8, repo_col: str = "repo") -> DataFrame:
     """Chunk id per repo: ``max(1, n_repos // n_workers)`` repos per chunk (AGG-7).
 
-    The numbering runs over the *distinct* repos (one row per repo, far
-    fewer than items); the items are then joined back by repo.
+    The numbering runs over the *distinct* repos, range partitioned by name: each
+    partition numbers its own repos and adds the number of repos before it.
     """
-    repos = items.select(repo_col).distinct()
-    n_repos = repos.count()
-    size = max(1, n_repos // n_workers)
-    w = Window.orderBy(repo_col)
-    numbered = repos.withColumn("chunk", F.floor((F.dense_rank().over(w) - 1) / size).cast("long"))
+    from quarry.session import write_table
+    parts = max(1, items.sparkSession.sparkContext.defaultParallelism)
+    repos = items.select(repo_col).distinct().repartitionByRange(parts, repo_col).withColumn("_part", F.spark_partition_id())
+    repos = write_table(repos, "repos")
+    counts = repos.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # as many rows as partitions
+    before = {r["_part"]: r["_n"] for r in counts.collect()}
+    size = max(1, sum(before.values()) // n_workers)
+    offsets, total = {}, 0
+    for part in sorted(before):
+        offsets[part], total = total, total + before[part]
+    pairs = [F.lit(x) for kv in offsets.items() for x in kv]
+    offset = F.element_at(F.create_map(*pairs), F.col("_part")) if pairs else F.lit(0)
+    w = Window.partitionBy("_part").orderBy(repo_col)
+    numbered = repos.select(repo_col, F.floor((offset + F.row_number().over(w) - 1) / size).cast("long").alias("chunk"))
     return items.join(numbered, repo_col)

@@ -17,7 +17,8 @@ from quarry.operators.maintenance import (manifest_of, new_version_path, replace
                                           write_files, write_index, write_predictions)
 from quarry.operators.stats import outcome_counts
 from quarry.plans import register
-from quarry.plans.element_plans import (FILES_PER_INSTANCE, PARTS_PER_FILE, _displays, _elements, _files,
+from quarry.operators.build import build_index, embed_rows, search_by_text
+from quarry.plans.element_plans import (_PARTS_SQL, FILES_PER_INSTANCE, PARTS_PER_FILE, _displays, _elements, _files,
                                         render_python_files)
 from quarry.plans.fixtures import doc_filename
 from quarry.plans.patch_plans import render_diffs, render_logs
@@ -60,6 +61,62 @@ def index_maintenance(spark, sf_dir):
                                           F.count_if("exact_only").cast("long").alias("n_exact_only"))
 
 
+# ------------------------------------------------------------------ index build and search by text
+def index_build(spark, sf_dir):
+    """The whole build over the rendered modules: rows, exact-only rows and unit vectors per instance (first chunks)."""
+    index = build_index(spark, _files(spark, sf_dir))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    r = index.where(F.col("split_idx") == 0)
+    return r.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("exact_only").alias("n_exact_only"),
+                                        F.count_if(F.abs(norm - 1) < 1e-9).alias("n_vectors"))
+
+
+register("index_build", f"""
+WITH {_PARTS_SQL},
+r AS (
+  SELECT DISTINCT instance_id, filename, filename AS name, unnest(['minimal', 'moderate', 'full']) AS level FROM pb WHERE NOT broken
+  UNION ALL SELECT DISTINCT instance_id, filename, filename, '' FROM pb WHERE broken
+  UNION ALL SELECT DISTINCT instance_id, filename, replace(p_name, ' ', '_'), 'minimal' FROM pb WHERE NOT broken
+  UNION ALL SELECT instance_id, filename, 'Part' || CAST(p_partkey AS VARCHAR), 'minimal' FROM pb WHERE NOT broken),
+e AS (SELECT *, level = 'full' OR filename LIKE '%test%' OR filename LIKE '%example%' OR name LIKE '%test%' OR name LIKE '%example%' AS exact_only FROM r)
+SELECT instance_id, count(*) AS n_rows, count(*) FILTER (exact_only) AS n_exact_only, count(*) FILTER (NOT exact_only) AS n_vectors
+FROM e GROUP BY instance_id
+""")(index_build)
+
+
+TEXT_SEARCH_K = 3
+
+
+def text_vector_search(spark, sf_dir):
+    """Benchmark texts, embedded, against the embedded documents of one language each: L1 top 3."""
+    t = Tables(spark, sf_dir)
+    docs = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("instance_id"), "text")
+    corpus = docs.join(embed_rows(docs, "id", "text", EMBED_DIM), "id")
+    lang = F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("fr"), F.lit("es")), (F.col("item_id") % 4 + 1).cast("int"))
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), lang.alias("instance_id"), "text")
+    r = search_by_text(corpus.drop("text"), q, k=TEXT_SEARCH_K, dim=EMBED_DIM, dedup=False)
+    return r.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), F.round("distance", 4).alias("distance"))
+
+
+register("text_vector_search", f"""
+WITH x AS (
+  SELECT 'd' AS kind, doc_id AS id, lang AS instance_id, text FROM documents
+  UNION ALL SELECT 'q', item_id, ['en', 'de', 'fr', 'es'][item_id % 4 + 1], text FROM benchmark),
+w AS (SELECT kind, id, md5(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS h FROM x),
+b AS (
+  SELECT kind, id, CAST('0x' || substr(h, 1, 6) AS BIGINT) % {{DIM}} AS b, sum(CASE WHEN CAST('0x' || substr(h, 7, 1) AS INTEGER) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS s
+  FROM w GROUP BY ALL),
+n AS (SELECT kind, id, sqrt(sum(s * s)) AS n FROM b GROUP BY ALL),
+v AS (SELECT x.kind, x.id, x.instance_id, g.b, CASE WHEN coalesce(n.n, 0) > 0 THEN coalesce(b.s, 0) / n.n ELSE 0.0 END AS v
+      FROM x CROSS JOIN (SELECT unnest(range(0, {{DIM}})) AS b) g LEFT JOIN b ON b.kind = x.kind AND b.id = x.id AND b.b = g.b
+      LEFT JOIN n ON n.kind = x.kind AND n.id = x.id),
+s AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(abs(q.v - d.v)), 6) AS distance
+      FROM v q JOIN v d ON q.kind = 'q' AND d.kind = 'd' AND q.instance_id = d.instance_id AND q.b = d.b GROUP BY q.id, d.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM s)
+SELECT query_id, rank, doc_id, round(distance, 4) AS distance FROM r WHERE rank <= {TEXT_SEARCH_K}
+""".replace("{DIM}", "64"))(text_vector_search)
+
+
 def _chunk_count_sql(cap: int) -> str:
     step = cap - cap // 8
     return (f"CASE WHEN length(text) = 0 THEN 0 WHEN length(text) > {cap} THEN 1 + CAST(ceil((length(text) - {cap}) / {float(step)}) AS BIGINT) ELSE 1 END")

@@ -88,10 +88,12 @@ def html_text(spark, sf_dir):
 
 
 def html_to_text_sql(expr: str) -> str:
-    t = f"regexp_extract({expr}, '(?is)<body\\b[^>]*>(.*)</body>', 1)"
-    t = f"regexp_replace({t}, '(?s)<!--.*?-->', '', 'g')"
+    # a body without its end tag reaches to the end of the page
+    t = f"regexp_extract({expr}, '(?is)<body\\b[^>]*>(.*)', 1)"
+    t = f"regexp_replace({t}, '(?is)^(.*)</body\\s*>.*$', '\\1')"
+    t = f"regexp_replace({t}, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
     for el in HTML_DROP_ELEMENTS:
-        t = f"regexp_replace({t}, '(?is)<{el}\\b[^>]*>.*?</{el}\\s*>', '', 'g')"
+        t = f"regexp_replace({t}, '(?is)<{el}\\b[^>]*>.*?(?:</{el}\\s*>|\\z)', '', 'g')"
     t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
     for ent, ch in HTML_ENTITIES:
         t = f"replace({t}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
