@@ -78,24 +78,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that what is built for a part stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 class Links:
-    """Union-find over 0..n-1 that also yields the edges that joined two sets."""
+    """Components of 0..n-1 under links, as an array of labels, and the edges that joined two of them."""
 
     def __init__(self, n: int):
-        self.parent = list(range(n))
+        self.label = np.arange(n)
         self.edges: list[tuple[int, int]] = []
 
-    def find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.find(i), self.find(j)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        self.edges.append((i, j))
-        return True
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that no chain of links joins to ``i`` yet."""
+        return others[self.label[others] != self.label[i]]
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Link ``i`` to all of ``others``; one edge for each component that this joins."""
+        others = self.apart(i, others)
+        if len(others):
+            labels, first = np.unique(self.label[others], return_index=True)
+            self.edges += [(i, int(j)) for j in others[first]]
+            self.label[np.isin(self.label, labels)] = self.label[i]

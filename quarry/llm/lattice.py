@@ -206,7 +206,8 @@ def _verify(tables: int, probes: int, threshold: float):
                     i, j = i[ok], j[ok]
                     np.add.at(n_links, i, copies[j])
                     np.add.at(n_links, j, copies[i])
-                    for p, q in zip(i.tolist(), j.tolist()):
+                    cuts = np.flatnonzero(np.diff(i)) + 1
+                    for p, q in zip(i[np.concatenate([[0], cuts])].tolist() if len(i) else [], np.split(j, cuts)):
                         links.join(p, q)
             got = np.flatnonzero(n_links)
             if len(got):

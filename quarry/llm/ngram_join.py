@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Links, batch_of, columns_of, key_runs, map_rows, mix64, text_or_empty
+from quarry.llm.common import Links, batch_of, columns_of, free_name, key_runs, map_rows, mix64, slices, text_or_empty
 from quarry.llm.components import components
 from quarry.session import broadcast_if_small, write_table
 
@@ -55,10 +55,12 @@ FREQUENT_MAX = 1 << 18
 BLOCK = 2048
 #: Bits of a signature for each shingle of the larger set of a tile, at least.
 BITS_PER_SHINGLE, MIN_BITS, MAX_BITS = 4, 256, 1 << 14
-#: Bytes of packed (shingle, class) pairs that one reducing task holds, about.
-TASK_BYTES = 48 << 20
+#: Packed (shingle, class) pairs that one reducing task holds, about, and the least number of such tasks.
+TASK_PAIRS, MIN_TASKS = 3_000_000, 8
+#: Texts worked on at once, and most numbers of an unpacked block of signatures.
+SLICE, UNPACKED = 2000, 1 << 23
 #: Words whose hash a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 100_000
 
 
 class _WordHashes(dict):
@@ -116,7 +118,7 @@ def document_sets(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             texts, = columns_of(batch, "text")
             sizes, digests, seen, sets = [], [], set(), []
             for text in texts:
@@ -155,14 +157,19 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 # -- 2. groups -----------------------------------------------------------------
 
 def _groups(docs: DataFrame, words: int, t: Fraction, frequent, parts: int) -> DataFrame:
-    """``(group, digest, n)``: classes that share an early shingle; each distinct group once a task."""
-    buckets = parts * 8
+    """``(group, node)``: classes that share an early shingle; each distinct group once a task.
+
+    What is dealt is small: 32 bits of a shingle, which its bucket completes, and
+    the first 64 bits of a class's digest, once a bucket and slice.  Two shingles
+    or classes that share these bits only make a group larger than it need be.
+    """
+    buckets = parts * 2
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def deal(batches):
         keys_sorted, rank = sent.value
-        kind = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owner", pa.binary()), ("digests", pa.binary()), ("sizes", pa.binary())])
-        for batch in batches:
+        kind = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owner", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+        for batch in slices(batches, SLICE):
             texts, = columns_of(batch, "text")
             index: dict[bytes, int] = {}
             keys, owner, sizes = [], [], []
@@ -171,77 +178,78 @@ def _groups(docs: DataFrame, words: int, t: Fraction, frequent, parts: int) -> D
                 d = _digest(s)
                 if d is None or d in index:
                     continue
+                sizes.append(len(s))
                 p = _prefix(s, keys_sorted, rank, t)
-                owner.append(np.full(len(p), len(index), dtype=np.uint32))
+                owner.append(np.full(len(p), len(index), dtype=np.uint16))
                 index[d] = len(index)
                 keys.append(p)
-                sizes.append(len(s))
             if not index:
                 continue
-            k, o = np.concatenate(keys), np.concatenate(owner)
-            b = (mix64(k) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(b, kind="stable")
-            k, o, b = k[order], o[order], b[order]
-            digests = np.frombuffer(b"".join(index), dtype=np.uint64).reshape(-1, 2)
+            k, o = mix64(np.concatenate(keys)), np.concatenate(owner)
+            b = (k % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort([o, b])
+            k, o, b = (k[order] >> np.uint64(32)).astype(np.uint32), o[order], b[order]
+            nodes = np.frombuffer(b"".join(index), dtype=">u8")[::2].astype(np.uint64)
             sizes = np.array(sizes, dtype=np.uint32)
             cuts = np.flatnonzero(np.diff(b)) + 1
             rows = []
             for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
                 used, local = np.unique(o[lo:hi], return_inverse=True)
-                rows.append((int(b[lo]), k[lo:hi].tobytes(), local.astype(np.uint32).tobytes(), digests[used].tobytes(), sizes[used].tobytes()))
+                rows.append((int(b[lo]), k[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), nodes[used].tobytes(), sizes[used].tobytes()))
             yield batch_of(kind, *zip(*rows))
 
     def meet(batches):
-        keys, owner, digests, sizes, base = [], [], [], [], 0
+        keys, owner, nodes, sizes, base = [], [], [], [], 0
         for batch in batches:
-            for k, o, d, n in zip(*columns_of(batch, "keys", "owner", "digests", "sizes")):
-                d = np.frombuffer(d, dtype=np.uint64).reshape(-1, 2)
-                keys.append(np.frombuffer(k, dtype=np.uint64))
-                owner.append(np.frombuffer(o, dtype=np.uint32) + base)
-                digests.append(d)
-                sizes.append(np.frombuffer(n, dtype=np.uint32))
-                base += len(d)
+            for bucket, k, o, n, z in zip(*columns_of(batch, "bucket", "keys", "owner", "nodes", "sizes")):
+                keys.append(np.frombuffer(k, dtype=np.uint32) | np.uint64(bucket) << np.uint64(32))
+                owner.append(np.frombuffer(o, dtype=np.uint16) + np.uint32(base))
+                nodes.append(np.frombuffer(n, dtype=np.uint64))
+                sizes.append(np.frombuffer(z, dtype=np.uint32))
+                base += len(nodes[-1])
         if not keys:
             return
-        d, first, same = np.unique(np.concatenate(digests), axis=0, return_index=True, return_inverse=True)
-        n = np.concatenate(sizes)[first]
-        k, o = np.concatenate(keys), same.reshape(-1)[np.concatenate(owner)]
-        del keys, owner, digests
-        order = np.lexsort([o, k])
+        nodes, first, same = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
+        sizes = np.concatenate(sizes)[first].astype(np.int64)
+        o = same.astype(np.uint32)[np.concatenate(owner)]
+        k = np.concatenate(keys)
+        del keys, owner, same
+        order = np.lexsort([o, sizes[o], k])
         k, o = k[order], o[order]
+        del order
         fresh = np.ones(len(k), dtype=bool)
         fresh[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
         k, o = k[fresh], o[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        # a group ends where the next larger set is too large for any of the smaller ones
+        gap = sizes[o[:-1]] * t.denominator < sizes[o[1:]] * t.numerator
+        starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | gap]))
         ends = np.append(starts[1:], len(k))
         many = np.flatnonzero(ends - starts > 1)
         # large groups first; one whose classes all lie in one group sent before adds no pair
         many = many[np.argsort(-(ends[many] - starts[many]), kind="stable")]
-        first_group = np.full(len(d), -1, dtype=np.int64)
-        kind = pa.schema([("group", pa.int64()), ("digest", pa.binary()), ("n", pa.int64())])
-        raw = [x.tobytes() for x in d]
-        out: list[tuple] = []
-        done = set()
+        first_group = np.full(len(nodes), -1, dtype=np.int64)
+        kind = pa.schema([("group", pa.int64()), ("node", pa.int64())])
+        out, held_rows, done = [], 0, set()
         for g in many:
             members = o[starts[g]:ends[g]]
             held = first_group[members]
             if held[0] >= 0 and (held == held[0]).all():
                 continue
-            name = xxhash.xxh3_64_intdigest(d[members].tobytes())
+            name = xxhash.xxh3_64_intdigest(nodes[members].tobytes())
             if name in done:
                 continue
             done.add(name)
             first_group[members[held < 0]] = g
-            name -= (name >> 63) << 64
-            out += [(name, raw[i], int(n[i])) for i in members]
-            if len(out) > 50_000:
-                yield batch_of(kind, *zip(*out))
-                out = []
+            out.append((np.full(len(members), name, dtype=np.uint64).view(np.int64), nodes[members].view(np.int64)))
+            held_rows += len(members)
+            if held_rows > 50_000:
+                yield batch_of(kind, *(pa.array(np.concatenate(c)) for c in zip(*out)))
+                out, held_rows = [], 0
         if out:
-            yield batch_of(kind, *zip(*out))
+            yield batch_of(kind, *(pa.array(np.concatenate(c)) for c in zip(*out)))
 
-    dealt = map_rows(docs.select(text_or_empty("text").alias("text")), deal, "bucket int, keys binary, owner binary, digests binary, sizes binary")
-    met = map_rows(dealt.repartition(parts, "bucket"), meet, "group long, digest binary, n long")
+    dealt = map_rows(docs.select(text_or_empty("text").alias("text")), deal, "bucket int, keys binary, owner binary, nodes binary, sizes binary")
+    met = map_rows(dealt.repartition(parts, "bucket"), meet, "group long, node long")
     return met.distinct()
 
 
@@ -274,31 +282,34 @@ def _unpacked(signatures: list[bytes], bits: int) -> np.ndarray:
 
 
 def _passing(n: np.ndarray, signatures: list[bytes], left: np.ndarray, right: np.ndarray, t: Fraction):
-    """For each size band, (row index, column indices) of pairs between the sides that the bitmap bound lets pass."""
+    """(row, columns) of pairs between the sides that the bitmap bound lets pass, by size bands and bounded blocks."""
     b = band(n, t)
+    width = np.array([len(x) * 8 for x in signatures])
     for x in np.unique(b[left]):
         rows = left[b[left] == x]
-        cols = right[(b[right] >= x - 1) & (b[right] <= x + 1)]
-        if not len(cols):
+        near = right[(b[right] >= x - 1) & (b[right] <= x + 1)]
+        if not len(near):
             continue
-        bits = min(len(signatures[i]) * 8 for i in (*rows[:1], *cols)) if len(cols) else 0
-        bits = min(bits, min(len(signatures[i]) * 8 for i in rows))
-        c = _unpacked([signatures[i] for i in cols], bits)
-        c_ones = c.sum(axis=1)
-        for lo in range(0, len(rows), 256):
-            part = rows[lo:lo + 256]
-            r = _unpacked([signatures[i] for i in part], bits)
-            apart = r.sum(axis=1)[:, None] + c_ones[None, :] - 2 * (r @ c.T)
-            both = n[part][:, None] + n[cols][None, :]
-            overlap = np.minimum((both - apart) // 2, np.minimum(n[part][:, None], n[cols][None, :]))
-            # overlap / (both - overlap) >= t
-            ok = overlap * (t.numerator + t.denominator) >= t.numerator * both
-            for i, row in enumerate(part):
-                hit = cols[ok[i]]
-                yield row, hit[hit != row]
-
-
-def _blocked(rows: DataFrame, key: str, block: int) -> DataFrame:
+        bits = int(min(width[rows].min(), width[near].min()))
+        step = max(64, UNPACKED // bits)
+        for at in range(0, len(near), step):
+            cols = near[at:at + step]
+            c = _unpacked([signatures[i] for i in cols], bits)
+            c_ones = c.sum(axis=1)
+            for lo in range(0, len(rows), 256):
+                part = rows[lo:lo + 256]
+                r = _unpacked([signatures[i] for i in part], bits)
+                apart = r.sum(axis=1)[:, None] + c_ones[None, :] - 2 * (r @ c.T)
+                both = (n[part][:, None] + n[cols][None, :]).astype(np.float32)
+                overlap = np.minimum(np.floor((both - apart) / 2), np.minimum(n[part][:, None], n[cols][None, :]))
+                # overlap / (both - overlap) >= t
+                ok = overlap * (t.numerator + t.denominator) >= t.numerator * both
+                for i in np.flatnonzero(ok.any(axis=1)):
+                    hit = cols[ok[i]]
+                    yield int(part[i]), hit[hit != part[i]]
+
+
+def _blocked(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
     """Adds ``tile`` and ``side``: large groups are cut into blocks by hash, and each pair of blocks is a tile.
 
     ``side`` 0: the pairs within the tile's rows; 1 and 2: the pairs between the sides.
@@ -306,7 +317,7 @@ def _blocked(rows: DataFrame, key: str, block: int) -> DataFrame:
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > block)
     counts = broadcast_if_small(counts.select(F.col(key).alias("large"), F.ceil(F.col("members") / (block * 0.8)).cast("int").alias("blocks")))
     j = rows.join(counts, rows[key] == F.col("large"), "left")
-    mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
     j = j.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
     return (j.withColumn("tile", F.when(F.col("blocks").isNull(), F.col(key).cast("long")).otherwise(F.xxhash64(F.col(key), lo, hi)))
@@ -330,8 +341,7 @@ def _candidates_in_tiles(t: Fraction):
             signatures = tile.column("signature").to_pylist()
             links = Links(len(n))
             for i, hits in _passing(n, signatures, *_sides(tile.column("side").to_numpy()), t):
-                for j in hits.tolist():
-                    links.join(i, j)
+                links.join(i, hits)
             if links.edges:
                 yield batch_of(kind, [digests[i] for i, _ in links.edges], [digests[j] for _, j in links.edges])
     return run
@@ -347,34 +357,28 @@ def _links_in_tiles(t: Fraction):
             sets = [np.frombuffer(x, dtype=np.uint64) for x in tile.column("shingles").to_pylist()]
             links = Links(len(n))
             for i, hits in _passing(n, signatures, *_sides(tile.column("side").to_numpy()), t):
-                root = links.find(i)
-                todo = [j for j in hits.tolist() if links.find(j) != root]
-                if not todo:
+                todo = links.apart(i, hits)
+                if not len(todo):
                     continue
                 # exact overlaps of one sorted array with several
                 joined, sizes = np.concatenate([sets[j] for j in todo]), np.array([len(sets[j]) for j in todo])
                 at = np.minimum(np.searchsorted(sets[i], joined), len(sets[i]) - 1)
                 common = np.add.reduceat((sets[i][at] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
-                linked = common * t.denominator >= t.numerator * (len(sets[i]) + sizes - common)
-                for j, ok in zip(todo, linked):
-                    if ok:
-                        links.join(i, j)
+                links.join(i, todo[common * t.denominator >= t.numerator * (len(sets[i]) + sizes - common)])
             if links.edges:
                 yield batch_of(kind, [digests[i] for i, _ in links.edges], [digests[j] for _, j in links.edges])
     return run
 
 
-def _signed_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``(digest, n, signature, shingles)`` of each document."""
+def _signed_sets(docs: DataFrame, words: int, shingles: bool) -> DataFrame:
+    """``(digest, n, signature)`` of each document, and its sorted ``shingles`` where asked for."""
     def run(batches):
-        kind = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
-        for batch in batches:
-            sets = [s for s in (shingle_set(x, words) for x in columns_of(batch, "text")[0]) if len(s)]
-            for lo in range(0, len(sets), 500):
-                part = sets[lo:lo + 500]
-                yield batch_of(kind, [_digest(s) for s in part], [len(s) for s in part],
-                               [signature(s, bits_for(len(s))) for s in part], [s.tobytes() for s in part])
-    return map_rows(docs.select(text_or_empty("text").alias("text")), run, "digest binary, n long, signature binary, shingles binary")
+        kind = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("signature", pa.binary())] + [("shingles", pa.binary())] * shingles)
+        for batch in slices(batches, 500):
+            part = [s for s in (shingle_set(x, words) for x in columns_of(batch, "text")[0]) if len(s)]
+            yield batch_of(kind, [_digest(s) for s in part], [len(s) for s in part], [signature(s, bits_for(len(s))) for s in part],
+                           *[[s.tobytes() for s in part]] * shingles)
+    return map_rows(docs.select(text_or_empty("text").alias("text")), run, "digest binary, n long, signature binary" + ", shingles binary" * shingles)
 
 
 def _tiled(rows: DataFrame, parts: int) -> DataFrame:
@@ -393,19 +397,27 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     named = rows.filter("doc_id IS NOT NULL")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = real.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(shuffles, math.ceil(total * float(1 - threshold) * 16 / TASK_BYTES))
+    parts = max(MIN_TASKS, math.ceil(total * float(1 - threshold) / TASK_PAIRS))
 
     classes = real.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     groups = write_table(_groups(named, words, threshold, _frequent(sets), parts), "ngram_groups")
-    wanted = groups.select("digest").distinct()
-    # one text of each candidate class: its least id
-    ids = classes.join(wanted, "digest", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    signed = write_table(_signed_sets(named.join(broadcast_if_small(ids), "doc_id", "left_semi"), words).dropDuplicates(["digest"]), "ngram_signed")
-
-    tiles = _blocked(groups, "group", block).join(signed.select("digest", "signature"), "digest")
+    node = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")  # the first 8 bytes
+    def texts_of(wanted, on):
+        """One text of each wanted class: its least id."""
+        ids = write_table(classes.withColumn("node", node).join(wanted, on, "left_semi").select(F.col("least").alias("doc_id")).distinct(), "ngram_ids")
+        chosen = named.join(broadcast_if_small(ids), "doc_id", "left_semi")
+        if real.join(ids, "doc_id", "left_semi").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+            chosen = chosen.dropDuplicates()  # repeated rows: each text once
+        return chosen
+
+    signed = write_table(_signed_sets(texts_of(groups.select("node").distinct(), "node"), words, False).withColumn("node", node), "ngram_signed")
+    tiles = _blocked(groups, "group", "node", block).join(signed, "node")
     edges = map_rows(_tiled(tiles.select("tile", "side", "digest", "n", "signature"), shuffles), _candidates_in_tiles(threshold), "u binary, v binary")
-    families = write_table(components(edges, "ngram_candidates"), "ngram_families")
-    tiles = _blocked(families.select(F.xxhash64("component").alias("family"), F.col("node").alias("digest")), "family", block).join(signed, "digest")
+    families = components(edges, "ngram_candidates").select(F.xxhash64("component").alias("family"), F.col("node").alias("digest"))
+    families = write_table(_blocked(families, "family", "digest", block), "ngram_families")
+    # only the families' arrays are made and sent
+    arrays = _signed_sets(texts_of(families.select("digest").distinct(), "digest"), words, True)
+    tiles = arrays.join(broadcast_if_small(families), "digest")
     links = map_rows(_tiled(tiles.select("tile", "side", "digest", "n", "signature", "shingles"), shuffles), _links_in_tiles(threshold), "u binary, v binary")
     linked = components(links, "ngram_links").withColumnRenamed("node", "digest")
 
@@ -423,8 +435,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
 
 def keep_one_each(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that with the least id; all columns.  Rows without an id stay as they are."""
-    kept = (jaccard_components(docs, words, threshold, id_col, text_col).filter(F.col(id_col) == F.col("component_id"))
-            .select(F.col(id_col).alias("_kept_id")).distinct())
-    kept = broadcast_if_small(write_table(kept, "ngram_kept"))
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    name = free_name(docs, "kept_id")
+    rows = write_table(jaccard_components(docs, words, threshold, id_col, text_col), "ngram_rows")
+    kept = broadcast_if_small(rows.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(name)).distinct())
+    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(name), "left_semi")
+    if rows.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count():
+        named = named.dropDuplicates([id_col])  # repeated rows: only then are whole rows shuffled
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
