@@ -170,7 +170,7 @@ class UnitCache(dict):
     the first ``limit`` distinct units; further ones are encoded each time.
     """
 
-    def __init__(self, encoder: TreeEncoder, limit: int = 200_000):
+    def __init__(self, encoder: TreeEncoder, limit: int = 120_000):
         super().__init__()
         self.encoder, self.limit = encoder, limit
 

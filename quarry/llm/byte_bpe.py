@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import broadcast_vocabulary, encoder_of
-from quarry.llm.common import batch_of, columns_of, map_rows, text_or_empty
+from quarry.llm.common import batch_of, columns_of, map_rows, slices, text_or_empty
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -37,7 +37,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches):
         enc = encoder_of(raw.value, pattern)
         out = None
-        for batch in batches:
+        for batch in slices(batches, 2000):
             texts, = columns_of(batch, "text")
             n, left, right = [], [], []
             for text in texts:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batch_of, columns_of, map_rows, mix64, text_or_empty
+from quarry.llm.common import batch_of, columns_of, map_rows, mix64, slices, text_or_empty
 from quarry.llm.license_texts import OTHER, TEMPLATES
 
 BITS = 16
@@ -227,7 +227,7 @@ def _scanner(docs: DataFrame, model: Model, summed: bool):
     def run(batches):
         m = sent.value
         cues = np.array(sorted(m.cue), dtype=np.uint64)
-        for batch in batches:
+        for batch in slices(batches, 2000):
             ids, texts = columns_of(batch, "doc_id", "text")
             found = [notices(t, m, cues) for t in texts]
             if summed:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import broadcast_vocabulary, units_of
-from quarry.llm.common import batch_of, columns_of, map_rows, text_or_empty
+from quarry.llm.common import batch_of, columns_of, map_rows, slices, text_or_empty
 from quarry.session import write_table
 
 CAPACITY = 2048
@@ -92,7 +92,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAP
                        ids if keep_ids or sequence is None else None, k, task)
                 offset += length
 
-        for batch in batches:
+        for batch in slices(batches, 2000):
             kind = kind or pa.schema([("doc_id", batch.column(0).type)] + [(n, pa.int64()) for n in (
                 "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [
                 ("ids", pa.binary()), ("class", pa.int32()), ("worker", pa.int32())])

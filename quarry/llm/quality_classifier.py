@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from quarry.llm.common import batch_of, columns_of, free_name, map_rows, text_or_empty
 from quarry.llm.trees import Boosted, fit_boosted
@@ -101,10 +101,9 @@ def score_column(docs: DataFrame, model: Boosted, text_col: str = "text") -> Col
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-        return pd.Series(sent.value.score(matrix(texts.tolist())))
+    @arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(sent.value.score(matrix(texts.to_pylist())), type=pa.float64())
 
     return score(text_or_empty(text_col))
 

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import TreeEncoder, broadcast_vocabulary, encoder_of
-from quarry.llm.common import batch_of, columns_of, map_rows, text_or_empty
+from quarry.llm.common import batch_of, columns_of, map_rows, slices, text_or_empty
 
 _RUN = regex.compile(r"\s{2,}")
 #: Contractions of three characters: their first two characters alone are two pieces.
 _SPLIT = ("'re", "'ve", "'ll")
 #: Distinct units, pieces and token pairs that a worker remembers; beyond, they are worked out each time.
-REMEMBER = 300_000
+REMEMBER = 200_000
 
 
 class _Units(dict):
@@ -196,7 +196,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, budget: int, id_col:
 
     def run(batches):
         counter = counter_of(raw.value, pattern)
-        for batch in batches:
+        for batch in slices(batches, 2000):
             kind = pa.schema([(id_col, batch.column(0).type)] + [(n, pa.int64()) for n in ("n_bytes", "n_tokens", "fit_chars")]
                              + [("over_limit", pa.bool_())] + [("prefix_counts", pa.binary())] * keep_prefixes)
             texts, sizes = columns_of(batch, "text", "size")
