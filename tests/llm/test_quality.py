@@ -107,6 +107,36 @@ def test_scores_of_skipped_paragraphs():
         assert license_scan.notices(text, model, cues)[1] == [] and model.label(license_scan.words_of(text))[0] == ""
 
 
+def test_notices_inside_long_paragraphs():
+    """A notice among hundreds of other words of its line is found, and its span holds it."""
+    model = license_scan.fit([clean(12) for _ in range(300)])
+    cues = np.array(sorted(model.cue), dtype=np.uint64)
+    for n in (50, 200, 1000):
+        for family, texts in license_scan.TEMPLATES.items():
+            for t in texts:
+                line = clean(n // 2) + " " + t + " " + clean(n)
+                (found,) = license_scan.notices("x\n" + line, model, cues)[1]
+                k, start, length, name, _ = found
+                inside = license_scan.words_of(("x\n" + line)[start:start + length])
+                assert (k, name) == (1, family) and 2 * len(set(inside) & set(license_scan.words_of(t))) >= len(set(license_scan.words_of(t))) and (n < 100 or len(inside) < 60)
+    two = "İ " + clean(300) + " Released under the MIT License. " + clean(300) + " SPDX-License-Identifier: Apache-2.0 " + clean(300)
+    found = license_scan.notices(two, model, cues)[1]
+    assert [x[3] for x in found] == ["MIT", "Apache"]
+    assert [two[s:s + n] for _, s, n, *_ in found] == ["Released under the MIT License", "SPDX-License-Identifier: Apache-2.0"]
+    assert license_scan.notices(clean(5000), model, cues)[1] == []
+    repeated = " ".join(t for _ in range(300) for f in ("MIT", "Apache", "GPL") for t in license_scan.TEMPLATES[f])
+    assert {x[3] for x in license_scan.notices(repeated, model, cues)[1]} == {"MIT", "Apache", "GPL"}
+
+
+def test_words_that_speak_for_a_family_are_scored():
+    """No paragraph that the model takes for a notice is skipped for lack of a 2- or 3-gram."""
+    model = license_scan.fit([clean(12) for _ in range(300)])
+    cues = np.array(sorted(model.cue), dtype=np.uint64)
+    for word in ("gnu", "mozilla", "apache", "unencumbered"):
+        for text in (word + " xx", "xx " + word):
+            assert [x[3] for x in license_scan.notices(text, model, cues)[1]] == [x for x in [model.label(license_scan.words_of(text))[0]] if x]
+
+
 # -- 7: html ---------------------------------------------------------------------------
 
 def test_labelled_pages():
