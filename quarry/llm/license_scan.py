@@ -249,11 +249,16 @@ def fit(other_paragraphs: list[str], seed: int = 7, copies: int = 24, epochs: in
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on the listed sentences and paragraphs of at most SAMPLE_DOCS documents."""
-    chosen = docs.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.slice(F.filter(F.split(text_or_empty(text_col), "\n"), lambda x: F.trim(x) != ""), 1, SAMPLE_PARAGRAPHS).alias("p"))
-    rows = texts.join(F.broadcast(chosen), "id").select(F.explode("p").alias("p")).collect()
-    return fit(sorted({r.p[:2000] for r in rows}))
+    """Fit on the listed sentences and paragraphs of at most SAMPLE_DOCS documents.
+
+    Ids are made distinct first, and of the rows of a repeated id one, that with the least
+    paragraphs, is taken before anything comes to the driver.
+    """
+    chosen = docs.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
+    paragraphs = F.slice(F.filter(F.split(text_or_empty(text_col), "\n"), lambda x: F.trim(x) != ""), 1, SAMPLE_PARAGRAPHS)
+    texts = docs.select(F.col(id_col).alias("id"), F.transform(paragraphs, lambda x: F.substring(x, 1, SAMPLE_CHARS)).alias("p"))
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("p").alias("p")).select(F.explode("p").alias("p")).collect()
+    return fit(sorted({r.p for r in rows}))
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

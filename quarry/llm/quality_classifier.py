@@ -3,7 +3,9 @@
 Statistics of the whole text (bytes, words, lines, repetition) feed boosted
 trees in flat arrays, traversed for a whole batch at once.  The model learns
 from at most ``train_rows`` labelled documents, those with the least hash of
-their id, which are joined to the documents as a bounded broadcast; ids in the
+their id, which are joined to the documents as a bounded broadcast; an id and
+label count once however often they occur, and of the documents of a repeated id
+the one with the least statistics is learned from; ids in the
 fold ``crc32(id) % 5 = 0`` are never learned from.  Language, source and id are
 no inputs.
 
@@ -80,17 +82,19 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
           label_col: str = "quality", n_trees: int = 60, rate: float = 0.15, max_depth: int = 4) -> Boosted:
     """Fit on at most ``train_rows`` labels outside the held-out fold."""
     chosen = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-              .filter("id IS NOT NULL AND y IS NOT NULL").filter(~held_out("id"))
+              .filter("id IS NOT NULL AND y IS NOT NULL").filter(~held_out("id")).distinct()
               .orderBy(F.xxhash64("id"), "id", "y").limit(train_rows))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def run(batches):
-        kind = pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int32())])
         for batch in batches:
+            kind = pa.schema([("id", batch.column(0).type), ("x", pa.list_(pa.float64())), ("y", pa.int32())])
             text, y = columns_of(batch, "text", "y")
-            yield batch_of(kind, [statistics(t) for t in text], y)
+            yield batch_of(kind, batch.column(0), [statistics(t) for t in text], y)
 
-    rows = map_rows(texts.join(F.broadcast(chosen), "id").select("text", "y"), run, "x array<double>, y int").collect()
+    joined = texts.join(F.broadcast(chosen), "id").select("id", "text", "y")
+    rows = (map_rows(joined, run, f"id {joined.schema['id'].dataType.simpleString()}, x array<double>, y int")
+            .groupBy("id", "y").agg(F.min("x").alias("x")).collect())
     x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(STATISTICS))
     y = np.array([r.y for r in rows], dtype=float)
     order = np.lexsort([*x.T, y]) if len(rows) else []  # the same model whatever order the rows came in

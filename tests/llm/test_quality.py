@@ -238,6 +238,21 @@ def test_held_out_labels_are_not_learned(spark):
     assert (a.score(x) == b.score(x)).all()
 
 
+def test_training_takes_one_row_of_an_id(spark, monkeypatch):
+    """An id or a label that holds most rows brings one row to the driver, and only one document of the sample."""
+    docs, labels = quality_docs(spark, 60)
+    hot = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 5)
+    more = spark.createDataFrame([(hot, clean(40), "en", "s", 0.5) for _ in range(300)], docs.schema)
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit_boosted", lambda x, y, *a: seen.append(len(x)))
+    again = spark.createDataFrame([(hot, int(hot % 4 != 0))] * 200, labels.schema)
+    quality_classifier.train(docs.unionByName(more), labels.unionByName(again), train_rows=40)
+    assert seen == [40]
+    monkeypatch.setattr(license_scan, "fit", lambda paragraphs: seen.append(len(paragraphs)))
+    license_scan.train(docs.unionByName(more))
+    assert seen[1] <= 60 and seen[1] > 50
+
+
 def test_classifier_without_labels(spark):
     docs, labels = quality_docs(spark, 50)
     none = quality_classifier.train(docs, labels.limit(0))
