@@ -12,7 +12,8 @@ are decoded, white space inside a block becomes one space, and the kept blocks
 are joined in page order by a line feed; nothing else is dropped or capped.
 
 Defined results: null or empty html, and a page without main text, give an empty
-text and 0 characters; unclosed tags end with their container or the page;
+text and 0 characters; unclosed tags end with their container or the page (after
+an unclosed object, select, svg and the like the page is read on);
 repeated rows give repeated rows; null ids and urls stay null; other columns are
 ignored; an empty table gives no rows.
 """
@@ -39,6 +40,8 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidd
 
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template svg math head title iframe object textarea select canvas audio video".split())
+#: Of these, without an end tag, browsers read the rest of the page as raw text.
+UNCLOSED_TO_END = frozenset(("script", "style", "textarea", "iframe"))
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that name what they hold.
@@ -91,6 +94,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # open containers and the zone before each
     zone, links, tag = 0, 0, "body"
+    unclosed: set[str] = set()  # elements of RAW without an end tag in the rest of the page
     parts: list[tuple[str, bool]] = []
 
     def close():
@@ -125,13 +129,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in RAW and not closing:
             if not attributes.endswith("/"):
-                done = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, pos)
+                done = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, pos)
                 if done:
                     pos = done.end()
-                elif name in ("head", "title"):
-                    pass  # unclosed: what follows is read as the page
-                else:
+                elif name in UNCLOSED_TO_END:
                     pos = end
+                else:  # what follows is read as the page
+                    unclosed.add(name)
             continue
         close()
         links = 0

@@ -162,6 +162,18 @@ def test_html_cases(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_unclosed_elements_cost_no_article():
+    """Only what a browser reads as raw text to the end hides the rest of the page."""
+    tree = html_extract.block_tree()
+    body = "".join(f"<p>{clean(30)}</p>" for _ in range(4))
+    text = "\n".join(re.findall(r"<p>(.*?)</p>", body))
+    for tag in sorted(html_extract.RAW):
+        page = f"<html><body><article>{body}<{tag} data-x='1'>{body}</article></body></html>"
+        want = text if tag in html_extract.UNCLOSED_TO_END else text + "\n" + text
+        assert html_extract.main_text(page, tree) == want, tag
+    assert html_extract.UNCLOSED_TO_END == {"script", "style", "textarea", "iframe"}
+
+
 # -- 8: rules ----------------------------------------------------------------------------
 
 def plain_counts(t):
