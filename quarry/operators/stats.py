@@ -35,17 +35,25 @@ def _long_form(stats: DataFrame, metrics) -> DataFrame:
     return stats.selectExpr(expr)
 
 
-def value_distribution(stats: DataFrame, domains: dict = DOMAINS) -> DataFrame:
-    """% of instances per value 0..max, zero-filled, with a running total (AGG-2, AGG-3)."""
+def value_distribution(stats: DataFrame, domains: dict = DOMAINS, overflow: bool = False) -> DataFrame:
+    """% of instances per value 0..max, zero-filled, with a running total (AGG-2, AGG-3).
+
+    With ``overflow``, larger values are counted in a row of value max + 1;
+    without (the reference's cut) they are in no row.
+    """
     spark = stats.sparkSession
     metrics = list(domains)
-    counts = _long_form(stats, metrics).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = _long_form(stats, metrics)
+    if overflow:
+        top = F.create_map(*[x for m in metrics for x in (F.lit(m), F.lit(domains[m] + 1).cast("long"))])
+        values = values.withColumn("value", F.when(F.col("value").isNotNull(), F.least("value", top[F.col("metric")])))
+    counts = values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
     # every instance has exactly one value per metric, so the per-metric sum is
     # the total; computed as a window over the (small) counts so the stats
     # input is consumed once
     by_metric = Window.partitionBy("metric")
     counts = counts.withColumn("total", F.sum("n").over(by_metric))
-    dom = spark.createDataFrame([(m, v) for m, hi in domains.items() for v in range(hi + 1)], "metric string, value bigint")
+    dom = spark.createDataFrame([(m, v) for m, hi in domains.items() for v in range(hi + 1 + overflow)], "metric string, value bigint")
     j = dom.join(counts, ["metric", "value"], "left")
     j = j.withColumn("n", F.coalesce("n", F.lit(0)).cast("long")) \
          .withColumn("total", F.coalesce(F.max("total").over(by_metric), F.lit(0)))
@@ -56,15 +64,21 @@ def value_distribution(stats: DataFrame, domains: dict = DOMAINS) -> DataFrame:
                     F.round(F.sum("pct").over(w), 6).alias("cumulative_pct"))
 
 
-def histogram_bins(stats: DataFrame, truncate: dict = TRUNCATE, widths: dict = BIN_WIDTH) -> DataFrame:
-    """Counts per bin after truncation (FLT-8, AGG-4), in one pass over the stats."""
+def histogram_bins(stats: DataFrame, truncate: dict = TRUNCATE, widths: dict = BIN_WIDTH, overflow: bool = False) -> DataFrame:
+    """Counts per bin (FLT-8, AGG-4), in one pass over the stats.
+
+    With ``overflow``, values above the truncation are one bin that starts after
+    it and has no end; without (the reference's cut) they are in no bin.
+    """
     metrics = list(truncate)
     lim = F.create_map(*[x for m in metrics for x in (F.lit(m), F.lit(truncate[m]))])
     wid = F.create_map(*[x for m in metrics for x in (F.lit(m), F.lit(widths[m]))])
     lf = _long_form(stats, metrics)
     w = wid[F.col("metric")]
-    kept = lf.where(F.col("value") <= lim[F.col("metric")])
-    binned = kept.select("metric", (F.floor(F.col("value") / w).cast("long") * w).alias("bin_lo"), w.alias("_w"))
+    above = F.col("value") > lim[F.col("metric")]
+    kept = lf.where(F.col("value").isNotNull() if overflow else ~above)
+    bin_lo = F.when(above, (lim[F.col("metric")] + 1).cast("long")).otherwise(F.floor(F.col("value") / w).cast("long") * w)
+    binned = kept.select("metric", bin_lo.alias("bin_lo"), F.when(~above, w).alias("_w"))
     return binned.groupBy("metric", "bin_lo", "_w").agg(F.count(F.lit(1)).cast("long").alias("n")) \
         .select("metric", "bin_lo", "n", (F.col("bin_lo") + F.col("_w")).cast("long").alias("bin_hi"))
 

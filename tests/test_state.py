@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.cache import cache_get, cache_put
 from quarry.operators.inference import call_cached, hashing_embedder, rule_failing_provider
-from quarry.operators.stats import classify_outcome, value_distribution
+from quarry.operators.stats import classify_outcome, histogram_bins, value_distribution
 from quarry.session import broadcast_if_small, checkpoint_dir
 from quarry.sources.instances import allow_list, get_instance, shard
 
@@ -57,3 +57,16 @@ def test_instances_and_guards(spark):
     assert allow_list(inst, ids).count() == 2
     assert broadcast_if_small(ids, 1) is ids          # over the bound: no broadcast hint
     assert checkpoint_dir(spark)
+
+
+def test_values_above_the_domain_are_counted(spark):
+    rows = [(1, 0, 3, 7), (1, 9, 90, 100), (40, 2, 51, 101), (11, 11, 7, 5000)]
+    stats = spark.createDataFrame(rows, "num_files long, num_imports long, num_edits long, num_lines long")
+    d, h = value_distribution(stats, overflow=True).collect(), histogram_bins(stats, overflow=True).collect()
+    for m in stats.columns:
+        assert sum(r.n for r in d if r.metric == m) == sum(r.n for r in h if r.metric == m) == len(rows)
+        assert max(r.cumulative_pct for r in d if r.metric == m) == 100.0
+    assert {(r.value, r.n) for r in d if r.metric == "num_files" and r.n} == {(1, 2), (11, 2)}
+    assert {(r.bin_lo, r.bin_hi, r.n) for r in h if r.metric == "num_lines"} == {(0, 10, 1), (100, 110, 1), (101, None, 2)}
+    assert sum(r.n for r in value_distribution(stats).collect() if r.metric == "num_files") == 2
+    assert sum(r.n for r in histogram_bins(stats).collect() if r.metric == "num_files") == 2
