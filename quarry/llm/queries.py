@@ -1,4 +1,4 @@
-"""The registered queries ``op1_`` to ``op10_`` and ``pipeline``, each over its whole table, and their SQL."""
+"""The registered queries ``op1_`` to ``op13_`` and ``pipeline``, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, html_extract, lattice, license_scan, ngram_join, packing, quality_classifier, quality_rules, token_counts, url_filters
+from quarry.llm import (backtrack_bpe, byte_bpe, filter_audit, html_extract, lattice, license_scan, ngram_join, packing, quality_classifier, quality_rules,
+                        token_counts, url_filters, whitening)
 from quarry.llm.common import table
 
 JSON_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -159,9 +160,53 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtrack_bpe.encode_documents(table(spark, sf_dir, "documents"), JSON_VOCABULARY, public_tokenizers.PATTERN, digests_only=True)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '') AS w
+  FROM documents),
+b AS (
+  SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS bits
+  FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, bits, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM b LEFT JOIN l ON b.doc_id = l.doc_id GROUP BY part, bits),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS own
+  FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, own[step] AS own, list_sum(own[1:step - 1])::INT AS before FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+r AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN bits & (own | coalesce(before, 0)) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN bits & own != 0 AND bits & coalesce(before, 0) = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN bits & own != 0 AND bits & coalesce(before, 0) != 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN bits = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN bits & own != 0 AND bits & coalesce(before, 0) = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN bits & own != 0 AND bits & coalesce(before, 0) = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_packing, op3_lattice_duplicates, op4_byte_bpe, op5_token_counts, op6_license_scan, op7_html_extraction,
-    op8_quality_rules, op9_quality_classifier, op10_ngram_jaccard)}
+    op8_quality_rules, op9_quality_classifier, op10_ngram_jaccard, op11_embedding_whitening, op12_backtracking_bpe, op13_filter_audit)}
 
 #: The others are tested against brute force: they need tokenizers, learned models or html parsing, or are too slow in SQL on whole tables.
-ORACLES = {"op1_url_filters": OP1_SQL, "op3_lattice_duplicates": OP3_SQL, "op8_quality_rules": OP8_SQL}
+ORACLES = {"op1_url_filters": OP1_SQL, "op3_lattice_duplicates": OP3_SQL, "op8_quality_rules": OP8_SQL, "op13_filter_audit": OP13_SQL}
