@@ -6,7 +6,10 @@ so they run in the JVM (no Python per row).
 
 from __future__ import annotations
 
+import functools
 import string
+import sys
+import unicodedata
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -60,13 +63,39 @@ def strip_ws(col) -> Column:
     return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
 
 
+#: Combining diacritical marks (one Unicode block): what folding takes off a letter.
+DIACRITICS = range(0x0300, 0x0370)
+
+
+@functools.cache
+def fold_table() -> tuple[str, str]:
+    """``(letters + marks, bases)`` for ``translate``: each letter that decomposes into one base and diacritics.
+
+    Read off Unicode's canonical decompositions: the letter stands for its base, and
+    the marks, which have no counterpart in ``bases``, are removed.
+    """
+    letters, bases = [], []
+    for c in map(chr, range(0xC0, sys.maxunicode + 1)):
+        base, *marks = unicodedata.normalize("NFD", c) if unicodedata.decomposition(c)[:1] not in ("", "<") else c
+        if marks and all(ord(m) in DIACRITICS for m in marks):
+            letters.append(c)
+            bases.append(base)
+    return "".join(letters) + "".join(map(chr, DIACRITICS)), "".join(bases)
+
+
+def fold(col) -> Column:
+    """Letters without their diacritics, composed or combining; texts in ASCII pass untouched."""
+    c = _c(col)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, *fold_table())).otherwise(c)
+
+
 def tokenize(col) -> Column:
-    """Lower-cased runs of letters / digits (TXT-5).
+    """Lower-cased runs of letters / digits without diacritics (TXT-5): ``Café`` gives ``cafe``.
 
     ``regexp_extract_all`` returns exactly the non-empty runs, so no
     per-token lambda is needed to drop the empty parts a ``split`` leaves.
     """
-    return F.regexp_extract_all(F.lower(F.coalesce(_c(col), F.lit(""))), F.lit(TOKEN_RUN), 0)
+    return F.regexp_extract_all(fold(F.lower(F.coalesce(_c(col), F.lit("")))), F.lit(TOKEN_RUN), 0)
 
 
 def with_term_counts(df, tokens_col: str, out_col: str):

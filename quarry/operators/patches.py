@@ -218,87 +218,6 @@ def fit_check(parsed: DataFrame, file_lines: DataFrame, id_col: str = "patch_id"
     return hunks.join(per, id_col, "left").select(id_col, F.coalesce("fits", F.lit(True)).alias("fits"))
 
 
-def _fmt(start: Column, length: Column) -> Column:
-    return F.when(length == 1, start.cast("string")).otherwise(F.concat(start.cast("string"), F.lit(","), length.cast("string")))
-
-
-def minimal_patches(parsed: DataFrame, id_col: str = "patch_id") -> DataFrame:
-    """Trim leading / trailing context of every hunk and rewrite its header (PCH-7).
-
-    A hunk without any change is dropped.  Text is re-assembled in line
-    order per patch (a group bounded by one patch).
-    """
-    chg = F.col("marker").isin("+", "-")
-    body = parsed.where("is_body")
-    span = body.groupBy(id_col, "hunk_no").agg(
-        F.min(F.when(chg, F.col("pos"))).alias("_f"), F.max(F.when(chg, F.col("pos"))).alias("_l"))
-    edges = body.join(span, [id_col, "hunk_no"]).groupBy(id_col, "hunk_no", "_f", "_l").agg(
-        F.count_if((F.col("marker") == " ") & (F.col("pos") < F.col("_f"))).alias("_lead"),
-        F.count_if((F.col("marker") == " ") & (F.col("pos") > F.col("_l"))).alias("_trail"))
-    p = parsed.join(edges, [id_col, "hunk_no"], "left")
-    lead, trail = F.col("_lead"), F.col("_trail")
-    def rng(start, length):  # a range of no lines names the line before it
-        left = F.col(length) - lead - trail
-        return _fmt(F.col(start) + lead - F.when((left == 0) & (F.col(length) > 0), 1).otherwise(0), left)
-
-    new_hdr = F.concat(F.lit("@@ -"), rng("src_start", "src_len"), F.lit(" +"), rng("tgt_start", "tgt_len"), F.lit(" @@"))
-    no_change = F.col("_f").isNull()
-    keep = (~F.col("is_body") & ~F.col("is_hdr")) | (F.col("is_hdr") & ~no_change) | \
-           (F.col("is_body") & (F.col("pos") >= F.col("_f")) & (F.col("pos") <= F.col("_l")))
-    text = F.when(F.col("is_hdr"), new_hdr).otherwise(F.col("line"))
-    kept = p.where(F.coalesce(keep, F.lit(False))).select(id_col, "pos", text.alias("_t"))
-    out = kept.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "_t"))).alias("_l"))
-    return out.select(id_col, F.array_join(F.transform("_l", lambda x: x["_t"]), "\n").alias("patch"))
-
-
-def accepted_patch(patches: DataFrame, file_lines: DataFrame, id_col: str = "patch_id", patch_col: str = "patch",
-                   instance_col: str | None = None) -> DataFrame:
-    """Three-step check (PCH-8): as it stands, then with trailing blanks ignored, then without blank lines before ``@@``.
-
-    Returns ``(id, step, accepted)`` with the text of the first step that fits;
-    step and text are NULL where none does.
-    """
-    own = [instance_col] if instance_col else []
-    base = patches.select(id_col, *own, F.col(patch_col).alias("_p"))
-    tries = base.select(id_col, *own, F.posexplode(F.array("_p", collapse_blank_before_hunks(F.col("_p")))).alias("_ord", "patch"))
-    tries = tries.withColumn("_vid", F.concat_ws("#", F.col(id_col).cast("string"), F.col("_ord").cast("string")))
-    parsed = parse_patches(tries.select("_vid", *own, "patch"), "_vid", "patch", keep=tuple(own))
-    sound = parse_status(parsed, "_vid").where("parse_ok")
-    fits = [fit_check(parsed, file_lines, "_vid", relaxed=r, instance_col=instance_col).join(sound, "_vid", "left_semi").where("fits").select("_vid").withColumn("_step", F.lit(r).cast("int"))
-            for r in (False, True)]
-    found = tries.join(fits[0].unionByName(fits[1]), "_vid").withColumn("step", F.when(F.col("_ord") == 0, F.col("_step") + 1).otherwise(3))
-    best = found.groupBy(id_col).agg(F.min_by(F.struct("step", "patch"), F.struct("step", "_step")).alias("_b"))
-    return patches.select(id_col).join(best, id_col, "left").select(id_col, F.col("_b.step").alias("step"), F.col("_b.patch").alias("accepted"))
-
-
-VARIANTS = ["default", "minimal", "default_no_blank", "minimal_no_blank"]
-
-
-def first_valid_variant(patches: DataFrame, file_lines: DataFrame, id_col: str = "patch_id",
-                        patch_col: str = "patch") -> DataFrame:
-    """First of default / minimal / no-blank variants that fits; NULL when none (PCH-7, PCH-8).
-
-    All variants of all patches are parsed and checked in one plan (a
-    variant is a row, not a loop iteration).
-    """
-    base = patches.select(id_col, F.col(patch_col).alias("_p"))
-    parsed = parse_patches(base.select(id_col, F.col("_p").alias("patch")), id_col, "patch")
-    minimal = minimal_patches(parsed, id_col).withColumnRenamed("patch", "_m")
-    both = base.join(minimal, id_col, "left").withColumn("_m", F.coalesce("_m", F.lit("")))
-    v = both.select(id_col, F.posexplode(F.array(
-        F.col("_p"), F.col("_m"), collapse_blank_before_hunks(F.col("_p")), collapse_blank_before_hunks(F.col("_m")))
-    ).alias("ord", "patch"))
-    v = v.withColumn("_vid", F.concat_ws("#", F.col(id_col).cast("string"), F.col("ord").cast("string")))
-    fits = fit_check(parse_patches(v.select("_vid", "patch"), "_vid", "patch"), file_lines, "_vid")
-    ok = v.join(fits.where("fits"), "_vid")
-    names = F.array(*[F.lit(n) for n in VARIANTS])
-    best = ok.groupBy(id_col).agg(F.min_by(F.struct("ord", "patch"), "ord").alias("_b"))
-    res = patches.select(id_col).join(best, id_col, "left")
-    found = F.col("_b").isNotNull()
-    return res.select(id_col, F.when(found, F.get(names, F.col("_b.ord"))).alias("variant"),
-                      F.when(found, F.col("_b.patch")).alias("valid_patch"))
-
-
 def patch_stats_fold(patches: DataFrame, id_col: str = "patch_id", patch_col: str = "patch",
                      code_only: bool = True) -> DataFrame:
     """AGG-1 as one ``aggregate`` per patch row: no explode, no shuffle, no sort.

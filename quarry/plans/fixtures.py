@@ -103,4 +103,4 @@ content_rows AS (
 
 
 def tokens_sql(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({expr}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return f"list_filter(regexp_split_to_array(strip_accents(lower({expr})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"

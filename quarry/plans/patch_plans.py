@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import adler32_bucket, xx_bucket
-from quarry.operators.patches import parse_patches, patch_hunks, patch_stats, patch_stats_fold
+from quarry.operators.apply import LINE_END_BLANKS, accepted_patches, first_valid_variant, minimal_patches
+from quarry.operators.patches import collapse_blank_before_hunks, parse_patches, patch_hunks, patch_stats, patch_stats_fold
 from quarry.operators.stats import (BIN_WIDTH, DOMAINS, TRUNCATE, histogram_bins, outcome_counts,
                                     repo_chunks, simple_share, value_distribution)
 from quarry.plans import register
+from quarry.plans.fixtures import doc_filename
 from quarry.sources.tables import Tables
 
 
@@ -229,47 +231,106 @@ def hash_bucket_xx(spark, sf_dir):
 register("hash_bucket_xx")(hash_bucket_xx)
 
 
-# ------------------------------------------------------------------ PCH-6..PCH-9, JN-9
-from quarry.operators.patches import collapse_blank_before_hunks, first_valid_variant  # noqa: E402
-from quarry.plans.fixtures import doc_filename  # noqa: E402
-
-MIN_LINES = 5
+# ------------------------------------------------------------------ PCH-6..PCH-8, JN-9
+def _rendered_lines() -> Column:
+    """A document's lines as a file's: numbered, so that no two are alike, and without blanks at their ends."""
+    return F.transform(F.split(F.coalesce("text", F.lit("")), "\n"),
+                       lambda x, k: F.regexp_replace(F.concat((k + 1).cast("string"), F.lit(": "), x), LINE_END_BLANKS, ""))
 
 
 def render_file_patches(documents: DataFrame):
-    """A one-hunk patch per document (>= 5 lines) built from its real lines, plus the file lines.
+    """A one-hunk patch for every document that replaces its line ``m = 1 + doc_id % n`` by ``patched m``, and the file lines.
 
-    The hunk starts at line ``1 + doc_id % 3``: context, removed, added,
-    context.  Every third patch has a wrong first context line (only the
-    minimal variant fits); every fourth has a blank line before ``@@``.
+    Up to three lines of context; by ``doc_id % 9`` the patch: 1 states a place 7 lines
+    too far down, 2 has blanks after the removed line, 3 a wrong line of context, 4 blanks
+    after the added line, 5 a blank line before ``@@``, 6 takes all lines out and puts all
+    back, 7 lacks its last line feed, 8 removes a line that the file does not hold.
     """
-    d = documents.select("doc_id", doc_filename().alias("path"), F.split("text", "\n").alias("lines"))
-    d = d.where(F.size("lines") >= MIN_LINES)
-    s = (F.col("doc_id") % 3 + 1).cast("int")
-    l1, l2, l3 = F.get(F.col("lines"), s - 1), F.get(F.col("lines"), s), F.get(F.col("lines"), s + 1)
-    ctx1 = F.when(F.col("doc_id") % 3 == 0, F.concat(l1, F.lit(" X"))).otherwise(l1)
-    blank = F.when(F.col("doc_id") % 4 == 1, F.lit("\n")).otherwise(F.lit(""))
-    patch = F.concat(F.lit("--- a/"), F.col("path"), F.lit("\n+++ b/"), F.col("path"), F.lit("\n"), blank,
-                     F.lit("@@ -"), s.cast("string"), F.lit(",3 +"), s.cast("string"), F.lit(",3 @@\n "), ctx1,
-                     F.lit("\n-"), l2, F.lit("\n+patched\n "), l3, F.lit("\n"))
-    patches = d.select(F.col("doc_id").alias("patch_id"), patch.alias("patch"))
-    lines = d.select("path", F.posexplode("lines").alias("pos", "line")).select(
-        "path", (F.col("pos") + 1).alias("line_no"), "line")
+    d = documents.select("doc_id", F.col("source").alias("instance_id"), doc_filename().alias("path"), _rendered_lines().alias("lines"),
+                         (F.col("doc_id") % 9).cast("int").alias("kind"))
+    d = d.withColumn("n", F.size("lines")).withColumn("m", (F.col("doc_id") % F.col("n") + 1).cast("int"))
+    m, n, kind = F.col("m"), F.col("n"), F.col("kind")
+    d = d.withColumn("lo", F.greatest(F.lit(1), m - 3)).withColumn("hi", F.least(n, m + 3))
+    window = F.slice("lines", F.col("lo"), F.col("hi") - F.col("lo") + 1)
+    at = m - F.col("lo")  # of the replaced line in the window
+    wrong_at = F.when(kind == 3, F.when(at > 0, 0).when(F.col("hi") > F.col("lo"), 1))
+    taken = F.concat(F.lit("-"), F.when(kind == 8, F.lit("no such line")).otherwise(F.get("lines", m - 1)), F.when(kind == 2, F.lit(" \t")).otherwise(F.lit("")))
+    put = F.concat(F.lit("+patched "), m.cast("string"), F.when(kind == 4, F.lit("  ")).otherwise(F.lit("")))
+    plain = F.flatten(F.transform(window, lambda x, k: F.when(k == at, F.array(taken, put)).otherwise(
+        F.array(F.concat(F.lit(" "), x, F.when(k == wrong_at, F.lit(" X")).otherwise(F.lit("")))))))
+    whole = F.concat(F.transform(window, lambda x: F.concat(F.lit("-"), x)),
+                     F.transform(window, lambda x, k: F.when(k == at, put).otherwise(F.concat(F.lit("+"), x))))
+    length = F.col("hi") - F.col("lo") + 1
+    start = F.col("lo") + F.when(kind == 1, 7).otherwise(0)
+    head = F.concat(F.lit("--- a/"), F.col("path"), F.lit("\n+++ b/"), F.col("path"), F.when(kind == 5, F.lit("\n\n")).otherwise(F.lit("\n")),
+                    F.lit("@@ -"), _fmt_range(start, length), F.lit(" +"), _fmt_range(start, length), F.lit(" @@\n"))
+    patch = F.concat(head, F.array_join(F.when(kind == 6, whole).otherwise(plain), "\n"), F.when(kind == 7, F.lit("")).otherwise(F.lit("\n")))
+    patches = d.select(F.col("doc_id").alias("patch_id"), "instance_id", patch.alias("patch"))
+    lines = d.select("instance_id", "path", F.posexplode("lines").alias("pos", "line")).select("instance_id", "path", (F.col("pos") + 1).alias("line_no"), "line")
     return patches, lines
 
 
+_PATCHED_SQL = f"""
+d0 AS (SELECT doc_id, doc_id % 9 AS kind, string_split(coalesce(text, ''), chr(10)) AS raw,
+              source || '/' || CASE WHEN doc_id % 7 = 0 THEN 'tests/' ELSE '' END || lang || '/doc_' || CAST(doc_id AS VARCHAR)
+                || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.md' ELSE '.txt' END AS f
+       FROM documents),
+d1 AS (SELECT *, list_transform(raw, lambda x, k: regexp_replace(CAST(k AS VARCHAR) || ': ' || x, '{LINE_END_BLANKS}', '')) AS ls,
+              len(raw) AS n, 1 + doc_id % len(raw) AS m FROM d0),
+d2 AS (SELECT *, greatest(1, m - 3) AS lo, least(n, m + 3) AS hi FROM d1),
+d AS (SELECT *, CAST(lo AS VARCHAR) || CASE WHEN hi = lo THEN '' ELSE ',' || CAST(hi - lo + 1 AS VARCHAR) END AS rng,
+             array_to_string(list_transform(ls[lo:m - 1], lambda x: ' ' || x || chr(10)), '') AS before,
+             array_to_string(list_transform(ls[m + 1:hi], lambda x: ' ' || x || chr(10)), '') AS after
+      FROM d2),
+strict AS (SELECT *, 'diff --git a/' || f || ' b/' || f || chr(10) || '--- a/' || f || chr(10) || '+++ b/' || f || chr(10) || '@@ -' || rng || ' +' || rng || ' @@' || chr(10)
+                     || before || '-' || ls[m] || chr(10) || '+patched ' || CAST(m AS VARCHAR) || chr(10) || after AS accepted FROM d)"""
+
+
+def patch_accepted(spark, sf_dir):
+    """Every rendered patch with the strict text that stands for it, where it is acceptable as it is."""
+    patches, lines = render_file_patches(Tables(spark, sf_dir).documents)
+    r = accepted_patches(patches, lines, instance_col="instance_id")
+    return r.select(F.col("patch_id").alias("doc_id"), F.md5("accepted").alias("accepted_md5"))
+
+
+register("patch_accepted", f"""
+WITH {_PATCHED_SQL}
+SELECT doc_id, CASE WHEN kind IN (5, 7, 8) OR kind = 3 AND n > 1 THEN NULL ELSE md5(accepted) END AS accepted_md5 FROM strict
+""")(patch_accepted)
+
+
 def patch_first_valid(spark, sf_dir):
     patches, lines = render_file_patches(Tables(spark, sf_dir).documents)
-    r = first_valid_variant(patches, lines)
-    return r.select(F.col("patch_id").alias("doc_id"), "variant")
+    r = first_valid_variant(patches, lines, instance_col="instance_id")
+    return r.select(F.col("patch_id").alias("doc_id"), "variant", F.md5("valid_patch").alias("valid_md5"))
 
 
 register("patch_first_valid", f"""
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'minimal' ELSE 'default' END AS variant
-FROM documents WHERE len(string_split(text, chr(10))) >= {MIN_LINES}
+WITH {_PATCHED_SQL}
+SELECT doc_id, CASE WHEN kind IN (7, 8) THEN NULL WHEN kind = 3 AND n > 1 THEN 'minimal' WHEN kind = 5 THEN 'default_no_blank' ELSE 'default' END AS variant,
+       CASE WHEN kind NOT IN (7, 8) THEN md5(accepted) END AS valid_md5
+FROM strict
 """)(patch_first_valid)
 
 
+def patch_minimal(spark, sf_dir):
+    patches, _ = render_file_patches(Tables(spark, sf_dir).documents)
+    r = minimal_patches(parse_patches(patches), "patch_id")
+    return r.select(F.col("patch_id").alias("doc_id"), F.md5("patch").alias("minimal_md5"))
+
+
+register("patch_minimal", f"""
+WITH {_PATCHED_SQL},
+p AS (SELECT *, CAST(m + CASE WHEN kind = 1 THEN 7 ELSE 0 END AS VARCHAR) AS place FROM d)
+SELECT doc_id, md5('--- a/' || f || chr(10) || '+++ b/' || f || chr(10) || CASE WHEN kind = 5 THEN chr(10) ELSE '' END
+                   || '@@ -' || place || ' +' || place || ' @@' || chr(10)
+                   || '-' || CASE WHEN kind = 8 THEN 'no such line' ELSE ls[m] END || CASE WHEN kind = 2 THEN ' ' || chr(9) ELSE '' END || chr(10)
+                   || '+patched ' || CAST(m AS VARCHAR) || CASE WHEN kind = 4 THEN '  ' ELSE '' END
+                   || CASE WHEN kind = 7 THEN '' ELSE chr(10) END) AS minimal_md5
+FROM p
+""")(patch_minimal)
+
+
 def patch_collapse(spark, sf_dir):
     patches, _ = render_file_patches(Tables(spark, sf_dir).documents)
     c = collapse_blank_before_hunks(F.col("patch"))
@@ -277,14 +338,21 @@ def patch_collapse(spark, sf_dir):
 
 
 register("patch_collapse", f"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, 1 + doc_id % 3 AS s,
-                  source || '/' || CASE WHEN doc_id % 7 = 0 THEN 'tests/' ELSE '' END || lang || '/doc_' || CAST(doc_id AS VARCHAR)
-                    || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.md' ELSE '.txt' END AS f
-           FROM documents WHERE len(string_split(text, chr(10))) >= {MIN_LINES})
-SELECT doc_id, md5('--- a/' || f || chr(10) || '+++ b/' || f || chr(10) || '@@ -' || CAST(s AS VARCHAR) || ',3 +' || CAST(s AS VARCHAR)
-                   || ',3 @@' || chr(10) || ' ' || (CASE WHEN doc_id % 3 = 0 THEN ls[s] || ' X' ELSE ls[s] END) || chr(10)
-                   || '-' || ls[s + 1] || chr(10) || '+patched' || chr(10) || ' ' || ls[s + 2] || chr(10)) AS patch_md5
-FROM d
+WITH {_PATCHED_SQL},
+p AS (SELECT *, CAST(lo + CASE WHEN kind = 1 THEN 7 ELSE 0 END AS VARCHAR) || CASE WHEN hi = lo THEN '' ELSE ',' || CAST(hi - lo + 1 AS VARCHAR) END AS stated,
+             '-' || CASE WHEN kind = 8 THEN 'no such line' ELSE ls[m] END || CASE WHEN kind = 2 THEN ' ' || chr(9) ELSE '' END AS taken,
+             '+patched ' || CAST(m AS VARCHAR) || CASE WHEN kind = 4 THEN '  ' ELSE '' END AS put,
+             CASE WHEN kind = 3 AND m > lo THEN lo WHEN kind = 3 AND hi > lo THEN lo + 1 ELSE 0 END AS odd
+      FROM d),
+t AS (SELECT *, CASE WHEN kind = 6
+                THEN array_to_string(list_transform(ls[lo:hi], lambda x: '-' || x), chr(10)) || chr(10)
+                     || array_to_string(list_transform(ls[lo:hi], lambda x, k: CASE WHEN lo + k - 1 = m THEN put ELSE '+' || x END), chr(10))
+                ELSE array_to_string(list_transform(ls[lo:hi], lambda x, k: CASE WHEN lo + k - 1 = m THEN taken || chr(10) || put
+                                     ELSE ' ' || x || CASE WHEN lo + k - 1 = odd THEN ' X' ELSE '' END END), chr(10)) END AS body
+      FROM p)
+SELECT doc_id, md5('--- a/' || f || chr(10) || '+++ b/' || f || chr(10) || '@@ -' || stated || ' +' || stated || ' @@' || chr(10) || body
+                   || CASE WHEN kind = 7 THEN '' ELSE chr(10) END) AS patch_md5
+FROM t
 """)(patch_collapse)
 
 

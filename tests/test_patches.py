@@ -67,14 +67,14 @@ def test_collapse(spark):
 
 
 def test_minimal_and_first_valid(spark):
-    from quarry.operators.patches import first_valid_variant, minimal_patches
+    from quarry.operators.apply import first_valid_variant, minimal_patches
     p = "--- a/f.py\n+++ b/f.py\n@@ -1,3 +1,3 @@\n wrong\n-b\n+B\n c\n"
     parsed = _parsed(spark, [("p", p)])
     m = minimal_patches(parsed).first().patch
     assert m == "--- a/f.py\n+++ b/f.py\n@@ -2 +2 @@\n-b\n+B\n"
     lines = spark.createDataFrame([("f.py", 1, "a"), ("f.py", 2, "b"), ("f.py", 3, "c")], "path string, line_no int, line string")
-    good = "--- a/f.py\n+++ b/f.py\n\n\n@@ -1,3 +1,3 @@\n a\n-b\n+B\n c\n"
+    blank = "--- a/f.py\n+++ b/f.py\n\n\n@@ -1,3 +1,3 @@\n a\n-b\n+B\n c\n"
     bad = "--- a/f.py\n+++ b/f.py\n@@ -1,2 +1,2 @@\n-x\n+y\n z\n"
     got = {r.patch_id: r.variant for r in first_valid_variant(
-        spark.createDataFrame([("p", p), ("g", good), ("b", bad)], "patch_id string, patch string"), lines).collect()}
-    assert got == {"p": "minimal", "g": "default", "b": None}
+        spark.createDataFrame([("p", p), ("g", blank.replace("\n\n\n", "\n")), ("n", blank), ("b", bad)], "patch_id string, patch string"), lines).collect()}
+    assert got == {"p": "minimal", "g": "default", "n": "default_no_blank", "b": None}

@@ -107,3 +107,11 @@ def test_l1_matches_numpy(spark):
     for qi in range(3):
         files = [r.filename for r in by_file if r.query_id == qi]
         assert len(files) == len(set(files))
+
+
+def test_accents_do_not_matter(spark):
+    rows = [(1, "a.py", "un café noir"), (2, "b.py", "a cafe"), (3, "c.py", "tea")] + [(k, f"{k}.py", "filler words") for k in range(10, 20)]
+    c = spark.createDataFrame([(i, "i", f, f, "", "module", "", 0, t) for i, f, t in rows], content_df(spark).schema)
+    q = spark.createDataFrame([(1, "cafe"), (2, "CAFÉ"), (3, "café")], "query_id long, text string")
+    got = {(r.query_id, r.id) for r in bm25_search(build_text_index(c), c, q, per_instance=False).collect()}
+    assert got == {(k, i) for k in (1, 2, 3) for i in (1, 2)}

@@ -1,13 +1,15 @@
 import re
 import string
+import unicodedata
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import adler32, adler32_bucket
-from quarry.functions.text import (clean_query, exact_only, html_to_text, raw_elem_type, strip_ws, tokenize,
+from quarry.functions.text import (clean_query, exact_only, fold_table, html_to_text, raw_elem_type, strip_ws, tokenize,
                                    with_term_counts)
 from quarry.operators.chunking import fixed_chunks, split_boundaries
 
@@ -47,7 +49,20 @@ def test_boundary_chunks_invariants():
 
 
 def py_tokens(t):
-    return [x for x in re.split(r"[^\w]|_", (t or "").lower()) if x]
+    plain = "".join(c for c in unicodedata.normalize("NFD", (t or "").lower()) if not 0x300 <= ord(c) < 0x370)
+    return [x for x in re.split(r"[^\w]|_", unicodedata.normalize("NFC", plain)) if x]
+
+
+def test_diacritics_are_folded(spark):
+    letters, bases = fold_table()
+    assert dict(zip(letters, bases))["é"] == "e" and "ø" not in letters and "각" not in letters and len(letters) - len(bases) == 0x70
+    con = duckdb.connect()
+    for c, b in zip(letters, bases):
+        assert con.execute("SELECT strip_accents(?)", [c]).fetchone()[0] == b, hex(ord(c))
+    texts = ["Café CAFÉ cafe\u0301", "naïve Ærø", "ǖ ṩ", "plain", None, "日本 각 क़ि", "x\u0301\u0302y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").select("id", tokenize("t").alias("toks"))
+    got = {r.id: r.toks for r in df.collect()}
+    assert got[0] == ["cafe"] * 3 and got[1] == ["naive", "ærø"] and got[2] == ["u", "s"] and got[3] == ["plain"] and got[4] == [] and got[6] == ["xy"]
 
 
 def test_tokenize_and_counts(spark):

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.text import decode_references, html_to_text
+from quarry.operators.apply import minimal_patches
 from quarry.operators.elements import element_displays, extract_elements, latest_by_name
 from quarry.operators.inference import RateLimitError, TokenLimitError, call_cached
 from quarry.operators.lookup import lookup_with_fallback
-from quarry.operators.patches import fit_check, minimal_patches, parse_patches, parse_status, patch_stats
+from quarry.operators.patches import fit_check, parse_patches, parse_status, patch_stats
 from quarry.operators.render import offsets_to_lines
 from quarry.operators.replies import parse_query_payload
 
