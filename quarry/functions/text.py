@@ -77,7 +77,7 @@ def fold_table() -> tuple[str, str]:
     letters, bases = [], []
     for c in map(chr, range(0xC0, sys.maxunicode + 1)):
         base, *marks = unicodedata.normalize("NFD", c) if unicodedata.decomposition(c)[:1] not in ("", "<") else c
-        if marks and all(ord(m) in DIACRITICS for m in marks):
+        if marks and ord(base) not in DIACRITICS and all(ord(m) in DIACRITICS for m in marks):
             letters.append(c)
             bases.append(base)
     return "".join(letters) + "".join(map(chr, DIACRITICS)), "".join(bases)
