@@ -97,7 +97,8 @@ def parse_patches(patches: DataFrame, id_col: str = "patch_id", patch_col: str =
         is_tgt.alias("is_tgt_hdr"),
         F.sum(is_src.cast("int")).over(w).alias("file_no"),
         F.last(F.when(is_src, _path(line)), True).over(w).alias("source_file"),
-        F.last(F.when(is_tgt, _path(line)), True).over(w).alias("target_file"),
+        # a new source line ends the target before it
+        F.last(F.when(is_src | is_tgt, F.struct(F.when(is_tgt, _path(line)).alias("path"))), True).over(w)["path"].alias("target_file"),
     )
     return p3.select(
         id_col, *keep, "pos", "line",
@@ -124,30 +125,39 @@ def parse_status(parsed: DataFrame, id_col: str = "patch_id", colocated_by: str
 
 
 def is_modified(source_file: Column, target_file: Column) -> Column:
-    """Neither added nor removed (PCH-2)."""
+    """Neither side is ``/dev/null`` (PCH-2; see :func:`empty_range` for the other sign of an added or removed file)."""
     return (source_file != DEV_NULL) & (target_file != DEV_NULL)
 
 
+def empty_range() -> Column:
+    """A hunk that starts at ``-0,0`` or ``+0,0``: as the only one of a file it adds or removes the file (PCH-2)."""
+    return ((F.col("src_start") == 0) & (F.col("src_len") == 0)) | ((F.col("tgt_start") == 0) & (F.col("tgt_len") == 0))
+
+
 def clean_path(source_file: Column) -> Column:
     """Drop a leading ``a/`` (PCH-3)."""
     return F.regexp_replace(source_file, r"^a/", "")
 
 
-def patch_files(parsed: DataFrame, id_col: str = "patch_id") -> DataFrame:
+def _whole_files(rows: DataFrame, id_col: str, colocated_by: str | None) -> DataFrame:
+    """``modified`` for rows that carry ``is_hdr``, ranges and files: decided on all hunks of the (patch, file)."""
+    w = Window.partitionBy(*([colocated_by] if colocated_by else []), id_col, "file_no")
+    alone = (F.count_if("is_hdr").over(w) == 1) & (F.count_if(F.col("is_hdr") & empty_range()).over(w) == 1)
+    return rows.withColumn("modified", is_modified(F.col("source_file"), F.col("target_file")) & ~alone)
+
+
+def patch_files(parsed: DataFrame, id_col: str = "patch_id", colocated_by: str | None = None) -> DataFrame:
     """One row per file of each patch (taken at its ``+++`` line, where both paths are known)."""
-    return (parsed.where("is_tgt_hdr")
-            .select(id_col, "file_no", "source_file", "target_file",
-                    clean_path(F.col("source_file")).alias("path"),
-                    is_modified(F.col("source_file"), F.col("target_file")).alias("modified")))
+    rows = _whole_files(parsed.where("is_tgt_hdr OR is_hdr"), id_col, colocated_by)
+    return rows.where("is_tgt_hdr").select(id_col, "file_no", "source_file", "target_file", clean_path(F.col("source_file")).alias("path"), "modified")
 
 
-def patch_hunks(parsed: DataFrame, id_col: str = "patch_id") -> DataFrame:
+def patch_hunks(parsed: DataFrame, id_col: str = "patch_id", colocated_by: str | None = None) -> DataFrame:
     """One row per hunk: source range ``[src_start, src_start + src_len)`` (PCH-4)."""
-    return (parsed.where("is_hdr")
+    return (_whole_files(parsed.where("is_hdr"), id_col, colocated_by)
             .select(id_col, "file_no", "hunk_no", clean_path(F.col("source_file")).alias("path"),
                     "src_start", "src_len", "tgt_start", "tgt_len",
-                    (F.col("src_start") + F.col("src_len")).alias("src_end"),
-                    is_modified(F.col("source_file"), F.col("target_file")).alias("modified")))
+                    (F.col("src_start") + F.col("src_len")).alias("src_end"), "modified"))
 
 
 def patch_stats(parsed: DataFrame, id_col: str = "patch_id", code_only: bool = True,
@@ -157,26 +167,35 @@ def patch_stats(parsed: DataFrame, id_col: str = "patch_id", code_only: bool = T
     Only modified files count, and only ``.py`` ones when ``code_only``.
     A patch keeps a row (zeros when nothing qualifies) unless it does not parse
     (:func:`parse_status`); ``skip_unparsable=False`` keeps those too.
+
+    Lines are counted by hunk, hunks by file, files by patch, all in the partitioning
+    of the lines; whether the patch parses comes out of the same counts.
     """
-    keep = is_modified(F.col("source_file"), F.col("target_file"))
+    keys = ([colocated_by] if colocated_by else []) + [id_col]
+    named = is_modified(F.col("source_file"), F.col("target_file"))
     if code_only:
-        keep = keep & F.col("source_file").endswith(".py")
-    keep = F.coalesce(keep, F.lit(False))
-    added = F.col("marker") == "+"
-    imp = F.lit(False)
+        named = named & F.col("source_file").endswith(".py")
+    named = F.coalesce(named, F.lit(False))
+    is_hdr, marker = F.col("is_hdr"), F.col("marker")
+    imported = F.lit(False)
     for p in IMPORT_PREFIXES:
-        imp = imp | F.col("value").startswith(p)
-    keys = ([colocated_by] if colocated_by else []) + [id_col]
-    out = parsed.groupBy(*keys).agg(
-        F.count_if(keep & F.col("is_tgt_hdr")).cast("long").alias("num_files"),
-        F.count_if(keep & F.col("is_hdr")).cast("long").alias("num_edits"),
-        F.count_if(keep & F.col("marker").isin("+", "-")).cast("long").alias("num_lines"),
-        F.count_if(keep & added & imp).cast("long").alias("num_imports"),
-    )
-    if skip_unparsable:  # same keys as the lines are partitioned by: no further exchange
-        ok = parse_status(parsed, id_col, colocated_by).where("parse_ok").select(*keys)
-        out = out.join(ok, keys, "left_semi")
-    return out.drop(colocated_by) if colocated_by else out
+        imported = imported | F.col("value").startswith(p)
+    hunks = parsed.groupBy(*keys, "file_no", "hunk_no").agg(
+        F.count_if(named & F.col("is_tgt_hdr")).alias("_files"), F.count_if(named & is_hdr).alias("_edits"),
+        F.count_if(named & marker.isin("+", "-")).alias("_lines"), F.count_if(named & (marker == "+") & imported).alias("_imports"),
+        F.count_if(is_hdr).alias("_hunks"), F.count_if(is_hdr & empty_range()).alias("_empty"),
+        F.max(F.when(is_hdr, F.col("src_len"))).alias("_s"), F.max(F.when(is_hdr, F.col("tgt_len"))).alias("_t"),
+        F.count_if(marker.isin(" ", "-")).alias("_old"), F.count_if(marker.isin(" ", "+")).alias("_new"),
+        F.bool_and(F.when(is_hdr, F.col("source_file").isNotNull() & F.col("target_file").isNotNull())).alias("_headed"))
+    sound = (F.col("_hunks") == 0) | ((F.col("_s") == F.col("_old")) & (F.col("_t") == F.col("_new")) & F.col("_headed"))
+    names = ["files", "edits", "lines", "imports"]
+    files = hunks.groupBy(*keys, "file_no").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in names], F.sum("_hunks").alias("_hunks"), F.sum("_empty").alias("_empty"),
+                                                F.bool_and(sound).alias("_sound"))
+    counted = ~((F.col("_hunks") == 1) & (F.col("_empty") == 1))
+    out = files.groupBy(*keys).agg(*[F.sum(F.when(counted, F.col(f"_{n}")).otherwise(0)).cast("long").alias(f"num_{n}") for n in names], F.bool_and("_sound").alias("_ok"))
+    if skip_unparsable:
+        out = out.where("_ok")
+    return out.select(id_col, "num_files", "num_edits", "num_lines", "num_imports")
 
 
 def collapse_blank_before_hunks(patch: Column) -> Column:
@@ -184,13 +203,6 @@ def collapse_blank_before_hunks(patch: Column) -> Column:
     return F.regexp_replace(patch, r"\n{2,}@@", "\n@@")
 
 
-def padded_range(start: Column, length: Column, n_lines: Column, pad: int = CONTEXT_PAD):
-    """1-based inclusive line range of a hunk padded by ``pad`` and clipped (JN-6)."""
-    lo = F.greatest(F.lit(1), start - pad)
-    hi = F.least(n_lines, start + length + pad - 1)
-    return lo, hi
-
-
 def fit_check(parsed: DataFrame, file_lines: DataFrame, id_col: str = "patch_id",
               relaxed: bool = False, instance_col: str | None = None) -> DataFrame:
     """Does every hunk's old side equal the file at the stated lines? (PCH-8, JN-9).
@@ -219,52 +231,59 @@ def fit_check(parsed: DataFrame, file_lines: DataFrame, id_col: str = "patch_id"
 
 
 def patch_stats_fold(patches: DataFrame, id_col: str = "patch_id", patch_col: str = "patch",
-                     code_only: bool = True) -> DataFrame:
+                     code_only: bool = True, skip_unparsable: bool = True) -> DataFrame:
     """AGG-1 as one ``aggregate`` per patch row: no explode, no shuffle, no sort.
 
-    The fold carries the remaining old/new counts of the current hunk, the
-    current source path and whether the current file counts; the rules are
-    those of :func:`parse_patches` + :func:`patch_stats` (a line is body
-    while either count remains; headers are recognised only outside a body).
-    Use it when only the per-patch counts are needed; the window parser
-    gives line-level rows.
+    The rules are those of :func:`parse_patches` + :func:`patch_stats`.  The fold carries
+    what is left of the current hunk, the current file with its own counts, and the
+    counts of the files before it; a file's counts join them when the next file starts.
+    Each line takes one branch.  Use it when only the per-patch counts are needed; the
+    window parser gives line-level rows.
     """
     lines = F.split(F.coalesce(F.col(patch_col), F.lit("")), "\n")
-    zero = F.lit(0).cast("long")
-    init = F.struct(zero.alias("ro"), zero.alias("rn"), F.lit(None).cast("string").alias("src"),
-                    F.lit(False).alias("keep"), zero.alias("files"), zero.alias("edits"), zero.alias("nl"), zero.alias("ni"))
-    imp_prefixes = [p for p in IMPORT_PREFIXES]
+    zero, no = F.lit(0).cast("long"), F.lit(False)
+    # a body line rewrites few fields; what changes by hunk or file only is nested
+    layout = {"": ["ro", "rn", "nl", "ni", "keep", "file", "all"], "file": ["src", "tgt", "hunks", "empty", "files", "edits"], "all": ["files", "edits", "nl", "ni", "ok"]}
+    first = {"src": F.lit(None).cast("string"), "tgt": no, "keep": no, "ok": F.lit(True)}
+
+    def part(name, old, **changed):
+        return F.struct(*[(changed[f] if f in changed else old[f] if old is not None else first.get(f, zero)).alias(f) for f in layout[name]])
+
+    def closed(s):
+        """The totals with the current file's counts."""
+        f, t = s["file"], s["all"]
+        counts = (f["hunks"] != 1) | (f["empty"] != 1)
+        return part("all", t, **{k: t[k] + F.when(counts, v).otherwise(zero) for k, v in (("files", f["files"]), ("edits", f["edits"]), ("nl", s["nl"]), ("ni", s["ni"]))})
 
     def step(s, ln):
-        m = F.substring(ln, 1, 1)
+        m, f, t = F.substring(ln, 1, 1), s["file"], s["all"]
         in_hunk = (s["ro"] > 0) | (s["rn"] > 0)
         # cheap prefix tests first; the regex runs only on '@@' lines
-        hdr = F.when(m == "@", ln.rlike(HUNK_RE)).otherwise(F.lit(False))
-        body = ~hdr & in_hunk
-        ctx = body & ((m == " ") | (ln == ""))
-        rem = body & (m == "-")
-        add = body & (m == "+")
-        src_hdr = ~body & (m == "-") & ln.startswith("--- ")
-        tgt_hdr = ~body & (m == "+") & ln.startswith("+++ ")
-        keep_now = F.when(tgt_hdr, F.coalesce(
-            (s["src"] != DEV_NULL) & (_path(ln) != DEV_NULL) & (s["src"].endswith(".py") if code_only else F.lit(True)),
-            F.lit(False))).otherwise(F.lit(False))
-        imp = F.lit(False)
-        for p in imp_prefixes:
-            imp = imp | ln.startswith("+" + p)
-        counted_add = F.when(add & s["keep"], imp)
+        hdr = F.when(m == "@", ln.rlike(HUNK_RE)).otherwise(no)
+        start = lambda i: F.regexp_extract(ln, HUNK_RE, i).cast("long")
+        old, new = _len_group(ln, 2), _len_group(ln, 4)
+        empty = ((start(1) == 0) & (old == 0)) | ((start(3) == 0) & (new == 0))
         one = F.lit(1).cast("long")
-        return F.struct(
-            F.when(hdr, _len_group(ln, 2)).when(ctx | rem, s["ro"] - 1).otherwise(s["ro"]).alias("ro"),
-            F.when(hdr, _len_group(ln, 4)).when(ctx | add, s["rn"] - 1).otherwise(s["rn"]).alias("rn"),
-            F.when(src_hdr, _path(ln)).otherwise(s["src"]).alias("src"),
-            F.when(tgt_hdr, keep_now).otherwise(s["keep"]).alias("keep"),
-            F.when(keep_now, s["files"] + one).otherwise(s["files"]).alias("files"),
-            F.when(hdr & s["keep"], s["edits"] + one).otherwise(s["edits"]).alias("edits"),
-            F.when((rem | add) & s["keep"], s["nl"] + one).otherwise(s["nl"]).alias("nl"),
-            F.when(F.coalesce(counted_add, F.lit(False)), s["ni"] + one).otherwise(s["ni"]).alias("ni"),
-        )
-
-    st = F.aggregate(lines, init, step)
-    return patches.select(id_col, st["files"].alias("num_files"), st["edits"].alias("num_edits"),
-                          st["nl"].alias("num_lines"), st["ni"].alias("num_imports"))
+        kept = F.when(s["keep"], one).otherwise(zero)
+        imported = no
+        for p in IMPORT_PREFIXES:
+            imported = imported | ln.startswith("+" + p)
+        keep_now = F.coalesce((f["src"] != DEV_NULL) & (_path(ln) != DEV_NULL) & (f["src"].endswith(".py") if code_only else F.lit(True)), no)
+        hunk_file = part("file", f, hunks=f["hunks"] + 1, empty=f["empty"] + F.when(empty, one).otherwise(zero), edits=f["edits"] + kept)
+        hunk_ok = t["ok"] & (s["ro"] == 0) & (s["rn"] == 0) & f["src"].isNotNull() & f["tgt"]
+        return (F.when(hdr, part("", s, ro=old, rn=new, file=hunk_file, all=part("all", t, ok=hunk_ok)))
+                .when(in_hunk & ((m == " ") | (ln == "")), part("", s, ro=s["ro"] - 1, rn=s["rn"] - 1))
+                .when(in_hunk & (m == "-"), part("", s, ro=s["ro"] - 1, nl=s["nl"] + kept))
+                .when(in_hunk & (m == "+"), part("", s, rn=s["rn"] - 1, nl=s["nl"] + kept, ni=s["ni"] + F.when(imported, kept).otherwise(zero)))
+                .when(~in_hunk & (m == "-") & ln.startswith("--- "), part("", s, nl=zero, ni=zero, keep=no, file=part("file", None, src=_path(ln)), all=closed(s)))
+                .when(~in_hunk & (m == "+") & ln.startswith("+++ "), part("", s, keep=keep_now, file=part("file", f, tgt=F.lit(True), files=f["files"] + F.when(keep_now, one).otherwise(zero))))
+                .otherwise(s))
+
+    # what follows the final line feed is no line
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    start = part("", None, file=part("file", None), all=part("all", None))
+    last = F.aggregate(lines, start, step, lambda s: part("all", closed(s), ok=s["all"]["ok"] & (s["ro"] == 0) & (s["rn"] == 0)))
+    # a generator, so that a filter on its columns cannot pull a second copy of the fold below it
+    rows = F.filter(F.array(last), lambda r: r["ok"]) if skip_unparsable else F.array(last)
+    out = patches.select(id_col, F.inline(rows))
+    return out.select(id_col, *[F.col(f).alias(n) for f, n in (("files", "num_files"), ("edits", "num_edits"), ("nl", "num_lines"), ("ni", "num_imports"))])

@@ -78,3 +78,30 @@ def test_minimal_and_first_valid(spark):
     got = {r.patch_id: r.variant for r in first_valid_variant(
         spark.createDataFrame([("p", p), ("g", blank.replace("\n\n\n", "\n")), ("n", blank), ("b", bad)], "patch_id string, patch string"), lines).collect()}
     assert got == {"p": "minimal", "g": "default", "n": "default_no_blank", "b": None}
+
+
+def test_fold_equals_windows(spark):
+    import random
+    from quarry.operators.patches import patch_stats_fold
+    rnd = random.Random(3)
+    parts = ["--- a/m.py", "+++ b/m.py", "--- /dev/null", "+++ /dev/null", "+++ b/n.md", "@@ -1,2 +1,2 @@", "@@ -0,0 +1 @@", "@@ -3 +0,0 @@", "@@ -4 +4 @@ f", " x", "-y",
+             "+import z", "+from q", "", "noise", "\\ No newline at end of file"]
+    sound = ["--- a/m.py\n+++ b/m.py\n", "@@ -1,2 +1,2 @@\n x\n-y\n+z\n", "@@ -5 +5 @@\n-y\n+import z\n", "@@ -0,0 +1 @@\n+new\n", "--- a/o.py\n+++ b/o.py\n", "@@ -1 +0,0 @@\n-x\n", "--- a/r.md\n+++ b/r.md\n"]
+    texts = ["\n".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) + rnd.choice(["", "\n"]) for _ in range(300)]
+    texts += [sound[0] + "".join(rnd.choice(sound) for _ in range(rnd.randint(0, 7))) for _ in range(300)] + [PATCH, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "patch_id long, patch string")
+    parsed = parse_patches(df)
+    for skip in (True, False):
+        a = {tuple(r) for r in patch_stats(parsed, skip_unparsable=skip).collect()}
+        b = {tuple(r) for r in patch_stats_fold(df, skip_unparsable=skip).select("patch_id", "num_files", "num_edits", "num_lines", "num_imports").collect()}
+        assert a == b
+        assert len(a) == len(texts) if not skip else 200 < len(a) < len(texts)
+
+
+def test_one_empty_range_adds_or_removes_the_file(spark):
+    head = "--- a/m.py\n+++ b/m.py\n"
+    added, removed, two = head + "@@ -0,0 +1 @@\n+x\n", head + "@@ -1 +0,0 @@\n-x\n", head + "@@ -0,0 +1 @@\n+x\n@@ -5 +6 @@\n-x\n+y\n"
+    p = _parsed(spark, [("a", added), ("r", removed), ("t", two)])
+    assert {r.patch_id: (r.num_files, r.num_edits) for r in patch_stats(p).collect()} == {"a": (0, 0), "r": (0, 0), "t": (1, 2)}
+    assert {r.patch_id: r.modified for r in patch_files(p).collect()} == {"a": False, "r": False, "t": True}
+    assert [r.modified for r in patch_hunks(p).orderBy("patch_id", "src_start").collect()] == [False, False, True, True]
