@@ -77,3 +77,62 @@ def parse_query_payload(blocks: DataFrame, id_col: str = "reply_id") -> DataFram
         q["fn_name"].alias("fn_name"), q["class_name"].alias("class_name"), q["method_name"].alias("method_name"),
         q["filename"].alias("filename"), q["line_start"].try_cast("long").alias("line_start"),
         q["line_end"].try_cast("long").alias("line_end"), q["semantic"].alias("semantic"))
+
+
+#: Shapes of JSON payloads, in the order in which they are tried: (name, where, sign).  An
+#: object of a list (``item``) or a whole payload (``whole``) is of the first shape whose sign it has.
+SHAPES = [
+    ("web_queries", "item", "query_type"), ("queries", "item", "query"), ("extractions", "item", "extract"), ("selection", "item", "index"),
+    ("result", "whole", "index"), ("indices", "whole", "indices"), ("relevant", "whole", "relevant"), ("located", "whole", "category"),
+]
+TARGET_FIELDS = ["fn_name", "class_name", "method_name", "filename", "semantic", "query_type", "query", "category"]
+
+
+def parse_payloads(blocks: DataFrame, id_col: str = "reply_id", content_col: str = "content") -> DataFrame:
+    """JSON payloads of all nine shapes -> one row per item, in one pass over the parsed values (RSP-5).
+
+    A list gives a row per element, an object one row; ``item_idx`` is the place in the
+    list (0 for an object).  Columns: ``shape``, ``reasoning``, ``query_kind`` (of a
+    query or extraction), the target's fields, ``numbers`` (a single number counts as a
+    list of one) and ``texts``.  What is no JSON, an element of no known shape, and one
+    whose numbers or texts are of another type come as rows of shape ``corrupt`` with their text in
+    ``reasoning``; so does an object that names a key twice.  An empty list has no rows,
+    a NULL payload has none either.
+    """
+    v = F.try_parse_json(F.col(content_col))
+    listed = F.try_variant_get(F.col("_v"), "$", "array<variant>")
+    rows = blocks.where(F.col(content_col).isNotNull()).select(id_col, F.col(content_col).alias("_text"), v.alias("_v"))
+    rows = rows.select(id_col, "_text", listed.isNotNull().alias("_list"), F.when(listed.isNotNull(), listed).otherwise(F.array("_v")).alias("_items"))
+    rows = rows.select(id_col, "_text", "_list", F.posexplode("_items").alias("_at", "_i"))
+    get = lambda path, kind: F.try_variant_get(F.col("_i"), path, kind)
+    # one typed view of each item; the shape is read off the keys that it has
+    rows = rows.select(id_col, "_text", "_list", "_at", "_i", get("$", "map<string,variant>").alias("_m"),
+                       F.when(F.schema_of_variant("_i") == "STRING", get("$", "string")).alias("_string"))
+    has = lambda key: F.coalesce(F.map_contains_key("_m", F.lit(key)), F.lit(False))
+    shape = F.when(F.col("_list") & F.col("_string").isNotNull(), F.lit("files"))
+    for name, where, sign in SHAPES:
+        shape = shape.when((F.col("_list") == (where == "item")) & has(sign), F.lit(name))
+    target = F.coalesce(get("$.query", "map<string,string>"), get("$.extract", "map<string,string>"), get("$", "map<string,string>"))
+    number_path = {"selection": "$.index", "result": "$.index", "indices": "$.indices", "located": "$.generic_lines"}
+    one, many = F.lit(None).cast("bigint"), F.lit(None).cast("array<bigint>")
+    for name, path in number_path.items():
+        here = F.col("shape") == name
+        one = F.when(here, get(path, "bigint")).otherwise(one)
+        many = F.when(here, get(path, "array<bigint>")).otherwise(many)
+    rows = rows.withColumn("shape", shape)
+    rows = rows.withColumn("_target", F.when(F.col("shape").isin("queries", "extractions", "web_queries", "located"), target))
+    rows = rows.withColumn("numbers", F.coalesce(many, F.when(one.isNotNull(), F.array(one))))
+    rows = rows.withColumn("texts", F.when(F.col("shape") == "files", F.array("_string")).when(F.col("shape") == "relevant", get("$.relevant", "array<string>")))
+    holds = (F.col("shape").isNotNull()
+             & ~(F.col("shape").isin("queries", "extractions") & get("$.query", "map<string,string>").isNull() & get("$.extract", "map<string,string>").isNull())
+             & ~(F.col("shape").isin("selection", "result", "indices") & F.col("numbers").isNull())
+             & ~((F.col("shape") == "relevant") & F.col("texts").isNull()))
+    rows = rows.withColumn("_ok", F.coalesce(holds, F.lit(False)))
+    t = F.when(F.col("_ok"), F.col("_target"))
+    text = F.when(F.col("_i").isNull(), F.col("_text")).otherwise(F.to_json("_i"))
+    return rows.select(
+        id_col, F.col("_at").cast("long").alias("item_idx"), F.when(F.col("_ok"), F.col("shape")).otherwise(F.lit("corrupt")).alias("shape"),
+        F.when(F.col("_ok"), F.coalesce(get("$.reasoning", "string"), get("$.reason", "string"))).otherwise(text).alias("reasoning"),
+        F.when(F.col("_ok") & F.col("shape").isin("queries", "extractions"), query_kind(t)).alias("query_kind"),
+        *[t[f].alias(f) for f in TARGET_FIELDS], t["line_start"].try_cast("long").alias("line_start"), t["line_end"].try_cast("long").alias("line_end"),
+        F.when(F.col("_ok"), F.col("numbers")).alias("numbers"), F.when(F.col("_ok"), F.col("texts")).alias("texts"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators.cache import cache_get, cache_put, to_json_value
 from quarry.operators.chunking import chunk_offsets
 from quarry.operators.render import lookup_range, range_text, offsets_to_lines, FILE_RANGE_LIMIT, line_width
-from quarry.operators.replies import parse_query_payload, parse_replies
+from quarry.operators.replies import parse_payloads, parse_query_payload, parse_replies
 from quarry.plans import register
 from quarry.plans.fixtures import CAP, STEP, chunk_offsets_sql, doc_filename
 from quarry.plans.text_plans import parse_indices
@@ -103,6 +103,56 @@ FROM part
 """)(reply_json)
 
 
+def render_payloads(part: DataFrame) -> DataFrame:
+    """A JSON payload per part: the nine shapes by ``p_partkey % 11``, and one that breaks off."""
+    c, k = F.col, F.col("p_partkey") % 11
+    js = lambda **f: F.struct(*[v.alias(n) for n, v in f.items()])
+    both = F.array(c("p_name"), c("p_brand"))
+    queries = F.concat(F.lit("["), F.to_json(js(reasoning=c("p_type"), query=js(fn_name=c("p_name")))), F.lit(", "),
+                       F.to_json(js(reasoning=c("p_type"), query=js(filename=c("p_brand"), line_start=c("p_size"), line_end=F.lit(-1)))), F.lit("]"))
+    selection = F.concat(F.lit("["), F.to_json(js(reasoning=c("p_type"), index=c("p_size"))), F.lit(","), F.to_json(js(index=F.lit("x"), reasoning=c("p_type"))), F.lit("]"))
+    texts = [queries, F.to_json(both), F.to_json(js(index=c("p_size"))), F.to_json(js(index=F.array(c("p_size"), F.lit(0)))),
+             F.to_json(F.array(js(reasoning=c("p_type"), extract=js(class_name=c("p_brand"), method_name=c("p_name"))))), selection,
+             F.to_json(F.array(js(reason=c("p_type"), query_type=F.lit("docs"), query=c("p_name")))),
+             F.when(c("p_size") % 2 == 0, F.to_json(js(indices=c("p_size")))).otherwise(F.to_json(js(indices=F.array(c("p_size"), F.lit(1))))),
+             F.to_json(js(relevant=both)),
+             F.to_json(js(reasoning=c("p_type"), category=F.lit("function"), fn_name=c("p_name"), generic_lines=F.array(c("p_size")))),
+             F.concat(F.lit('[{"reasoning": "'), c("p_name"))]
+    content = F.when(k == 0, texts[0])
+    for n, t in enumerate(texts[1:], 1):
+        content = content.when(k == n, t)
+    return part.select(F.col("p_partkey").alias("reply_id"), F.concat(F.lit("\n"), content, F.lit("\n")).alias("content"))
+
+
+def reply_payloads(spark, sf_dir):
+    r = parse_payloads(render_payloads(Tables(spark, sf_dir).part))
+    return r.select("reply_id", "item_idx", "shape", F.trim(F.regexp_replace("reasoning", "\n", "")).alias("reasoning"), "query_kind", "fn_name", "class_name", "method_name", "filename",
+                    "semantic", "query_type", "query", "category", "line_start", "line_end", F.array_join("numbers", ",").alias("numbers"), F.array_join("texts", ",").alias("texts"))
+
+
+def _payload_sql(kind: int, idx: int, shape: str, reasoning: str = "p_type", where: str = "TRUE", **fields: str) -> str:
+    text = lambda f: f"CAST({fields.get(f, 'NULL')} AS VARCHAR) AS {f}"
+    num = lambda f: f"CAST({fields.get(f, 'NULL')} AS BIGINT) AS {f}"
+    names = ["query_kind", "fn_name", "class_name", "method_name", "filename", "semantic", "query_type", "query", "category", "numbers", "texts"]
+    return (f"SELECT p_partkey AS reply_id, CAST({idx} AS BIGINT) AS item_idx, '{shape}' AS shape, {reasoning} AS reasoning, {', '.join(map(text, names))}, "
+            f"{num('line_start')}, {num('line_end')} FROM part WHERE p_partkey % 11 = {kind} AND {where}")
+
+
+register("reply_payloads", "\nUNION ALL\n".join([
+    _payload_sql(0, 0, "queries", query_kind="'function'", fn_name="p_name"),
+    _payload_sql(0, 1, "queries", query_kind="'file'", filename="p_brand", line_start="p_size", line_end="-1"),
+    _payload_sql(1, 0, "files", "NULL", texts="p_name"), _payload_sql(1, 1, "files", "NULL", texts="p_brand"),
+    _payload_sql(2, 0, "result", "NULL", numbers="p_size"), _payload_sql(3, 0, "result", "NULL", numbers="CAST(p_size AS VARCHAR) || ',0'"),
+    _payload_sql(4, 0, "extractions", query_kind="'method'", class_name="p_brand", method_name="p_name"),
+    _payload_sql(5, 0, "selection", numbers="p_size"), _payload_sql(5, 1, "corrupt", """'{"index":"x","reasoning":"' || p_type || '"}'"""),
+    _payload_sql(6, 0, "web_queries", query_type="'docs'", query="p_name"),
+    _payload_sql(7, 0, "indices", "NULL", numbers="CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE CAST(p_size AS VARCHAR) || ',1' END"),
+    _payload_sql(8, 0, "relevant", "NULL", texts="p_name || ',' || p_brand"),
+    _payload_sql(9, 0, "located", category="'function'", fn_name="p_name", numbers="p_size"),
+    _payload_sql(10, 0, "corrupt", """'[{"reasoning": "' || p_name"""),
+]))(reply_payloads)
+
+
 # ------------------------------------------------------------------ KV-1..KV-3
 def _event_cache_rows(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("prompt"),

@@ -51,3 +51,29 @@ def test_json_payloads(spark):
     ch = spark.createDataFrame([('{"indices": [2, 0]}',), ('{"indices": 1}',), ("junk",)], "p string") \
         .select(parse_indices(F.col("p")).alias("i")).collect()
     assert [r.i for r in ch] == [[2, 0], [1], None]
+
+
+PAYLOADS = {
+    "q": ('[{"reasoning":"r","query":{"fn_name":"f","line_start":5}},{"reasoning":"x","query":{"semantic":"s"}}, 7, {"a":1}]',
+          [("queries", "r", "function", None, None), ("queries", "x", "semantic", None, None), ("corrupt", "7", None, None, None), ("corrupt", '{"a":1}', None, None, None)]),
+    "files": (' ["a.py",\n"b.py", 1, null]', [("files", None, None, None, ["a.py"]), ("files", None, None, None, ["b.py"]), ("corrupt", "1", None, None, None),
+                                            ("corrupt", "null", None, None, None)]),
+    "one": ('{"index": 3}', [("result", None, None, [3], None)]), "list": ('{"index":[1,2]}', [("result", None, None, [1, 2], None)]),
+    "extract": ('[{"reasoning":"r","extract":{"class_name":"C"}}]', [("extractions", "r", "class", None, None)]),
+    "select": ('[{"reasoning":"r","index":2}]', [("selection", "r", None, [2], None)]),
+    "web": ('[{"reason":"w","query_type":"t","query":"the query"}]', [("web_queries", "w", None, None, None)]),
+    "indices": ('{"indices":[4,0]}', [("indices", None, None, [4, 0], None)]), "relevant": ('{"relevant":["a","b"]}', [("relevant", None, None, None, ["a", "b"])]),
+    "located": ('{"reasoning":"r","category":"function","fn_name":"f","class_name":null,"generic_lines":[1,2]}', [("located", "r", None, [1, 2], None)]),
+    "broken": ("[{broken", [("corrupt", "[{broken", None, None, None)]), "empty": ("[]", []), "null": (None, []), "number": ("12", [("corrupt", "12", None, None, None)]),
+    "wrong": ('{"relevant":"x"}', [("corrupt", '{"relevant":"x"}', None, None, None)]), "twice": ('{"index":1,"index":2}', [("corrupt", '{"index":1,"index":2}', None, None, None)]),
+    "blank": ("", [("corrupt", "", None, None, None)]),
+}
+
+
+def test_payload_shapes(spark):
+    from quarry.operators.replies import parse_payloads
+    df = spark.createDataFrame([(k, v) for k, (v, _) in PAYLOADS.items()], "reply_id string, content string")
+    got = {}
+    for r in parse_payloads(df).orderBy("reply_id", "item_idx").collect():
+        got.setdefault(r.reply_id, []).append((r.shape, r.reasoning, r.query_kind, r.numbers, r.texts))
+    assert got == {k: want for k, (_, want) in PAYLOADS.items() if want}
