@@ -224,6 +224,29 @@ SELECT doc_id, term, array_to_string(l, chr(10) || '---' || chr(10)) AS matches,
 register("rule_matches", _rules_sql())(rule_matches_q)
 
 
+def rule_matches_many(spark, sf_dir):
+    """Document names against a rule per customer and two rules without a needed literal."""
+    t = Tables(spark, sf_dir)
+    own = t.customer.select(F.col("c_custkey").alias("ord"), F.concat(F.lit("(?i)/DOC_"), F.col("c_custkey").cast("string"), F.lit("[.](py|md)$")).alias("match"),
+                            (F.col("c_custkey") % 10 != 0).alias("enabled"), F.col("c_name").alias("content"))
+    free = rules_from_rows(spark, [(-1, "[0-9]7[.]", None, "ends with 7"), (-2, "^.*$", True, "any"), (-3, ".", False, "off")])
+    terms = t.documents.select("doc_id", doc_filename().alias("term"))
+    return rule_matches(terms, own.unionByName(free)).select("doc_id", "term", "matches", "n_matches")
+
+
+register("rule_matches_many", """
+WITH t AS (
+  SELECT doc_id, source || '/' || CASE WHEN doc_id % 7 = 0 THEN 'tests/' ELSE '' END || lang || '/doc_' || CAST(doc_id AS VARCHAR)
+         || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.md' ELSE '.txt' END AS term FROM documents),
+m AS (
+  SELECT doc_id, -2 AS ord, 'any' AS content FROM t
+  UNION ALL SELECT doc_id, -1, 'ends with 7' FROM t WHERE doc_id % 10 = 7 AND doc_id > 9
+  UNION ALL SELECT doc_id, c_custkey, c_name FROM t JOIN customer ON c_custkey = doc_id WHERE doc_id % 3 != 2 AND c_custkey % 10 != 0)
+SELECT t.doc_id, t.term, string_agg(content, chr(10) || '---' || chr(10) ORDER BY ord) AS matches, CAST(count(*) AS BIGINT) AS n_matches
+FROM t JOIN m USING (doc_id) GROUP BY t.doc_id, t.term
+""")(rule_matches_many)
+
+
 # ------------------------------------------------------------------ TXT-8
 def offset_to_line(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("id"), "text")

@@ -1,20 +1,22 @@
 """Rule scan and rule matching (SRC-10, JN-5, AGG-8).
 
 Rules are configuration: ``(ord, match regex, enabled, content)``; a NULL
-``enabled`` means enabled.  Matching a term against every enabled rule is a
-projection, not a join: the rule list is read once on the driver and becomes
-one ``rlike`` test per rule, so
-terms are never paired with rules in a nested-loop join.
+``enabled`` means enabled.  Rules meet terms by trigrams of literals that their
+patterns need, in an equi join; only those pairs are tested, so neither the plan
+nor the driver grows with the rules.
 """
 
 from __future__ import annotations
 
-import json
+import string
 import tomllib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import broadcast_if_small, ship_package, write_table
+
 RULE_SCHEMA = "ord long, match string, enabled boolean, content string"
 RULE_SEPARATOR = "\n---\n"  # fixed value: separator between matched rule texts
 
@@ -40,17 +42,116 @@ def enabled_rules(rules: DataFrame) -> DataFrame:
     return rules.where(F.coalesce(F.col("enabled"), F.lit(True)))
 
 
+#: Length of the pieces by which rules meet terms.
+GRAM = 3
+#: Parts over which a rule without a needed literal is laid, so that its terms are no single key.
+SPREAD = 64
+
+
+def _needed(items) -> tuple[str, ...] | None:
+    """Literals of which each match of a parsed pattern holds at least one; None where no such set is known.
+
+    Runs of ASCII characters that must follow each other count, and what groups and
+    repetitions need; an alternation needs one literal of each branch.  Of several sets
+    the one whose shortest literal is longest wins.
+    """
+    from re import _constants as k
+    found: list[tuple[str, ...]] = []
+    run = ""
+    for op, arg in [*items, (None, None)]:
+        if op is k.LITERAL and 0 < arg < 128:
+            run += chr(arg)
+            continue
+        if op is k.AT:  # zero width: the run goes on
+            continue
+        if run:
+            found.append((run,))
+            run = ""
+        inner = None
+        if op is k.SUBPATTERN:
+            inner = _needed(arg[3])
+        elif op in (k.MAX_REPEAT, k.MIN_REPEAT, k.POSSESSIVE_REPEAT) and arg[0] > 0:
+            inner = _needed(arg[2])
+        elif op is k.ATOMIC_GROUP:
+            inner = _needed(arg)
+        elif op is k.BRANCH:
+            branches = [_needed(b) for b in arg[1]]
+            inner = tuple(sorted({x for b in branches for x in b})) if all(branches) else None
+        if inner:
+            found.append(inner)
+    return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+
+def needed_literals(pattern: str) -> list[str] | None:
+    """Lower-cased literals (ASCII) of which every text that ``pattern`` finds holds at least one.
+
+    None where there is none of at least ``GRAM`` characters.  Patterns are read as
+    Python does; escapes that Java reads otherwise give None, as do patterns that Python cannot read.
+    """
+    import re
+    import warnings
+    if re.search(r"\\[0-9vQEhHRGXN]|&&", pattern):
+        return None
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = re._parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return None
+    got = _needed(tree)
+    return sorted({x.lower() for x in got}) if got and min(map(len, got)) >= GRAM else None
+
+
+def _grams(text: Column) -> Column:
+    n = F.length(text)
+    return F.when(n >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def _ascii_lower(text: Column) -> Column:
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def rule_candidates(terms: DataFrame, rules: DataFrame, term_col: str = "term") -> DataFrame:
+    """``(term, ord, match, content)``: the pairs in which a rule may match, a superset of those in which it does.
+
+    Each needed literal of a rule stands in the index under one of its trigrams, that
+    which fewest terms hold; a term meets the rules of its own trigrams.  A rule
+    without needed literals meets every term.
+    """
+    ship_package(terms.sparkSession)
+
+    @F.pandas_udf("array<string>")
+    def literals(patterns: pd.Series) -> pd.Series:
+        return patterns.map(needed_literals)
+
+    listed = write_table(rules.where(F.col("match").isNotNull()).select("ord", "match", "content", literals("match").alias("_literals")), "rules")
+    grams = write_table(terms.select(term_col, F.explode(_grams(_ascii_lower(F.col(term_col)))).alias("gram")), "term_grams")
+    # (rule, literal, gram) with the number of terms that hold the gram; a literal with an absent gram cannot match
+    asked = listed.where("_literals IS NOT NULL").select("ord", "match", "content", F.explode("_literals").alias("_literal"))
+    asked = asked.select("*", F.explode(_grams(F.col("_literal"))).alias("gram"))
+    wanted = broadcast_if_small(asked.select("gram").distinct())
+    seen = grams.join(wanted, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rule = ["ord", "match", "content", "_literal"]
+    best = (asked.join(broadcast_if_small(seen), "gram", "left").groupBy(*rule)
+            .agg(F.min(F.coalesce("_n", F.lit(0))).alias("_least"), F.min_by("gram", F.struct("_n", "gram")).alias("gram")).where("_least > 0"))
+    met = grams.join(broadcast_if_small(best.select(*rule, "gram")), "gram")
+    met = met.where(F.contains(_ascii_lower(F.col(term_col)), F.col("_literal"))).select(term_col, "ord", "match", "content").distinct()
+    free = listed.where("_literals IS NULL").select("ord", "match", "content", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"))
+    any_term = terms.select(term_col, F.pmod(F.xxhash64(term_col), F.lit(SPREAD)).cast("int").alias("_part"))
+    return met.unionByName(any_term.join(broadcast_if_small(free), "_part").select(term_col, "ord", "match", "content"))
+
+
 def rule_matches(terms: DataFrame, rules: DataFrame, term_col: str = "term") -> DataFrame:
     """Per term: texts of matching enabled rules, in rule order, joined (JN-5, AGG-8).
 
-    Terms are de-duplicated first (each distinct term is tested once), then
-    joined back — the memo of the reference as a plan.
+    Distinct terms meet their candidate rules by trigrams (:func:`rule_candidates`) and
+    are tested by ``rlike`` there only; the result is joined back.  Rules are a table of
+    any length.
     """
-    r = enabled_rules(rules).orderBy("ord").collect()  # configuration: as many rows as somebody wrote by hand
-    t = F.col(term_col)
-    hits = F.array(*[F.when(t.rlike(row["match"]), F.lit(row["content"])) for row in r]) if r else F.array().cast("array<string>")
-    distinct_terms = terms.select(term_col).distinct()
-    matched = distinct_terms.select(term_col, F.array_compact(hits).alias("_m"))
-    matched = matched.select(term_col, F.array_join("_m", RULE_SEPARATOR).alias("matches"),
+    distinct_terms = terms.select(term_col).where(F.col(term_col).isNotNull()).distinct()
+    pairs = rule_candidates(distinct_terms, enabled_rules(rules), term_col).where(F.expr(f"`{term_col}` rlike match"))
+    matched = pairs.groupBy(term_col).agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("_m"))
+    matched = matched.select(term_col, F.array_join(F.transform("_m", lambda x: x["content"]), RULE_SEPARATOR).alias("matches"),
                              F.size("_m").cast("long").alias("n_matches"))
-    return terms.join(matched, term_col)
+    return (terms.join(matched, term_col, "left")
+            .withColumn("matches", F.coalesce("matches", F.lit(""))).withColumn("n_matches", F.coalesce("n_matches", F.lit(0).cast("long"))))
