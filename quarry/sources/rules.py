@@ -129,12 +129,11 @@ def rule_candidates(terms: DataFrame, rules: DataFrame, term_col: str = "term")
     # (rule, literal, gram) with the number of terms that hold the gram; a literal with an absent gram cannot match
     asked = listed.where("_literals IS NOT NULL").select("ord", "match", "content", F.explode("_literals").alias("_literal"))
     asked = asked.select("*", F.explode(_grams(F.col("_literal"))).alias("gram"))
-    wanted = broadcast_if_small(asked.select("gram").distinct())
-    seen = grams.join(wanted, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    seen = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
     rule = ["ord", "match", "content", "_literal"]
-    best = (asked.join(broadcast_if_small(seen), "gram", "left").groupBy(*rule)
+    best = (asked.join(seen, "gram", "left").groupBy(*rule)
             .agg(F.min(F.coalesce("_n", F.lit(0))).alias("_least"), F.min_by("gram", F.struct("_n", "gram")).alias("gram")).where("_least > 0"))
-    met = grams.join(broadcast_if_small(best.select(*rule, "gram")), "gram")
+    met = grams.join(broadcast_if_small(write_table(best.select(*rule, "gram"), "rule_grams")), "gram")
     met = met.where(F.contains(_ascii_lower(F.col(term_col)), F.col("_literal"))).select(term_col, "ord", "match", "content").distinct()
     free = listed.where("_literals IS NULL").select("ord", "match", "content", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"))
     any_term = terms.select(term_col, F.pmod(F.xxhash64(term_col), F.lit(SPREAD)).cast("int").alias("_part"))
@@ -148,7 +147,7 @@ def rule_matches(terms: DataFrame, rules: DataFrame, term_col: str = "term") ->
     are tested by ``rlike`` there only; the result is joined back.  Rules are a table of
     any length.
     """
-    distinct_terms = terms.select(term_col).where(F.col(term_col).isNotNull()).distinct()
+    distinct_terms = write_table(terms.select(term_col).where(F.col(term_col).isNotNull()).distinct(), "terms")
     pairs = rule_candidates(distinct_terms, enabled_rules(rules), term_col).where(F.expr(f"`{term_col}` rlike match"))
     matched = pairs.groupBy(term_col).agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("_m"))
     matched = matched.select(term_col, F.array_join(F.transform("_m", lambda x: x["content"]), RULE_SEPARATOR).alias("matches"),
