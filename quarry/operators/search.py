@@ -22,13 +22,15 @@ per task before it is shuffled.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import (NON_CODE_PATH_LIKE, NON_CODE_TYPES, clean_query,
                                    strip_ws, tokenize, with_term_counts)
 from quarry.operators.index import TextIndex, corpus_stats, term_document_frequency
-from quarry.session import BROADCAST_MAX_ROWS, broadcast_if_small
+from quarry.session import BROADCAST_MAX_ROWS, broadcast_if_small, write_table
 
 # BM25 constants and the IDF floor, default k and over-fetch.
 BM25_K1 = 1.2
@@ -67,6 +69,39 @@ def dir_filter(in_dirs) -> Column | None:
     return cond
 
 
+def like_prefix(d: Column) -> Column:
+    """What a LIKE pattern says literally: its part before the first ``%`` or ``_``."""
+    return F.regexp_extract(d, r"^[^%_]*", 0)
+
+
+def _ascii_lower(c: Column) -> Column:
+    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def in_query_dirs(rows: DataFrame, dirs: DataFrame, wildcards: bool = False, id_col: str = "id") -> DataFrame:
+    """``rows(query_id, id, filename)`` that lie in a directory of their own query (FLT-2, JN-3).
+
+    ``dirs(query_id, dir)``: a path lies in a directory that it starts with, ASCII case
+    ignored.  Queries that name no directory keep all their rows.  Each path gives its
+    prefixes of the lengths that directories have, and these meet ``dirs`` in an equi
+    join on (query, prefix).  ``%`` and ``_`` stand for themselves unless
+    ``wildcards`` asks for LIKE; then the part before the first of them is the key.
+    """
+    d = dirs.where(F.col("dir").isNotNull()).select("query_id", _ascii_lower(F.col("dir")).alias("dir")).distinct()
+    d = write_table(d.withColumn("prefix", like_prefix(F.col("dir")) if wildcards else F.col("dir")), "query_dirs")
+    lengths = sorted(r[0] for r in d.select(F.length("prefix")).distinct().collect())  # no more than the longest path has characters
+    asking = broadcast_if_small(d.select("query_id").distinct())
+    free = rows.join(asking, "query_id", "left_anti").select("query_id", id_col)
+    path = _ascii_lower(F.col("filename"))
+    keys = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("filename")) if lengths else F.array().cast("array<int>")
+    tried = rows.join(asking, "query_id", "left_semi").select("query_id", id_col, path.alias("_path"), F.explode(keys).alias("_n"))
+    tried = tried.withColumn("prefix", F.substring("_path", F.lit(1), F.col("_n")))
+    met = tried.join(broadcast_if_small(d), ["query_id", "prefix"])
+    if wildcards:
+        met = met.where(F.expr("_path LIKE concat(dir, '%')"))
+    return free.unionByName(met.select("query_id", id_col).distinct())
+
+
 def combine_filters(*conds) -> Column | None:
     out = None
     for c in conds:
@@ -110,12 +145,14 @@ def query_terms(queries: DataFrame, text_col: str = "text", keep=("instance_id",
 
 
 def bm25_scores(index: TextIndex, queries: DataFrame, per_instance: bool = True, stats_scope=(),
-                k1: float = BM25_K1, b: float = BM25_B, text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
+                k1: float = BM25_K1, b: float = BM25_B, text_col: str = "text", allowed: DataFrame | None = None,
+                narrow=None) -> DataFrame:
     """(query_id, id, score) for rows holding *all* query terms; smaller is better.
 
     ``stats_scope`` names the columns N, avgdl and df are grouped by:
     ``()`` for the whole corpus, ``("shard",)`` or ``("instance_id",)``.
-    ``allowed`` (a frame of ids) narrows the candidates before they are scored.
+    ``allowed`` (a frame of ids) and ``narrow`` (from ``(query_id, id)`` to the rows
+    to keep) narrow the candidates before they are scored.
     """
     id_col = index.id_col
     inst = ["instance_id"] if per_instance else []
@@ -134,7 +171,6 @@ def bm25_scores(index: TextIndex, queries: DataFrame, per_instance: bool = True,
     # with a term absent from the corpus has no candidate at all.
     # df of the query terms is tiny (one row per distinct query term): write it
     # once, so the candidate bound below and the scoring read the same table
-    from quarry.session import write_table
     dfreq = write_table(dfreq, "dfreq")
     dglob = dfreq.groupBy("term").agg(F.sum("df").alias("_gdf"))
     rare = (qt.join(dglob, "term")
@@ -149,6 +185,8 @@ def bm25_scores(index: TextIndex, queries: DataFrame, per_instance: bool = True,
     cand = terms.join(F.broadcast(rare_side) if small_queries else rare_side, ["term"] + inst).select("query_id", id_col)
     if allowed is not None:
         cand = cand.join(allowed, id_col, "left_semi")
+    if narrow is not None:
+        cand = narrow(cand)
     pairs = cand.join(qt.select("query_id", "term", "qtf", "n_terms"), "query_id")
     if bound <= BROADCAST_MAX_ROWS:
         pairs = F.broadcast(pairs)
@@ -171,15 +209,19 @@ def bm25_scores(index: TextIndex, queries: DataFrame, per_instance: bool = True,
 def bm25_search(index: TextIndex, content: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                 over_fetch: int = OVER_FETCH, elem_type=None, in_dirs=None, dedup: bool = True,
                 dedup_by_file: bool = False, per_instance: bool = True, stats_scope=(),
-                score_round: int | None = 6, text_col: str = "text") -> DataFrame:
+                score_round: int | None = 6, text_col: str = "text", wildcards: bool = False) -> DataFrame:
     """BM25 top-k per query with pre-filters, over-fetch, de-dup (SCH-3..SCH-7).
 
     A query whose text has no term after clean-up returns no rows (SCH-5).
+    ``in_dirs`` is a list for all queries or a table ``(query_id, dir)``
+    (:func:`in_query_dirs`).
     """
     id_col = index.id_col
-    cond = combine_filters(elem_type_filter(elem_type), dir_filter(in_dirs))
+    by_query = isinstance(in_dirs, DataFrame)
+    cond = combine_filters(elem_type_filter(elem_type), None if by_query else dir_filter(in_dirs))
     allowed = content.where(cond).select(id_col) if cond is not None else None
-    scores = bm25_scores(index, queries, per_instance, stats_scope, text_col=text_col, allowed=allowed)
+    narrow = (lambda cand: in_query_dirs(cand.join(content.select(id_col, "filename"), id_col), in_dirs, wildcards, id_col)) if by_query else None
+    scores = bm25_scores(index, queries, per_instance, stats_scope, text_col=text_col, allowed=allowed, narrow=narrow)
     dist = F.round("score", score_round) if score_round is not None else F.col("score")
     scores = scores.withColumn("distance", dist)
     n_q = queries.select("query_id").distinct().count()
@@ -204,7 +246,7 @@ def l1_distance(a, b) -> Column:
 def l1_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, over_fetch: int = OVER_FETCH,
               elem_type=None, in_dirs=None, dedup: bool = True, dedup_by_file: bool = True,
               id_col: str = "id", vec_col: str = "embedding", qvec_col: str = "qvec",
-              score_round: int | None = 6, content: DataFrame | None = None) -> DataFrame:
+              score_round: int | None = 6, content: DataFrame | None = None, wildcards: bool = False) -> DataFrame:
     """Exact L1 top-k per query inside its instance (SCH-1, JN-1, JN-4).
 
     ``corpus``: (id, instance_id, embedding, ...content columns).  Rows with an
@@ -213,13 +255,19 @@ def l1_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, over_fe
     part in scoring; the content columns are joined after the top-k.
     """
     content = content if content is not None else corpus
-    cond = combine_filters(elem_type_filter(elem_type), dir_filter(in_dirs))
+    by_query = isinstance(in_dirs, DataFrame)
+    cond = combine_filters(elem_type_filter(elem_type), None if by_query else dir_filter(in_dirs))
     cand = corpus.where(F.size(vec_col) > 0)
     if cond is not None:
         cand = cand.where(cond)
-    cand = cand.select(id_col, "instance_id", vec_col)
     q = broadcast_if_small(queries.select("query_id", "instance_id", qvec_col))
-    scored = cand.join(q, "instance_id").select(
+    if by_query:  # decided on paths, before any vector is looked at
+        paths = cand.select(id_col, "instance_id", "filename").join(q.drop(qvec_col), "instance_id").select("query_id", id_col, "filename")
+        pairs = in_query_dirs(paths, in_dirs, wildcards, id_col)
+        asked = cand.select(id_col, vec_col).join(pairs, id_col).join(q.drop("instance_id"), "query_id")
+    else:
+        asked = cand.select(id_col, "instance_id", vec_col).join(q, "instance_id")
+    scored = asked.select(
         "query_id", id_col, l1_distance(vec_col, qvec_col).alias("score"))
     dist = F.round("score", score_round) if score_round is not None else F.col("score")
     scored = scored.withColumn("distance", dist)

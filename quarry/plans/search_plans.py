@@ -140,11 +140,14 @@ def search_filters(spark, sf_dir):
                                  elem_type="code", in_dirs=["src1", "src2/en"]))
 
 
-def _bm25_sql(k: int, scope: str = "corpus", where: str = "TRUE") -> str:
+def _bm25_sql(k: int, scope: str = "corpus", where: str = "TRUE", dirs: str | None = None, over_fetch: int = 3) -> str:
     shard_cols = scope == "shard"
     skey = "shard" if shard_cols else "0"
+    in_dirs = """
+    AND (NOT EXISTS (SELECT 1 FROM dirs d WHERE d.query_id = sc.query_id)
+         OR EXISTS (SELECT 1 FROM dirs d JOIN content_rows c ON starts_with(lower(c.filename), lower(d.dir)) WHERE d.query_id = sc.query_id AND c.id = sc.id))""" if dirs else ""
     return f"""
-WITH {CONTENT_ROWS_SQL},
+WITH {f"dirs AS ({dirs})," if dirs else ""}{CONTENT_ROWS_SQL},
 {_TOKS_SQL},
 lens2 AS (SELECT *, {(_adler_bucket_sql('instance_id', N_SHARDS) if shard_cols else '0')} AS skey FROM lens),
 post2 AS (SELECT p.*, l.dl, l.skey FROM post p JOIN lens2 l USING (id)),
@@ -168,9 +171,9 @@ sc AS (
 ),
 hits AS (
   SELECT sc.query_id, sc.id, round(-sc.s, 6) AS distance FROM sc JOIN nt USING (query_id)
-  WHERE sc.m = nt.n_terms AND sc.id IN (SELECT id FROM content_rows WHERE {where})
+  WHERE sc.m = nt.n_terms AND sc.id IN (SELECT id FROM content_rows WHERE {where}){in_dirs}
 ),
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM hits QUALIFY r <= {3 * k}),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM hits QUALIFY r <= {over_fetch * k}),
 j AS (SELECT top.*, c.doc_id, c.filename, c.elem_name, c.parent_name, c.elem_type, c.split_idx FROM top JOIN content_rows c USING (id)),
 dd AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY query_id, filename, elem_name, parent_name, elem_type, split_idx ORDER BY r) = 1),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM dd)
@@ -185,6 +188,26 @@ register("search_filters", _bm25_sql(
              "AND (filename ILIKE 'src1%' OR filename ILIKE 'src2/en%')"))(search_filters)
 
 
+# ------------------------------------------------------------------ FLT-2 / JN-3: directories of each query
+def query_dirs(benchmark: DataFrame) -> DataFrame:
+    """``(query_id, dir)``: two directories for most queries, one of them in capitals; every fourth query names none."""
+    i = F.col("item_id")
+    src = lambda n: F.concat(F.lit("src"), (n % 20).cast("string"))
+    d = F.array(F.concat(src(i), F.lit("/")), F.concat(F.upper(src(i * 7 + 1)), F.lit("/"), F.when(i % 2 == 0, F.lit("en")).otherwise(F.lit(""))))
+    return benchmark.where(i % 4 != 3).select(i.alias("query_id"), F.explode(d).alias("dir"))
+
+
+def search_in_dirs(spark, sf_dir):
+    c = _content(spark, sf_dir)
+    idx = build_text_index(c, colocated_by="doc_id").materialize()
+    return _bm25_out(bm25_search(idx, c, _bench_queries(spark, sf_dir), k=5, per_instance=False, in_dirs=query_dirs(Tables(spark, sf_dir).benchmark)))
+
+
+_QUERY_DIRS_SQL = """SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS VARCHAR) || '/' AS dir FROM benchmark WHERE item_id % 4 != 3
+  UNION ALL SELECT item_id, 'SRC' || CAST((item_id * 7 + 1) % 20 AS VARCHAR) || CASE WHEN item_id % 2 = 0 THEN '/en' ELSE '/' END FROM benchmark WHERE item_id % 4 != 3"""
+register("search_in_dirs", _bm25_sql(5, dirs=_QUERY_DIRS_SQL))(search_in_dirs)
+
+
 # ------------------------------------------------------------------ PRM-4 / AGG-9
 def result_text_blocks(ranked: DataFrame) -> DataFrame:
     """Ordered "Result Index" blocks per query; a query without results gets '' (PRM-4)."""

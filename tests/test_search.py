@@ -115,3 +115,30 @@ def test_accents_do_not_matter(spark):
     q = spark.createDataFrame([(1, "cafe"), (2, "CAFÉ"), (3, "café")], "query_id long, text string")
     got = {(r.query_id, r.id) for r in bm25_search(build_text_index(c), c, q, per_instance=False).collect()}
     assert got == {(k, i) for k in (1, 2, 3) for i in (1, 2)}
+
+
+def test_directories_of_each_query(spark):
+    from quarry.operators.search import in_query_dirs
+    paths = ["pkg/a.py", "pkg/tests/b.py", "PKG/c.py", "docs/x.md", "p_g/d.py", "pxg/e.py", "%/f", "", "dé/g"]
+    dirs = [(1, "pkg/"), (1, "docs"), (2, "P_G"), (3, ""), (4, "%"), (5, None), (6, "none/"), (7, "pkg/"), (7, "pkg"), (8, "dé"), (9, "%tests")]
+    rows = spark.createDataFrame([(q, i, p) for q in range(1, 11) for i, p in enumerate(paths)], "query_id long, id long, filename string")
+    d = spark.createDataFrame(dirs, "query_id long, dir string")
+    for wild in (False, True):
+        def inside(p, x):
+            if not wild:
+                return p.lower().startswith(x.lower())
+            return re.match("".join(".*" if ch == "%" else "." if ch == "_" else re.escape(ch) for ch in x.lower()), p.lower(), re.S) is not None
+        own = {q: [x for k, x in dirs if k == q and x is not None] for q in range(1, 11)}
+        want = {(q, i) for q in range(1, 11) for i, p in enumerate(paths) if not own[q] or any(inside(p, x) for x in own[q])}
+        got = [(r.query_id, r.id) for r in in_query_dirs(rows, d, wild).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    c = content_df(spark)
+    q = spark.createDataFrame([(1, "parse tree"), (2, "parse tree")], "query_id long, text string")
+    t = spark.createDataFrame([(1, "docs/"), (1, "pkg/tests/")], "query_id long, dir string")
+    got = {(r.query_id, r.id) for r in bm25_search(build_text_index(c), c, q, per_instance=False, dedup=False, in_dirs=t).collect()}
+    assert got == {(1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (2, 5)}
+    vec = spark.createDataFrame([(i, "i", p, "e", "", "function", 0, [float(i)]) for i, p in enumerate(paths)],
+                                "id long, instance_id string, filename string, elem_name string, parent_name string, elem_type string, split_idx long, embedding array<double>")
+    qv = spark.createDataFrame([(1, "i", [0.0]), (2, "i", [0.0])], "query_id long, instance_id string, qvec array<double>")
+    near = {(r.query_id, r.id) for r in l1_search(vec, qv, k=2, in_dirs=spark.createDataFrame([(1, "docs"), (1, "pxg")], "query_id long, dir string")).collect()}
+    assert near == {(1, 3), (1, 5), (2, 0), (2, 1)}
