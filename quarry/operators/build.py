@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from quarry.functions.text import strip_ws, tokenize
 from quarry.operators.chunking import DEFAULT_CAPACITY, fixed_chunks
 from quarry.operators.elements import element_displays, extract_elements, index_rows
-from quarry.operators.maintenance import N_SHARDS, new_version_path, tag_rows, with_shard
+from quarry.operators.maintenance import N_SHARDS, new_version_path, tag_rows
 from quarry.operators.search import l1_search
+from quarry.operators.versions import manifest, read_index, unbuilt, write_version
 from quarry.session import write_table
 
 VECTOR_DIM = 64
@@ -49,27 +50,16 @@ def index_table(files: DataFrame, capacity: int = DEFAULT_CAPACITY, dim: int = V
     return tagged.join(vectors, "id", "left").withColumn("embedding", F.coalesce("embedding", F.array().cast("array<double>")))
 
 
-def build_index(spark: SparkSession, files: DataFrame, capacity: int = DEFAULT_CAPACITY, dim: int = VECTOR_DIM, shards: int = N_SHARDS) -> DataFrame:
-    """Build, write a new version by shard, and read it back."""
-    path = new_version_path(spark, "index")
-    tasks = max(shards, spark.sparkContext.defaultParallelism)
-    (with_shard(index_table(files, capacity, dim), shards).repartition(tasks, "shard", "instance_id")
-     .write.mode("errorifexists").partitionBy("shard").parquet(path))
-    return spark.read.parquet(path)
+def build_index(spark: SparkSession, files: DataFrame, root: str | None = None, capacity: int = DEFAULT_CAPACITY, dim: int = VECTOR_DIM,
+                shards: int = N_SHARDS, force: bool = True) -> DataFrame:
+    """Build the instances of ``files`` into the versioned index at ``root`` (a new one by default) and read it back.
 
-
-def refresh_instances(spark: SparkSession, path: str, new_rows: DataFrame, shards: int = N_SHARDS) -> None:
-    """Replace the instances of ``new_rows`` in an index; only the shards that hold them are rewritten (SNK-3)."""
-    rows = write_table(with_shard(new_rows.drop("shard"), shards), "index_refresh")
-    touched = [r.shard for r in rows.select("shard").distinct().collect()]  # at most ``shards`` values
-    if not touched:
-        return
-    old = spark.read.parquet(path).where(F.col("shard").isin(touched))
-    kept = old.join(rows.select("instance_id").distinct(), "instance_id", "left_anti")
-    merged = write_table(kept.select(*rows.columns).unionByName(rows), "index_refresh")
-    tasks = max(len(touched), spark.sparkContext.defaultParallelism)
-    (merged.repartition(tasks, "shard", "instance_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("shard").parquet(path))
+    ``force`` rebuilds all of them; otherwise only those without a manifest row are built.
+    """
+    root = root or new_version_path(spark, "index")
+    wanted = unbuilt(files.select("instance_id").distinct(), manifest(spark, root), force)
+    write_version(spark, root, index_table(files.join(wanted, "instance_id", "left_semi"), capacity, dim), wanted, shards)
+    return read_index(spark, root)
 
 
 def search_by_text(index: DataFrame, queries: DataFrame, k: int = 15, dim: int = VECTOR_DIM, **options) -> DataFrame:

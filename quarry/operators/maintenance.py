@@ -1,9 +1,7 @@
 """Index tables: build, replace by instance, build-once guard, sinks (SNK-1..SNK-6, JN-2, SET-1, SET-2).
 
-The index is a Parquet table partitioned by ``shard``; every write goes to a
-**new** folder (a version) and the caller swaps the pointer, so a failed job
-never leaves a half-written table and a retried task rewrites only its own
-files.  The manifest is a table of finished instance ids.
+Rows get their tag and id here; :mod:`quarry.operators.versions` stores them in
+versions with a manifest.
 """
 
 from __future__ import annotations
@@ -35,34 +33,6 @@ def tag_rows(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("exact_only", exact_only("filename", "elem_name", "display_level")).withColumn("id", key)
 
 
-def write_index(rows: DataFrame, path: str) -> str:
-    """Write a version partitioned by shard (one folder per shard, several tasks a shard)."""
-    tasks = max(N_SHARDS, rows.sparkSession.sparkContext.defaultParallelism)
-    with_shard(rows).repartition(tasks, "shard", "instance_id").write.mode("errorifexists").partitionBy("shard").parquet(path)
-    return path
-
-
-def remove_instances(index: DataFrame, instance_ids: DataFrame) -> DataFrame:
-    """Rows of other instances only (SNK-2, a ``left_anti`` on the id set)."""
-    return index.join(instance_ids.select("instance_id").distinct(), "instance_id", "left_anti")
-
-
-def replace_instances(index: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """Full refresh of the instances present in ``new_rows`` (SNK-3)."""
-    return remove_instances(index, new_rows).unionByName(new_rows.select(*index.columns), allowMissingColumns=False)
-
-
-def unbuilt(requests: DataFrame, manifest: DataFrame | None, force: bool = False) -> DataFrame:
-    """Instances that still need a build (SNK-4): all when forced, else those not in the manifest."""
-    if force or manifest is None:
-        return requests
-    return requests.join(manifest.select("instance_id"), "instance_id", "left_anti")
-
-
-def manifest_of(rows: DataFrame) -> DataFrame:
-    return rows.select("instance_id").distinct()
-
-
 def write_predictions(preds: DataFrame, path: str) -> None:
     """One JSON object per line (SNK-5); a NULL patch is an error, as in the reference."""
     missing = F.raise_error(F.concat(F.lit("Fix for "), F.col("instance_id"), F.lit(" is None.")))

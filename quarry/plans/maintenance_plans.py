@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.hashing import adler32_bucket
 from quarry.functions.replies import parse_block
 from quarry.functions.text import raw_elem_type
 from quarry.operators.chunking import boundary_chunks, fixed_chunks
@@ -13,15 +14,16 @@ from quarry.operators.index import build_text_index
 from quarry.operators.inference import (call_cached, echo_model, embed_text, hashing_embedder, invoke_prompt,
                                         rule_failing_provider)
 from quarry.operators.lookup import lookup_with_fallback
-from quarry.operators.maintenance import (manifest_of, new_version_path, replace_instances, tag_rows, unbuilt,
-                                          write_files, write_index, write_predictions)
+from quarry.operators.maintenance import new_version_path, tag_rows, write_files, write_predictions
 from quarry.operators.stats import outcome_counts
+from quarry.operators.versions import manifest, read_index, unbuilt, write_version
 from quarry.plans import register
 from quarry.operators.build import build_index, embed_rows, search_by_text
 from quarry.plans.element_plans import (_PARTS_SQL, FILES_PER_INSTANCE, PARTS_PER_FILE, _displays, _elements, _files,
                                         render_python_files)
 from quarry.plans.fixtures import doc_filename
 from quarry.plans.patch_plans import render_diffs, render_logs
+from quarry.plans.search_plans import _adler_bucket_sql
 from quarry.session import cut_lineage
 from quarry.sources.files import scan_eval_logs, scan_source_tree
 from quarry.sources.tables import Tables, table_path
@@ -41,24 +43,34 @@ def _index_rows_for(docs: DataFrame, capacity: int) -> DataFrame:
 
 
 def index_maintenance(spark, sf_dir):
-    """Build en/fr, guard-build the rest, then force-rebuild fr with a smaller capacity."""
+    """Build en/fr, build what is missing, then rebuild fr with a smaller capacity and empty one instance.
+
+    Returns each instance of the last manifest with its row counts, and the version that wrote its shard.
+    """
     docs = Tables(spark, sf_dir).documents
     inst = F.concat(F.col("source"), F.lit("/"), F.col("lang"))
+    root = new_version_path(spark, "index")
+    ids = lambda d: d.select(inst.alias("instance_id")).distinct()
+    shard = lambda n: adler32_bucket("instance_id", n).cast("int")
     first = docs.where(F.col("lang").isin("en", "fr"))
-    v1 = write_index(_index_rows_for(first, 4096), new_version_path(spark, "index"))
-    idx1 = spark.read.parquet(v1)
-    manifest = manifest_of(idx1)
-    requests = docs.select(inst.alias("instance_id")).distinct()
-    todo = unbuilt(requests, manifest)
-    new_docs = docs.join(todo, inst == todo["instance_id"], "left_semi")
-    v2 = write_index(idx1.drop("shard").unionByName(_index_rows_for(new_docs, 4096)), new_version_path(spark, "index"))
-    idx2 = spark.read.parquet(v2).drop("shard")
-    fr = _index_rows_for(docs.where(F.col("lang") == "fr"), 2048)
-    v3 = write_index(replace_instances(idx2, fr.select(*idx2.columns)), new_version_path(spark, "index"))
-    out = spark.read.parquet(v3)
-    return out.groupBy("instance_id").agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
-                                          F.max("split_idx").cast("long").alias("max_split"),
-                                          F.count_if("exact_only").cast("long").alias("n_exact_only"))
+    write_version(spark, root, _index_rows_for(first, 4096), ids(first), shard=shard)
+    todo = unbuilt(ids(docs), manifest(spark, root))
+    write_version(spark, root, _index_rows_for(docs.join(todo, inst == todo["instance_id"], "left_semi"), 4096), todo, shard=shard)
+    fr = docs.where((F.col("lang") == "fr") & (F.col("source") != EMPTIED))
+    write_version(spark, root, _index_rows_for(fr, 2048), ids(docs.where((F.col("lang") == "fr") | ((F.col("source") == EMPTIED) & (F.col("lang") == "en")))), shard=shard)
+    batches = None
+    for v in (1, 2, 3):
+        b = manifest(spark, root, v).select("batch").distinct().withColumn("version", F.lit(v))
+        batches = b if batches is None else batches.unionByName(b)
+    written = batches.groupBy("batch").agg(F.min("version").cast("long").alias("written_in"))
+    m = manifest(spark, root).join(written, "batch")
+    rows = read_index(spark, root).groupBy("instance_id").agg(F.count(F.lit(1)).cast("long").alias("n_found"), F.max("split_idx").cast("long").alias("max_split"),
+                                                              F.count_if("exact_only").cast("long").alias("n_exact_only"))
+    return m.join(rows, "instance_id", "left").select("instance_id", "n_rows", F.coalesce("n_found", F.lit(0).cast("long")).alias("n_found"), "max_split", "n_exact_only", "written_in")
+
+
+#: The source whose instances the last change empties.
+EMPTIED = "src3"
 
 
 # ------------------------------------------------------------------ index build and search by text
@@ -123,14 +135,19 @@ def _chunk_count_sql(cap: int) -> str:
 
 
 register("index_maintenance", f"""
-WITH d AS (SELECT source || '/' || lang AS instance_id, lang, text,
+WITH d AS (SELECT source || '/' || lang AS instance_id, source, lang, text,
                   source || '/' || CASE WHEN doc_id % 7 = 0 THEN 'tests/' ELSE '' END || lang || '/doc_' || CAST(doc_id AS VARCHAR)
                     || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.md' ELSE '.txt' END AS filename FROM documents),
-c AS (SELECT instance_id, filename, CASE WHEN lang = 'fr' THEN {_chunk_count_sql(2048)} ELSE {_chunk_count_sql(4096)} END AS n,
-             CASE WHEN lang = 'fr' THEN 1792 ELSE 3584 END AS step FROM d)
-SELECT instance_id, CAST(sum(n) AS BIGINT) AS n_rows, CAST(max((n - 1) * step) AS BIGINT) AS max_split,
-       CAST(sum(CASE WHEN filename LIKE '%test%' OR filename LIKE '%example%' THEN n ELSE 0 END) AS BIGINT) AS n_exact_only
-FROM c WHERE n > 0 GROUP BY instance_id
+c AS (SELECT instance_id, source, lang, filename,
+             CASE WHEN source = '{EMPTIED}' AND lang IN ('fr', 'en') THEN 0 WHEN lang = 'fr' THEN {_chunk_count_sql(2048)} ELSE {_chunk_count_sql(4096)} END AS n,
+             CASE WHEN lang = 'fr' THEN 1792 ELSE 3584 END AS step FROM d),
+g AS (SELECT instance_id, min(source) AS source, min(lang) AS lang, {_adler_bucket_sql('instance_id', 8)} AS shard, CAST(sum(n) AS BIGINT) AS n_rows,
+             CAST(max(CASE WHEN n > 0 THEN (n - 1) * step END) AS BIGINT) AS max_split,
+             CAST(sum(CASE WHEN filename LIKE '%test%' OR filename LIKE '%example%' THEN n ELSE 0 END) AS BIGINT) AS n_exact_only
+      FROM c GROUP BY instance_id),
+s AS (SELECT shard, max(CASE WHEN lang = 'fr' OR source = '{EMPTIED}' AND lang = 'en' THEN 3 WHEN lang != 'en' THEN 2 ELSE 1 END) AS written_in FROM g GROUP BY shard)
+SELECT instance_id, n_rows, n_rows AS n_found, max_split, CASE WHEN n_rows > 0 THEN n_exact_only END AS n_exact_only, CAST(written_in AS BIGINT) AS written_in
+FROM g JOIN s USING (shard)
 """)(index_maintenance)
 
 
