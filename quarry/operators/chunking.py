@@ -8,21 +8,15 @@ The chunk array is built in one projection (``transform`` over the offsets)
 and exploded once, so the source text is not copied into every output row
 before ``substring`` runs.
 
-``boundary_chunks`` is the boundary-aware variant: it prefers to cut at
-blank-line runs, then line ends, then sentence ends, then spaces, never
-exceeding ``capacity``.  It needs a scan per text, so it runs in
-``mapInPandas`` over Arrow batches; rows are independent, so Spark
-partitions it like any map.
+``boundary_chunks`` is the boundary-aware variant: it prefers to cut after
+blank lines, then line ends, then sentence ends, then spaces, never
+exceeding ``capacity``; a fold over each text walks from cut to cut.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Default capacity (characters) and overlap divisor.
 DEFAULT_CAPACITY = 4096
@@ -62,64 +56,63 @@ def fixed_chunks(df: DataFrame, text_col: str = "content", capacity: int = DEFAU
     )
 
 
-# --- boundary-aware splitter (Python, one scan per text) --------------------
-
-# Cut preferences, strongest first: blank-line run, line end, sentence end, space.
-_BOUNDARIES = [re.compile(r"\n{2,}"), re.compile(r"\n"), re.compile(r"[.!?](?=\s)"), re.compile(r" ")]
-
-
-def _boundary_cut(text: str, start: int, capacity: int) -> int:
-    """End offset (exclusive) of the chunk starting at ``start``."""
-    hard = min(len(text), start + capacity)
-    if hard == len(text):
-        return hard
-    window = text[start:hard]
-    for pat in _BOUNDARIES:
-        last = None
-        for m in pat.finditer(window):
-            if m.end() > 0:
-                last = m.end()
-        if last is not None and last > capacity // 4:
-            return start + last
-    return hard
-
-
-def split_boundaries(text: str, capacity: int, overlap: int) -> list[tuple[int, str]]:
-    """Chunks ``(offset, text)`` cut at the strongest boundary inside the window."""
-    out: list[tuple[int, str]] = []
-    if not text:
-        return out
-    start = 0
-    n = len(text)
-    while start < n:
-        end = _boundary_cut(text, start, capacity)
-        out.append((start, text[start:end]))
-        if end >= n:
-            break
-        nxt = max(end - overlap, start + 1)
-        # restart at a space inside the overlap when there is one
-        sp = text.find(" ", nxt, end)
-        start = sp + 1 if 0 <= sp < end - 1 else nxt
-    return out
+# --- boundary-aware splitter ------------------------------------------------
+
+#: Cut preferences, strongest first, as patterns whose group ends at the last such place of a
+#: window: after a blank line, after a line, after a sentence (before white space), after a space.
+BOUNDARIES = [r"(?s)^(.*\n\n)", r"(?s)^(.*\n)", r"(?s)^(.*[.!?])[ \t\n\r]", r"(?s)^(.* )"]
+#: A cut lies beyond this part of the window.
+LEAST_PART = 4
+
+
+def _cut(window: Column, capacity: int) -> Column:
+    """Length of the chunk that starts a full window: up to its strongest late boundary, or the whole window."""
+    ends = [F.length(F.regexp_extract(window, b, 1)) for b in BOUNDARIES]
+    cut = F.when(ends[0] > capacity // LEAST_PART, ends[0])
+    for e in ends[1:]:
+        cut = cut.when(e > capacity // LEAST_PART, e)
+    return cut.otherwise(F.lit(capacity))
 
 
 def boundary_chunks(df: DataFrame, key_cols: list[str], text_col: str = "content",
                     capacity: int = DEFAULT_CAPACITY, overlap: int | None = None,
                     offset_col: str = "split_idx") -> DataFrame:
-    """Boundary-aware chunks via ``mapInPandas`` (TXT-1b); rows-only checked."""
+    """Boundary-aware chunks (TXT-1b): ``(key columns, split_idx, text)``.
+
+    A chunk is a window of ``capacity`` characters cut after its strongest boundary:
+    the last blank line, else line, else sentence, else space that ends beyond a
+    quarter of the window, else the whole window; the last chunk ends with the text.
+    The next chunk starts ``overlap`` characters before that end, after the first space
+    there (the last character does not count as one), and at least one character on.
+    Empty texts give no chunk; chunks laid at their offsets give the text again.
+
+    The starts come from a fold over each text that carries the next start, so no row
+    leaves the JVM; a text is one row, whatever its length.
+    """
     if overlap is None:
         overlap = capacity // OVERLAP_DIVISOR
-    fields = [f for f in df.schema.fields if f.name in key_cols]
-    schema = T.StructType(fields + [T.StructField(offset_col, T.LongType()), T.StructField(text_col, T.StringType())])
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                d = rec._asdict()
-                for off, chunk in split_boundaries(d[text_col] or "", capacity, overlap):
-                    rows.append([d[k] for k in key_cols] + [off, chunk])
-            yield pd.DataFrame(rows, columns=key_cols + [offset_col, text_col])
-
-    from quarry.session import spread
-    return spread(df.select(*key_cols, text_col)).mapInPandas(run, schema)
+    if not 0 <= overlap < capacity:
+        raise ValueError("overlap must be in [0, capacity)")
+    least_step = max(1, capacity // LEAST_PART + 1 - overlap)
+    text = F.col("_text")
+    rows = df.select(*key_cols, F.col(text_col).alias("_text")).where(F.length("_text") > 0).withColumn("_n", F.length("_text"))
+    n = F.col("_n")
+    none = F.array().cast("array<struct<at:int,len:int>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("chunks"))
+
+    def step(s, _):
+        at = s["at"]
+        # each lambda below binds a value that later expressions use more than once
+        cut = F.transform(F.array(F.when(at + capacity >= n, n - at).otherwise(_cut(F.substring(text, at + 1, F.lit(capacity)), capacity))), lambda length: F.struct(
+            length.alias("len"), F.greatest(at + length - overlap, at + 1).alias("next")))
+        moved = F.transform(cut, lambda c: F.struct(
+            c["len"].alias("len"), c["next"].alias("next"), F.position(F.lit(" "), F.substring(text, c["next"] + 1, at + c["len"] - c["next"])).alias("space")))
+        done = F.transform(moved, lambda c: F.struct(
+            F.when(at + c["len"] >= n, n).when((c["space"] > 0) & (c["space"] < at + c["len"] - c["next"]), c["next"] + c["space"]).otherwise(c["next"]).alias("at"),
+            F.concat(s["chunks"], F.array(F.struct(at.alias("at"), c["len"].alias("len")))).alias("chunks")))
+        return F.when(at >= n, s).otherwise(F.get(done, 0))
+
+    bound = F.ceil(n / F.lit(least_step)).cast("int")
+    chunks = F.aggregate(F.sequence(F.lit(1), bound), start, step, lambda s: s["chunks"])
+    out = rows.select(*key_cols, "_text", F.explode(chunks).alias("_c"))
+    return out.select(*key_cols, F.col("_c.at").cast("long").alias(offset_col), F.substring("_text", F.col("_c.at") + 1, F.col("_c.len")).alias(text_col))

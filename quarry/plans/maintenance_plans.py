@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.hashing import adler32_bucket
 from quarry.functions.replies import parse_block
 from quarry.functions.text import raw_elem_type
-from quarry.operators.chunking import boundary_chunks, fixed_chunks
+from quarry.operators.chunking import BOUNDARIES, LEAST_PART, boundary_chunks, fixed_chunks
 from quarry.operators.elements import element_displays, index_rows
 from quarry.operators.index import build_text_index
 from quarry.operators.inference import (call_cached, echo_model, embed_text, hashing_embedder, invoke_prompt,
@@ -304,14 +304,29 @@ FROM cats c LEFT JOIN e USING (outcome) GROUP BY c.outcome, c.ord
 """)(eval_log_counts)
 
 
-# ------------------------------------------------------------------ TXT-1b (rows-only)
-def chunk_boundary(spark, sf_dir):
-    docs = Tables(spark, sf_dir).documents.select("doc_id", F.col("text").alias("content"))
-    ch = boundary_chunks(docs, ["doc_id"], "content")
-    return ch.select("doc_id", "split_idx", F.length("content").cast("long").alias("chunk_len"))
+# ------------------------------------------------------------------ TXT-1b
+BOUNDARY_CAPACITY, BOUNDARY_OVERLAP = 1024, 128
 
 
-register("chunk_boundary")(chunk_boundary)
+def chunk_boundary(spark, sf_dir):
+    docs = Tables(spark, sf_dir).documents.select("doc_id", F.col("text").alias("content"))
+    ch = boundary_chunks(docs, ["doc_id"], "content", BOUNDARY_CAPACITY, BOUNDARY_OVERLAP)
+    return ch.select("doc_id", "split_idx", F.length("content").cast("long").alias("chunk_len"), F.md5("content").alias("chunk_md5"))
+
+
+_ENDS_SQL = [f"length(regexp_extract(w, '{b}', 1))" for b in BOUNDARIES]
+register("chunk_boundary", f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, text, length(text) AS n, 0 AS start, 0 AS stop, 0 AS step FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, text, n, start, stop, step FROM (
+    SELECT doc_id, text, n, start, CASE WHEN start + {BOUNDARY_CAPACITY} >= n THEN n
+             {" ".join(f"WHEN {e} > {BOUNDARY_CAPACITY // LEAST_PART} THEN start + {e}" for e in _ENDS_SQL)} ELSE start + {BOUNDARY_CAPACITY} END AS stop, step
+    FROM (SELECT *, substring(text, start + 1, {BOUNDARY_CAPACITY}) AS w FROM (
+      SELECT doc_id, text, n, step + 1 AS step, CASE WHEN step = 0 THEN 0 WHEN sp > 0 AND sp < stop - nxt THEN nxt + sp ELSE nxt END AS start
+      FROM (SELECT *, instr(substring(text, nxt + 1, stop - nxt), ' ') AS sp FROM (SELECT *, greatest(stop - {BOUNDARY_OVERLAP}, start + 1) AS nxt FROM r WHERE step = 0 OR stop < n))))))
+SELECT doc_id, CAST(start AS BIGINT) AS split_idx, CAST(stop - start AS BIGINT) AS chunk_len, md5(substring(text, start + 1, stop - start)) AS chunk_md5 FROM r WHERE step > 0
+""")(chunk_boundary)
 
 
 # ------------------------------------------------------------------ SCH-12..SCH-14 (rows-only)

@@ -1,3 +1,4 @@
+import random
 import re
 import string
 import unicodedata
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions.hashing import adler32, adler32_bucket
 from quarry.functions.text import (clean_query, exact_only, fold_table, html_to_text, raw_elem_type, strip_ws, tokenize,
                                    with_term_counts)
-from quarry.operators.chunking import fixed_chunks, split_boundaries
+from quarry.operators.chunking import boundary_chunks, fixed_chunks
 
 EDGE_TEXTS = ["", "a", "x" * 4096, "y" * 4097, "héllo wörld ñ", "a\r\nb\r\n", "no trailing newline", "z" * 9000]
 
@@ -37,15 +38,41 @@ def test_fixed_chunks_edges(spark):
     assert got == want
 
 
-def test_boundary_chunks_invariants():
-    text = ("First sentence here. Second one!\n\nNew paragraph with words " * 300).strip()
-    ch = split_boundaries(text, 500, 60)
-    assert all(len(c) <= 500 for _, c in ch)
-    assert ch[0][0] == 0 and ch[-1][0] + len(ch[-1][1]) == len(text)
-    assert [o for o, _ in ch] == sorted(o for o, _ in ch)
-    for (o1, c1), (o2, _) in zip(ch, ch[1:]):
-        assert o2 <= o1 + len(c1)          # no gap
-    assert split_boundaries("", 10, 2) == []
+def split_boundaries(text, capacity, overlap):
+    """The stated rule, character by character."""
+    out, start, n = [], 0, len(text)
+    while start < n:
+        end = n
+        if start + capacity < n:
+            w = text[start:start + capacity]
+            ends = [[k for k in range(1, len(w) + 1) if w[:k].endswith("\n\n")], [k for k in range(1, len(w) + 1) if w[k - 1] == "\n"],
+                    [k for k in range(1, len(w)) if w[k - 1] in ".!?" and w[k] in " \t\n\r"], [k for k in range(1, len(w) + 1) if w[k - 1] == " "]]
+            end = start + next((e[-1] for e in ends if e and e[-1] > capacity // 4), capacity)
+        out.append((start, text[start:end]))
+        if end >= n:
+            break
+        after = max(end - overlap, start + 1)
+        space = text.find(" ", after, end - 1)
+        start = space + 1 if space >= 0 else after
+    return out
+
+
+def test_boundary_chunks(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice(["word", " ", " ", ".", "\n", "\n\n", "! ", "é", "🙂", "x" * 30, "\t", "? ", "\r\n"]) for _ in range(rnd.randint(0, 400))) for _ in range(60)]
+    texts += ["", None, "x" * 999, " " * 300, "\n" * 300, ("First sentence here. Second one!\n\nNew paragraph with words " * 100).strip()]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    for capacity, overlap in ((40, 5), (40, 0), (60, 45), (7, 6), (4096, 512)):
+        got = {}
+        for r in boundary_chunks(df, ["id"], "content", capacity, overlap).orderBy("id", "split_idx").collect():
+            got.setdefault(r.id, []).append((r.split_idx, r.content))
+        assert got == {i: split_boundaries(t, capacity, overlap) for i, t in enumerate(texts) if t}
+        for i, chunks in got.items():
+            text = ""
+            for at, c in chunks:
+                assert at <= len(text) and len(c) <= capacity
+                text = text[:at] + c
+            assert text == texts[i]
 
 
 def py_tokens(t):
