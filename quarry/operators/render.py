@@ -62,27 +62,63 @@ def range_text(lines: Column, lo: Column, hi: Column, width: Column | None = Non
     return numbered_lines(sub, lo, width)
 
 
+#: Lines of a text, and characters, that one window or join key holds at most.
+SEGMENT_LINES = 65_536
+SEGMENT_CHARS = 1 << 20
+
+
+def running_lengths(lines: DataFrame, id_col: str = "id", segment: int = SEGMENT_LINES) -> tuple[DataFrame, DataFrame]:
+    """Running length at each line of ``lines(id, pos, len)``, as segmented prefix sums.
+
+    A text is cut into segments of ``segment`` lines; each adds up its own lines, the
+    totals are added up over the segments, and a line's running length is its segment's
+    start plus its own.  Returns ``(id, segment, pos, key)`` and the segments ``(id, segment, start, stop)``.
+    """
+    cut = lines.withColumn("segment", F.floor(F.col("pos") / segment).cast("long"))
+    totals = cut.groupBy(id_col, "segment").agg(F.sum("len").alias("_n"))
+    before = Window.partitionBy(id_col).orderBy("segment").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = totals.withColumn("stop", F.sum("_n").over(before).cast("long"))
+    segments = ends.select(id_col, "segment", (F.col("stop") - F.col("_n")).cast("long").alias("start"), "stop")
+    own = Window.partitionBy(id_col, "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = cut.select(id_col, "segment", "pos", F.sum("len").over(own).cast("long").alias("_in"))
+    return within.join(segments.select(id_col, "segment", "start"), [id_col, "segment"]).select(id_col, "segment", "pos", (F.col("start") + F.col("_in")).alias("key")), segments
+
+
 def offsets_to_lines(texts: DataFrame, offsets: DataFrame, id_col: str = "id", text_col: str = "text",
-                     offset_col: str = "offset") -> DataFrame:
+                     offset_col: str = "offset", segment: int = SEGMENT_LINES, bucket: int = SEGMENT_CHARS) -> DataFrame:
     """First line whose running length (newlines not counted) reaches the offset (TXT-8).
 
-    Lines and offsets are merged into one stream per text, ordered downwards, and
-    each offset takes the last line position seen: a running ``last`` over the
-    rows before it, so the work is linear after the sort, and no range join.  Of
-    lines with the same running length (empty lines) the first one counts.
-    NULL when the offset lies beyond the text.
+    NULL when the offset lies beyond the text.  See :func:`line_of_offset`.
     """
     lines = texts.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = lines.select(id_col, F.sum(F.length("line")).over(w).cast("long").alias("key"),
-                       F.col("pos").cast("long").alias("pos"), F.lit(1).alias("kind"),
-                       F.lit(None).cast("long").alias(offset_col))
-    marks = offsets.select(id_col, F.col(offset_col).cast("long").alias("key"), F.lit(None).cast("long").alias("pos"),
-                           F.lit(0).alias("kind"), F.col(offset_col).cast("long").alias(offset_col))
-    u = cum.unionByName(marks)
-    w2 = Window.partitionBy(id_col).orderBy(F.desc("key"), F.desc("kind"), F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (u.withColumn("line_idx", F.last("pos", ignorenulls=True).over(w2))
-             .where(F.col("kind") == 0).select(id_col, offset_col, "line_idx"))
+    return line_of_offset(lines.select(id_col, F.col("pos").cast("long").alias("pos"), F.length("line").alias("len")), offsets, id_col, offset_col, segment, bucket)
+
+
+def line_of_offset(lines: DataFrame, offsets: DataFrame, id_col: str = "id", offset_col: str = "offset",
+                   segment: int = SEGMENT_LINES, bucket: int = SEGMENT_CHARS) -> DataFrame:
+    """``(id, offset, line_idx)`` from ``lines(id, pos, len)``, which may be rows of texts of any length.
+
+    An offset finds its segment by the stretch of ``bucket`` characters that it lies in
+    (an equi join; a segment stands under each stretch that it reaches into).  Inside
+    the segment, lines and offsets are merged into one stream, ordered downwards, and
+    each offset takes the last line position seen, so no window is longer than a segment.
+    Of lines with the same running length (empty lines) the first one counts.
+    """
+    cum, segments = running_lengths(lines, id_col, segment)
+    # an offset of 0 or less is reached by the first line, whatever its length
+    first = F.col("segment") == 0
+    low = F.when(first, F.lit(-1)).otherwise(F.floor(F.col("start") / bucket))
+    high = F.greatest(low, F.floor((F.col("stop") - 1) / bucket))
+    reach = segments.where(first | (F.col("stop") > F.col("start"))).select(id_col, "segment", "start", "stop", F.explode(F.sequence(low, high)).alias("_bucket"))
+    marks = offsets.select(id_col, F.col(offset_col).cast("long").alias(offset_col))
+    asked = marks.distinct().withColumn("_bucket", F.greatest(F.lit(-1).cast("long"), F.floor((F.col(offset_col) - 1) / bucket)))
+    inside = (F.col(offset_col) <= F.col("stop")) & ((F.col(offset_col) > F.col("start")) | (first & (F.col(offset_col) <= 0)))
+    found = asked.join(reach, [id_col, "_bucket"]).where(inside).select(id_col, "segment", offset_col)
+    stream = cum.select(id_col, "segment", "key", "pos", F.lit(1).alias("kind"), F.lit(None).cast("long").alias(offset_col)).unionByName(
+        found.select(id_col, "segment", F.col(offset_col).alias("key"), F.lit(None).cast("long").alias("pos"), F.lit(0).alias("kind"), offset_col))
+    down = Window.partitionBy(id_col, "segment").orderBy(F.desc("key"), F.desc("kind"), F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = stream.withColumn("line_idx", F.last("pos", ignorenulls=True).over(down)).where(F.col("kind") == 0).select(id_col, offset_col, "line_idx")
+    return marks.join(at, [id_col, offset_col], "left").select(id_col, offset_col, "line_idx")
 
 
 def budget_ladder(texts_by_level: list[Column], limit: int = LADDER_LIMIT) -> Column:

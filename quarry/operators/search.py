@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import (NON_CODE_PATH_LIKE, NON_CODE_TYPES, clean_query,
-                                   strip_ws, tokenize, with_term_counts)
+                                   tokenize, with_term_counts)
 from quarry.operators.index import TextIndex, corpus_stats, term_document_frequency
 from quarry.session import BROADCAST_MAX_ROWS, broadcast_if_small, write_table
 
@@ -243,16 +243,69 @@ def l1_distance(a, b) -> Column:
     return F.aggregate(diffs, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
+#: Rows of an instance in one join key, where the queries are too many to be broadcast.
+BLOCK_ROWS = 100_000
+
+
+def choose_pivots(corpus: DataFrame, n: int = 8, id_col: str = "id", vec_col: str = "embedding") -> list[list[float]]:
+    """``n`` vectors, those with the least hashed ids; any choice gives the same answers, only more or less is scored."""
+    rows = corpus.where(F.size(vec_col) > 0).select(vec_col).orderBy(F.xxhash64(id_col), id_col).limit(n).collect()
+    return [[float(x) for x in r[0]] for r in rows]
+
+
+def pivot_distances(vec_col, pivots: list[list[float]]) -> Column:
+    """L1 distances of a vector to the pivots; stored with a row when the index is built."""
+    at = [l1_distance(vec_col, F.lit(p).cast("array<double>")) for p in pivots]
+    return F.array(*at) if at else F.array().cast("array<double>")
+
+
+def _by_block(cand: DataFrame, q: DataFrame, id_col: str, block_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Candidates and queries with common join keys: the instance, cut into salted blocks unless the queries are proven few."""
+    small = broadcast_if_small(q)
+    if small is not q:
+        return cand, small, ["instance_id"]
+    sizes = cand.groupBy("instance_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_blocks"))
+    sizes = broadcast_if_small(write_table(sizes, "instance_blocks"))
+    cand = cand.join(sizes, "instance_id").withColumn("_block", F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int")).drop("_blocks")
+    q = q.join(sizes, "instance_id").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    return cand, q, ["instance_id", "_block"]
+
+
+def pivot_candidates(cand: DataFrame, queries: DataFrame, pivots: list[list[float]], fetch: int, id_col: str = "id", vec_col: str = "embedding",
+                     qvec_col: str = "qvec", pivot_col: str = "pivot_distances", slack: float = 1e-6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(query_id, id)``: the pairs that may be among the ``fetch`` nearest, by the triangle inequality on stored distances.
+
+    For each pivot ``|d(x, p) - d(q, p)|`` is a lower bound of ``d(x, q)``.  The rows with
+    the least bounds are scored first; the ``fetch``-th of their distances bounds the
+    answer from above, and only rows whose lower bound reaches it by ``slack`` (for rounded scores) remain.
+    """
+    q = queries.select("query_id", "instance_id", pivot_distances(qvec_col, pivots).alias("_qd"))
+    rows, q, keys = _by_block(cand.select(id_col, "instance_id", F.col(pivot_col).alias("_xd")), q, id_col, block_rows)
+    gaps = F.zip_with("_xd", "_qd", lambda a, b: F.abs(a - b))
+    pairs = rows.join(q, keys).select("query_id", id_col, F.coalesce(F.array_max(gaps), F.lit(0.0)).alias("_lo"))
+    first = write_table(_top_n(pairs, fetch, [F.col("_lo"), F.col(id_col)]).select("query_id", id_col), "pivot_first")
+    scored = (cand.select(id_col, vec_col).join(broadcast_if_small(first), id_col)
+              .join(broadcast_if_small(queries.select("query_id", qvec_col)), "query_id")
+              .select("query_id", l1_distance(vec_col, qvec_col).alias("_d")))
+    reach = scored.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= fetch, F.max("_d")).alias("_top"))
+    reach = broadcast_if_small(write_table(reach, "pivot_reach"))
+    within = pairs.join(reach, "query_id").where(F.col("_top").isNull() | (F.col("_lo") <= F.col("_top") + F.lit(slack)))
+    return within.select("query_id", id_col)
+
+
 def l1_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, over_fetch: int = OVER_FETCH,
               elem_type=None, in_dirs=None, dedup: bool = True, dedup_by_file: bool = True,
               id_col: str = "id", vec_col: str = "embedding", qvec_col: str = "qvec",
-              score_round: int | None = 6, content: DataFrame | None = None, wildcards: bool = False) -> DataFrame:
+              score_round: int | None = 6, content: DataFrame | None = None, wildcards: bool = False,
+              pivots: list[list[float]] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact L1 top-k per query inside its instance (SCH-1, JN-1, JN-4).
 
     ``corpus``: (id, instance_id, embedding, ...content columns).  Rows with an
     empty embedding (exact-only rows) are not candidates.  ``queries``:
     (query_id, instance_id, qvec).  Only ``id, instance_id, embedding`` take
-    part in scoring; the content columns are joined after the top-k.
+    part in scoring; the content columns are joined after the top-k.  With
+    ``pivots``, for a corpus that stores :func:`pivot_distances`, rows out of reach are
+    left out before any vector is compared.
     """
     content = content if content is not None else corpus
     by_query = isinstance(in_dirs, DataFrame)
@@ -260,27 +313,27 @@ def l1_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, over_fe
     cand = corpus.where(F.size(vec_col) > 0)
     if cond is not None:
         cand = cand.where(cond)
-    q = broadcast_if_small(queries.select("query_id", "instance_id", qvec_col))
+    q = queries.select("query_id", "instance_id", qvec_col)
+    fetch = over_fetch * k
     if by_query:  # decided on paths, before any vector is looked at
         paths = cand.select(id_col, "instance_id", "filename").join(q.drop(qvec_col), "instance_id").select("query_id", id_col, "filename")
         pairs = in_query_dirs(paths, in_dirs, wildcards, id_col)
-        asked = cand.select(id_col, vec_col).join(pairs, id_col).join(q.drop("instance_id"), "query_id")
+        asked = cand.select(id_col, vec_col).join(pairs, id_col).join(broadcast_if_small(q.drop("instance_id")), "query_id")
+    elif pivots is not None:
+        slack = 1e-9 if score_round is None else 2 * 10.0 ** -score_round
+        pairs = pivot_candidates(cand, q, pivots, fetch, id_col, vec_col, qvec_col, slack=slack, block_rows=block_rows)
+        asked = cand.select(id_col, vec_col).join(pairs, id_col).join(broadcast_if_small(q.drop("instance_id")), "query_id")
     else:
-        asked = cand.select(id_col, "instance_id", vec_col).join(q, "instance_id")
+        rows, q, keys = _by_block(cand.select(id_col, "instance_id", vec_col), q, id_col, block_rows)
+        asked = rows.join(q, keys)
     scored = asked.select(
         "query_id", id_col, l1_distance(vec_col, qvec_col).alias("score"))
     dist = F.round("score", score_round) if score_round is not None else F.col("score")
     scored = scored.withColumn("distance", dist)
     n_q = queries.select("query_id").distinct().count()
-    fetch = over_fetch * k
     top = _top_n(scored, fetch, [F.col("distance"), F.col(id_col)])
     ranked = _attach_content(top, content.drop(vec_col) if vec_col in content.columns else content, id_col, n_q * fetch)
     if dedup:
         return dedup_ranked(ranked, k, dedup_by_file)
     w = Window.partitionBy("query_id").orderBy("_r")
     return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def embed_query_text(col) -> Column:
-    """Query text as sent to the embedder: stripped (TXT-7)."""
-    return strip_ws(col)

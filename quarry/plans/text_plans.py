@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 from quarry.functions.text import HTML_DROP_ELEMENTS, HTML_ENTITIES, PAGE_TEXT_LIMIT, html_to_text
 from quarry.operators.inference import limit_status
 from quarry.operators.pages import aggregate_pages, apply_choice, filter_results, page_title
-from quarry.operators.search import l1_search
+from quarry.operators.search import choose_pivots, l1_search, pivot_distances
 from quarry.plans import register
+from quarry.session import write_table
 from quarry.sources.tables import Tables
 
 
@@ -56,6 +57,19 @@ def vector_l1_dedup(spark, sf_dir):
     return _vector(spark, sf_dir, True)
 
 
+PIVOTS = 8
+
+
+def vector_l1_pruned(spark, sf_dir):
+    """The same top rows from a corpus that stores distances to pivots: rows out of reach are never compared."""
+    emb = Tables(spark, sf_dir).embeddings
+    corpus = vector_corpus(emb)
+    pivots = choose_pivots(corpus, PIVOTS)
+    stored = write_table(corpus.withColumn("pivot_distances", pivot_distances("embedding", pivots)), "pivot_corpus")
+    r = l1_search(stored, centroid_queries(emb), k=5, dedup_by_file=False, pivots=pivots)
+    return r.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "filename", "distance")
+
+
 def _vector_sql(by_file: bool) -> str:
     key = "filename" if by_file else "filename, elem_name, parent_name, elem_type, split_idx"
     return f"""
@@ -78,6 +92,7 @@ SELECT query_id, CAST(rank AS BIGINT) AS rank, id, filename, distance FROM rk WH
 
 register("vector_l1_topk", _vector_sql(False))(vector_l1_topk)
 register("vector_l1_dedup", _vector_sql(True))(vector_l1_dedup)
+register("vector_l1_pruned", _vector_sql(False))(vector_l1_pruned)
 
 
 # ------------------------------------------------------------------ TXT-9 / TXT-10

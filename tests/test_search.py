@@ -142,3 +142,37 @@ def test_directories_of_each_query(spark):
     qv = spark.createDataFrame([(1, "i", [0.0]), (2, "i", [0.0])], "query_id long, instance_id string, qvec array<double>")
     near = {(r.query_id, r.id) for r in l1_search(vec, qv, k=2, in_dirs=spark.createDataFrame([(1, "docs"), (1, "pxg")], "query_id long, dir string")).collect()}
     assert near == {(1, 3), (1, 5), (2, 0), (2, 1)}
+
+
+def test_pivots_leave_the_answer_and_most_rows_out(spark):
+    from quarry.operators import search
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 8)) * 20
+    vecs = [(i, "hot" if i % 3 else f"i{i % 5}", f"f{i // 2}", "e", "", "function", 0, (centres[i % 12] + rng.normal(size=8)).tolist()) for i in range(1500)]
+    vecs += [(5000 + i, "hot", "same", "e", "", "function", 0, centres[0].tolist()) for i in range(40)] + [(6000, "hot", "exact", "e", "", "function", 0, [])]
+    c = spark.createDataFrame(vecs, "id long, instance_id string, filename string, elem_name string, parent_name string, elem_type string, split_idx long, embedding array<double>")
+    q = spark.createDataFrame([(k, "hot" if k < 6 else "i1", (centres[k % 12] + 0.1).tolist()) for k in range(8)] + [(99, "none", [0.0] * 8)],
+                              "query_id long, instance_id string, qvec array<double>")
+    pivots = search.choose_pivots(c, 6)
+    stored = c.withColumn("pivot_distances", search.pivot_distances("embedding", pivots))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.id, r.distance) for r in df.collect())
+    for k, dedup in ((4, True), (30, False), (4000, False)):
+        want = rows(l1_search(c, q, k=k, dedup=dedup))
+        assert rows(l1_search(stored, q, k=k, dedup=dedup, pivots=pivots)) == want
+    cand = stored.where("size(embedding) > 0")
+    tested = search.pivot_candidates(cand, q, pivots, 12).count()
+    assert tested < 0.3 * cand.join(q, "instance_id").count()
+
+
+def test_salted_blocks_give_the_same_rows(spark, monkeypatch):
+    from quarry.operators import search
+    rng = np.random.default_rng(3)
+    c = spark.createDataFrame([(i, "hot" if i % 4 else "b", f"f{i}", "e", "", "function", 0, rng.normal(size=4).tolist()) for i in range(300)],
+                              "id long, instance_id string, filename string, elem_name string, parent_name string, elem_type string, split_idx long, embedding array<double>")
+    q = spark.createDataFrame([(k, "hot" if k % 2 else "b", rng.normal(size=4).tolist()) for k in range(6)], "query_id long, instance_id string, qvec array<double>")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.id, r.distance) for r in df.collect())
+    want = rows(l1_search(c, q, k=5))
+    monkeypatch.setattr(search, "broadcast_if_small", lambda df: df)
+    pivots = search.choose_pivots(c, 3)
+    stored = c.withColumn("pivot_distances", search.pivot_distances("embedding", pivots))
+    assert rows(l1_search(c, q, k=5, block_rows=20)) == want == rows(l1_search(stored, q, k=5, pivots=pivots, block_rows=20))

@@ -175,3 +175,29 @@ def test_offsets_of_a_long_text(spark):
     began = time.time()
     got = {r.offset: r.line_idx for r in offsets_to_lines(t, o).collect()}
     assert got == {1: 0, 2: 0, 3: 3, n + 2: n + 2, n + 3: None} and time.time() - began < 60
+
+
+def test_offsets_over_segments(spark):
+    """Segments and stretches of any size give the line that a scan gives."""
+    import random
+    from quarry.operators.render import line_of_offset
+    rnd = random.Random(5)
+    texts = {i: "\n".join("x" * rnd.choice([0, 0, 1, 2, 9]) for _ in range(rnd.randint(1, 60))) for i in range(25)}
+    offs = [(i, o) for i in texts for o in list(range(-2, 40)) + [500] for _ in range(1 + (o == 3))] + [(77, 1), (None, 1)]
+
+    def scan(i, o):
+        total = 0
+        for k, line in enumerate(texts.get(i, "").split("\n") if i in texts else []):
+            total += len(line)
+            if total >= o:
+                return k
+    t = spark.createDataFrame(list(texts.items()), "id long, text string")
+    o = spark.createDataFrame(offs, "id long, offset long")
+    want = sorted(((str(i), x, scan(i, x)) for i, x in offs), key=str)
+    for segment, bucket in ((1, 1), (3, 7), (8, 4), (65536, 1 << 20)):
+        got = sorted(((str(r.id), r.offset, r.line_idx) for r in offsets_to_lines(t, o, segment=segment, bucket=bucket).collect()), key=str)
+        assert got == want
+    # one text of many lines, given as rows: every segment is a task's work of its own
+    many = spark.range(2_000_000).select(F.lit(1).cast("long").alias("id"), F.col("id").alias("pos"), F.lit(10).alias("len"))
+    got = line_of_offset(many, spark.createDataFrame([(1, 1), (1, 10), (1, 11), (1, 20_000_000), (1, 20_000_001)], "id long, offset long"))
+    assert {r.offset: r.line_idx for r in got.collect()} == {1: 0, 10: 0, 11: 1, 20_000_000: 1_999_999, 20_000_001: None}
