@@ -7,11 +7,17 @@ quantile sketch is kept: counts by value rounded down to five significant bits
 (relative error 1/16 at most, the same whatever the order of rows or retries).
 Sketches merge by adding counts, so sources merge into languages and languages
 into the corpus; a group of fewer than ``min_rows`` documents takes the sketch
-above it.  A threshold is the median plus ``reach`` times its distance to the
-10 % (for the lower side, 90 %) quantile, at least a minimum spread a ratio: it
-moves with each language and source, and junk in up to half of a group does not
-drag it along.  Documents beyond a threshold fail, as do those that the base
-rules reject; the base-rejected are left out of the sketches.
+above it.  All limits come from these quantiles; no constant decides one:
+
+* upper: the median, plus ``reach`` quarters of the distance to an upper quantile
+  (90 % for characters a word and symbols, 99 % for repetition, which has a long
+  tail in sound texts), plus one step of the sketch at that quantile;
+* lower, for characters a word: the median less four times its distance to the
+  10 % quantile, less one step of the sketch.
+
+So a limit moves with each language and source, and less than a tenth of junk (for
+repetition a hundredth) does not move it.  Documents beyond a limit fail, as do those
+that the base rules reject; the base-rejected are left out of the sketches.
 
 Nothing groups rows by a hot key without adding them up first: sketches are
 partial counts, and the thresholds (a row per language and source) are broadcast
@@ -20,8 +26,8 @@ only below a checked number of rows.
 Defined results: null text counts as empty (0 words, so rejected by the base
 rules); null language or source are groups of their own; repeated rows count as
 often as they occur and get the same verdict; a repeated window is found by
-64-bit hashes within its document; extra columns of any name pass through
-``keep_good``; an empty table gives no rows.
+64-bit hashes within its document; texts may have any length; extra columns of any name pass
+through ``keep_good``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,9 +41,12 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 MIN_ROWS = 100
-REACH = 8
-#: Ratio -> (least spread above the median, least spread below it or None)
-RATIOS = {"chars_word": (250, 250), "symbols": (50, None), "repeated_lines": (600, None), "repeated_words": (600, None)}
+#: Ratio -> (upper quantile in per cent, quarters of its distance to the median, whether there is a lower limit)
+RATIOS = {"chars_word": (90, 16, True), "symbols": (90, 16, False), "repeated_lines": (99, 5, False), "repeated_words": (99, 5, False)}
+#: Times the distance from the median to the 10 % quantile that a lower limit lies below the median.
+REACH_BELOW = 4
+#: Significant bits of a sketch's keys.
+BITS = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _SPACES = "\t\n\x0b\x0c\r"
@@ -84,26 +93,31 @@ def _ratio(name: str) -> Column:
     return F.coalesce(F.expr(f"(m.{a} * {scale}) div nullif(m.{b}, 0)"), F.lit(0).cast("long"))
 
 
+def _step(v: Column) -> Column:
+    """Width of the sketch's cell that holds ``v``."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(v)) - BITS, F.lit(0)))
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """``(lang, source, ratio, key, n)``: each group's counts by rounded value."""
     values = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), _ratio(r).alias("v")) for r in RATIOS]))
     v = measured.filter(~base_failed()).select("lang", "source", values.alias("x")).select("lang", "source", "x.ratio", "x.v")
-    key = F.expr("v - pmod(v, shiftleft(1L, greatest(length(bin(v)) - 5, 0)))")
+    key = F.col("v") - F.pmod(F.col("v"), _step(F.col("v")))
     return v.groupBy("lang", "source", "ratio", key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _quantiles(sketch: DataFrame, level: list[str]) -> DataFrame:
-    """Rows of a level, and the 10, 50 and 90 % quantiles of each of its ratios."""
+    """Rows of a level, and the 10, 50, 90 and 99 % quantiles of each of its ratios."""
     group = [*level, "ratio"]
     merged = sketch.groupBy(*group, "key").agg(F.sum("n").alias("n"))
     up_to = Window.partitionBy(*group).orderBy("key")
     whole = Window.partitionBy(*group)
     c = merged.withColumn("upto", F.sum("n").over(up_to)).withColumn("rows", F.sum("n").over(whole))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * q, F.col("key")))
-    return c.groupBy(*group).agg(F.max("rows").alias("rows"), at(10).alias("q10"), at(50).alias("q50"), at(90).alias("q90"))
+    return c.groupBy(*group).agg(F.max("rows").alias("rows"), at(10).alias("q10"), at(50).alias("q50"), at(90).alias("q90"), at(99).alias("q99"))
 
 
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH) -> DataFrame:
+def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """One row per language and source: ``lo_<ratio>`` (null where there is none) and ``hi_<ratio>``."""
     groups = sketch.select("lang", "source", "ratio").distinct()
     own = _quantiles(sketch, ["lang", "source"])
@@ -116,13 +130,14 @@ def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH)
                      & (F.col("g.ratio") == F.col("o.ratio")))
               .join(la, F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.ratio") == F.col("l.ratio")))
               .join(F.broadcast(c), F.col("g.ratio") == F.col("c.ratio"))  # one row a ratio
-              .select("g.lang", "g.source", "g.ratio", pick("q10"), pick("q50"), pick("q90")))
+              .select("g.lang", "g.source", "g.ratio", pick("q10"), pick("q50"), pick("q90"), pick("q99")))
     cols = []
-    for r, (above, below) in RATIOS.items():
+    for r, (upper, quarters, lower) in RATIOS.items():
         of = lambda e, r=r: F.max(F.when(F.col("ratio") == r, e))
-        cols.append(of(F.col("q50") + F.greatest(F.lit(reach) * (F.col("q50") - F.col("q10")), F.lit(above))).alias(f"hi_{r}"))
-        if below is not None:
-            cols.append(of(F.col("q50") - F.greatest(F.lit(reach) * (F.col("q90") - F.col("q50")), F.lit(below))).alias(f"lo_{r}"))
+        q50, top = F.col("q50"), F.col(f"q{upper}")
+        cols.append(of(q50 + F.floor(quarters * (top - q50) / 4) + _step(top)).alias(f"hi_{r}"))
+        if lower:
+            cols.append(of(q50 - REACH_BELOW * (q50 - F.col("q10")) - _step(q50)).alias(f"lo_{r}"))
     return picked.groupBy("lang", "source").agg(*cols)
 
 
@@ -132,9 +147,9 @@ def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     x = limits.select(F.col("lang").alias("x_lang"), F.col("source").alias("x_source"), *[c for c in limits.columns if c not in ("lang", "source")])
     j = measured.join(x, measured["lang"].eqNullSafe(x["x_lang"]) & measured["source"].eqNullSafe(x["x_source"]), "left")
     good = ~base_failed()
-    for r, (_, below) in RATIOS.items():
+    for r, (_, _, lower) in RATIOS.items():
         good = good & F.coalesce(_ratio(r) <= F.col(f"hi_{r}"), F.lit(True))
-        if below is not None:
+        if lower:
             good = good & F.coalesce(_ratio(r) >= F.col(f"lo_{r}"), F.lit(True))
     return j.withColumn("base_failed", base_failed()).withColumn("kept", good)
 

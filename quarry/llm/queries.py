@@ -133,19 +133,23 @@ k AS (SELECT lang, source, ratio, v - v % (1::BIGINT << greatest(length(bin(v))
 lv AS (
   SELECT 3 AS level, lang, source, ratio, key FROM k UNION ALL SELECT 2, lang, NULL, ratio, key FROM k UNION ALL SELECT 1, NULL, NULL, ratio, key FROM k),
 s AS (
-  SELECT level, lang, source, ratio, count(*) AS n, quantile_disc(key, 0.1) AS q10, quantile_disc(key, 0.5) AS q50, quantile_disc(key, 0.9) AS q90
+  SELECT level, lang, source, ratio, count(*) AS n, quantile_disc(key, 0.1) AS q10, quantile_disc(key, 0.5) AS q50, quantile_disc(key, 0.9) AS q90, quantile_disc(key, 0.99) AS q99
   FROM lv GROUP BY ALL),
 t AS (
   SELECT o.lang, o.source, o.ratio,
          CASE WHEN o.n >= 100 THEN o.q10 WHEN l.n >= 100 THEN l.q10 ELSE c.q10 END AS q10,
          CASE WHEN o.n >= 100 THEN o.q50 WHEN l.n >= 100 THEN l.q50 ELSE c.q50 END AS q50,
-         CASE WHEN o.n >= 100 THEN o.q90 WHEN l.n >= 100 THEN l.q90 ELSE c.q90 END AS q90
+         CASE WHEN o.n >= 100 THEN o.q90 WHEN l.n >= 100 THEN l.q90 ELSE c.q90 END AS q90,
+         CASE WHEN o.n >= 100 THEN o.q99 WHEN l.n >= 100 THEN l.q99 ELSE c.q99 END AS q99
   FROM s o JOIN s l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM o.lang AND l.ratio = o.ratio JOIN s c ON c.level = 1 AND c.ratio = o.ratio
   WHERE o.level = 3),
+lim AS (
+  SELECT lang, source, ratio, q50 + quarters * (top - q50) // 4 + (1::BIGINT << greatest(length(bin(top)) - 5, 0)) AS hi,
+         CASE WHEN ratio = 'chars_word' THEN q50 - 4 * (q50 - q10) - (1::BIGINT << greatest(length(bin(q50)) - 5, 0)) ELSE 0 END AS lo
+  FROM (SELECT *, CASE WHEN ratio IN ('chars_word', 'symbols') THEN q90 ELSE q99 END AS top, CASE WHEN ratio IN ('chars_word', 'symbols') THEN 16 ELSE 5 END AS quarters FROM t)),
 bad AS (
-  SELECT DISTINCT rid FROM v JOIN t ON v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source AND v.ratio = t.ratio
-  WHERE v.v > q50 + greatest(8 * (q50 - q10), CASE v.ratio WHEN 'chars_word' THEN 250 WHEN 'symbols' THEN 50 ELSE 600 END)
-     OR v.ratio = 'chars_word' AND v.v < q50 - greatest(8 * (q90 - q50), 250))
+  SELECT DISTINCT rid FROM v JOIN lim t ON v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source AND v.ratio = t.ratio
+  WHERE v.v > hi OR v.v < lo)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept
 FROM b LEFT JOIN bad ON b.rid = bad.rid
 """
