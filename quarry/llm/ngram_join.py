@@ -114,7 +114,10 @@ def _prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, t: Fraction)
 # -- 1. sets -------------------------------------------------------------------
 
 def document_sets(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(doc_id, n_shingles, digest)`` of documents, and rows ``(keys, counts)`` of shingles seen often in a batch."""
+    """Rows ``(doc_id, n_shingles, digest, mark)`` of documents, and rows ``(keys, counts)`` of shingles seen often in a batch.
+
+    ``mark`` is a 64-bit hash of the text, by which rows that share an id are told apart.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -129,18 +132,19 @@ def document_sets(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
                 if d is not None and d not in seen:
                     seen.add(d)
                     sets.append(s)
-            kind = pa.schema([("doc_id", batch.column(0).type), ("n_shingles", pa.int64()), ("digest", pa.binary()),
+            kind = pa.schema([("doc_id", batch.column(0).type), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("mark", pa.int64()),
                               ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
             none = [None] * len(sizes)
-            yield batch_of(kind, batch.column(0), sizes, digests, none, none)
+            yield batch_of(kind, batch.column(0), sizes, digests, batch.column(2), none, none)
             if sets:
                 keys, counts = np.unique(np.concatenate(sets), return_counts=True)
                 often = counts >= 3
                 if often.any():
-                    yield batch_of(kind, [None], [None], [None], [keys[often].view(np.int64)], [counts[often]])
+                    yield batch_of(kind, [None], [None], [None], [None], [keys[often].view(np.int64)], [counts[often]])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_rows(rows, run, f"doc_id {id_type}, n_shingles long, digest binary, keys array<long>, counts array<long>")
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    return map_rows(rows, run, f"doc_id {id_type}, n_shingles long, digest binary, mark long, keys array<long>, counts array<long>")
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -390,10 +394,15 @@ def _tiled(rows: DataFrame, parts: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, id_col: str = "doc_id",
                        text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of each document."""
+    return _components_of_rows(docs, words, threshold, id_col, text_col, block).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")
+
+
+def _components_of_rows(docs: DataFrame, words: int, threshold: Fraction, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, component, digest, mark)``: two components may share their least id, not their ``component``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = write_table(document_sets(rows, words), "ngram_sets")
-    real = sets.filter("keys IS NULL").select("doc_id", "n_shingles", "digest")
+    real = sets.filter("keys IS NULL").select("doc_id", "n_shingles", "digest", "mark")
     named = rows.filter("doc_id IS NOT NULL")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = real.agg(F.sum("n_shingles")).first()[0] or 0
@@ -426,19 +435,28 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     if linked.limit(1).count():
         of_component = by_class.join(linked.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"))
         least = (by_class.join(of_component, "component", "left").filter(F.col("component_id").isNotNull() | (F.col("copies") > 1))
-                 .select("digest", F.coalesce("component_id", "least").alias("component_id")))
-    least = write_table(least.select("digest", "component_id"), "ngram_components")
+                 .select("digest", F.coalesce("component_id", "least").alias("component_id"), "component"))
+    least = write_table(least.select("digest", "component_id", "component"), "ngram_components")
     out = real.join(broadcast_if_small(least), "digest", "left")
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles",
-                      F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
+                      F.coalesce("component", "digest").alias("component"), "digest", "mark")
 
 
 def keep_one_each(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the least id; all columns.  Rows without an id stay as they are."""
-    name = free_name(docs, "kept_id")
-    rows = write_table(jaccard_components(docs, words, threshold, id_col, text_col), "ngram_rows")
-    kept = broadcast_if_small(rows.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(name)).distinct())
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(name), "left_semi")
-    if rows.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count():
-        named = named.dropDuplicates([id_col])  # repeated rows: only then are whole rows shuffled
+    """One document of each component, that with the least id; all columns.  Rows without an id stay as they are.
+
+    Rows that share an id are told apart by their texts: of a component's texts under its
+    least id that with the least digest stays, once, and a text without words stays with
+    each id.
+    """
+    name, mark = free_name(docs, "kept_id"), free_name(docs, "kept_mark")
+    rows = write_table(_components_of_rows(docs, words, threshold, id_col, text_col).filter("doc_id IS NOT NULL"), "ngram_rows")
+    least = rows.filter(F.col("doc_id") == F.col("component_id"))
+    one = least.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("digest", "doc_id", "mark")).alias("k")).select("k.doc_id", "k.mark")
+    kept = one.unionByName(least.filter("component IS NULL").select("doc_id", "mark").distinct())
+    kept = broadcast_if_small(write_table(kept, "ngram_kept").select(F.col("doc_id").alias(name), F.col("mark").alias(mark)))
+    same = (F.col(id_col) == F.col(name)) & (F.xxhash64(text_or_empty(text_col)) == F.col(mark))
+    named = docs.filter(F.col(id_col).isNotNull()).join(kept, same, "left_semi")
+    if rows.groupBy("doc_id", "mark").count().filter("count > 1").limit(1).count():  # repeated rows: only then are whole rows shuffled
+        named = named.withColumn(mark, F.xxhash64(text_or_empty(text_col))).dropDuplicates([id_col, mark]).drop(mark)
     return named.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -80,6 +80,17 @@ def test_jaccard(spark, block, monkeypatch):
     assert got == sorted(want, key=str)
 
 
+def test_keep_one_each_of_rows_that_share_an_id(spark):
+    t = {k: " ".join(f"{k}{i}" for i in range(20)) for k in "abcdef"}
+    near = t["e"] + " more"
+    rows = [(5, t["b"]), (30, t["b"]), (30, t["a"]), (40, t["c"]), (40, t["d"]), (40, t["d"]), (50, t["e"]), (50, near), (60, near), (70, ""), (70, " "), (70, ""), (71, None), (None, t["a"]), (None, t["a"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((str(r.doc_id), r.text) for r in ngram_join.keep_one_each(df).collect()), key=str)
+    of_50 = [x for x in got if x[0] == "50"]
+    assert len(of_50) == 1 and of_50[0][1] in (t["e"], near)
+    assert [x for x in got if x[0] != "50"] == sorted([("5", t["b"]), ("30", t["a"]), ("40", t["c"]), ("40", t["d"]), ("70", ""), ("70", " "), ("71", None), ("None", t["a"]), ("None", t["a"])], key=str)
+
+
 def test_keep_one_each(spark):
     texts = corpus()
     sets = plain_sets(texts)
