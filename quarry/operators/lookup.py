@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.elements import latest_by_name
-from quarry.operators.render import CLASS_LIMIT_ALL_FILES, FILE_RANGE_LIMIT, lookup_range, range_text
+from quarry.operators.render import CLASS_LIMIT_ALL_FILES, CLASS_LIMIT_IN_FILE, FILE_RANGE_LIMIT, lookup_range, range_text
 
 QUERY_KINDS = ("semantic", "function", "method", "class", "file")
 RESULT_COLS = ["query_id", "source", "filename", "elem_type", "elem_name", "text"]
@@ -23,48 +23,50 @@ def _level(d: DataFrame, etype: str, level: str) -> DataFrame:
     return latest_by_name(d.where((F.col("elem_type") == etype) & (F.col("display_level") == level)))
 
 
-def exact_lookups(queries: DataFrame, displays: DataFrame, files: DataFrame,
-                  class_limit: int = CLASS_LIMIT_ALL_FILES, in_file: bool = False) -> DataFrame:
+def checked_kinds(queries: DataFrame) -> DataFrame:
+    """The queries; one of an unknown or NULL kind is an error, not an empty answer."""
+    known = F.coalesce(F.col("query_kind").isin(*QUERY_KINDS), F.lit(False))
+    return queries.withColumn("query_kind", F.when(known, F.col("query_kind")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown kind of query "), F.coalesce(F.col("query_id").cast("string"), F.lit("NULL"))))))
+
+
+def exact_lookups(queries: DataFrame, displays: DataFrame, files: DataFrame, class_limit: int | None = None,
+                  in_file: bool = False, id_cols: tuple = ("query_id",)) -> DataFrame:
     """Hits of function / method / class / file-range queries (SCH-8..SCH-11).
 
-    ``in_file``: every query is answered inside its own ``filename`` (SCH-12).
+    ``in_file``: every query is answered inside its own ``filename`` (SCH-12), where a
+    class may be ``CLASS_LIMIT_IN_FILE`` long, else ``CLASS_LIMIT_ALL_FILES``, before its
+    signature stands for it.  ``id_cols`` name the columns that identify a query.
     """
-    if in_file:
-        hits = exact_lookups(queries, displays, files, class_limit)
-        return hits.join(queries.select("query_id", "filename").distinct(), ["query_id", "filename"], "left_semi").select(*RESULT_COLS)
-    q = queries.drop("filename")
-    qf = queries
+    class_limit = class_limit or (CLASS_LIMIT_IN_FILE if in_file else CLASS_LIMIT_ALL_FILES)
+    ids, on = list(id_cols), ["instance_id", *(["filename"] if in_file else [])]
+    q = queries if in_file else queries.drop("filename")
+
+    def out(hits, kind, name, text):
+        return hits.select(*ids, F.lit("exact").alias("source"), "filename", F.lit(kind).alias("elem_type"), F.col(name).alias("elem_name"), text.alias("text"))
+
     fn = _level(displays, "function", "moderate").where(F.col("parent_name") == "")
     hf = q.where(F.col("query_kind") == "function").join(
-        fn.select("instance_id", "filename", F.col("elem_name").alias("fn_name"), F.col("display").alias("text")),
-        ["instance_id", "fn_name"])
-    hf = hf.select("query_id", F.lit("exact").alias("source"), "filename", F.lit("function").alias("elem_type"),
-                   F.col("fn_name").alias("elem_name"), "text")
+        fn.select("instance_id", "filename", F.col("elem_name").alias("fn_name"), "display"), [*on, "fn_name"])
     me = _level(displays, "method", "moderate")
     hm = q.where(F.col("query_kind") == "method").join(
-        me.select("instance_id", "filename", F.col("parent_name").alias("class_name"), F.col("elem_name").alias("method_name"),
-                  F.col("display").alias("text")), ["instance_id", "class_name", "method_name"])
-    hm = hm.select("query_id", F.lit("exact").alias("source"), "filename", F.lit("method").alias("elem_type"),
-                   F.col("method_name").alias("elem_name"), "text")
+        me.select("instance_id", "filename", F.col("parent_name").alias("class_name"), F.col("elem_name").alias("method_name"), "display"),
+        [*on, "class_name", "method_name"])
     cls = displays.where((F.col("elem_type") == "class") & F.col("live") & F.col("display_level").isin("moderate", "signature"))
     at = lambda level: F.max_by(F.when(F.col("display_level") == level, F.col("display")),
                                 F.when(F.col("display_level") == level, F.col("ord")))
     cl = cls.groupBy("instance_id", "filename", "elem_name").agg(at("moderate").alias("_m"), at("signature").alias("_s"))
-    hc = q.where(F.col("query_kind") == "class").join(cl.withColumnRenamed("elem_name", "class_name"), ["instance_id", "class_name"])
-    hc = hc.select("query_id", F.lit("exact").alias("source"), "filename", F.lit("class").alias("elem_type"),
-                   F.col("class_name").alias("elem_name"),
-                   F.when(F.length("_m") > class_limit, F.col("_s")).otherwise(F.col("_m")).alias("text"))
+    hc = q.where(F.col("query_kind") == "class").join(cl.withColumnRenamed("elem_name", "class_name"), [*on, "class_name"])
     # file ranges: lines of module files only; over the limit -> module signature
     mods = displays.where((F.col("elem_type") == "module") & (F.col("kind") == "module") & (F.col("display_level") == "signature"))
     fl = files.join(mods.select("instance_id", "filename", F.col("display").alias("_sig")), ["instance_id", "filename"])
     fl = fl.select("instance_id", "filename", F.split("content", "\n").alias("_lines"), "_sig")
-    hq = qf.where(F.col("query_kind") == "file").join(fl, ["instance_id", "filename"])
+    hq = queries.where(F.col("query_kind") == "file").join(fl, ["instance_id", "filename"])
     lo, hi = lookup_range(F.col("_lines"), F.col("line_start"), F.col("line_end"))
     t = range_text(F.col("_lines"), lo, hi)
-    hq = hq.select("query_id", F.lit("exact").alias("source"), "filename", F.lit("file").alias("elem_type"),
-                   F.col("filename").alias("elem_name"),
-                   F.when(F.length(t) > FILE_RANGE_LIMIT, F.col("_sig")).otherwise(t).alias("text"))
-    return hf.unionByName(hm).unionByName(hc).unionByName(hq)
+    return (out(hf, "function", "fn_name", F.col("display")).unionByName(out(hm, "method", "method_name", F.col("display")))
+            .unionByName(out(hc, "class", "class_name", F.when(F.length("_m") > class_limit, F.col("_s")).otherwise(F.col("_m"))))
+            .unionByName(out(hq, "file", "filename", F.when(F.length(t) > FILE_RANGE_LIMIT, F.col("_sig")).otherwise(t))))
 
 
 def alternative_text(queries: DataFrame) -> DataFrame:
@@ -82,13 +84,10 @@ def lookup_with_fallback(queries: DataFrame, displays: DataFrame, files: DataFra
                          k: int = 10) -> DataFrame:
     """Exact hits, plus search results (k=10, code only) for queries without one (SCH-12..SCH-14).
 
-    Semantic queries have no exact form and are answered by their text.  A
-    query of an unknown or NULL kind is an error, not an empty answer.
+    Semantic queries have no exact form and are answered by their text.
     """
     from quarry.operators.search import bm25_search
-    known = F.coalesce(F.col("query_kind").isin(*QUERY_KINDS), F.lit(False))
-    queries = queries.withColumn("query_kind", F.when(known, F.col("query_kind")).otherwise(
-        F.raise_error(F.concat(F.lit("unknown kind of query "), F.coalesce(F.col("query_id").cast("string"), F.lit("NULL"))))))
+    queries = checked_kinds(queries)
     hits = exact_lookups(queries, displays, files)
     missed = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     alt = alternative_text(missed).select("query_id", "instance_id", "text")

@@ -297,7 +297,7 @@ def l1_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, over_fe
               elem_type=None, in_dirs=None, dedup: bool = True, dedup_by_file: bool = True,
               id_col: str = "id", vec_col: str = "embedding", qvec_col: str = "qvec",
               score_round: int | None = 6, content: DataFrame | None = None, wildcards: bool = False,
-              pivots: list[list[float]] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+              pivots: list[list[float]] | None = None, block_rows: int = BLOCK_ROWS, dedup_first: bool = False) -> DataFrame:
     """Exact L1 top-k per query inside its instance (SCH-1, JN-1, JN-4).
 
     ``corpus``: (id, instance_id, embedding, ...content columns).  Rows with an
@@ -305,7 +305,9 @@ def l1_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, over_fe
     (query_id, instance_id, qvec).  Only ``id, instance_id, embedding`` take
     part in scoring; the content columns are joined after the top-k.  With
     ``pivots``, for a corpus that stores :func:`pivot_distances`, rows out of reach are
-    left out before any vector is compared.
+    left out before any vector is compared.  ``dedup_first`` takes the best row of each
+    file or element before the cut, so that copies of one never crowd out others; by
+    default ``over_fetch * k`` rows are cut first.
     """
     content = content if content is not None else corpus
     by_query = isinstance(in_dirs, DataFrame)
@@ -319,7 +321,7 @@ def l1_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, over_fe
         paths = cand.select(id_col, "instance_id", "filename").join(q.drop(qvec_col), "instance_id").select("query_id", id_col, "filename")
         pairs = in_query_dirs(paths, in_dirs, wildcards, id_col)
         asked = cand.select(id_col, vec_col).join(pairs, id_col).join(broadcast_if_small(q.drop("instance_id")), "query_id")
-    elif pivots is not None:
+    elif pivots is not None and not (dedup and dedup_first):  # the bound on ids says nothing about files
         slack = 1e-9 if score_round is None else 2 * 10.0 ** -score_round
         pairs = pivot_candidates(cand, q, pivots, fetch, id_col, vec_col, qvec_col, slack=slack, block_rows=block_rows)
         asked = cand.select(id_col, vec_col).join(pairs, id_col).join(broadcast_if_small(q.drop("instance_id")), "query_id")
@@ -331,6 +333,10 @@ def l1_search(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_K, over_fe
     dist = F.round("score", score_round) if score_round is not None else F.col("score")
     scored = scored.withColumn("distance", dist)
     n_q = queries.select("query_id").distinct().count()
+    if dedup and dedup_first:
+        key = ["filename"] if dedup_by_file else ELEMENT_KEY
+        best = scored.join(content.select(id_col, *key), id_col).groupBy("query_id", *key).agg(F.min(F.struct("distance", id_col)).alias("_b"))
+        scored, fetch = best.select("query_id", F.col(f"_b.{id_col}").alias(id_col), F.col("_b.distance").alias("distance")), k
     top = _top_n(scored, fetch, [F.col("distance"), F.col(id_col)])
     ranked = _attach_content(top, content.drop(vec_col) if vec_col in content.columns else content, id_col, n_q * fetch)
     if dedup:

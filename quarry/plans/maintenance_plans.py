@@ -13,18 +13,19 @@ from quarry.operators.elements import element_displays, index_rows
 from quarry.operators.index import build_text_index
 from quarry.operators.inference import (call_cached, echo_model, embed_text, hashing_embedder, invoke_prompt,
                                         rule_failing_provider)
+from quarry.operators.answers import staged_answers
 from quarry.operators.lookup import lookup_with_fallback
 from quarry.operators.maintenance import new_version_path, tag_rows, write_files, write_predictions
 from quarry.operators.stats import outcome_counts
 from quarry.operators.versions import manifest, read_index, unbuilt, write_version
 from quarry.plans import register
 from quarry.operators.build import build_index, embed_rows, search_by_text
-from quarry.plans.element_plans import (_PARTS_SQL, FILES_PER_INSTANCE, PARTS_PER_FILE, _displays, _elements, _files,
+from quarry.plans.element_plans import (_PARTS_SQL, BLOCK, FILES_PER_INSTANCE, HEADER, PARTS_PER_FILE, _displays, _elements, _files, lookup_queries,
                                         render_python_files)
 from quarry.plans.fixtures import doc_filename
 from quarry.plans.patch_plans import render_diffs, render_logs
 from quarry.plans.search_plans import _adler_bucket_sql
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, write_table
 from quarry.sources.files import scan_eval_logs, scan_source_tree
 from quarry.sources.tables import Tables, table_path
 from quarry.streaming.index_stream import start_index_stream
@@ -358,6 +359,76 @@ def lookup_fallback(spark, sf_dir):
 register("lookup_fallback")(lookup_fallback)
 
 
+# ------------------------------------------------------------------ SCH-12..SCH-16, SCH-19, JN-3: staged answers
+def staged_lookup(spark, sf_dir):
+    """A query per part, of all five kinds, answered by name, by text or by vector, with the choices as tables.
+
+    Exact files are kept except, for methods and classes, where ``p_partkey % 7 = 0``; found
+    files are kept for methods, classes and semantic queries where ``p_partkey % 3 != 0``; in
+    a found file the part's class and its first method are named, and ``p_partkey % 2`` is chosen.
+    """
+    part = Tables(spark, sf_dir).part
+    files = _files(spark, sf_dir)
+    elems = _elements(files)
+    displays = _displays(files, elems, numbered=True)
+    rows = write_table(tag_rows(fixed_chunks(index_rows(_displays(files, elems, numbered=False)), "content")), "staged_rows")
+    index = build_text_index(rows).materialize()
+    pk, kind = F.col("p_partkey"), F.col("p_partkey") % 5
+    null = lambda t: F.lit(None).cast(t)
+    q = lookup_queries(part).drop("query_kind", "semantic").join(part.select(pk.alias("query_id"), "p_name"), "query_id")
+    q = q.withColumn("_k", F.col("query_id") % 5).withColumn("query_kind", F.element_at(F.array(*map(F.lit, ("function", "method", "class", "file", "semantic"))), (F.col("_k") + 1).cast("int")))
+    q = q.withColumn("semantic", F.when(F.col("_k") == 4, F.col("p_name"))).drop("_k", "p_name")
+    own = lookup_queries(part).select("query_id", "filename", "class_name")
+    exact_choice = own.where("query_id % 5 IN (0, 3) OR query_id % 7 != 0")
+    text_choice = own.where("query_id % 5 IN (1, 2, 4) AND query_id % 3 != 0")
+    item = lambda n, k, method: own.select("query_id", "filename", F.lit(n).alias("item"), F.lit(k).alias("query_kind"), null("string").alias("fn_name"), "class_name",
+                                           method.alias("method_name"), null("long").alias("line_start"), null("long").alias("line_end"))
+    extractions = item(0, "class", null("string")).unionByName(item(1, "method", F.lit("get")))
+    result_choice = part.select(pk.alias("query_id"), (pk % 2).cast("long").alias("index"))
+    vectors = rows.join(embed_rows(rows.where(~F.col("exact_only")), "id", "content", EMBED_DIM), "id")
+    semantic = q.where("query_kind = 'semantic'").select("query_id", "instance_id", "semantic")
+    query_vectors = semantic.select("query_id", "instance_id").join(embed_rows(semantic, "query_id", "semantic", EMBED_DIM).withColumnRenamed("embedding", "qvec"), "query_id")
+    r = staged_answers(q, displays, files, index, rows, vectors, query_vectors, exact_choice, text_choice, extractions, result_choice)
+    return r.select("query_id", "source", "n_results", "result_idx", "filename", "elem_type", "elem_name", F.md5("text").alias("text_md5"))
+
+
+_LINE = "lpad(CAST(({n}) AS VARCHAR), w, ' ') || ' |' || {t} || chr(10)"
+_FN_TEXT = _LINE.format(n="fbase + 4", t="'def ' || fn || '(x):'") + " || " + _LINE.format(n="fbase + 5", t="""'    \"\"\"Price of ' || p_name || '.\"\"\"'""")
+_GET_TEXT = _LINE.format(n="base + 9", t="'    # brand ' || p_brand") + " || " + _LINE.format(n="base + 10", t="'    def get(self):'")
+_PUT_TEXT = _LINE.format(n="base + 12", t="'    def put(self, v):'")
+_CLASS_TEXT = (_LINE.format(n="base + 8", t="'class ' || cls || ':'") + " || " + _LINE.format(n="base + 9", t="'    # brand ' || p_brand") + " || " + _GET_TEXT
+               + f" || chr(10) || CASE WHEN p_size % 7 = 0 THEN '' ELSE {_PUT_TEXT} || chr(10) END")
+register("staged_lookup", f"""
+WITH {_PARTS_SQL},
+ln AS (
+  SELECT g, 0 AS n, '# Module for group ' || CAST(g AS VARCHAR) AS t FROM f UNION ALL SELECT g, 1, 'import os' FROM f UNION ALL SELECT g, 2, '' FROM f
+  UNION ALL SELECT pb.g, base + k, [
+    '# constant of ' || p_name, 'SIZE_' || CAST(p_partkey AS VARCHAR) || ' = ' || CAST(p_size AS VARCHAR), '', 'def ' || replace(p_name, ' ', '_') || '(x):',
+    '    \"\"\"Price of ' || p_name || '.\"\"\"', '    return x * ' || CAST(p_size AS VARCHAR), '', 'class Part' || CAST(p_partkey AS VARCHAR) || ':', '    # brand ' || p_brand,
+    '    def get(self):', '        return ' || CAST(p_size AS VARCHAR), CASE WHEN p_size % 7 = 0 THEN '    async def put(self, v):' ELSE '    def put(self, v):' END, '        self.v = v', ''][k + 1]
+  FROM (SELECT pb.*, part.p_brand FROM pb JOIN part USING (p_partkey)) pb, (SELECT unnest(range(14)) AS k)),
+x AS (
+  SELECT pb.*, part.p_brand, f.m, {HEADER} + {BLOCK} * f.m AS lines, CAST(length(CAST({HEADER} + {BLOCK} * f.m AS VARCHAR)) AS INTEGER) AS w, replace(pb.p_name, ' ', '_') AS fn, 'Part' || CAST(p_partkey AS VARCHAR) AS cls,
+         max(base) OVER (PARTITION BY pb.g, pb.p_name) AS fbase, CAST(p_partkey % 5 AS INTEGER) AS kind, CASE WHEN pb.p_size % 2 = 0 THEN 'get' ELSE 'put' END AS method,
+         greatest(0, pb.p_size % 30 - 10) AS lo, least({HEADER} + {BLOCK} * f.m, CASE WHEN pb.p_size % 3 = 0 THEN {HEADER} + {BLOCK} * f.m ELSE pb.p_size % 30 + 5 END + 10) AS hi
+  FROM pb JOIN part USING (p_partkey) JOIN f USING (g) WHERE NOT broken),
+rng AS (SELECT p_partkey, string_agg(lpad(CAST(ln.n + 1 AS VARCHAR), w, ' ') || ' |' || ln.t, chr(10) ORDER BY ln.n) || chr(10) AS t
+        FROM x JOIN ln ON ln.g = x.g AND ln.n >= lo AND ln.n < hi WHERE kind = 3 GROUP BY p_partkey),
+e AS (SELECT *, kind IN (0, 3) OR (p_partkey % 7 != 0 AND (kind = 2 OR kind = 1 AND (method = 'get' OR p_size % 7 != 0))) AS by_name FROM x),
+a AS (
+  SELECT p_partkey, 'exact' AS source, 1 AS n, 0 AS idx, filename, ['function', 'method', 'class', 'file'][kind + 1] AS elem_type,
+         CASE kind WHEN 0 THEN fn WHEN 1 THEN method WHEN 2 THEN cls ELSE filename END AS elem_name,
+         CASE kind WHEN 0 THEN {_FN_TEXT} WHEN 1 THEN CASE WHEN method = 'get' THEN {_GET_TEXT} ELSE {_PUT_TEXT} END WHEN 2 THEN {_CLASS_TEXT}
+              ELSE (SELECT rng.t FROM rng WHERE rng.p_partkey = e.p_partkey) END AS text
+  FROM e WHERE by_name
+  UNION ALL
+  SELECT p_partkey, CASE WHEN kind = 4 THEN 'semantic' ELSE 'text' END, 2, p_partkey % 2, filename, CASE WHEN p_partkey % 2 = 0 THEN 'class' ELSE 'method' END,
+         CASE WHEN p_partkey % 2 = 0 THEN cls ELSE 'get' END, CASE WHEN p_partkey % 2 = 0 THEN {_CLASS_TEXT} ELSE {_GET_TEXT} END
+  FROM e WHERE NOT by_name AND kind IN (1, 2, 4) AND p_partkey % 3 != 0)
+SELECT p_partkey AS query_id, source, CAST(n AS BIGINT) AS n_results, CAST(idx AS BIGINT) AS result_idx, filename, elem_type, elem_name, md5(text) AS text_md5 FROM a
+""")(staged_lookup)
+
+
 # ------------------------------------------------------------------ streaming incremental build
 def stream_index_build(spark, sf_dir):
     """documents read as a file stream (availableNow) into the shard-partitioned index."""
