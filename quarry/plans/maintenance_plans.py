@@ -22,7 +22,7 @@ from quarry.plans import register
 from quarry.operators.build import build_index, embed_rows, search_by_text
 from quarry.plans.element_plans import (_PARTS_SQL, BLOCK, FILES_PER_INSTANCE, HEADER, PARTS_PER_FILE, _displays, _elements, _files, lookup_queries,
                                         render_python_files)
-from quarry.plans.fixtures import doc_filename
+from quarry.plans.fixtures import chunk_offsets_sql, doc_filename
 from quarry.plans.patch_plans import render_diffs, render_logs
 from quarry.plans.search_plans import _adler_bucket_sql
 from quarry.session import cut_lineage, write_table
@@ -76,23 +76,39 @@ EMPTIED = "src3"
 
 # ------------------------------------------------------------------ index build and search by text
 def index_build(spark, sf_dir):
-    """The whole build over the rendered modules: rows, exact-only rows and unit vectors per instance (first chunks)."""
-    index = build_index(spark, _files(spark, sf_dir))
+    """The whole build over the rendered modules: rows of all chunks, exact-only rows and unit vectors per instance."""
+    index = build_index(spark, _files(spark, sf_dir), capacity=BUILD_CAPACITY)
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    r = index.where(F.col("split_idx") == 0)
-    return r.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("exact_only").alias("n_exact_only"),
+    return index.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("exact_only").alias("n_exact_only"),
                                         F.count_if(F.abs(norm - 1) < 1e-9).alias("n_vectors"))
 
 
+#: Characters of an index chunk in the build query: whole modules take several.
+BUILD_CAPACITY = 1024
 register("index_build", f"""
 WITH {_PARTS_SQL},
+x AS (
+  SELECT pb.*, length(pb.p_name) AS nl, length(part.p_brand) AS bl, length(CAST(pb.p_partkey AS VARCHAR)) AS kl, length(CAST(pb.p_size AS VARCHAR)) AS sl,
+         row_number() OVER (PARTITION BY pb.g, pb.p_name ORDER BY pb.p_partkey DESC) AS last
+  FROM pb JOIN part USING (p_partkey)),
+-- lengths of the parts of a block: constant with its comment, function (as shown, whole), class header, members (as shown), the whole block
+b AS (
+  SELECT *, 14 + nl + 1 AS up_const, 8 + kl + sl + 1 AS const, 8 + nl + 1 AS sig, 20 + nl + 1 AS doc, 15 + sl + 1 AS ret, 11 + kl + 1 AS cls, 12 + bl + 1 AS brand, 18 + 1 AS get, 15 + sl + 1 AS getret,
+         CASE WHEN p_size % 7 = 0 THEN 27 ELSE 21 END + 1 AS put, 18 + 1 AS putv
+  FROM x),
+h AS (SELECT g, count(*) AS m, 19 + length(CAST(g AS VARCHAR)) + 1 AS head, 10 AS imp, sum(up_const + const + 1 + sig + doc + ret + 1 + cls + brand + get + getret + put + putv + 1) AS blocks,
+             sum(up_const + const + sig + doc + cls + brand + (brand + get) + 1 + CASE WHEN p_size % 7 = 0 THEN 0 ELSE put + 1 END) AS shown, bool_or(broken) AS broken FROM b GROUP BY g),
 r AS (
-  SELECT DISTINCT instance_id, filename, filename AS name, unnest(['minimal', 'moderate', 'full']) AS level FROM pb WHERE NOT broken
-  UNION ALL SELECT DISTINCT instance_id, filename, filename, '' FROM pb WHERE broken
-  UNION ALL SELECT DISTINCT instance_id, filename, replace(p_name, ' ', '_'), 'minimal' FROM pb WHERE NOT broken
-  UNION ALL SELECT instance_id, filename, 'Part' || CAST(p_partkey AS VARCHAR), 'minimal' FROM pb WHERE NOT broken),
-e AS (SELECT *, level = 'full' OR filename LIKE '%test%' OR filename LIKE '%example%' OR name LIKE '%test%' OR name LIKE '%example%' AS exact_only FROM r)
-SELECT instance_id, count(*) AS n_rows, count(*) FILTER (exact_only) AS n_exact_only, count(*) FILTER (NOT exact_only) AS n_vectors
+  SELECT DISTINCT pb.instance_id, pb.filename, pb.filename AS name, lv.level,
+         CASE lv.level WHEN 'minimal' THEN h.head WHEN 'moderate' THEN h.head + h.imp + h.shown + 3 * h.m + 1 ELSE h.head + h.imp + 1 + h.blocks END AS len
+  FROM pb JOIN h USING (g), (SELECT unnest(['minimal', 'moderate', 'full']) AS level) lv WHERE NOT h.broken
+  UNION ALL SELECT DISTINCT pb.instance_id, pb.filename, pb.filename, '', h.head + h.imp + 1 + h.blocks + 12 FROM pb JOIN h USING (g) WHERE h.broken
+  UNION ALL SELECT instance_id, filename, replace(p_name, ' ', '_'), 'minimal', sig + doc FROM b WHERE NOT broken AND last = 1
+  UNION ALL SELECT instance_id, filename, 'Part' || CAST(p_partkey AS VARCHAR), 'minimal', cls + brand FROM b WHERE NOT broken),
+e AS (SELECT *, level = 'full' OR filename LIKE '%test%' OR filename LIKE '%example%' OR name LIKE '%test%' OR name LIKE '%example%' AS exact_only,
+             1 + CASE WHEN len > {BUILD_CAPACITY} THEN CAST(ceil((len - {BUILD_CAPACITY}) / {float(BUILD_CAPACITY - BUILD_CAPACITY // 8)}) AS BIGINT) ELSE 0 END AS chunks FROM r)
+SELECT instance_id, CAST(sum(chunks) AS BIGINT) AS n_rows, CAST(coalesce(sum(chunks) FILTER (exact_only), 0) AS BIGINT) AS n_exact_only,
+       CAST(coalesce(sum(chunks) FILTER (NOT exact_only), 0) AS BIGINT) AS n_vectors
 FROM e GROUP BY instance_id
 """)(index_build)
 
@@ -157,8 +173,10 @@ EMBED_DIM = 64
 
 
 def _embed_requests(docs: DataFrame) -> DataFrame:
-    return docs.select(F.concat_ws("_", F.lit("text_search"), F.col("source"), F.col("doc_id").cast("string")).alias("key"),
-                       embed_text(F.col("text")).alias("prompt"), "lang")
+    """A request per chunk: texts are cut before they are embedded, so none is over the limit."""
+    chunks = fixed_chunks(docs.select("doc_id", "source", "lang", F.col("text").alias("content")), "content")
+    return chunks.select(F.concat_ws("_", F.lit("text_search"), F.col("source"), F.col("doc_id").cast("string"), F.col("split_idx").cast("string")).alias("key"),
+                         embed_text(F.col("content")).alias("prompt"), "lang")
 
 
 def embed_cached(spark, sf_dir):
@@ -173,12 +191,9 @@ def embed_cached(spark, sf_dir):
 
 
 register("embed_cached", f"""
-WITH r AS (SELECT 'text_search_' || source || '_' || CAST(doc_id AS VARCHAR) AS key, lang,
-                  regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS prompt FROM documents)
-SELECT key, CASE WHEN length(prompt) <= 5000 THEN 'ok' ELSE 'token_limit' END AS status,
-       CAST(lang = 'en' AND length(prompt) <= 5000 AS BIGINT) AS cached,
-       CAST(CASE WHEN length(prompt) <= 5000 THEN {EMBED_DIM} END AS BIGINT) AS n_dims
-FROM r
+WITH r AS (SELECT 'text_search_' || source || '_' || CAST(doc_id AS VARCHAR) || '_' || CAST(unnest({chunk_offsets_sql('length(text)')}) AS VARCHAR) AS key, lang
+           FROM documents WHERE length(text) > 0)
+SELECT key, 'ok' AS status, CAST(lang = 'en' AS BIGINT) AS cached, CAST({EMBED_DIM} AS BIGINT) AS n_dims FROM r
 """)(embed_cached)
 
 

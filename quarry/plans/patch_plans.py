@@ -120,7 +120,7 @@ FROM lineitem
 
 # ------------------------------------------------------------------ AGG-2 / AGG-3 / AGG-4 / FLT-7 / FLT-8
 def value_distribution_q(spark, sf_dir):
-    return value_distribution(instance_stats_fold(spark, sf_dir))
+    return value_distribution(instance_stats_fold(spark, sf_dir), overflow=True)
 
 
 def _long_sql(metrics):
@@ -130,9 +130,10 @@ def _long_sql(metrics):
 register("value_distribution", f"""
 WITH {_STATS_SQL},
 lg AS ({_long_sql(DOMAINS)}),
-counts AS (SELECT metric, value, count(*) AS n FROM lg GROUP BY metric, value),
+top AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {hi + 1})" for m, hi in DOMAINS.items())}) AS t(metric, over)),
+counts AS (SELECT metric, least(value, over) AS value, count(*) AS n FROM lg JOIN top USING (metric) GROUP BY ALL),
 totals AS (SELECT metric, sum(n) AS total FROM counts GROUP BY metric),
-dom AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, range AS value FROM range(0, {hi + 1})" for m, hi in DOMAINS.items())}),
+dom AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, range AS value FROM range(0, {hi + 2})" for m, hi in DOMAINS.items())}),
 j AS (SELECT d.metric, d.value, coalesce(c.n, 0) AS n, t.total FROM dom d LEFT JOIN counts c USING (metric, value) LEFT JOIN totals t USING (metric))
 SELECT metric, CAST(value AS BIGINT) AS value, CAST(n AS BIGINT) AS n, round(CAST(100.0 AS DOUBLE) * n / total, 6) AS pct,
        round(sum(CAST(100.0 AS DOUBLE) * n / total) OVER (PARTITION BY metric ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumulative_pct
@@ -141,12 +142,13 @@ FROM j
 
 
 def histogram_bins_q(spark, sf_dir):
-    return histogram_bins(instance_stats_fold(spark, sf_dir))
+    return histogram_bins(instance_stats_fold(spark, sf_dir), overflow=True)
 
 
 register("histogram_bins", f"""
 WITH {_STATS_SQL}
 {" UNION ALL ".join(f"SELECT '{m}' AS metric, CAST(floor({m} / {BIN_WIDTH[m]}) * {BIN_WIDTH[m]} AS BIGINT) AS bin_lo, CAST(count(*) AS BIGINT) AS n, CAST(floor({m} / {BIN_WIDTH[m]}) * {BIN_WIDTH[m]} + {BIN_WIDTH[m]} AS BIGINT) AS bin_hi FROM st WHERE {m} <= {hi} GROUP BY 1, 2, 4" for m, hi in TRUNCATE.items())}
+{"".join(f" UNION ALL SELECT '{m}', CAST({hi + 1} AS BIGINT), CAST(count(*) AS BIGINT), CAST(NULL AS BIGINT) FROM st WHERE {m} > {hi} HAVING count(*) > 0" for m, hi in TRUNCATE.items())}
 """)(histogram_bins_q)
 
 

@@ -102,7 +102,7 @@ def html_text(spark, sf_dir):
     return p.select("page_id", F.length(t).cast("long").alias("text_len"), F.md5(t).alias("text_md5"))
 
 
-def html_to_text_sql(expr: str) -> str:
+def html_to_text_sql(expr: str, limit: int | None = PAGE_TEXT_LIMIT) -> str:
     # a body without its end tag reaches to the end of the page
     t = f"regexp_extract({expr}, '(?is)<body\\b[^>]*>(.*)', 1)"
     t = f"regexp_replace({t}, '(?is)^(.*)</body\\s*>.*$', '\\1')"
@@ -112,7 +112,7 @@ def html_to_text_sql(expr: str) -> str:
     t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
     for ent, ch in HTML_ENTITIES:
         t = f"replace({t}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
-    return f"substring({t}, 1, {PAGE_TEXT_LIMIT})"
+    return t if limit is None else f"substring({t}, 1, {limit})"
 
 
 register("html_text", f"""
@@ -139,7 +139,7 @@ def page_results(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("page_id") % 5 == 0, F.regexp_replace("url", r"://[^/]+", "://github.com")).otherwise(F.col("url")).alias("url"),
         F.regexp_extract(host, r"([^.]+)\.example\.", 1).alias("site"),
         page_title("html").alias("title"),
-        F.substring(html_to_text(F.col("html")), 1, 160).alias("description"),
+        html_to_text(F.col("html")).alias("description"),
         "html",
     )
     w = Window.partitionBy("query_id").orderBy("page_id")
@@ -184,7 +184,7 @@ res0 AS (
          CASE WHEN page_id % 5 = 0 THEN regexp_replace(url, '://[^/]+', '://github.com') ELSE url END AS url,
          regexp_extract(regexp_extract(url, '://([^/]+)', 1), '([^.]+)\\.example\\.', 1) AS site,
          regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
-         substring({html_to_text_sql('html')}, 1, 160) AS description, html
+         {html_to_text_sql('html', None)} AS description, html
   FROM pages),
 items AS (SELECT query_id, 'org/' || arg_max(site, page_id) AS repo FROM res0 GROUP BY query_id),
 kept0 AS (

@@ -201,3 +201,28 @@ def test_offsets_over_segments(spark):
     many = spark.range(2_000_000).select(F.lit(1).cast("long").alias("id"), F.col("id").alias("pos"), F.lit(10).alias("len"))
     got = line_of_offset(many, spark.createDataFrame([(1, 1), (1, 10), (1, 11), (1, 20_000_000), (1, 20_000_001)], "id long, offset long"))
     assert {r.offset: r.line_idx for r in got.collect()} == {1: 0, 10: 0, 11: 1, 20_000_000: 1_999_999, 20_000_001: None}
+
+
+def test_lookup_inside_one_file(spark):
+    """A class of 7,000 characters is shown whole inside its file, by its signature among all files; other files do not answer."""
+    from quarry.operators.lookup import exact_lookups
+    long = "class C:\n    def a(self):\n" + "".join(f'        """{"x" * 60}\n' if k == 0 else f"        {'y' * 60}\n" for k in range(100)) + '        """\n        pass\n'
+    files = spark.createDataFrame([("i", "a.py", long), ("i", "b.py", "class C:\n    pass\n\ndef f():\n    return 1\n")], "instance_id string, filename string, content string")
+    d = element_displays(extract_elements(files), files, numbered=True)
+    q = spark.createDataFrame([("c", "i", "class", None, "C", None, "a.py", None, None), ("m", "i", "method", None, "C", "a", "b.py", None, None), ("f", "i", "function", "f", None, None, "b.py", None, None),
+                               ("g", "i", "function", "f", None, None, "a.py", None, None), ("r", "i", "file", None, None, None, "b.py", 4, 4)],
+                              "query_id string, instance_id string, query_kind string, fn_name string, class_name string, method_name string, filename string, line_start long, line_end long")
+    inside = {r.query_id: (r.filename, len(r.text)) for r in exact_lookups(q, d, files, in_file=True).collect()}
+    assert set(inside) == {"c", "f", "r"} and inside["c"][0] == "a.py" and 5000 < inside["c"][1] < 10000
+    over = {(r.query_id, r.filename): len(r.text) for r in exact_lookups(q, d, files).collect()}
+    assert set(over) == {("c", "a.py"), ("c", "b.py"), ("f", "b.py"), ("g", "b.py"), ("r", "b.py"), ("m", "a.py")} and over["c", "a.py"] < 1000
+
+
+def test_copies_of_a_file_do_not_crowd_out_others(spark):
+    from quarry.operators.search import l1_search
+    rows = [(i, "i", "same.py", f"e{i}", [float(i) / 100]) for i in range(40)] + [(100 + i, "i", f"f{i}.py", "e", [10.0 + i]) for i in range(5)]
+    c = spark.createDataFrame([(*r[:4], "", "function", 0, r[4]) for r in rows],
+                              "id long, instance_id string, filename string, elem_name string, parent_name string, elem_type string, split_idx long, embedding array<double>")
+    q = spark.createDataFrame([(1, "i", [0.0])], "query_id long, instance_id string, qvec array<double>")
+    files = lambda **o: [r.filename for r in l1_search(c, q, k=4, **o).orderBy("rank").collect()]
+    assert files() == ["same.py"] and files(dedup_first=True) == ["same.py", "f0.py", "f1.py", "f2.py"]
