@@ -7,6 +7,11 @@ footer, sidebar, notice, advert, form, comments).  A decision tree, grown on the
 blocks of the hand-labelled pages in :mod:`quarry.llm.html_samples`, says which
 blocks are main text.
 
+A class or id that says what an element has or lacks (``has-sidebar``, ``no-comments``)
+says nothing of what it is.  Where no block lies in a main container and under a tenth
+of the words lie outside frames, a container that only its class or id names a frame,
+and that holds over half of the words, is the page's wrapper and says nothing either.
+
 Scripts, styles and other markup without text are skipped.  Character references
 are decoded, white space inside a block becomes one space, and the kept blocks
 are joined in page order by a line feed; nothing else is dropped or capped.
@@ -15,22 +20,24 @@ Defined results: null or empty html, and a page without main text, give an empty
 text and 0 characters; unclosed tags end with their container or the page (after
 an unclosed object, select, svg and the like the page is read on);
 repeated rows give repeated rows; null ids and urls stay null; other columns are
-ignored; an empty table gives no rows.
+ignored; pages may have any length and are read in parts of a batch; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
 import html as entities
+import random
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batch_of, columns_of, map_rows
+from quarry.llm.common import batch_of, columns_of, map_rows, slices
 from quarry.llm.html_samples import PAGES
 from quarry.llm.trees import Tree, fit_tree
 
@@ -39,10 +46,11 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template svg math head title iframe object textarea select canvas audio video".split())
+RAW = frozenset("script style noscript template svg annotation annotation-xml head title iframe object textarea select canvas audio video".split())
 #: Of these, without an end tag, browsers read the rest of the page as raw text.
 UNCLOSED_TO_END = frozenset(("script", "style", "textarea", "iframe"))
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr
+math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom mfenced menclose mmultiscripts mprescripts none""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that name what they hold.
 MAIN_TAGS = frozenset(("article", "main"))
@@ -53,6 +61,8 @@ breadcrumbs pagination pager footer contentinfo sidebar aside complementary widg
 notices notification alert popup modal dialog overlay comment comments disqus discussion reply replies respond reviews form login signup search
 newsletter subscribe subscription share sharing social toolbar topbar masthead header copyright legal tags disclaimer""".split())
 MAIN_WORDS = frozenset("article content main post entry story maincontent articlebody postcontent entrycontent".split())
+#: First words of a name that tells what an element has, not what it is.
+HAS_WORDS = frozenset("has have with without no not hide show".split())
 _WORD = re.compile(r"[a-z]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -64,11 +74,11 @@ class Block:
     link_density: float
     tag: str
     zone: int
-    depth_main: int
+    named: int  # number of the container whose class or id alone makes the zone a frame, else 0
 
 
 def _zone(tag: str, attributes: str, inside: int) -> int | None:
-    """1: main text, -1: frame, None: says nothing."""
+    """1: main text, -1: frame, -2: frame by class, id or role only, None: says nothing."""
     if tag in MAIN_TAGS:
         return 1
     if tag in FRAME_TAGS:
@@ -78,22 +88,43 @@ def _zone(tag: str, attributes: str, inside: int) -> int | None:
     if attributes and tag not in ("body", "html"):
         found = 0
         for _, a, b, c in _ATTRIBUTE.findall(attributes):
-            value = re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()
-            words = _WORD.findall(value)
-            if not FRAME_WORDS.isdisjoint(words):
-                return -1
-            if not MAIN_WORDS.isdisjoint(words):
-                found = 1
+            for value in (a or b or c).split():
+                words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+                if words and words[0] in HAS_WORDS:
+                    continue
+                if not FRAME_WORDS.isdisjoint(words):
+                    return -2
+                if not MAIN_WORDS.isdisjoint(words):
+                    found = 1
         if found:
             return 1
     return None
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order."""
+    """The page's text blocks in order, its wrappers left out of account."""
+    silent: set[int] = set()
+    while True:
+        blocks = _read(page, silent)
+        total = sum(b.words for b in blocks)
+        outside = sum(b.words for b in blocks if b.zone == 0)
+        if any(b.zone > 0 for b in blocks) or 10 * outside >= total:
+            return blocks
+        held: dict[int, int] = {}
+        for b in blocks:
+            if b.named:
+                held[b.named] = held.get(b.named, 0) + b.words
+        wrapper = max(held, key=held.__getitem__, default=0)
+        if 2 * held.get(wrapper, 0) <= total:
+            return blocks
+        silent.add(wrapper)
+
+
+def _read(page: str, silent: set[int]) -> list[Block]:
+    """The blocks, with the containers of the numbers in ``silent`` (in order of opening) saying nothing."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open containers and the zone before each
-    zone, links, tag = 0, 0, "body"
+    stack: list[tuple[str, int, int]] = []  # open containers, and the zone and naming container before each
+    zone, named, opened, links, tag = 0, 0, 0, 0, "body"
     unclosed: set[str] = set()  # elements of RAW without an end tag in the rest of the page
     parts: list[tuple[str, bool]] = []
 
@@ -103,7 +134,7 @@ def blocks_of(page: str) -> list[Block]:
             if words:
                 n = words.count(" ") + 1
                 linked = sum(len(p.split()) for p, in_link in parts if in_link)
-                out.append(Block(words, n, min(1.0, linked / n), tag, zone, len(stack)))
+                out.append(Block(words, n, min(1.0, linked / n), tag, zone, named))
             parts.clear()
 
     pos, end, find = 0, len(page), _TOKEN.search
@@ -143,18 +174,22 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if not closing:
             tag = name
+            opened += 1
             said = _zone(name, attributes, zone)
+            if said == -2 and opened in silent:
+                said = None
             if attributes and _HIDDEN.search(attributes) and name not in ("body", "html"):
                 said = -1
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                _, zone = stack.pop()  # closed by its next sibling
+                _, zone, named = stack.pop()  # closed by its next sibling
             if not attributes.endswith("/"):
-                stack.append((name, zone))
-                zone = zone if said is None else said
+                stack.append((name, zone, named))
+                if said is not None:
+                    zone, named = max(said, -1), opened if said == -2 else 0
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    zone = stack[k][1]
+                    _, zone, named = stack[k]
                     del stack[k:]
                     break
                 if name == "p" and stack[k][0] in ("article", "main", "div", "section", "body", "li", "td"):
@@ -178,15 +213,32 @@ def features(blocks: list[Block]) -> np.ndarray:
         np.array([b.tag in _HEADINGS for b in blocks], dtype=float), np.array([b.tag == "li" for b in blocks], dtype=float)])
 
 
+#: Variants of each labelled page in the table.
+VARIANTS = 24
+
+
 @functools.cache
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of every block of the labelled pages, with and without their naming containers."""
+    """Features and labels of every block of the labelled pages, and of variants of these pages.
+
+    What a container says holds for short and long blocks in any order: a variant
+    scales the words of each block that lies in a telling container by up to ten, either
+    way, and deals these blocks anew.  Blocks outside keep their words and their place.
+    """
+    rnd = random.Random(1)
     xs, ys = [], []
     for page in PAGES:
         blocks = blocks_of(page)
-        y = np.array(["§" in b.text for b in blocks], dtype=float)
-        xs.append(features(blocks))
-        ys.append(y)
+        labels = [float("§" in b.text) for b in blocks]
+        for k in range(VARIANTS + 1):
+            told = [i for i, b in enumerate(blocks) if b.zone]
+            places = told if not k else rnd.sample(told, len(told))
+            order = list(range(len(blocks)))
+            for at, i in zip(told, places):
+                order[at] = i
+            made = [replace(blocks[i], words=max(1, round(blocks[i].words * 10 ** rnd.uniform(-1, 1)))) if k and blocks[i].zone else blocks[i] for i in order]
+            xs.append(features(made))
+            ys.append(np.array([labels[i] for i in order]))
     return np.concatenate(xs), np.concatenate(ys)
 
 
@@ -209,7 +261,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", id_col: str = "page_
     tree = block_tree()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 500):
             kind = pa.schema([("page_id", batch.column(0).type), ("url", batch.column(1).type), ("text", pa.string()), ("n_chars", pa.int64())])
             texts = [main_text(h, tree) for h in columns_of(batch, "html")[0]]
             yield batch_of(kind, batch.column(0), batch.column(1), texts, [len(t) for t in texts])

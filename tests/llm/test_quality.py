@@ -174,6 +174,54 @@ def test_unclosed_elements_cost_no_article():
     assert html_extract.UNCLOSED_TO_END == {"script", "style", "textarea", "iframe"}
 
 
+def test_wrappers_cost_no_article():
+    """A name that frames the whole page, or tells what it has, does not hide the article; real frames stay frames."""
+    tree = html_extract.block_tree()
+    body = "".join(f"<p>{clean(30)}</p>" for _ in range(5))
+    text = "\n".join(re.findall(r"<p>(.*?)</p>", body))
+    nav = "<nav><a href='/'>Home</a> <a href='/n'>News</a></nav>"
+    for names in ("page has-sidebar", "reply-to-critics", "article-search-results", "with-comments no-ads", "menu-open site", "notice", "social-history"):
+        for opened, closed in ((f'<div class="{names}">', "</div>"), (f'<div id="{names.split()[0]}"><section class="{names}">', "</section></div>")):
+            assert html_extract.main_text(f"<body>{nav}{opened}{body}{closed}<footer>{clean(12)}</footer></body>", tree) == text, names
+    comments = "".join(f'<div class="comment"><p>{clean(40)}</p></div>' for _ in range(12))
+    for page in (f"<body><article>{body}</article><div class='comments'>{comments}</div></body>", f"<body><div>{body}</div><section class='comment-list'>{comments}</section></body>"):
+        assert html_extract.main_text(page, tree) == text
+    formula = f"<article><p>{clean(20)} where <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>a=2</annotation></math> holds</p></article>"
+    assert html_extract.main_text(formula, tree).endswith(" where a=2 holds")
+
+
+def generated_page(rnd):
+    """A page unlike the labelled ones in words and order, and its main text."""
+    say = lambda a, b: clean(rnd.randint(a, b), rnd).capitalize() + "."
+    link = lambda: f"<a href='/{rnd.randint(1, 99)}'>{clean(rnd.randint(1, 4), rnd)}</a>"
+    frames = [lambda: "<nav><ul>" + "".join(f"<li>{link()}</li>" for _ in range(rnd.randint(2, 6))) + "</ul></nav>", lambda: f"<div class='{rnd.choice(['ad', 'cookie-banner', 'promo box', 'newsletter'])}'>{say(6, 25)}</div>",
+              lambda: f"<aside><h3>{clean(2, rnd)}</h3><p>{say(8, 30)}</p></aside>", lambda: f"<form><label>{clean(3, rnd)}</label></form>", lambda: "<div>" + " | ".join(link() for _ in range(4)) + "</div>",
+              lambda: f"<section id='comments'>{''.join(f'<p>{say(5, 40)}</p>' for _ in range(rnd.randint(1, 5)))}</section>", lambda: f"<footer>{say(4, 20)}</footer>"]
+    parts, want = [], []
+    for k in range(rnd.randint(3, 8)):
+        kind = rnd.choice(["p", "p", "p", "h2", "li", "blockquote"]) if k else rnd.choice(["h1", "p"])
+        t = say(2, 6) if kind in ("h1", "h2", "li") else say(12, 50)
+        want.append(t)
+        parts.append(f"<ul><li>{t}</li></ul>" if kind == "li" else f"<{kind}>{t}</{kind}>")
+        if rnd.random() < .15:
+            parts.append(rnd.choice(frames[:2])())
+    opened, closed = rnd.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-content'>", "</div>"), ("<div id='main' class='has-sidebar'>", "</div>"), ("<div class='entry with-comments'>", "</div>")])
+    return "<html><body>" + "".join(rnd.choice(frames)() for _ in range(rnd.randint(1, 3))) + opened + "".join(parts) + closed + "".join(rnd.choice(frames)() for _ in range(rnd.randint(1, 3))) + "</body></html>", want
+
+
+def test_held_out_pages():
+    """F1 of the blocks of pages that the tree was not grown on."""
+    tree, rnd = html_extract.block_tree(), random.Random(77)
+    right = said = true = 0
+    for _ in range(60):
+        page, want = generated_page(rnd)
+        got = html_extract.main_text(page, tree).split("\n")
+        right += sum((Counter(got) & Counter(want)).values())
+        said, true = said + len(got), true + len(want)
+    f1 = 2 * right / (said + true)
+    assert f1 >= 0.97, f1
+
+
 # -- 8: rules ----------------------------------------------------------------------------
 
 def plain_counts(t):
