@@ -32,8 +32,8 @@ import regex
 import tiktoken
 from pyspark.sql import SparkSession
 
-#: Texts up to this many characters are encoded in one call of the library.
-LEAF_CHARS = 8192
+#: Texts up to this many characters are leaves of the tree, encoded in one call; longer ones are halved.
+LEAF_CHARS = 512
 #: Pieces (matches of the pattern) up to this many bytes are merged in one call.
 LEAF_BYTES = 1024
 
