@@ -40,10 +40,3 @@ def cache_put(cache: DataFrame | None, new_rows: DataFrame) -> DataFrame:
 
 def to_json_value(col: Column) -> Column:
     return F.to_json(F.struct(col.alias("v")))
-
-
-def write_cache(cache: DataFrame, path: str, shards: int = 8) -> None:
-    """Persist by key bucket so a lookup for one key reads one folder."""
-    from quarry.functions.hashing import xx_bucket
-    (cache.withColumn("bucket", xx_bucket("key", shards))
-          .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path))

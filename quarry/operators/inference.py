@@ -52,9 +52,9 @@ def limit_status(kind: Column, n_chars: Column) -> Column:
     return F.when(n_chars <= lim, F.lit("ok")).otherwise(F.lit("token_limit"))
 
 
-def cache_key(*parts) -> Column:
-    """Subsystem + natural key parts joined by ``_`` (INF-5)."""
-    return F.concat_ws("_", *[F.col(p) if isinstance(p, str) and not p.startswith("'") else F.lit(str(p).strip("'")) for p in parts])
+def cache_key(subsystem: str, *parts) -> Column:
+    """Subsystem and natural key columns joined by ``_`` (INF-5)."""
+    return F.concat_ws("_", F.lit(subsystem), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
 
 
 # --------------------------------------------------------------------------- providers

@@ -97,7 +97,7 @@ def lookup_with_fallback(queries: DataFrame, displays: DataFrame, files: DataFra
     return hits.unionByName(fb)
 
 
-def located_context(items: DataFrame, displays: DataFrame) -> DataFrame:
+def located_context(items: DataFrame, displays: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Display of a located item at the level its kind and category call for (ELM-10).
 
     ``items(item_id, instance_id, kind, category, class_name, fn_name)``:
@@ -105,6 +105,10 @@ def located_context(items: DataFrame, displays: DataFrame) -> DataFrame:
     MODERATE; classes MODERATE for ``fix``, else SIGNATURE.  Last definition
     of a repeated name wins.  Items that name their file (a ``filename`` column)
     are looked up in it, and an absent element keeps its row with a NULL display.
+
+    Items of kind ``lines`` (with ``files(instance_id, filename, content)`` and item columns
+    ``line_lo``, ``line_hi``) show the numbered lines from the one before ``line_lo``
+    through ``line_hi + 1``, counted from 0; without their file the display is NULL.
     """
     fix = F.col("category") == "fix"
     k = F.col("kind")
@@ -115,6 +119,14 @@ def located_context(items: DataFrame, displays: DataFrame) -> DataFrame:
         "parent_name", F.when(k == "method", F.col("class_name")).otherwise(F.lit(""))).withColumn("elem_type", k)
     d = latest_by_name(displays)
     keys = ["instance_id", "elem_type", "parent_name", "elem_name", "display_level"]
-    if "filename" in items.columns:
+    if "filename" not in items.columns:
+        return it.join(d, keys)
+    if files is None:
         return it.join(d, [*keys, "filename"], "left")
-    return it.join(d, keys)
+    named = it.where(k != "lines").join(d.drop("ord"), [*keys, "filename"], "left")
+    split = files.select("instance_id", "filename", F.split("content", "\n").alias("_lines"))
+    lo = F.when(F.col("line_lo") > 0, F.col("line_lo") - 1).otherwise(F.col("line_lo"))
+    hi = F.least(F.col("line_hi") + 1, F.size("_lines"))
+    lines = it.where(k == "lines").join(split, ["instance_id", "filename"], "left").withColumn(
+        "display", F.when(F.col("_lines").isNotNull(), range_text(F.col("_lines"), lo, hi)))
+    return named.unionByName(lines.select(*named.columns))

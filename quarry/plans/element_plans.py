@@ -88,6 +88,21 @@ pb AS (SELECT p.*, 'repo' || CAST(floor(g / {FILES_PER_INSTANCE}) AS BIGINT) AS
               'pkg/group_' || CAST(g AS VARCHAR) || '.py' AS filename, {HEADER} + {BLOCK} * j AS base,
               g % 17 = 5 AS broken FROM p)"""
 
+_LINE = "lpad(CAST(({n}) AS VARCHAR), w, ' ') || ' |' || {t} || chr(10)"
+_FN_TEXT = _LINE.format(n="fbase + 4", t="'def ' || fn || '(x):'") + " || " + _LINE.format(n="fbase + 5", t="""'    \"\"\"Price of ' || p_name || '.\"\"\"'""")
+_GET_TEXT = _LINE.format(n="base + 9", t="'    # brand ' || p_brand") + " || " + _LINE.format(n="base + 10", t="'    def get(self):'")
+_PUT_TEXT = _LINE.format(n="base + 12", t="'    def put(self, v):'")
+_CLASS_HEAD = _LINE.format(n="base + 8", t="'class ' || cls || ':'") + " || " + _LINE.format(n="base + 9", t="'    # brand ' || p_brand")
+_CLASS_TEXT = (_CLASS_HEAD + " || " + _GET_TEXT
+               + f" || chr(10) || CASE WHEN p_size % 7 = 0 THEN '' ELSE {_PUT_TEXT} || chr(10) END")
+_LN_SQL = f"""ln AS (
+  SELECT g, 0 AS n, '# Module for group ' || CAST(g AS VARCHAR) AS t FROM f UNION ALL SELECT g, 1, 'import os' FROM f UNION ALL SELECT g, 2, '' FROM f
+  UNION ALL SELECT pb.g, base + k, [
+    '# constant of ' || p_name, 'SIZE_' || CAST(p_partkey AS VARCHAR) || ' = ' || CAST(p_size AS VARCHAR), '', 'def ' || replace(p_name, ' ', '_') || '(x):',
+    '    \"\"\"Price of ' || p_name || '.\"\"\"', '    return x * ' || CAST(p_size AS VARCHAR), '', 'class Part' || CAST(p_partkey AS VARCHAR) || ':', '    # brand ' || p_brand,
+    '    def get(self):', '        return ' || CAST(p_size AS VARCHAR), CASE WHEN p_size % 7 = 0 THEN '    async def put(self, v):' ELSE '    def put(self, v):' END, '        self.v = v', ''][k + 1]
+  FROM (SELECT pb.*, part.p_brand FROM pb JOIN part USING (p_partkey)) pb, (SELECT unnest(range(14)) AS k))"""
+
 register("element_extract", f"""
 WITH {_PARTS_SQL},
 fe AS (SELECT 'repo' || CAST(floor(g / {FILES_PER_INSTANCE}) AS BIGINT) AS instance_id, 'pkg/group_' || CAST(g AS VARCHAR) || '.py' AS filename,
@@ -206,36 +221,49 @@ register("patch_context")(patch_context)
 
 # ------------------------------------------------------------------ ELM-9 / ELM-10
 def located_items(part: DataFrame) -> DataFrame:
-    """One located item per part: kind by ``p_partkey % 3``, category ``fix`` for even sizes."""
+    """One located item per part, in its own file: kind by ``p_partkey % 4``, category ``fix`` for even sizes."""
     g = F.floor(F.col("p_partkey") / PARTS_PER_FILE)
-    m = F.col("p_partkey") % 3
+    m = F.col("p_partkey") % 4
+    size = F.col("p_size").cast("long")
     return part.select(
         F.col("p_partkey").alias("item_id"),
         F.concat(F.lit("repo"), F.floor(g / FILES_PER_INSTANCE).cast("string")).alias("instance_id"),
-        F.when(m == 0, "function").when(m == 1, "class").otherwise("method").alias("kind"),
+        F.concat(F.lit("pkg/group_"), g.cast("string"), F.lit(".py")).alias("filename"),
+        F.when(m == 0, "function").when(m == 1, "class").when(m == 2, "method").otherwise("lines").alias("kind"),
         F.when(F.col("p_size") % 2 == 0, "fix").otherwise("context").alias("category"),
         F.concat(F.lit("Part"), F.col("p_partkey").cast("string")).alias("class_name"),
-        F.when(m == 2, F.lit("get")).otherwise(F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))).alias("fn_name"))
+        F.when(m == 2, F.lit("get")).otherwise(F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))).alias("fn_name"),
+        (size % 20).alias("line_lo"), (size % 20 + size % 7).alias("line_hi"))
 
 
 def locate_context(spark, sf_dir):
     from quarry.operators.lookup import located_context
     files = _files(spark, sf_dir)
     disp = _displays(files, _elements(files), numbered=True)
-    r = located_context(located_items(Tables(spark, sf_dir).part), disp)
-    return r.select("item_id", "filename", "elem_type", "elem_name", "display_level")
+    r = located_context(located_items(Tables(spark, sf_dir).part), disp, files)
+    return r.select("item_id", "filename", F.col("kind").alias("elem_type"), "display_level", F.md5("display").alias("text_md5"))
 
 
 register("locate_context", f"""
 WITH {_PARTS_SQL},
-it AS (SELECT p_partkey AS item_id, instance_id, p_partkey % 3 AS m, p_size % 2 = 0 AS fix, replace(p_name, ' ', '_') AS fname, filename, broken FROM pb)
-SELECT it.item_id, f.filename, 'function' AS elem_type, it.fname AS elem_name, CASE WHEN it.fix THEN 'full' ELSE 'moderate' END AS display_level
-FROM it JOIN (SELECT DISTINCT instance_id, filename, fname FROM it WHERE NOT broken) f ON f.instance_id = it.instance_id AND f.fname = it.fname
-WHERE it.m = 0
-UNION ALL
-SELECT item_id, filename, 'class', 'Part' || CAST(item_id AS VARCHAR), CASE WHEN fix THEN 'moderate' ELSE 'signature' END FROM it WHERE m = 1 AND NOT broken
-UNION ALL
-SELECT item_id, filename, 'method', 'get', CASE WHEN fix THEN 'full' ELSE 'moderate' END FROM it WHERE m = 2 AND NOT broken
+{_LN_SQL},
+x AS (
+  SELECT pb.*, part.p_brand, CAST(length(CAST({HEADER} + {BLOCK} * f.m + CASE WHEN broken THEN 1 ELSE 0 END AS VARCHAR)) AS INTEGER) AS w, replace(pb.p_name, ' ', '_') AS fn, 'Part' || CAST(p_partkey AS VARCHAR) AS cls,
+         max(base) OVER (PARTITION BY pb.g, pb.p_name) AS fbase, CAST(p_partkey % 4 AS INTEGER) AS kind, pb.p_size % 2 = 0 AS fix,
+         pb.p_size % 20 - CASE WHEN pb.p_size % 20 > 0 THEN 1 ELSE 0 END AS lo, pb.p_size % 20 + pb.p_size % 7 + 1 AS hi
+  FROM pb JOIN part USING (p_partkey) JOIN f USING (g)),
+lx AS (SELECT g, n, t FROM ln UNION ALL SELECT DISTINCT pb.g, {HEADER} + {BLOCK} * f.m, 'def broken(:' FROM pb JOIN f USING (g) WHERE broken),
+rng AS (SELECT p_partkey, string_agg(lpad(CAST(lx.n + 1 AS VARCHAR), w, ' ') || ' |' || lx.t, chr(10) ORDER BY lx.n) || chr(10) AS t
+        FROM x JOIN lx ON lx.g = x.g AND lx.n >= lo AND lx.n < hi WHERE kind = 3 GROUP BY p_partkey),
+ret AS (SELECT x.p_partkey, max(CASE WHEN lx.n = fbase + 5 THEN lx.t END) AS fn_ret, max(CASE WHEN lx.n = base + 10 THEN lx.t END) AS get_ret FROM x JOIN lx ON lx.g = x.g GROUP BY x.p_partkey)
+SELECT x.p_partkey AS item_id, filename, ['function', 'class', 'method', 'lines'][kind + 1] AS elem_type,
+       CASE WHEN kind IN (0, 2) THEN CASE WHEN fix THEN 'full' ELSE 'moderate' END WHEN kind = 1 THEN CASE WHEN fix THEN 'moderate' ELSE 'signature' END END AS display_level,
+       md5(CASE WHEN kind = 3 THEN rng.t WHEN broken THEN NULL
+                WHEN kind = 0 THEN {_FN_TEXT} || CASE WHEN fix THEN {_LINE.format(n="fbase + 6", t="fn_ret")} ELSE '' END
+                WHEN kind = 2 THEN {_GET_TEXT} || CASE WHEN fix THEN {_LINE.format(n="base + 11", t="get_ret")} ELSE '' END
+                WHEN fix THEN {_CLASS_TEXT}
+                ELSE {_CLASS_HEAD} || {_LINE.format(n="base + 10", t="'    def get(self):'")} || chr(10) || CASE WHEN p_size % 7 = 0 THEN '' ELSE {_PUT_TEXT} || chr(10) END END) AS text_md5
+FROM x LEFT JOIN rng USING (p_partkey) JOIN ret USING (p_partkey)
 """)(locate_context)
 
 

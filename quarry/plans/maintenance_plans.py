@@ -9,19 +9,19 @@ from quarry.functions.hashing import adler32_bucket
 from quarry.functions.replies import parse_block
 from quarry.functions.text import raw_elem_type
 from quarry.operators.chunking import BOUNDARIES, LEAST_PART, boundary_chunks, fixed_chunks
-from quarry.operators.elements import element_displays, index_rows
+from quarry.operators.elements import element_counts, extract_elements, index_rows
 from quarry.operators.index import build_text_index
-from quarry.operators.inference import (call_cached, echo_model, embed_text, hashing_embedder, invoke_prompt,
+from quarry.operators.inference import (cache_key, call_cached, echo_model, embed_text, hashing_embedder, invoke_prompt,
                                         rule_failing_provider)
 from quarry.operators.answers import staged_answers
 from quarry.operators.lookup import lookup_with_fallback
-from quarry.operators.maintenance import new_version_path, tag_rows, write_files, write_predictions
+from quarry.operators.maintenance import new_version_path, tag_rows, write_files, write_predictions, write_text_per_instance
 from quarry.operators.stats import outcome_counts
 from quarry.operators.versions import manifest, read_index, unbuilt, write_version
 from quarry.plans import register
 from quarry.operators.build import build_index, embed_rows, search_by_text
-from quarry.plans.element_plans import (_PARTS_SQL, BLOCK, FILES_PER_INSTANCE, HEADER, PARTS_PER_FILE, _displays, _elements, _files, lookup_queries,
-                                        render_python_files)
+from quarry.plans.element_plans import (_CLASS_TEXT, _FN_TEXT, _GET_TEXT, _LN_SQL, _PARTS_SQL, _PUT_TEXT, BLOCK, FILES_PER_INSTANCE, HEADER, PARTS_PER_FILE, _displays, _elements,
+                                        _files, lookup_queries, render_python_files)
 from quarry.plans.fixtures import chunk_offsets_sql, doc_filename
 from quarry.plans.patch_plans import render_diffs, render_logs
 from quarry.plans.search_plans import _adler_bucket_sql
@@ -175,7 +175,7 @@ EMBED_DIM = 64
 def _embed_requests(docs: DataFrame) -> DataFrame:
     """A request per chunk: texts are cut before they are embedded, so none is over the limit."""
     chunks = fixed_chunks(docs.select("doc_id", "source", "lang", F.col("text").alias("content")), "content")
-    return chunks.select(F.concat_ws("_", F.lit("text_search"), F.col("source"), F.col("doc_id").cast("string"), F.col("split_idx").cast("string")).alias("key"),
+    return chunks.select(cache_key("text_search", "source", "doc_id", "split_idx").alias("key"),
                          embed_text(F.col("content")).alias("prompt"), "lang")
 
 
@@ -203,7 +203,7 @@ SYSTEM_TEXT = "You are a careful assistant."
 
 def infer_cached(spark, sf_dir):
     conv = Tables(spark, sf_dir).conversations.where(F.col("role") == "user")
-    req = conv.select(F.concat_ws("_", F.lit("chat"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"),
+    req = conv.select(cache_key("chat", "conv_id", "turn").alias("key"),
                       invoke_prompt(F.col("text"), None, SYSTEM_TEXT).alias("prompt"))
     ans, _ = call_cached(req, None, echo_model, kind="prompt")
     reply = F.get_json_object("value", "$")
@@ -407,21 +407,9 @@ def staged_lookup(spark, sf_dir):
     return r.select("query_id", "source", "n_results", "result_idx", "filename", "elem_type", "elem_name", F.md5("text").alias("text_md5"))
 
 
-_LINE = "lpad(CAST(({n}) AS VARCHAR), w, ' ') || ' |' || {t} || chr(10)"
-_FN_TEXT = _LINE.format(n="fbase + 4", t="'def ' || fn || '(x):'") + " || " + _LINE.format(n="fbase + 5", t="""'    \"\"\"Price of ' || p_name || '.\"\"\"'""")
-_GET_TEXT = _LINE.format(n="base + 9", t="'    # brand ' || p_brand") + " || " + _LINE.format(n="base + 10", t="'    def get(self):'")
-_PUT_TEXT = _LINE.format(n="base + 12", t="'    def put(self, v):'")
-_CLASS_TEXT = (_LINE.format(n="base + 8", t="'class ' || cls || ':'") + " || " + _LINE.format(n="base + 9", t="'    # brand ' || p_brand") + " || " + _GET_TEXT
-               + f" || chr(10) || CASE WHEN p_size % 7 = 0 THEN '' ELSE {_PUT_TEXT} || chr(10) END")
 register("staged_lookup", f"""
 WITH {_PARTS_SQL},
-ln AS (
-  SELECT g, 0 AS n, '# Module for group ' || CAST(g AS VARCHAR) AS t FROM f UNION ALL SELECT g, 1, 'import os' FROM f UNION ALL SELECT g, 2, '' FROM f
-  UNION ALL SELECT pb.g, base + k, [
-    '# constant of ' || p_name, 'SIZE_' || CAST(p_partkey AS VARCHAR) || ' = ' || CAST(p_size AS VARCHAR), '', 'def ' || replace(p_name, ' ', '_') || '(x):',
-    '    \"\"\"Price of ' || p_name || '.\"\"\"', '    return x * ' || CAST(p_size AS VARCHAR), '', 'class Part' || CAST(p_partkey AS VARCHAR) || ':', '    # brand ' || p_brand,
-    '    def get(self):', '        return ' || CAST(p_size AS VARCHAR), CASE WHEN p_size % 7 = 0 THEN '    async def put(self, v):' ELSE '    def put(self, v):' END, '        self.v = v', ''][k + 1]
-  FROM (SELECT pb.*, part.p_brand FROM pb JOIN part USING (p_partkey)) pb, (SELECT unnest(range(14)) AS k)),
+{_LN_SQL},
 x AS (
   SELECT pb.*, part.p_brand, f.m, {HEADER} + {BLOCK} * f.m AS lines, CAST(length(CAST({HEADER} + {BLOCK} * f.m AS VARCHAR)) AS INTEGER) AS w, replace(pb.p_name, ' ', '_') AS fn, 'Part' || CAST(p_partkey AS VARCHAR) AS cls,
          max(base) OVER (PARTITION BY pb.g, pb.p_name) AS fbase, CAST(p_partkey % 5 AS INTEGER) AS kind, CASE WHEN pb.p_size % 2 = 0 THEN 'get' ELSE 'put' END AS method,
@@ -444,6 +432,33 @@ SELECT p_partkey AS query_id, source, CAST(n AS BIGINT) AS n_results, CAST(idx A
 """)(staged_lookup)
 
 
+# ------------------------------------------------------------------ AGG-10, SNK-6
+def file_kind_counts(spark, sf_dir):
+    """Files of each instance that parse and that do not."""
+    return element_counts(extract_elements(_files(spark, sf_dir))).select("instance_id", "kind", "n")
+
+
+register("file_kind_counts", f"""
+WITH {_PARTS_SQL}
+SELECT instance_id, CASE WHEN broken THEN 'raw' ELSE 'module' END AS kind, count(DISTINCT filename) AS n FROM pb GROUP BY ALL
+""")(file_kind_counts)
+
+
+def instance_texts(spark, sf_dir):
+    """Texts written to a folder per instance, and the lines and characters read back from it."""
+    path = new_version_path(spark, "instance-texts")
+    write_text_per_instance(Tables(spark, sf_dir).documents.select(F.col("source").alias("instance_id"), "text"), path)
+    back = spark.read.option("lineSep", "\n").text(path)
+    return back.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("value")).cast("long").alias("n_chars"))
+
+
+register("instance_texts", """
+SELECT source AS instance_id, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines,
+       CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS n_chars
+FROM documents GROUP BY source
+""")(instance_texts)
+
+
 # ------------------------------------------------------------------ streaming incremental build
 def stream_index_build(spark, sf_dir):
     """documents read as a file stream (availableNow) into the shard-partitioned index."""
