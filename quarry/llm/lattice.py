@@ -16,7 +16,7 @@ cosine in double precision, so no pair below the threshold is linked.
    Sums and connected components of these are the result.
 
 Recall depends on the scale and the numbers of tables and probes;
-``tests/llm/test_lattice.py`` and the README give it against brute force.
+``tests/llm/test_joins.py`` and the README give it against brute force.
 
 Defined results: a null label or a vector that is null, empty, zero, or has null
 or non-finite components links with nothing (no links, its own component);
