@@ -1,6 +1,12 @@
 """Corpus pipeline: documents that the quality classifier and rules keep, one of each group of near copies, packed.
 
 Each stage takes what its predecessor kept, written as Parquet and read again.
+
+Null texts count as empty and go at the rules (no words); rows without an id are judged
+like others and never grouped; rows that repeat get one verdict, of equal ones under one
+id the third stage keeps one, and rows that share an id but not their text are told
+apart; texts may have any length; extra columns pass through, whatever their names, up
+to the last stage; an empty table gives an empty table, and so does every stage.
 """
 
 from __future__ import annotations
