@@ -22,7 +22,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_entries(pages: DataFrame) -> DataFrame:
-    """Hosts come on and off three lists, and some addresses on a fourth, on days drawn from their hashes."""
+    """Hosts come on and off three lists, the domains above them on and off a fourth and on it again, and some addresses on a fifth, on days drawn from their hashes."""
     n = lambda c, start: F.conv(F.substring(F.md5(c), start, 3), 16, 10).cast("int")
     day = lambda e: F.date_add(F.lit("2024-01-01").cast("date"), e.cast("int"))
     address = url_filters.address_of(F.col("url"))
@@ -32,8 +32,14 @@ def list_entries(pages: DataFrame) -> DataFrame:
     added = picked.select("list", F.lit("domain").alias("kind"), "value", F.lit("add").alias("action"), day(F.col("b") % 300).alias("day"))
     removed = picked.filter(F.col("b") % 2 == 0).select("list", F.lit("domain").alias("kind"), "value", F.lit("remove").alias("action"), day(F.col("b") % 300 + 60).alias("day"))
     urls = pages.select(address.alias("value")).distinct().filter(n(F.col("value"), 1) % 16 == 0).select(
-        F.lit("takedown").alias("list"), F.lit("url").alias("kind"), "value", F.lit("add").alias("action"), day(n(F.col("value"), 4) % 366).alias("day"))
-    return added.unionByName(removed).unionByName(urls)
+        F.lit("takedown").alias("list"), F.lit("url").alias("kind"), F.when(n(F.col("value"), 7) % 2 == 0, F.concat(F.lit("HTTPS://"), F.col("value"), F.lit("#top"))).otherwise(F.col("value")).alias("value"), F.lit("add").alias("action"), day(n(F.col("value"), 4) % 366).alias("day"))
+    above = hosts.select(F.regexp_extract("value", r"^[^.]+\.(.+)$", 1).alias("value")).filter("value != ''").distinct()
+    above = above.select("value", n(F.col("value"), 1).alias("a"), n(F.col("value"), 4).alias("b")).filter(F.col("a") % 3 < 2)
+    steps = F.filter(F.array(*[F.struct(F.lit(act).alias("action"), (F.col("b") % 200 + later).alias("on"), ok.alias("ok")) for act, later, ok in (
+        ("add", 0, F.lit(True)), ("remove", 60, F.col("b") % 2 == 0), ("add", 90, F.col("b") % 4 == 0))]), lambda x: x["ok"])
+    above = above.select(F.concat(F.lit("."), F.upper("value")).alias("value"), F.explode(steps).alias("s")).select(
+        F.lit("network").alias("list"), F.lit("domain").alias("kind"), "value", "s.action", day(F.col("s.on")).alias("day"))
+    return added.unionByName(removed).unionByName(urls).unionByName(above)
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +59,17 @@ d AS (
   SELECT ['malware', 'adult', 'spam'][a % 3 + 1] AS list, value, DATE '2024-01-01' + b % 300 AS from_day,
          CASE WHEN b % 2 = 0 THEN DATE '2024-01-01' + (b % 300 + 60) END AS to_day
   FROM h WHERE a % 4 < 2),
+p AS (SELECT value, CAST('0x' || substr(md5(value), 1, 3) AS INTEGER) AS a, CAST('0x' || substr(md5(value), 4, 3) AS INTEGER) AS b
+      FROM (SELECT DISTINCT regexp_extract(value, '^[^.]+\.(.+)$', 1) AS value FROM h) WHERE value != ''),
+dp AS (
+  SELECT * FROM d
+  UNION ALL SELECT 'network', value, DATE '2024-01-01' + b % 200, CASE WHEN b % 2 = 0 THEN DATE '2024-01-01' + (b % 200 + 60) END FROM p WHERE a % 3 < 2
+  UNION ALL SELECT 'network', value, DATE '2024-01-01' + (b % 200 + 90), NULL FROM p WHERE a % 3 < 2 AND b % 4 = 0),
 u AS (
   SELECT DISTINCT host || rest AS value, DATE '2024-01-01' + CAST('0x' || substr(md5(host || rest), 4, 3) AS INTEGER) % 366 AS from_day
   FROM c WHERE CAST('0x' || substr(md5(host || rest), 1, 3) AS INTEGER) % 16 = 0),
 hits AS (
-  SELECT c.url, c.fetched, d.list FROM c JOIN d ON (c.host = d.value OR ends_with(c.host, '.' || d.value))
+  SELECT c.url, c.fetched, d.list FROM c JOIN dp d ON (c.host = d.value OR ends_with(c.host, '.' || d.value))
     AND c.fetched >= d.from_day AND (d.to_day IS NULL OR c.fetched < d.to_day)
   UNION
   SELECT c.url, c.fetched, 'takedown' FROM c JOIN u ON c.host || c.rest = u.value AND c.fetched >= u.from_day WHERE c.host != ''),

@@ -4,7 +4,8 @@ List entries are dated: ``(list, kind, value, action, day)`` says that from
 ``day`` on a value is on a list (``add``) or off it (``remove``).  They become
 validity intervals, and an as-of join evaluates every capture against the
 entries active on the day it was fetched.  Kind ``domain`` matches a host and
-all hosts below it; kind ``url`` matches one address without its fragment.
+all hosts below it; kind ``url`` matches one address without its fragment, in
+whatever case its host is written, with or without scheme, user and port.
 
 Captures are reduced to distinct (address, day) and these to distinct
 (key, day) before they meet the intervals, so a host or address that holds a
@@ -14,7 +15,7 @@ sort-merge join whose large partitions adaptive execution splits.
 
 Defined results: entries without list, kind, value, action or day are ignored,
 as are other kinds and actions; of several actions for one value and day,
-``remove`` holds; repeated entries count once; a null or malformed url, or a null
+``remove`` holds; repeated entries count once; a ``url`` entry without a host matches nothing; a null or malformed url, or a null
 day, matches nothing; repeated captures give repeated rows; other columns of the
 captures pass through (``blocked`` and ``lists`` are replaced); empty tables give
 no rows, or captures that match nothing.
@@ -41,11 +42,17 @@ def address_of(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_extract(url, _ADDRESS, 2))
 
 
+def _listed(kind: Column, value: Column) -> Column:
+    """An entry's value in the form in which it is compared."""
+    schemed = F.when(value.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), value).otherwise(F.concat(F.lit("http://"), F.regexp_replace(value, "^//", "")))
+    return F.when(kind == "domain", F.regexp_replace(F.lower(value), r"^\.+|\.+$", "")).otherwise(F.when(host_of(schemed) != "", address_of(schemed)))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """``(list, kind, value, from_day, to_day)``: to_day is excluded, null while the entry holds."""
     e = (entries.select("list", "kind", "value", F.lower("action").alias("action"), F.col("day").cast("date").alias("day"))
          .filter("list IS NOT NULL AND value IS NOT NULL AND day IS NOT NULL AND kind IN ('domain', 'url') AND action IN ('add', 'remove')")
-         .withColumn("value", F.when(F.col("kind") == "domain", F.regexp_replace(F.lower("value"), r"^\.+|\.+$", "")).otherwise(F.col("value"))))
+         .withColumn("value", _listed(F.col("kind"), F.trim("value"))).filter("value IS NOT NULL"))
     # one row a day before the window: a value listed time and again stays small
     e = e.groupBy("list", "kind", "value", "day").agg(F.max("action").alias("action"))
     by_value = Window.partitionBy("list", "kind", "value").orderBy("day")

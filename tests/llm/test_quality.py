@@ -63,6 +63,16 @@ def test_url_filters(spark):
     assert {r.lists for r in url_filters.filter_captures(c, e.limit(0)).collect()} == {""}
 
 
+def test_url_entries_in_any_form(spark):
+    day = dt.date(2024, 1, 5)
+    forms = ["c.net/p?q=1", "C.NET/p?q=1", "http://c.net/p?q=1", "HTTPS://u:p@C.net:8443/p?q=1#part", "//c.net/p?q=1", " c.net./p?q=1 "]
+    odd = ["", "http://", "/p?q=1", "c.net/P?q=1", "c.net", "x.c.net/p?q=1"]
+    c = spark.createDataFrame([(1, "https://c.net:80/p?q=1#f", day)], "page_id long, url string, fetched date")
+    rows = [(f"l{k:02d}", "url", value, "add", dt.date(2024, 1, 1)) for k, value in enumerate(forms + odd)]
+    e = spark.createDataFrame(rows, "list string, kind string, value string, action string, day date")
+    assert [r.lists for r in url_filters.filter_captures(c, e).collect()] == [",".join(f"l{k:02d}" for k in range(len(forms)))]
+
+
 def test_intervals(spark):
     d = lambda n: dt.date(2024, 1, n)
     rows = [("l", "domain", "A.b", "add", d(1)), ("l", "domain", "a.b", "add", d(3)), ("l", "domain", "a.b", "remove", d(5)), ("l", "domain", "a.b", "remove", d(6)),
