@@ -131,7 +131,7 @@ register("text_vector_search", f"""
 WITH x AS (
   SELECT 'd' AS kind, doc_id AS id, lang AS instance_id, text FROM documents
   UNION ALL SELECT 'q', item_id, ['en', 'de', 'fr', 'es'][item_id % 4 + 1], text FROM benchmark),
-w AS (SELECT kind, id, md5(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS h FROM x),
+w AS (SELECT kind, id, md5(unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+'))) AS h FROM x),
 b AS (
   SELECT kind, id, CAST('0x' || substr(h, 1, 6) AS BIGINT) % {{DIM}} AS b, sum(CASE WHEN CAST('0x' || substr(h, 7, 1) AS INTEGER) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS s
   FROM w GROUP BY ALL),
