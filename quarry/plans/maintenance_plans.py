@@ -465,8 +465,9 @@ def stream_index_build(spark, sf_dir):
     schema = Tables(spark, sf_dir).documents.schema
     index_path = new_version_path(spark, "stream-index")
     ckpt = new_version_path(spark, "stream-ckpt")
-    q = start_index_stream(spark, sf_dir, schema, lambda b: _index_rows_for(b, 4096), index_path, ckpt,
-                           glob="documents.parquet")
+    # as a pattern the path stands for a single file and for a folder of part files alike
+    path = table_path(sf_dir, "documents")
+    q = start_index_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, lambda b: _index_rows_for(b, 4096), index_path, ckpt)
     q.awaitTermination()
     out = spark.read.parquet(index_path)
     return out.groupBy("instance_id").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))

@@ -23,3 +23,14 @@ def test_stream_is_incremental_and_resumable(spark, tmpdir_path):
     spark.createDataFrame([(3, "a", "z" * 20)], SCHEMA).coalesce(1).write.mode("append").parquet(src + "/f1")
     start_index_stream(spark, src + "/f1", SCHEMA, _rows, out, ck).awaitTermination()
     assert spark.read.parquet(out).where("instance_id = 'a'").count() == 2 + 3   # only the new file was added
+
+
+def test_documents_as_a_file_and_as_a_folder(spark, tmpdir_path):
+    from quarry.plans.maintenance_plans import stream_index_build
+    docs = spark.createDataFrame([(1, "x" * 5000, "en", "a", 5000), (2, "y", "fr", "b", 1), (3, None, "fr", "b", 0)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    folder, single = os.path.join(tmpdir_path, "folder"), os.path.join(tmpdir_path, "single")
+    docs.repartition(3).write.parquet(folder + "/documents.parquet")
+    docs.toPandas().to_parquet(os.path.join(os.makedirs(single) or single, "documents.parquet"))
+    for d in (folder, single):
+        assert {r.instance_id: r.n_rows for r in stream_index_build(spark, d).collect()} == {"a/en": 2, "b/fr": 1}
