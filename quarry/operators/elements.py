@@ -31,10 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import shuffled, spread
+
 # Comment markers skipped in comment runs; display levels.
 EXCLUDE_COMMENTS = ["TODO", "FIXME"]
 DOCSTRING_TOKENS = ['"""', "'''"]
 LEVELS = ["signature", "minimal", "moderate", "full"]
+#: Element rows that a task holds in Python before it hands them on; a file's rows stay together.
+ROWS_AT_ONCE = 4096
 
 ELEMENT_SCHEMA = T.StructType([
     T.StructField("instance_id", T.StringType()),
@@ -198,20 +202,27 @@ def _element_rows(instance_id, filename, content):
     return rows
 
 
-def extract_elements(files: DataFrame) -> DataFrame:
-    """``files(instance_id, filename, content)`` -> element rows (ELM-1..ELM-6)."""
+def element_frames(batches):
+    """Element rows of batches of files, in frames of about ``ROWS_AT_ONCE`` rows."""
     cols = [f.name for f in ELEMENT_SCHEMA.fields]
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for inst, fn, content in zip(pdf["instance_id"], pdf["filename"], pdf["content"]):
-                out.extend(_element_rows(inst, fn, content or ""))
-            yield pd.DataFrame(out, columns=cols).astype({c: "Int32" for c in cols if ELEMENT_SCHEMA[c].dataType == T.IntegerType()})
+    def frame(rows):
+        return pd.DataFrame(rows, columns=cols).astype({c: "Int32" for c in cols if ELEMENT_SCHEMA[c].dataType == T.IntegerType()})
+
+    for pdf in batches:
+        out = []
+        for inst, fn, content in zip(pdf["instance_id"], pdf["filename"], pdf["content"]):
+            out.extend(_element_rows(inst, fn, content or ""))
+            if len(out) >= ROWS_AT_ONCE:
+                yield frame(out)
+                out = []
+        yield frame(out)
 
-    from quarry.session import spread
+
+def extract_elements(files: DataFrame) -> DataFrame:
+    """``files(instance_id, filename, content)`` -> element rows (ELM-1..ELM-6)."""
     # the Python stage is CPU bound: never let it run on fewer tasks than cores
-    return spread(files.select("instance_id", "filename", "content")).mapInPandas(run, ELEMENT_SCHEMA)
+    return spread(files.select("instance_id", "filename", "content")).mapInPandas(element_frames, ELEMENT_SCHEMA)
 
 
 # ----------------------------------------------------------------------------- Spark part
@@ -236,7 +247,7 @@ def element_displays(elements: DataFrame, files: DataFrame, numbered: bool = Fal
     element rows carry only spans, so the text is cut here.
     """
     lines = files.select("instance_id", "filename", F.split("content", "\n").alias("_lines"))
-    e = elements.join(lines, ["instance_id", "filename"])
+    e = shuffled(elements).join(lines, ["instance_id", "filename"])
     L = F.col("_lines")
     sig = part_text(L, F.col("sig_lo"), F.col("sig_hi"), numbered)
     full = part_text(L, F.col("full_lo"), F.col("full_hi"), numbered)
@@ -264,7 +275,7 @@ def element_displays(elements: DataFrame, files: DataFrame, numbered: bool = Fal
     kids = kids.select("instance_id", "filename", F.col("parent_name").alias("elem_name"), F.col("parent_ord").alias("ord"), "display_level",
                        F.concat(F.array_join(F.transform("_k", lambda x: x["display"]), "\n"), F.lit("\n")).alias("_children"))
     classes = e.where(et == "class").select("*", F.explode(F.array(*[F.lit(lv) for lv in LEVELS])).alias("display_level"))
-    classes = classes.join(kids, ["instance_id", "filename", "elem_name", "ord", "display_level"], "left")
+    classes = shuffled(classes).join(kids, ["instance_id", "filename", "elem_name", "ord", "display_level"], "left")
     ch = F.coalesce(F.col("_children"), F.lit("\n"))
     lvl = F.col("display_level")
     cdisp = (F.when(lvl == "full", F.concat("t_up", "t_full")).when(lvl == "minimal", F.concat("t_up", "t_sig", "t_low"))
@@ -276,7 +287,7 @@ def element_displays(elements: DataFrame, files: DataFrame, numbered: bool = Fal
     mk = mk.select("instance_id", "filename", "display_level",
                    F.concat(F.array_join(F.transform("_k", lambda x: x["display"]), "\n"), F.lit("\n")).alias("_children"))
     mods = e.where(et == "module").select("*", F.explode(F.array(*[F.lit(lv) for lv in LEVELS])).alias("display_level"))
-    mods = mods.join(mk, ["instance_id", "filename", "display_level"], "left")
+    mods = shuffled(mods).join(mk, ["instance_id", "filename", "display_level"], "left")
     mch = F.coalesce(F.col("_children"), F.lit("\n"))
     mdisp = (F.when(lvl == "full", F.col("t_full")).when(lvl == "minimal", F.col("t_low"))
              .when(lvl == "signature", mch).otherwise(F.concat(F.col("t_low"), mch)))

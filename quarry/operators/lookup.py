@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.elements import latest_by_name
 from quarry.operators.render import CLASS_LIMIT_ALL_FILES, CLASS_LIMIT_IN_FILE, FILE_RANGE_LIMIT, lookup_range, range_text
+from quarry.session import shuffled
 
 QUERY_KINDS = ("semantic", "function", "method", "class", "file")
 RESULT_COLS = ["query_id", "source", "filename", "elem_type", "elem_name", "text"]
@@ -46,22 +47,22 @@ def exact_lookups(queries: DataFrame, displays: DataFrame, files: DataFrame, cla
         return hits.select(*ids, F.lit("exact").alias("source"), "filename", F.lit(kind).alias("elem_type"), F.col(name).alias("elem_name"), text.alias("text"))
 
     fn = _level(displays, "function", "moderate").where(F.col("parent_name") == "")
-    hf = q.where(F.col("query_kind") == "function").join(
+    hf = shuffled(q.where(F.col("query_kind") == "function")).join(
         fn.select("instance_id", "filename", F.col("elem_name").alias("fn_name"), "display"), [*on, "fn_name"])
     me = _level(displays, "method", "moderate")
-    hm = q.where(F.col("query_kind") == "method").join(
+    hm = shuffled(q.where(F.col("query_kind") == "method")).join(
         me.select("instance_id", "filename", F.col("parent_name").alias("class_name"), F.col("elem_name").alias("method_name"), "display"),
         [*on, "class_name", "method_name"])
     cls = displays.where((F.col("elem_type") == "class") & F.col("live") & F.col("display_level").isin("moderate", "signature"))
     at = lambda level: F.max_by(F.when(F.col("display_level") == level, F.col("display")),
                                 F.when(F.col("display_level") == level, F.col("ord")))
     cl = cls.groupBy("instance_id", "filename", "elem_name").agg(at("moderate").alias("_m"), at("signature").alias("_s"))
-    hc = q.where(F.col("query_kind") == "class").join(cl.withColumnRenamed("elem_name", "class_name"), [*on, "class_name"])
+    hc = shuffled(q.where(F.col("query_kind") == "class")).join(cl.withColumnRenamed("elem_name", "class_name"), [*on, "class_name"])
     # file ranges: lines of module files only; over the limit -> module signature
     mods = displays.where((F.col("elem_type") == "module") & (F.col("kind") == "module") & (F.col("display_level") == "signature"))
-    fl = files.join(mods.select("instance_id", "filename", F.col("display").alias("_sig")), ["instance_id", "filename"])
+    fl = shuffled(files).join(mods.select("instance_id", "filename", F.col("display").alias("_sig")), ["instance_id", "filename"])
     fl = fl.select("instance_id", "filename", F.split("content", "\n").alias("_lines"), "_sig")
-    hq = queries.where(F.col("query_kind") == "file").join(fl, ["instance_id", "filename"])
+    hq = shuffled(queries.where(F.col("query_kind") == "file")).join(fl, ["instance_id", "filename"])
     lo, hi = lookup_range(F.col("_lines"), F.col("line_start"), F.col("line_end"))
     t = range_text(F.col("_lines"), lo, hi)
     return (out(hf, "function", "fn_name", F.col("display")).unionByName(out(hm, "method", "method_name", F.col("display")))
@@ -89,7 +90,7 @@ def lookup_with_fallback(queries: DataFrame, displays: DataFrame, files: DataFra
     from quarry.operators.search import bm25_search
     queries = checked_kinds(queries)
     hits = exact_lookups(queries, displays, files)
-    missed = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    missed = shuffled(queries).join(shuffled(hits.select("query_id").distinct()), "query_id", "left_anti")
     alt = alternative_text(missed).select("query_id", "instance_id", "text")
     found = bm25_search(index, content, alt, k=k, elem_type="code", per_instance=True)
     fb = found.select("query_id", F.lit("text").alias("source"), "filename", "elem_type", "elem_name",
@@ -120,13 +121,13 @@ def located_context(items: DataFrame, displays: DataFrame, files: DataFrame | No
     d = latest_by_name(displays)
     keys = ["instance_id", "elem_type", "parent_name", "elem_name", "display_level"]
     if "filename" not in items.columns:
-        return it.join(d, keys)
+        return shuffled(it).join(d, keys)
     if files is None:
-        return it.join(d, [*keys, "filename"], "left")
-    named = it.where(k != "lines").join(d.drop("ord"), [*keys, "filename"], "left")
+        return shuffled(it).join(shuffled(d), [*keys, "filename"], "left")
+    named = shuffled(it.where(k != "lines")).join(shuffled(d.drop("ord")), [*keys, "filename"], "left")
     split = files.select("instance_id", "filename", F.split("content", "\n").alias("_lines"))
     lo = F.when(F.col("line_lo") > 0, F.col("line_lo") - 1).otherwise(F.col("line_lo"))
     hi = F.least(F.col("line_hi") + 1, F.size("_lines"))
-    lines = it.where(k == "lines").join(split, ["instance_id", "filename"], "left").withColumn(
+    lines = shuffled(it.where(k == "lines")).join(shuffled(split), ["instance_id", "filename"], "left").withColumn(
         "display", F.when(F.col("_lines").isNotNull(), range_text(F.col("_lines"), lo, hi)))
     return named.unionByName(lines.select(*named.columns))

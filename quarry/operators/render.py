@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import shuffled
+
 # Lookup padding (lines), size limits (characters), ladder limit.
 LOOKUP_PAD = 10
 FILE_RANGE_LIMIT = 20_000
@@ -192,8 +194,8 @@ def fix_context(hunks: DataFrame, files: DataFrame, module_displays: DataFrame,
         F.max(F.when(F.col("display_level") == "moderate", F.col("display"))).alias("_mod"),
         F.max(F.when(F.col("display_level") == "signature", F.col("display"))).alias("_sig"))
     md = md.withColumnRenamed("filename", "path")
-    unmatched = hunks.select("instance_id", "path").distinct().join(fl, ["instance_id", "path"], "left_anti")
-    h = hunks.join(fl, ["instance_id", "path"])
+    unmatched = hunks.select("instance_id", "path").distinct().join(shuffled(fl), ["instance_id", "path"], "left_anti")
+    h = shuffled(hunks).join(fl, ["instance_id", "path"])
     start0 = F.col("src_start") - 1
     lo = F.greatest(F.lit(0), start0 - LOOKUP_PAD)
     hi = F.least(F.size("_lines"), start0 + F.col("src_len") + LOOKUP_PAD)
@@ -205,7 +207,7 @@ def fix_context(hunks: DataFrame, files: DataFrame, module_displays: DataFrame,
         "_g", F.concat_ws("\u0000", "instance_id", "path")), "_g", "hunk_no", "block")
     per_file = per_file.select(F.split("_g", "\u0000").getItem(0).alias("instance_id"),
                                F.split("_g", "\u0000").getItem(1).alias("path"), F.col("block").alias("_sections"))
-    j = per_file.join(md, ["instance_id", "path"], "left")
+    j = shuffled(per_file).join(shuffled(md), ["instance_id", "path"], "left")
     summary = (F.when(F.length("_mod") <= limit, F.col("_mod"))
                .when(F.length("_sig") <= limit, F.col("_sig")))
     overview = F.when(summary.isNull(), F.lit("")).otherwise(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators.elements import element_displays, extract_elements, index_rows
 from quarry.operators.lookup import exact_lookups
 from quarry.plans import register
-from quarry.session import cut_lineage, write_table
+from quarry.session import cut_lineage, shuffled, write_table
 from quarry.sources.tables import Tables
 
 PARTS_PER_FILE = 8
@@ -210,7 +210,7 @@ def patch_context(spark, sf_dir):
     patches = render_function_patches(Tables(spark, sf_dir).part)
     parsed = parse_patches(patches, "patch_id", "patch", keep=("instance_id",))
     h = patch_hunks(parsed.withColumnRenamed("patch_id", "_pid"), "_pid")
-    h = h.join(patches.select(F.col("patch_id").alias("_pid"), "instance_id"), "_pid")
+    h = shuffled(h).join(patches.select(F.col("patch_id").alias("_pid"), "instance_id"), "_pid")
     h = h.where(F.col("modified") & F.col("path").endswith(".py")).select("instance_id", "path", "src_start", "src_len", "hunk_no")
     ctx, _unmatched = fix_context(h, files, mods)
     return ctx.select("instance_id", "n_parts", F.length("context").cast("long").alias("text_len"))
@@ -280,7 +280,7 @@ def display_ladder(spark, sf_dir):
     labels = d.where(F.col("display_level") == "signature").groupBy("instance_id", "filename").agg(
         F.count_if(F.col("elem_type").isin("function", "class", "method")).alias("n_labelled"),
         F.max(brief_label(F.col("elem_type"), F.col("elem_name"), F.col("parent_name"), F.col("filename"))).alias("a_label"))
-    return mods.select("instance_id", "filename", lv.alias("level"), F.length(chosen).cast("long").alias("text_len")) \
+    return shuffled(mods.select("instance_id", "filename", lv.alias("level"), F.length(chosen).cast("long").alias("text_len"))) \
         .join(labels, ["instance_id", "filename"])
 
 

@@ -70,3 +70,27 @@ def test_displays(spark):
     assert ("m.py", "function", "f", "minimal") in idx and ("m.py", "class", "C", "minimal") in idx
     assert ("bad.py", "module", "bad.py", "") in idx
     assert not any(t in ("method", "constant", "import") for _, t, _, _ in idx)
+
+
+def test_element_rows_leave_python_in_bounded_frames():
+    import pandas as pd
+    from quarry.operators.elements import ROWS_AT_ONCE, element_frames
+    one = next(element_frames([pd.DataFrame({"instance_id": ["r"], "filename": ["a.py"], "content": [SRC]})]))
+    n = 2 * ROWS_AT_ONCE // len(one) + 2
+    frames = list(element_frames([pd.DataFrame({"instance_id": ["r"] * n, "filename": ["a.py"] * n, "content": [SRC] * n})]))
+    assert len(frames) > 1 and max(map(len, frames)) < ROWS_AT_ONCE + len(one)
+    assert sum(map(len, frames)) == n * len(one)
+    assert [list(f.dtypes) for f in frames] == [list(one.dtypes)] * len(frames)
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    from quarry.operators.lookup import exact_lookups, located_context
+    from quarry.operators.render import fix_context
+    from quarry.plans.element_plans import located_items, lookup_queries, render_python_files
+    part = spark.createDataFrame([(i, f"p {i}", "b", i % 50) for i in range(40)], "p_partkey long, p_name string, p_brand string, p_size int")
+    files = render_python_files(part)
+    d = element_displays(extract_elements(files), files, numbered=True)
+    hunks = spark.createDataFrame([("repo0", "pkg/group_0.py", 3, 2, 1)], "instance_id string, path string, src_start int, src_len int, hunk_no int")
+    for df in (d, exact_lookups(lookup_queries(part), d, files), located_context(located_items(part), d, files), fix_context(hunks, files, d)[0]):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
