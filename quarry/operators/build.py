@@ -21,7 +21,7 @@ from quarry.operators.elements import element_displays, extract_elements, index_
 from quarry.operators.maintenance import N_SHARDS, new_version_path, tag_rows
 from quarry.operators.search import l1_search
 from quarry.operators.versions import manifest, read_index, unbuilt, write_version
-from quarry.session import write_table
+from quarry.session import shuffled, write_table
 
 VECTOR_DIM = 64
 
@@ -47,7 +47,7 @@ def index_table(files: DataFrame, capacity: int = DEFAULT_CAPACITY, dim: int = V
     rows = index_rows(element_displays(elements, files)).where(F.length("content") > 0)
     tagged = write_table(tag_rows(fixed_chunks(rows, "content", capacity)), "index_rows")
     vectors = embed_rows(tagged.where(~F.col("exact_only")), "id", "content", dim)
-    return tagged.join(vectors, "id", "left").withColumn("embedding", F.coalesce("embedding", F.array().cast("array<double>")))
+    return tagged.join(shuffled(vectors), "id", "left").withColumn("embedding", F.coalesce("embedding", F.array().cast("array<double>")))
 
 
 def build_index(spark: SparkSession, files: DataFrame, root: str | None = None, capacity: int = DEFAULT_CAPACITY, dim: int = VECTOR_DIM,
@@ -58,11 +58,11 @@ def build_index(spark: SparkSession, files: DataFrame, root: str | None = None,
     """
     root = root or new_version_path(spark, "index")
     wanted = unbuilt(files.select("instance_id").distinct(), manifest(spark, root), force)
-    write_version(spark, root, index_table(files.join(wanted, "instance_id", "left_semi"), capacity, dim), wanted, shards)
+    write_version(spark, root, index_table(files.join(shuffled(wanted), "instance_id", "left_semi"), capacity, dim), wanted, shards)
     return read_index(spark, root)
 
 
 def search_by_text(index: DataFrame, queries: DataFrame, k: int = 15, dim: int = VECTOR_DIM, **options) -> DataFrame:
     """Exact L1 top-k of ``queries(query_id, instance_id, text)`` by their embedded text (SCH-1, TXT-7)."""
-    q = queries.select("query_id", "instance_id").join(embed_rows(queries, "query_id", "text", dim).withColumnRenamed("embedding", "qvec"), "query_id")
+    q = shuffled(queries.select("query_id", "instance_id")).join(embed_rows(queries, "query_id", "text", dim).withColumnRenamed("embedding", "qvec"), "query_id")
     return l1_search(index, q, k=k, **options)

@@ -25,7 +25,7 @@ from quarry.plans.element_plans import (_CLASS_TEXT, _FN_TEXT, _GET_TEXT, _LN_SQ
 from quarry.plans.fixtures import chunk_offsets_sql, doc_filename
 from quarry.plans.patch_plans import render_diffs, render_logs
 from quarry.plans.search_plans import _adler_bucket_sql
-from quarry.session import cut_lineage, write_table
+from quarry.session import cut_lineage, shuffled, write_table
 from quarry.sources.files import scan_eval_logs, scan_source_tree
 from quarry.sources.tables import Tables, table_path
 from quarry.streaming.index_stream import start_index_stream
@@ -390,7 +390,7 @@ def staged_lookup(spark, sf_dir):
     index = build_text_index(rows).materialize()
     pk, kind = F.col("p_partkey"), F.col("p_partkey") % 5
     null = lambda t: F.lit(None).cast(t)
-    q = lookup_queries(part).drop("query_kind", "semantic").join(part.select(pk.alias("query_id"), "p_name"), "query_id")
+    q = shuffled(lookup_queries(part).drop("query_kind", "semantic")).join(part.select(pk.alias("query_id"), "p_name"), "query_id")
     q = q.withColumn("_k", F.col("query_id") % 5).withColumn("query_kind", F.element_at(F.array(*map(F.lit, ("function", "method", "class", "file", "semantic"))), (F.col("_k") + 1).cast("int")))
     q = q.withColumn("semantic", F.when(F.col("_k") == 4, F.col("p_name"))).drop("_k", "p_name")
     own = lookup_queries(part).select("query_id", "filename", "class_name")
@@ -400,9 +400,9 @@ def staged_lookup(spark, sf_dir):
                                            method.alias("method_name"), null("long").alias("line_start"), null("long").alias("line_end"))
     extractions = item(0, "class", null("string")).unionByName(item(1, "method", F.lit("get")))
     result_choice = part.select(pk.alias("query_id"), (pk % 2).cast("long").alias("index"))
-    vectors = rows.join(embed_rows(rows.where(~F.col("exact_only")), "id", "content", EMBED_DIM), "id")
+    vectors = shuffled(rows).join(embed_rows(rows.where(~F.col("exact_only")), "id", "content", EMBED_DIM), "id")
     semantic = q.where("query_kind = 'semantic'").select("query_id", "instance_id", "semantic")
-    query_vectors = semantic.select("query_id", "instance_id").join(embed_rows(semantic, "query_id", "semantic", EMBED_DIM).withColumnRenamed("embedding", "qvec"), "query_id")
+    query_vectors = shuffled(semantic.select("query_id", "instance_id")).join(embed_rows(semantic, "query_id", "semantic", EMBED_DIM).withColumnRenamed("embedding", "qvec"), "query_id")
     r = staged_answers(q, displays, files, index, rows, vectors, query_vectors, exact_choice, text_choice, extractions, result_choice)
     return r.select("query_id", "source", "n_results", "result_idx", "filename", "elem_type", "elem_name", F.md5("text").alias("text_md5"))
 
