@@ -77,3 +77,15 @@ def test_payload_shapes(spark):
     for r in parse_payloads(df).orderBy("reply_id", "item_idx").collect():
         got.setdefault(r.reply_id, []).append((r.shape, r.reasoning, r.query_kind, r.numbers, r.texts))
     assert got == {k: want for k, (_, want) in PAYLOADS.items() if want}
+
+
+def test_answers_leave_python_in_bounded_frames():
+    import pandas as pd
+    from quarry.operators.inference import CALLS_AT_ONCE, _run_provider
+    calls = []
+    run = _run_provider(lambda texts: calls.append(len(texts)) or [t.upper() for t in texts], "embed", 2)
+    n = 4 * CALLS_AT_ONCE + 1
+    frames = list(run([pd.DataFrame({"key": [f"k{i}" for i in range(n)], "prompt": [f"t{i}" for i in range(n)]})]))
+    assert [len(f) for f in frames] == [2 * CALLS_AT_ONCE, 2 * CALLS_AT_ONCE, 1]
+    assert [v for f in frames for v in f["value"]] == [f'"T{i}"' for i in range(n)]
+    assert calls == [2] * (2 * CALLS_AT_ONCE) + [1]
