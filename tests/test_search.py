@@ -176,3 +176,11 @@ def test_salted_blocks_give_the_same_rows(spark, monkeypatch):
     pivots = search.choose_pivots(c, 3)
     stored = c.withColumn("pivot_distances", search.pivot_distances("embedding", pivots))
     assert rows(l1_search(c, q, k=5, block_rows=20)) == want == rows(l1_search(stored, q, k=5, pivots=pivots, block_rows=20))
+
+
+def test_documents_of_many_splits_move_before_their_tokens(spark, tmpdir_path):
+    from quarry.plans.search_plans import postings
+    docs = spark.createDataFrame([(i, f"a b {i}", "en", "s", 5) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(16).write.parquet(tmpdir_path + "/documents.parquet")
+    plan = postings(spark, tmpdir_path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("Generate")  # below every explode
