@@ -62,9 +62,15 @@ def render_diffs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         "o_orderkey", "instance_id", "repo", F.coalesce("patch", F.lit("")).alias("patch"))
 
 
+#: Line items a task renders: about a million diff lines, which it sorts in memory.
+ITEMS_PER_TASK = 100_000
+
+
 def _instances(spark, sf_dir) -> DataFrame:
+    """Orders and line items move by order key as they are stored; their diffs are rendered and parsed where they lie."""
     t = Tables(spark, sf_dir)
-    return render_diffs(t.orders, t.lineitem)
+    parts = t.parts_of("lineitem", ITEMS_PER_TASK)
+    return render_diffs(t.colocated("orders", parts), t.colocated("lineitem", parts))
 
 
 def instance_stats(spark, sf_dir) -> DataFrame:
