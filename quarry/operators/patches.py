@@ -20,8 +20,14 @@ so its lines stay in one task — a group bounded by a single text value.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+from quarry.session import ship_package
 
 HUNK_RE = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 DEV_NULL = "/dev/null"
@@ -232,60 +238,80 @@ def fit_check(parsed: DataFrame, file_lines: DataFrame, id_col: str = "patch_id"
     return hunks.join(per, id_col, "left").select(id_col, F.coalesce("fits", F.lit(True)).alias("fits"))
 
 
+_HUNK_BYTES = re.compile(rb"@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@")
+
+
+def fold_patch(patch: bytes | None, code_only: bool = True) -> tuple[int, int, int, int, bool]:
+    """Files, edits, changed lines, imports and whether the text parses: one pass over the lines of one patch.
+
+    It carries what is left of the current hunk, the current file and its counts; these
+    join the totals when the next file starts, unless one empty range adds or removes the file.
+    """
+    lines = (patch or b"").split(b"\n")
+    if not lines[-1]:  # what follows the final line feed is no line
+        lines.pop()
+    imports = tuple(b"+" + p.encode() for p in IMPORT_PREFIXES)
+    old_left = new_left = 0
+    source, headed, keep, ok = None, False, False, True
+    total, now, hunks, empty = [0, 0, 0, 0], [0, 0, 0, 0], 0, 0  # files, edits, lines, imports
+
+    def close():
+        if hunks != 1 or empty != 1:
+            total[:] = map(sum, zip(total, now))
+
+    for line in lines:
+        mark = line[:1]
+        head = _HUNK_BYTES.match(line) if mark == b"@" else None
+        if head:
+            at, n, to, m = head.groups()
+            ok = ok and old_left == new_left == 0 and source is not None and headed
+            old_left, new_left = 1 if n is None else int(n), 1 if m is None else int(m)
+            hunks += 1
+            empty += (int(at) == 0 and old_left == 0) or (int(to) == 0 and new_left == 0)
+            now[1] += keep
+        elif old_left > 0 or new_left > 0:
+            if mark == b" " or not mark:
+                old_left, new_left = old_left - 1, new_left - 1
+            elif mark == b"-":
+                old_left -= 1
+                now[2] += keep
+            elif mark == b"+":
+                new_left -= 1
+                now[2] += keep
+                now[3] += keep and line.startswith(imports)
+        elif line.startswith(b"--- "):
+            close()
+            source, headed, keep = line[4:].split(b"\t", 1)[0], False, False
+            now, hunks, empty = [0, 0, 0, 0], 0, 0
+        elif line.startswith(b"+++ "):
+            null = DEV_NULL.encode()
+            keep = source is not None and source != null and line[4:].split(b"\t", 1)[0] != null and (not code_only or source.endswith(b".py"))
+            headed = True
+            now[0] += keep
+    close()
+    return (*total, ok and old_left == new_left == 0)
+
+
 def patch_stats_fold(patches: DataFrame, id_col: str = "patch_id", patch_col: str = "patch",
                      code_only: bool = True, skip_unparsable: bool = True) -> DataFrame:
-    """AGG-1 as one ``aggregate`` per patch row: no explode, no shuffle, no sort.
+    """AGG-1 as one fold per patch row (:func:`fold_patch`): no explode, no shuffle, no sort.
 
-    The rules are those of :func:`parse_patches` + :func:`patch_stats`.  The fold carries
-    what is left of the current hunk, the current file with its own counts, and the
-    counts of the files before it; a file's counts join them when the next file starts.
-    Each line takes one branch.  Use it when only the per-patch counts are needed; the
+    The rules are those of :func:`parse_patches` + :func:`patch_stats`.  Patches are
+    folded in Arrow batches; use it when only the per-patch counts are needed, the
     window parser gives line-level rows.
     """
-    lines = F.split(F.coalesce(F.col(patch_col), F.lit("")), "\n")
-    zero, no = F.lit(0).cast("long"), F.lit(False)
-    # a body line rewrites few fields; what changes by hunk or file only is nested
-    layout = {"": ["ro", "rn", "nl", "ni", "keep", "file", "all"], "file": ["src", "tgt", "hunks", "empty", "files", "edits"], "all": ["files", "edits", "nl", "ni", "ok"]}
-    first = {"src": F.lit(None).cast("string"), "tgt": no, "keep": no, "ok": F.lit(True)}
-
-    def part(name, old, **changed):
-        return F.struct(*[(changed[f] if f in changed else old[f] if old is not None else first.get(f, zero)).alias(f) for f in layout[name]])
-
-    def closed(s):
-        """The totals with the current file's counts."""
-        f, t = s["file"], s["all"]
-        counts = (f["hunks"] != 1) | (f["empty"] != 1)
-        return part("all", t, **{k: t[k] + F.when(counts, v).otherwise(zero) for k, v in (("files", f["files"]), ("edits", f["edits"]), ("nl", s["nl"]), ("ni", s["ni"]))})
-
-    def step(s, ln):
-        m, f, t = F.substring(ln, 1, 1), s["file"], s["all"]
-        in_hunk = (s["ro"] > 0) | (s["rn"] > 0)
-        # cheap prefix tests first; the regex runs only on '@@' lines
-        hdr = F.when(m == "@", ln.rlike(HUNK_RE)).otherwise(no)
-        start = lambda i: F.regexp_extract(ln, HUNK_RE, i).cast("long")
-        old, new = _len_group(ln, 2), _len_group(ln, 4)
-        empty = ((start(1) == 0) & (old == 0)) | ((start(3) == 0) & (new == 0))
-        one = F.lit(1).cast("long")
-        kept = F.when(s["keep"], one).otherwise(zero)
-        imported = no
-        for p in IMPORT_PREFIXES:
-            imported = imported | ln.startswith("+" + p)
-        keep_now = F.coalesce((f["src"] != DEV_NULL) & (_path(ln) != DEV_NULL) & (f["src"].endswith(".py") if code_only else F.lit(True)), no)
-        hunk_file = part("file", f, hunks=f["hunks"] + 1, empty=f["empty"] + F.when(empty, one).otherwise(zero), edits=f["edits"] + kept)
-        hunk_ok = t["ok"] & (s["ro"] == 0) & (s["rn"] == 0) & f["src"].isNotNull() & f["tgt"]
-        return (F.when(hdr, part("", s, ro=old, rn=new, file=hunk_file, all=part("all", t, ok=hunk_ok)))
-                .when(in_hunk & ((m == " ") | (ln == "")), part("", s, ro=s["ro"] - 1, rn=s["rn"] - 1))
-                .when(in_hunk & (m == "-"), part("", s, ro=s["ro"] - 1, nl=s["nl"] + kept))
-                .when(in_hunk & (m == "+"), part("", s, rn=s["rn"] - 1, nl=s["nl"] + kept, ni=s["ni"] + F.when(imported, kept).otherwise(zero)))
-                .when(~in_hunk & (m == "-") & ln.startswith("--- "), part("", s, nl=zero, ni=zero, keep=no, file=part("file", None, src=_path(ln)), all=closed(s)))
-                .when(~in_hunk & (m == "+") & ln.startswith("+++ "), part("", s, keep=keep_now, file=part("file", f, tgt=F.lit(True), files=f["files"] + F.when(keep_now, one).otherwise(zero))))
-                .otherwise(s))
-
-    # what follows the final line feed is no line
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    start = part("", None, file=part("file", None), all=part("all", None))
-    last = F.aggregate(lines, start, step, lambda s: part("all", closed(s), ok=s["all"]["ok"] & (s["ro"] == 0) & (s["rn"] == 0)))
-    # a generator, so that a filter on its columns cannot pull a second copy of the fold below it
-    rows = F.filter(F.array(last), lambda r: r["ok"]) if skip_unparsable else F.array(last)
-    out = patches.select(id_col, F.inline(rows))
-    return out.select(id_col, *[F.col(f).alias(n) for f, n in (("files", "num_files"), ("edits", "num_edits"), ("nl", "num_lines"), ("ni", "num_imports"))])
+    names = ["num_files", "num_edits", "num_lines", "num_imports"]
+    id_field = patches.schema[id_col]
+
+    def run(batches):
+        for batch in batches:
+            rows = [fold_patch(t, code_only) for t in batch.column(1).to_pylist()]
+            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([r[4] for r in rows], pa.bool_())], names=[id_col, *names, "_ok"])
+
+    ship_package(patches.sparkSession)
+    schema = StructType([id_field, *[StructField(n, LongType()) for n in names], StructField("_ok", BooleanType())])
+    out = patches.select(id_col, F.col(patch_col).cast("binary")).mapInArrow(run, schema)
+    if skip_unparsable:
+        out = out.where("_ok")
+    return out.select(id_col, *names)
