@@ -1,9 +1,11 @@
 """Rule scan and rule matching (SRC-10, JN-5, AGG-8).
 
 Rules are configuration: ``(ord, match regex, enabled, content)``; a NULL
-``enabled`` means enabled.  Rules meet terms by trigrams of literals that their
+``enabled`` means enabled.  Rules meet terms by pieces of literals that their
 patterns need, in an equi join; only those pairs are tested, so neither the plan
-nor the driver grows with the rules.
+nor the driver grows with the rules.  A piece is as long as the literal allows
+(3, 6, 12, ... characters): there are only so many trigrams, and the pairs that
+meet in one grow with the rules times the terms.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def enabled_rules(rules: DataFrame) -> DataFrame:
     return rules.where(F.coalesce(F.col("enabled"), F.lit(True)))
 
 
-#: Length of the pieces by which rules meet terms.
+#: Least length of the pieces by which rules meet terms; longer ones have twice, four times, ... this length.
 GRAM = 3
 #: Parts over which a rule without a needed literal is laid, so that its terms are no single key.
 SPREAD = 64
@@ -102,9 +104,14 @@ def needed_literals(pattern: str) -> list[str] | None:
     return sorted({x.lower() for x in got}) if got and min(map(len, got)) >= GRAM else None
 
 
-def _grams(text: Column) -> Column:
+def _grams(text: Column, size: Column) -> Column:
     n = F.length(text)
-    return F.when(n >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
+def _gram_size(literal: Column) -> Column:
+    """The largest of ``GRAM``, ``2 * GRAM``, ``4 * GRAM``, ... that is no longer than the literal."""
+    return (GRAM * F.pow(F.lit(2), F.length(F.bin(F.floor(F.length(literal) / GRAM))) - 1)).cast("int")
 
 
 def _ascii_lower(text: Column) -> Column:
@@ -114,9 +121,10 @@ def _ascii_lower(text: Column) -> Column:
 def rule_candidates(terms: DataFrame, rules: DataFrame, term_col: str = "term") -> DataFrame:
     """``(term, ord, match, content)``: the pairs in which a rule may match, a superset of those in which it does.
 
-    Each needed literal of a rule stands in the index under one of its trigrams, that
-    which fewest terms hold; a term meets the rules of its own trigrams.  A rule
-    without needed literals meets every term.
+    Each needed literal of a rule stands in the index under one of its pieces of the
+    longest length that fits (:func:`_gram_size`), that which fewest terms hold; a term
+    meets the literals of its own pieces, of the lengths that are in use.  A rule without
+    needed literals meets every term.
     """
     ship_package(terms.sparkSession)
 
@@ -125,16 +133,21 @@ def rule_candidates(terms: DataFrame, rules: DataFrame, term_col: str = "term")
         return patterns.map(needed_literals)
 
     listed = write_table(rules.where(F.col("match").isNotNull()).select("ord", "match", "content", literals("match").alias("_literals")), "rules")
-    grams = write_table(terms.select(term_col, F.explode(_grams(_ascii_lower(F.col(term_col)))).alias("gram")), "term_grams")
-    # (rule, literal, gram) with the number of terms that hold the gram; a literal with an absent gram cannot match
-    asked = listed.where("_literals IS NOT NULL").select("ord", "match", "content", F.explode("_literals").alias("_literal"))
-    asked = asked.select("*", F.explode(_grams(F.col("_literal"))).alias("gram"))
+    asked = listed.where("_literals IS NOT NULL").select("ord", "match", "content", F.explode("_literals").alias("_literal")).distinct()
+    pieces = asked.select("_literal").distinct().select("_literal", _gram_size(F.col("_literal")).alias("_size"))
+    # as many as the longest literal has doublings
+    sizes = sorted(r["_size"] for r in pieces.select("_size").distinct().collect())
+    low = terms.select(term_col, _ascii_lower(F.col(term_col)).alias("_low"))
+    own = F.concat(F.array().cast("array<string>"), *[_grams(F.col("_low"), F.lit(n)) for n in sizes])
+    grams = write_table(low.select(term_col, F.explode(own).alias("gram")), "term_grams")
+    # (literal, gram) with the number of terms that hold the gram; a literal with an absent gram cannot match
+    pieces = pieces.select("_literal", F.explode(_grams(F.col("_literal"), F.col("_size"))).alias("gram"))
     seen = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
-    rule = ["ord", "match", "content", "_literal"]
-    best = (asked.join(seen, "gram", "left").groupBy(*rule)
+    best = (pieces.join(seen, "gram", "left").groupBy("_literal")
             .agg(F.min(F.coalesce("_n", F.lit(0))).alias("_least"), F.min_by("gram", F.struct("_n", "gram")).alias("gram")).where("_least > 0"))
-    met = grams.join(broadcast_if_small(write_table(best.select(*rule, "gram"), "rule_grams")), "gram")
-    met = met.where(F.contains(_ascii_lower(F.col(term_col)), F.col("_literal"))).select(term_col, "ord", "match", "content").distinct()
+    held = grams.join(broadcast_if_small(write_table(best.select("_literal", "gram"), "rule_grams")), "gram")
+    held = held.where(F.contains(_ascii_lower(F.col(term_col)), F.col("_literal"))).select(term_col, "_literal")
+    met = held.join(broadcast_if_small(asked), "_literal").select(term_col, "ord", "match", "content").distinct()
     free = listed.where("_literals IS NULL").select("ord", "match", "content", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"))
     any_term = terms.select(term_col, F.pmod(F.xxhash64(term_col), F.lit(SPREAD)).cast("int").alias("_part"))
     return met.unionByName(any_term.join(broadcast_if_small(free), "_part").select(term_col, "ord", "match", "content"))
