@@ -61,9 +61,12 @@ def write_files(df: DataFrame, root: str) -> None:
     base = local_path(root)
 
     def run(rows):
+        made = None
         for r in rows:
             p = os.path.join(base, r["filename"])
-            os.makedirs(os.path.dirname(p), exist_ok=True)
+            if os.path.dirname(p) != made:
+                made = os.path.dirname(p)
+                os.makedirs(made, exist_ok=True)
             data = r["content"]
             with open(p, "wb") as f:
                 f.write(data if isinstance(data, (bytes, bytearray)) else data.encode("utf-8"))

@@ -291,15 +291,14 @@ ORDERS_PER_LOG = 8
 def eval_log_counts(spark, sf_dir):
     """One log file per run of 8 consecutive orders, read back and classified."""
     t = Tables(spark, sf_dir)
-    logs = render_logs(t.orders).join(t.orders.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"),
-                                                               F.lit(".eval.log")).alias("path"), "o_orderkey"), "path")
+    logs = render_logs(t.orders.where("o_orderkey IS NOT NULL"), keep=("o_orderkey",))
     logs = logs.withColumn("run", F.floor(F.col("o_orderkey") / ORDERS_PER_LOG).cast("long"))
     per = logs.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "content"))).alias("_l"))
     files = per.select(F.concat(F.lit("run-"), F.col("run").cast("string"), F.lit(".eval.log")).alias("filename"),
                        F.array_join(F.transform("_l", lambda x: x["content"]), "\n").alias("content"))
     root = new_version_path(spark, "logs")
     write_files(files, root)
-    write_files(files.limit(1).select(F.lit("ignored.txt").alias("filename"), "content"), root)
+    write_files(logs.limit(1).select(F.lit("ignored.txt").alias("filename"), "content"), root)
     return outcome_counts(scan_eval_logs(spark, root))
 
 

@@ -171,7 +171,7 @@ FROM st
 
 
 # ------------------------------------------------------------------ AGG-5 / AGG-6
-def render_logs(orders: DataFrame) -> DataFrame:
+def render_logs(orders: DataFrame, keep: tuple = ()) -> DataFrame:
     """Evaluation logs rendered from orders; urgent orders carry two phrases."""
     st = F.col("o_orderstatus")
     pr = F.col("o_orderpriority")
@@ -181,7 +181,7 @@ def render_logs(orders: DataFrame) -> DataFrame:
             .when(st == "O", F.lit("Some tests failed"))
             .otherwise(F.lit("Installation failed")))
     prefix = F.when(pr == "1-URGENT", F.lit("Apply patch failed\n")).otherwise(F.lit(""))
-    return orders.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"), F.lit(".eval.log")).alias("path"),
+    return orders.select(*keep, F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"), F.lit(".eval.log")).alias("path"),
                          F.concat(F.lit("log of order "), F.col("o_orderkey").cast("string"), F.lit("\n"), prefix, main).alias("content"))
 
 
