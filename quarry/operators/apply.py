@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.linediff import edit_blocks, header, hunks_of
 from quarry.operators.patches import DEV_NULL, clean_path, collapse_blank_before_hunks, parse_patches
-from quarry.session import ship_package
+from quarry.session import ship_package, write_table
 
 CONTEXT = 3
 VARIANTS = ["default", "minimal", "default_no_blank", "minimal_no_blank"]
@@ -177,7 +177,9 @@ def accepted_patches(patches: DataFrame, file_lines: DataFrame, id_col: str = "p
     both sides) a path means a file of the patch's own instance.
     """
     own = [instance_col] if instance_col else []
-    parsed = parse_patches(patches, id_col, patch_col, keep=tuple(own))
+    # texts move by id before they are cut into lines; what is read several times below is written once
+    moved = patches.select(id_col, *own, patch_col).repartition(id_col)
+    parsed = parse_patches(moved, id_col, patch_col, keep=tuple(own))
     sound = parsed.join(sound_patches(parsed, id_col), id_col, "left_semi")
     hunks = _hunks(sound, [id_col, *own])
     removed, added = F.col("target_file") == DEV_NULL, F.col("source_file") == DEV_NULL
@@ -185,9 +187,11 @@ def accepted_patches(patches: DataFrame, file_lines: DataFrame, id_col: str = "p
         id_col, *own, "hunk_no", "file_no", "src_start", "tgt_start", "body", F.when(added, "added").when(removed, "removed").otherwise("modified").alias("kind"),
         F.when(added, F.regexp_replace("target_file", "^b/", "")).otherwise(clean_path(F.col("source_file"))).alias("path"),
         F.transform(F.filter("body", lambda b: b["marker"] != "+"), lambda b: b["value"]).alias("old"))
+    hunks = write_table(hunks, "patch_hunks")
     touched = hunks.select(*own, "path").distinct()
     files = (file_lines.join(touched, [*own, "path"], "left_semi").groupBy(*own, "path")
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines")))
+    files = write_table(files, "patched_files")
     places = hunk_places(hunks, files, [*own, "path"], [id_col, "hunk_no"])
     placed = hunks.join(places, [id_col, "hunk_no"], "left")
     per_file = placed.groupBy(id_col, *own, "path").agg(
@@ -236,14 +240,20 @@ def first_valid_variant(patches: DataFrame, file_lines: DataFrame, id_col: str =
     """``(id, variant, valid_patch)``: the first variant that is accepted, with the accepted text; NULLs when none is.
 
     Variants, in order: as it stands, minimal hunks, and both without blank lines
-    before ``@@``.  All variants of all patches are checked in one plan (a variant is a row).
+    before ``@@``.  All variants of all patches are checked in one plan (a variant is a row, and
+    one that equals an earlier variant of its patch is none).
     """
     own = [instance_col] if instance_col else []
     base = patches.select(id_col, *own, F.col(patch_col).alias("_p"))
-    minimal = minimal_patches(parse_patches(base.select(id_col, F.col("_p").alias("patch")), id_col, "patch"), id_col).withColumnRenamed("patch", "_m")
+    moved = base.select(id_col, F.col("_p").alias("patch")).repartition(id_col)
+    minimal = minimal_patches(parse_patches(moved, id_col, "patch"), id_col).withColumnRenamed("patch", "_m")
     both = base.join(minimal, id_col, "left").withColumn("_m", F.coalesce("_m", F.lit("")))
-    tries = both.select(id_col, *own, F.posexplode(F.array(
-        F.col("_p"), F.col("_m"), collapse_blank_before_hunks(F.col("_p")), collapse_blank_before_hunks(F.col("_m")))).alias("_ord", "patch"))
+    texts = F.array(F.col("_p"), F.col("_m"), collapse_blank_before_hunks(F.col("_p")), collapse_blank_before_hunks(F.col("_m")))
+    alone = F.count(F.lit(1)).over(Window.partitionBy(id_col)) == 1
+    tries = write_table(both.select(id_col, *own, texts.alias("_texts"), alone.alias("_alone")), "patch_variants")
+    # a text that an earlier variant has would only be tried again; rows that share an id are read as one patch, variant by variant
+    first = F.coalesce(F.array_position("_texts", F.col("patch")) == F.col("_ord") + 1, F.lit(False))
+    tries = tries.select(id_col, *own, "_texts", "_alone", F.posexplode("_texts").alias("_ord", "patch")).where(~F.col("_alone") | first).drop("_texts", "_alone")
     tries = tries.withColumn("_vid", F.concat_ws("#", F.col(id_col).cast("string"), F.col("_ord").cast("string")))
     accepted = accepted_patches(tries.select("_vid", *own, "patch"), file_lines, "_vid", "patch", instance_col).where("accepted IS NOT NULL")
     best = tries.select(id_col, "_ord", "_vid").join(accepted, "_vid").groupBy(id_col).agg(F.min_by(F.struct("_ord", "accepted"), "_ord").alias("_b"))

@@ -61,7 +61,8 @@ def parse_patches(patches: DataFrame, id_col: str = "patch_id", patch_col: str =
     # the text is split below the generator: what stands beside it would be computed again for every line
     split = patches.select(id_col, *keep, F.split(F.coalesce(F.col(patch_col), F.lit("")), "\n").alias("_lines"))
     split = split.select(id_col, *keep, "_lines", F.size("_lines").alias("_n"))
-    lines = split.select(id_col, *keep, "_n", F.posexplode("_lines").alias("pos", "line"))
+    # a text has one line at least; the outer form keeps Spark from a filter on its size, which would run the text's own expression again
+    lines = split.select(id_col, *keep, "_n", F.posexplode_outer("_lines").alias("pos", "line"))
     w = Window.partitionBy(*([colocated_by] if colocated_by else []), id_col).orderBy("pos")
     line = F.col("line")
     marker = F.substring(line, 1, 1)

@@ -274,7 +274,7 @@ def render_file_patches(documents: DataFrame):
                     F.lit("@@ -"), _fmt_range(start, length), F.lit(" +"), _fmt_range(start, length), F.lit(" @@\n"))
     patch = F.concat(head, F.array_join(F.when(kind == 6, whole).otherwise(plain), "\n"), F.when(kind == 7, F.lit("")).otherwise(F.lit("\n")))
     patches = d.select(F.col("doc_id").alias("patch_id"), "instance_id", patch.alias("patch"))
-    lines = d.select("instance_id", "path", F.posexplode("lines").alias("pos", "line")).select("instance_id", "path", (F.col("pos") + 1).alias("line_no"), "line")
+    lines = d.select("instance_id", "path", F.posexplode_outer("lines").alias("pos", "line")).select("instance_id", "path", (F.col("pos") + 1).alias("line_no"), "line")
     return patches, lines
 
 
