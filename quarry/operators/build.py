@@ -26,10 +26,14 @@ from quarry.session import shuffled, write_table
 VECTOR_DIM = 64
 
 
-def embed_rows(rows: DataFrame, id_col: str, text_col: str, dim: int = VECTOR_DIM) -> DataFrame:
-    """``(id, embedding)``: hashed bag of words of length one; a text without tokens has the zero vector."""
-    n = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    t = rows.select(F.col(id_col).alias("id"), tokenize(strip_ws(text_col)).alias("_t")).repartition(n, "id")
+def embed_rows(rows: DataFrame, id_col: str, text_col: str, dim: int = VECTOR_DIM, parts: int | None = None) -> DataFrame:
+    """``(id, embedding)``: hashed bag of words of length one; a text without tokens has the zero vector.
+
+    ``parts``: tasks that the words are counted in, at least one a core; more where the texts are many.
+    """
+    n = max(1, parts or 0, rows.sparkSession.sparkContext.defaultParallelism)
+    # a text takes less room than its words
+    t = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).repartition(n, "id").select("id", tokenize(strip_ws("_text")).alias("_t"))
     h = t.select("id", F.explode_outer("_t").alias("_w")).withColumn("_h", F.md5(F.col("_w").cast("binary")))
     bucket = (F.conv(F.substring("_h", 1, 6), 16, 10).cast("long") % dim).cast("int")
     sign = F.when(F.conv(F.substring("_h", 7, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)

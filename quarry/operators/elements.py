@@ -6,10 +6,9 @@ Split of work:
   each file with the standard ``ast`` module and emit one row per element
   with the line spans of its parts — signature, full text, comments above
   and below.  Files that do not parse come out as one ``raw`` row.
-* **Spark** (:func:`element_displays`): every display level is a
-  ``concat`` of numbered part texts; a class's children and a module's
-  children are gathered with an ordered ``collect_list`` per class / per
-  file (groups bounded by one file).
+* **Python, a file at a time** (:func:`element_displays`): every display level is
+  put together from numbered part texts, a class's and a module's from those of
+  their children.  Spark brings a file's spans and its content together before.
 
 Element rules (taken by the extractor): top-level ``def`` / ``class`` /
 ``import`` / assignment to a name; ``def`` and name assignments directly in
@@ -27,11 +26,12 @@ from functools import cached_property
 from itertools import takewhile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import shuffled, spread
+from quarry.session import ship_package, shuffled, spread
 
 # Comment markers skipped in comment runs; display levels.
 EXCLUDE_COMMENTS = ["TODO", "FIXME"]
@@ -225,76 +225,121 @@ def extract_elements(files: DataFrame) -> DataFrame:
     return spread(files.select("instance_id", "filename", "content")).mapInPandas(element_frames, ELEMENT_SCHEMA)
 
 
-# ----------------------------------------------------------------------------- Spark part
-def _rjust(num: Column, width: Column) -> Column:
-    s = num.cast("string")
-    return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, " "))
-
-
-def part_text(lines: Column, lo: Column, hi: Column, numbered: bool) -> Column:
-    """``display_content`` of lines ``lo..hi`` (0-based, inclusive); '' when absent."""
-    width = F.length(F.size(lines).cast("string"))
-    sub = F.slice(lines, lo + 1, hi - lo + 1)
-    if numbered:
-        sub = F.transform(sub, lambda l, i: F.concat(_rjust(i + lo + 1, width), F.lit(" |"), l))
-    return F.when(lo.isNull(), F.lit("")).otherwise(F.concat(F.array_join(sub, "\n"), F.lit("\n")))
+# ----------------------------------------------------------------------------- displays
+#: Columns of an element that its displays are cut from, and those that a display row keeps.
+_SPANS = ["kind", "elem_type", "elem_name", "parent_name", "parent_ord", "live", "ord", "start_line", "end_line",
+          "sig_lo", "sig_hi", "full_lo", "full_hi", "upper_lo", "upper_hi", "lower_lo", "lower_hi"]
+_KEPT = ["kind", "elem_type", "elem_name", "parent_name", "live", "ord", "start_line", "end_line"]
+#: Files whose elements a task holds as Python values at once, and characters of displays that it holds before it hands them on.
+FILES_AT_ONCE, CHARS_AT_ONCE = 64, 1 << 23
+
+
+def _cat(*parts: str | None) -> str | None:
+    return None if None in parts else "".join(parts)
+
+
+def _children(found: list[tuple[int | None, str | None]]) -> str:
+    """Displays of the children in their order, an empty line between two of them."""
+    if not found:
+        return "\n"
+    found.sort(key=lambda c: (c[0] is not None, c[0] or 0, c[1] is not None, c[1] or ""))
+    return "\n".join(d for _, d in found if d is not None) + "\n"
+
+
+def _file_displays(elements: list[tuple], contents: list[str | None], numbered: bool):
+    """``(element, level, display)`` of one file's elements (tuples of ``_SPANS``); a file that is there twice gives each of them twice."""
+    cut = []
+    for content in contents:
+        lines = shown = None if content is None else content.split("\n")
+        if numbered and lines is not None:
+            width = len(str(len(lines)))
+            shown = [f"{k:>{width}} |{x}" for k, x in enumerate(lines, 1)]
+
+        def part(lo, hi):
+            """``display_content`` of the lines ``lo..hi`` (0-based, inclusive); '' when absent."""
+            if lo is None:
+                return ""
+            return None if shown is None or hi is None else "\n".join(shown[lo:hi + 1]) + "\n"
+
+        for e in elements:
+            sig, full, up, low = part(e[9], e[10]), part(e[11], e[12]), part(e[13], e[14]), part(e[15], e[16])
+            cut.append((e, sig, full, up, low, content))
+    children: dict[tuple, list] = {}   # by class (name, position) and level, modules under (level,)
+    out = []
+
+    def shown_at(e, levels):
+        out.extend((e, level, display) for level, display in zip(LEVELS, levels))
+        if e[3] == "":
+            for level, display in zip(LEVELS, levels):
+                children.setdefault((level,), []).append((e[6], display))
+        elif e[3] is not None and e[4] is not None and e[1] != "class":
+            for level, display in zip(LEVELS, levels):
+                children.setdefault((e[3], e[4], level), []).append((e[6], display))
+
+    for e, sig, full, up, low, _ in cut:
+        if e[1] in ("function", "method"):
+            head = _cat(up, sig, low)
+            shown_at(e, (sig, head, head, _cat(up, full)))
+        elif e[1] == "constant":
+            around = _cat(up, full, low)
+            shown_at(e, (full, around, around, around))
+        elif e[1] == "import":
+            shown_at(e, (full,) * 4)
+    inside = {k: _children(v) for k, v in children.items() if len(k) == 3}
+    for e, sig, full, up, low, _ in cut:
+        if e[1] == "class":
+            signature, moderate = (_cat(sig, low, inside.get((e[2], e[6], level), "\n")) for level in ("signature", "moderate"))
+            shown_at(e, (signature, _cat(up, sig, low), moderate, _cat(up, full)))
+    tops = {level: _children(children.get((level,), [])) for level in LEVELS}
+    for e, sig, full, up, low, content in cut:
+        if e[1] == "module":
+            levels = (content,) * 4 if e[0] == "raw" else (tops["signature"], low, _cat(low, tops["moderate"]), full)
+            out.extend((e, level, display) for level, display in zip(LEVELS, levels))
+    return out
 
 
 def element_displays(elements: DataFrame, files: DataFrame, numbered: bool = False) -> DataFrame:
     """One row per (element, level) with its display text (ELM-7).
 
     ``files(instance_id, filename, content)`` supplies the lines; the
-    element rows carry only spans, so the text is cut here.
+    element rows carry only spans, so the text is cut here.  Spans and contents meet
+    once, a row a file, and all displays of a file are written beside each other; nothing
+    is moved after that.
     """
-    lines = files.select("instance_id", "filename", F.split("content", "\n").alias("_lines"))
-    e = shuffled(elements).join(lines, ["instance_id", "filename"])
-    L = F.col("_lines")
-    sig = part_text(L, F.col("sig_lo"), F.col("sig_hi"), numbered)
-    full = part_text(L, F.col("full_lo"), F.col("full_hi"), numbered)
-    up = part_text(L, F.col("upper_lo"), F.col("upper_hi"), numbered)
-    low = part_text(L, F.col("lower_lo"), F.col("lower_hi"), numbered)
-    e = e.select("*", sig.alias("t_sig"), full.alias("t_full"), up.alias("t_up"), low.alias("t_low"),
-                 F.when(F.col("kind") == "raw", F.array_join(L, "\n")).alias("t_raw")).drop("_lines")
-    et = F.col("elem_type")
-
-    # leaves: functions, methods, constants, imports
-    def leaf(level):
-        fn = {"signature": F.col("t_sig"), "minimal": F.concat("t_up", "t_sig", "t_low"),
-              "moderate": F.concat("t_up", "t_sig", "t_low"), "full": F.concat("t_up", "t_full")}[level]
-        const = F.col("t_full") if level == "signature" else F.concat("t_up", "t_full", "t_low")
-        return (F.when(et.isin("function", "method"), fn).when(et == "constant", const)
-                .when(et == "import", F.col("t_full")))
-
-    leaves = e.where(et.isin("function", "method", "constant", "import"))
-    leaf_rows = leaves.select("*", F.explode(F.array(*[F.struct(F.lit(lv).alias("display_level"), leaf(lv).alias("display"))
-                                                       for lv in LEVELS])).alias("_d")).select("*", "_d.*").drop("_d")
-    # classes: children at the same level, in order
-    members = leaf_rows.where(F.col("parent_name") != "")
-    kids = members.groupBy("instance_id", "filename", "parent_name", "parent_ord", "display_level").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "display"))).alias("_k"))
-    kids = kids.select("instance_id", "filename", F.col("parent_name").alias("elem_name"), F.col("parent_ord").alias("ord"), "display_level",
-                       F.concat(F.array_join(F.transform("_k", lambda x: x["display"]), "\n"), F.lit("\n")).alias("_children"))
-    classes = e.where(et == "class").select("*", F.explode(F.array(*[F.lit(lv) for lv in LEVELS])).alias("display_level"))
-    classes = shuffled(classes).join(kids, ["instance_id", "filename", "elem_name", "ord", "display_level"], "left")
-    ch = F.coalesce(F.col("_children"), F.lit("\n"))
-    lvl = F.col("display_level")
-    cdisp = (F.when(lvl == "full", F.concat("t_up", "t_full")).when(lvl == "minimal", F.concat("t_up", "t_sig", "t_low"))
-             .otherwise(F.concat(F.col("t_sig"), F.col("t_low"), ch)))
-    class_rows = classes.withColumn("display", cdisp).drop("_children")
-    # modules: top-level children in order
-    top = leaf_rows.where(F.col("parent_name") == "").unionByName(class_rows.where(F.col("parent_name") == ""))
-    mk = top.groupBy("instance_id", "filename", "display_level").agg(F.sort_array(F.collect_list(F.struct("ord", "display"))).alias("_k"))
-    mk = mk.select("instance_id", "filename", "display_level",
-                   F.concat(F.array_join(F.transform("_k", lambda x: x["display"]), "\n"), F.lit("\n")).alias("_children"))
-    mods = e.where(et == "module").select("*", F.explode(F.array(*[F.lit(lv) for lv in LEVELS])).alias("display_level"))
-    mods = shuffled(mods).join(mk, ["instance_id", "filename", "display_level"], "left")
-    mch = F.coalesce(F.col("_children"), F.lit("\n"))
-    mdisp = (F.when(lvl == "full", F.col("t_full")).when(lvl == "minimal", F.col("t_low"))
-             .when(lvl == "signature", mch).otherwise(F.concat(F.col("t_low"), mch)))
-    mod_rows = mods.withColumn("display", F.when(F.col("kind") == "raw", F.col("t_raw")).otherwise(mdisp)).drop("_children")
-    keep = ["instance_id", "filename", "kind", "elem_type", "elem_name", "parent_name", "live", "ord", "start_line", "end_line",
-            "display_level", "display"]
-    return leaf_rows.select(*keep).unionByName(class_rows.select(*keep)).unionByName(mod_rows.select(*keep))
+    at = ["instance_id", "filename"]
+    spans = elements.groupBy(*at).agg(F.collect_list(F.struct(*_SPANS)).alias("_e"))
+    texts = files.select(*at, "content").repartition(*at).groupBy(*at).agg(F.collect_list(F.struct("content")).alias("_f"))
+    schema = T.StructType([*[elements.schema[c] for c in (*at, *_KEPT)], T.StructField("display_level", T.StringType()), T.StructField("display", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            fields = batch.column("_e").type.value_type
+            types = [batch.schema.field(c).type for c in at] + [fields.field(c).type for c in _KEPT]
+            names = [*at, *_KEPT, "display_level", "display"]
+
+            def table(rows):
+                columns = [list(c) for c in zip(*rows)] or [[]] * len(names)
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.string(), pa.string()])], names=names)
+
+            rows, chars = [], 0
+            for k in range(0, batch.num_rows, FILES_AT_ONCE):
+                some = batch.slice(k, FILES_AT_ONCE)
+                lists = some.column("_e")
+                flat = lists.flatten()
+                every = list(zip(*[flat.field(c).to_pylist() for c in _SPANS]))
+                done = 0
+                for inst, name, n, texts in zip(some.column(at[0]).to_pylist(), some.column(at[1]).to_pylist(), lists.value_lengths().to_pylist(), some.column("_f").to_pylist()):
+                    for e, level, display in _file_displays(every[done:done + n], [x["content"] for x in texts], numbered):
+                        rows.append((inst, name, e[0], e[1], e[2], e[3], e[5], e[6], e[7], e[8], level, display))
+                        chars += len(display or "")
+                        if len(rows) >= ROWS_AT_ONCE or chars >= CHARS_AT_ONCE:
+                            yield table(rows)
+                            rows, chars = [], 0
+                    done += n
+            yield table(rows)
+
+    ship_package(elements.sparkSession)
+    return shuffled(spans).join(texts, at).select(*at, "_e", "_f").mapInArrow(run, schema)
 
 
 def latest_by_name(displays: DataFrame, keys=("instance_id", "filename", "elem_type", "parent_name", "elem_name", "display_level")) -> DataFrame:
@@ -302,6 +347,13 @@ def latest_by_name(displays: DataFrame, keys=("instance_id", "filename", "elem_t
     return displays.where("live").groupBy(*keys).agg(F.max_by("display", "ord").alias("display"), F.max("ord").alias("ord"))
 
 
+def indexed() -> Column:
+    """The displays that :func:`index_rows` reads."""
+    etype, level = F.col("elem_type"), F.col("display_level")
+    return ((etype == "module") & level.isin("minimal", "moderate", "full")) | ((F.col("kind") == "raw") & (level == "full")) | (
+        etype.isin("function", "class") & (F.col("parent_name") == "") & (level == "minimal"))
+
+
 def index_rows(displays: DataFrame) -> DataFrame:
     """Rows that go into the search index (ELM-8, TXT-3).
 

@@ -9,7 +9,7 @@ fall back to BM25 over the index rows with the alternative text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.elements import latest_by_name
@@ -20,8 +20,16 @@ QUERY_KINDS = ("semantic", "function", "method", "class", "file")
 RESULT_COLS = ["query_id", "source", "filename", "elem_type", "elem_name", "text"]
 
 
-def _level(d: DataFrame, etype: str, level: str) -> DataFrame:
-    return latest_by_name(d.where((F.col("elem_type") == etype) & (F.col("display_level") == level)))
+def looked_up() -> Column:
+    """The displays that :func:`exact_lookups` reads."""
+    etype, level = F.col("elem_type"), F.col("display_level")
+    return (etype.isin("function", "method") & (level == "moderate")) | ((etype == "class") & level.isin("moderate", "signature")) | (
+        (etype == "module") & (level == "signature"))
+
+
+def _level(d: DataFrame, etype: str, level: str, by: list[str]) -> DataFrame:
+    """The last definitions of a type at a level, moved once, by the columns ``by`` that queries meet them on."""
+    return latest_by_name(d.where((F.col("elem_type") == etype) & (F.col("display_level") == level)).repartition(*by))
 
 
 def checked_kinds(queries: DataFrame) -> DataFrame:
@@ -46,14 +54,14 @@ def exact_lookups(queries: DataFrame, displays: DataFrame, files: DataFrame, cla
     def out(hits, kind, name, text):
         return hits.select(*ids, F.lit("exact").alias("source"), "filename", F.lit(kind).alias("elem_type"), F.col(name).alias("elem_name"), text.alias("text"))
 
-    fn = _level(displays, "function", "moderate").where(F.col("parent_name") == "")
+    fn = _level(displays.where(F.col("parent_name") == ""), "function", "moderate", [*on, "elem_name"])
     hf = shuffled(q.where(F.col("query_kind") == "function")).join(
         fn.select("instance_id", "filename", F.col("elem_name").alias("fn_name"), "display"), [*on, "fn_name"])
-    me = _level(displays, "method", "moderate")
+    me = _level(displays, "method", "moderate", [*on, "parent_name", "elem_name"])
     hm = shuffled(q.where(F.col("query_kind") == "method")).join(
         me.select("instance_id", "filename", F.col("parent_name").alias("class_name"), F.col("elem_name").alias("method_name"), "display"),
         [*on, "class_name", "method_name"])
-    cls = displays.where((F.col("elem_type") == "class") & F.col("live") & F.col("display_level").isin("moderate", "signature"))
+    cls = displays.where((F.col("elem_type") == "class") & F.col("live") & F.col("display_level").isin("moderate", "signature")).repartition(*on, "elem_name")
     at = lambda level: F.max_by(F.when(F.col("display_level") == level, F.col("display")),
                                 F.when(F.col("display_level") == level, F.col("ord")))
     cl = cls.groupBy("instance_id", "filename", "elem_name").agg(at("moderate").alias("_m"), at("signature").alias("_s"))

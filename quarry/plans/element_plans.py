@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.elements import element_displays, extract_elements, index_rows
 from quarry.operators.lookup import exact_lookups
 from quarry.plans import register
-from quarry.session import cut_lineage, shuffled, write_table
+from quarry.session import shuffled, write_table
 from quarry.sources.tables import Tables
 
 PARTS_PER_FILE = 8
@@ -47,7 +47,9 @@ def render_python_files(part: DataFrame) -> DataFrame:
         F.lit("        self.v = v"),
         F.lit(""),
     )
-    blocks = part.select(g.alias("g"), "p_partkey", F.array_join(lines, "\n").alias("block"))
+    # the columns move to their file before the texts are made of them, which are many times as long
+    part = part.select(g.alias("g"), "p_partkey", "p_name", "p_size", "p_brand").repartition("g")
+    blocks = part.select("g", "p_partkey", F.array_join(lines, "\n").alias("block"))
     files = blocks.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "block"))).alias("_b"))
     content = F.concat(F.lit("# Module for group "), F.col("g").cast("string"), F.lit("\nimport os\n\n"),
                        F.array_join(F.transform("_b", lambda x: x["block"]), "\n"),
@@ -63,13 +65,14 @@ def _files(spark, sf_dir):
 
 
 def _elements(files):
-    """The one Python job, checkpointed: every display branch reads its output."""
-    return cut_lineage(extract_elements(files))
+    """The one Python job, written once: every display branch reads its output."""
+    return write_table(extract_elements(files), "elements")
 
 
-def _displays(files, elements, numbered: bool):
-    """Display levels written once as a table: lookups read it several times."""
-    return write_table(element_displays(elements, files, numbered=numbered), "displays")
+def _displays(files, elements, numbered: bool, read: Column | None = None):
+    """Display levels written once as a table: lookups read it several times.  ``read``: the rows that they do read."""
+    d = element_displays(elements, files, numbered=numbered)
+    return write_table(d if read is None else d.where(read), "displays")
 
 
 def element_extract(spark, sf_dir):

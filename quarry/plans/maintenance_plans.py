@@ -9,12 +9,12 @@ from quarry.functions.hashing import adler32_bucket
 from quarry.functions.replies import parse_block
 from quarry.functions.text import raw_elem_type
 from quarry.operators.chunking import BOUNDARIES, LEAST_PART, boundary_chunks, fixed_chunks
-from quarry.operators.elements import element_counts, extract_elements, index_rows
+from quarry.operators.elements import element_counts, extract_elements, index_rows, indexed
 from quarry.operators.index import build_text_index
 from quarry.operators.inference import (cache_key, call_cached, echo_model, embed_text, hashing_embedder, invoke_prompt,
                                         rule_failing_provider)
 from quarry.operators.answers import staged_answers
-from quarry.operators.lookup import lookup_with_fallback
+from quarry.operators.lookup import looked_up, lookup_with_fallback
 from quarry.operators.maintenance import new_version_path, tag_rows, write_files, write_predictions, write_text_per_instance
 from quarry.operators.stats import outcome_counts
 from quarry.operators.versions import manifest, read_index, unbuilt, write_version
@@ -374,6 +374,10 @@ register("lookup_fallback")(lookup_fallback)
 
 
 # ------------------------------------------------------------------ SCH-12..SCH-16, SCH-19, JN-3: staged answers
+#: Index rows that a task cuts into words at once.
+ROWS_A_PART = 50_000
+
+
 def staged_lookup(spark, sf_dir):
     """A query per part, of all five kinds, answered by name, by text or by vector, with the choices as tables.
 
@@ -384,9 +388,11 @@ def staged_lookup(spark, sf_dir):
     part = Tables(spark, sf_dir).part
     files = _files(spark, sf_dir)
     elems = _elements(files)
-    displays = _displays(files, elems, numbered=True)
-    rows = write_table(tag_rows(fixed_chunks(index_rows(_displays(files, elems, numbered=False)), "content")), "staged_rows")
-    index = build_text_index(rows).materialize()
+    displays = _displays(files, elems, numbered=True, read=looked_up())
+    rows = write_table(tag_rows(fixed_chunks(index_rows(_displays(files, elems, numbered=False, read=indexed())), "content")), "staged_rows")
+    # rows move by id before they are cut into words: their postings and vectors stay where they are made
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_PART))
+    index = build_text_index(rows.repartition(parts, "id")).materialize()
     pk, kind = F.col("p_partkey"), F.col("p_partkey") % 5
     null = lambda t: F.lit(None).cast(t)
     q = shuffled(lookup_queries(part).drop("query_kind", "semantic")).join(part.select(pk.alias("query_id"), "p_name"), "query_id")
@@ -399,7 +405,7 @@ def staged_lookup(spark, sf_dir):
                                            method.alias("method_name"), null("long").alias("line_start"), null("long").alias("line_end"))
     extractions = item(0, "class", null("string")).unionByName(item(1, "method", F.lit("get")))
     result_choice = part.select(pk.alias("query_id"), (pk % 2).cast("long").alias("index"))
-    vectors = shuffled(rows).join(embed_rows(rows.where(~F.col("exact_only")), "id", "content", EMBED_DIM), "id")
+    vectors = write_table(shuffled(rows.drop("content").repartition(parts, "id")).join(embed_rows(rows.where(~F.col("exact_only")), "id", "content", EMBED_DIM, parts), "id"), "staged_vectors")
     semantic = q.where("query_kind = 'semantic'").select("query_id", "instance_id", "semantic")
     query_vectors = shuffled(semantic.select("query_id", "instance_id")).join(embed_rows(semantic, "query_id", "semantic", EMBED_DIM).withColumnRenamed("embedding", "qvec"), "query_id")
     r = staged_answers(q, displays, files, index, rows, vectors, query_vectors, exact_choice, text_choice, extractions, result_choice)
